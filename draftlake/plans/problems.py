@@ -8,10 +8,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from draftlake.operators import hierarchy as trees
-from draftlake.operators import hotkeys, orphans
+from draftlake.operators import hotkeys, orphans, units
 from draftlake.runtime import load, shuffle_partitions
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    decoded = load(spark, d, "decoded_objects")
+    named = units.common_widths(decoded).filter("unit_source in ('code', 'text')")
+    widths = named.select("object_id", F.concat(F.lit("width:"), "thing").alias("thing"), "recorded", F.col("width_mm").alias("common"))
+    scales = units.scale_ratios(decoded).select("object_id", F.concat(F.lit("scale:"), "thing").alias("thing"), "recorded", F.col("ratio").alias("common"))
+    return units.agreeing_pairs(widths.unionByName(scales))
+
+
+def p1_widths(spark: SparkSession, d: str) -> DataFrame:
+    return units.common_widths(load(spark, d, "decoded_objects"))
+
+
+def p1_scales(spark: SparkSession, d: str) -> DataFrame:
+    return units.scale_ratios(load(spark, d, "decoded_objects"))
+
+
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphan_references(load(spark, d, "handle_map"), load(spark, d, "decoded_objects"), load(spark, d, "raw_objects"))
 
@@ -45,7 +61,7 @@ def p4_descendants(spark: SparkSession, d: str) -> DataFrame:
     return trees.descendants(trees.hierarchy(load(spark, d, "expanded_entities"), with_path=True))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (p2_found, p2_by_month, p3_found, p3_profile, p4_found, p4_paths, p4_descendants)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (p1_found, p1_widths, p1_scales, p2_found, p2_by_month, p3_found, p3_profile, p4_found, p4_paths, p4_descendants)}
 
 _TARGET = "case when r.code = 6 then own + 1 when r.code = 8 then own - 1 when r.code = 10 then own + r.value when r.code = 12 then own - r.value when r.code is not null and r.value <> 0 then r.value end"
 
