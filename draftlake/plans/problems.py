@@ -9,23 +9,26 @@ from pyspark.sql import functions as F
 
 from draftlake.operators import hierarchy as trees
 from draftlake.operators import hotkeys, orphans, units
-from draftlake.runtime import load, shuffle_partitions
+from draftlake.runtime import checkpoint, load, shuffle_partitions
+
+
+def _measured(spark: SparkSession, d: str) -> DataFrame:
+    return checkpoint(units.measurements(load(spark, d, "decoded_objects")))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    decoded = load(spark, d, "decoded_objects")
-    named = units.common_widths(decoded).filter("unit_source in ('code', 'text')")
-    widths = named.select("object_id", F.concat(F.lit("width:"), "thing").alias("thing"), "recorded", F.col("width_mm").alias("common"))
-    scales = units.scale_ratios(decoded).select("object_id", F.concat(F.lit("scale:"), "thing").alias("thing"), "recorded", F.col("ratio").alias("common"))
+    measured = _measured(spark, d)
+    widths = units.common_widths(measured).filter("unit_source in ('code', 'text')").select("object_id", F.concat(F.lit("width:"), "thing").alias("thing"), "recorded", F.col("width_mm").alias("common"))
+    scales = measured.filter("kind = 'scale'").select("object_id", F.concat(F.lit("scale:"), "thing").alias("thing"), "recorded", F.col("value").alias("common"))
     return units.agreeing_pairs(widths.unionByName(scales))
 
 
 def p1_widths(spark: SparkSession, d: str) -> DataFrame:
-    return units.common_widths(load(spark, d, "decoded_objects"))
+    return units.common_widths(_measured(spark, d))
 
 
 def p1_scales(spark: SparkSession, d: str) -> DataFrame:
-    return units.scale_ratios(load(spark, d, "decoded_objects"))
+    return _measured(spark, d).filter("kind = 'scale'").select("object_id", "thing", "recorded", F.col("value").alias("ratio"), F.col("unit").alias("units"))
 
 
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
