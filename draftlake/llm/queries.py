@@ -5,9 +5,48 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from draftlake.llm import bpe, leakage
-from draftlake.runtime import load
+from draftlake.llm import bpe, leakage, mojibake, pii
+from draftlake.runtime import checkpoint, load
+
+
+#: Key of the replacements. Whoever holds it can repeat them, so a deployment passes its own.
+KEY = b"draftlake"
+
+
+def _texts(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return mojibake.fields_of(load(spark, d, "summary_info"), load(spark, d, "decoded_mtext"), columns)
+
+
+def _entities(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    fields = _texts(spark, d, "author", "last_saved_by", "comments")
+    model = mojibake.train(fields)
+    is_name = F.col("field").isin("author", "last_saved_by")
+    lexicon = pii.learn(fields.filter(is_name), fields.filter(~is_name), model)
+    return fields, pii.entities(fields, lexicon, model)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _entities(spark, d)[1].select("src_table", "rec_id", "field", "pii_type").distinct()
+
+
+def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
+    fields, found = _entities(spark, d)
+    return pii.redact(fields, checkpoint(found), KEY)
+
+
+def _garbled(spark: SparkSession, d: str) -> DataFrame:
+    fields = _texts(spark, d, "title", "author")
+    return mojibake.garbled(fields, mojibake.train(fields))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _garbled(spark, d).select("src_table", "rec_id", "field").distinct()
+
+
+def p6_restored(spark: SparkSession, d: str) -> DataFrame:
+    return _garbled(spark, d)
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -18,6 +57,6 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(load(spark, d, "documents"), load(spark, d, "eval_items"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (p7_ids, p8_found)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (p5_found, p5_redacted, p6_found, p6_restored, p7_ids, p8_found)}
 
 SQL: dict[str, str] = {}
