@@ -12,6 +12,7 @@ from __future__ import annotations
 import html
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -206,10 +207,15 @@ def build(rows: list[tuple[int, str, str]]) -> tuple[Index, Index]:
     return Index(spaced, WORD_MASKS, WORDS), Index(packed, CHAR_MASKS, CHARS)
 
 
+@lru_cache(maxsize=1)
+def _worker_lines() -> tuple[Lines, Chars]:
+    return Lines(), Chars()
+
+
 def _search(rows: list[tuple[int, str, str]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word_index, char_index = build(rows)
-        lines, chars = Lines(), Chars()
+        lines, chars = _worker_lines()
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             kept = [(i, t) for i, t in zip(ids, texts) if t and i is not None]

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from draftlake.llm import bpe, leakage, mojibake, pii
+from draftlake.llm import sentences as cutting
 from draftlake.runtime import checkpoint, load
 
 
@@ -57,6 +58,10 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(load(spark, d, "documents"), load(spark, d, "eval_items"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (p5_found, p5_redacted, p6_found, p6_restored, p7_ids, p8_found)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return cutting.sentences(load(spark, d, "documents").dropDuplicates(["doc_id"]))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (p5_found, p5_redacted, p6_found, p6_restored, p7_ids, p8_found, p9_found)}
 
 SQL: dict[str, str] = {}
