@@ -181,7 +181,7 @@ def _price(line: str, masked: str, m, end: int, after: int) -> float:
     if _DEVANAGARI.match(head) or _DEVANAGARI.match(prev):
         if mark[0] in "।॥?!":
             return NEVER if quoted and _reports(nxt, HI_REPORT, "।?!") else TAKE
-        return NEVER if mark[0] in "." else 2.0
+        return (NEVER if _DEVANAGARI.match(prev) else TAKE) if mark[0] in "." else 2.0
     if _ARABIC.match(head):
         if quoted and mark[0] in "؟?!." and (_NEXT.match(head) or [""])[0] in AR_REPORT:
             return NEVER
@@ -191,7 +191,7 @@ def _price(line: str, masked: str, m, end: int, after: int) -> float:
                 return TAKE if first in AR_OPENERS else NEVER
         return 2.0 if mark[0] == "…" and first not in AR_OPENERS else TAKE
     if _THAI_CHAR.match(head):
-        return NEVER if mark[0] == "." else TAKE
+        return TAKE
     lower = first[:1].islower()
     if lower and not _CAMEL.match(first):
         return NEVER
