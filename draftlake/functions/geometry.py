@@ -17,6 +17,11 @@ def point(x, y, z=0.0) -> Column:
     return F.struct(c(x).alias("x"), c(y).alias("y"), c(z).alias("z"))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _each(f, *points: Column) -> Column:
     return point(*[f(*[p[k] for p in points]) for k in "xyz"])
 
@@ -60,8 +65,7 @@ def lerp(a: Column, b: Column, t) -> Column:
 
 def normalize(a: Column, eps: float = 1e-12) -> Column:
     """Unit vector, or the zero vector for one shorter than eps."""
-    n = length(a)
-    return _each(lambda p: F.when(n < eps, 0.0).otherwise(p / n), a)
+    return let(a, lambda v: let(length(v), lambda n: _each(lambda p: F.when(n < eps, 0.0).otherwise(p / n), v)))
 
 
 def matrix(*values) -> Column:
@@ -83,7 +87,8 @@ def rotation_z(angle: Column) -> Column:
 
 def compose(a: Column, b: Column) -> Column:
     """a after b."""
-    return F.array(*[sum((a[4 * i + k] * b[4 * k + j] for k in range(1, 4)), a[4 * i] * b[j]) for i in range(4) for j in range(4)])
+    product = lambda p, q: F.array(*[sum((p[4 * i + k] * q[4 * k + j] for k in range(1, 4)), p[4 * i] * q[j]) for i in range(4) for j in range(4)])
+    return let(a, lambda p: let(b, lambda q: product(p, q)))
 
 
 def compose_chain(chain: Column) -> Column:
@@ -92,8 +97,8 @@ def compose_chain(chain: Column) -> Column:
 
 
 def transform_point(m: Column, p: Column) -> Column:
-    row = lambda i: m[4 * i] * p["x"] + m[4 * i + 1] * p["y"] + m[4 * i + 2] * p["z"] + m[4 * i + 3]
-    return point(row(0), row(1), row(2))
+    row = lambda m, p, i: m[4 * i] * p["x"] + m[4 * i + 1] * p["y"] + m[4 * i + 2] * p["z"] + m[4 * i + 3]
+    return let(p, lambda q: point(row(m, q, 0), row(m, q, 1), row(m, q, 2)))
 
 
 def transform_vector(m: Column, p: Column) -> Column:
@@ -106,29 +111,39 @@ def axes_matrix(origin: Column, x: Column, y: Column, z: Column) -> Column:
     return matrix(*rows, 0, 0, 0, 1)
 
 
+def axes(normal: Column) -> Column:
+    """struct(x, y, z): the axes of the plane of an extrusion; the y axis is the pivot for upright normals, else the z axis."""
+
+    def of(z: Column) -> Column:
+        upright = (F.abs(z["x"]) < UPRIGHT) & (F.abs(z["y"]) < UPRIGHT)
+        pivot = point(F.lit(0.0), F.when(upright, 1.0).otherwise(0.0), F.when(upright, 0.0).otherwise(1.0))
+        return let(normalize(cross(pivot, z)), lambda x: F.struct(x.alias("x"), normalize(cross(z, x)).alias("y"), z.alias("z")))
+
+    return let(normalize(normal), of)
+
+
 def arbitrary_axis(normal: Column) -> tuple[Column, Column, Column]:
-    """x, y and z axis of the plane of an extrusion: the y axis is the pivot for upright normals, else the z axis."""
-    z = normalize(normal)
-    upright = (F.abs(z["x"]) < UPRIGHT) & (F.abs(z["y"]) < UPRIGHT)
-    pivot = point(F.lit(0.0), F.when(upright, 1.0).otherwise(0.0), F.when(upright, 0.0).otherwise(1.0))
-    x = normalize(cross(pivot, z))
-    return x, normalize(cross(z, x)), z
+    a = axes(normal)
+    return a["x"], a["y"], a["z"]
 
 
 def invert_orthonormal(m: Column) -> Column:
     """Inverse of a rotation with a translation; scaled transforms are no case for it."""
-    t = [m[3], m[7], m[11]]
-    rows = []
-    for i in range(3):
-        col = [m[i], m[4 + i], m[8 + i]]
-        rows += [*col, -(col[0] * t[0] + col[1] * t[1] + col[2] * t[2])]
-    return matrix(*rows, 0, 0, 0, 1)
+
+    def inverse(m: Column) -> Column:
+        t = [m[3], m[7], m[11]]
+        rows = []
+        for i in range(3):
+            col = [m[i], m[4 + i], m[8 + i]]
+            rows += [*col, -(col[0] * t[0] + col[1] * t[1] + col[2] * t[2])]
+        return matrix(*rows, 0, 0, 0, 1)
+
+    return let(m, inverse)
 
 
 def insert_transform(insertion: Column, scale_: Column, rotation: Column, extrusion: Column) -> Column:
     """Block to drawing: translation, plane of the extrusion, rotation, scale."""
-    x, y, z = arbitrary_axis(extrusion)
-    plane = axes_matrix(point(0.0, 0.0, 0.0), x, y, z)
+    plane = let(axes(extrusion), lambda a: axes_matrix(point(0.0, 0.0, 0.0), a["x"], a["y"], a["z"]))
     return compose(compose(compose(translation(insertion), plane), rotation_z(rotation)), scaling(scale_))
 
 

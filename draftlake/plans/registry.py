@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from draftlake.plans import problems
+from draftlake.plans import catalog, problems
 
-QUERIES = dict(problems.QUERIES)
-SQL = dict(problems.SQL)
+QUERIES = problems.QUERIES | catalog.QUERIES
+SQL = problems.SQL | catalog.SQL

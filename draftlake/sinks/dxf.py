@@ -6,6 +6,7 @@ Nothing is gathered: a drawing's pairs are rows that are sorted when written.
 from __future__ import annotations
 
 import math
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +28,16 @@ def version_name(text: str) -> str:
 
 
 def real(v: Column) -> Column:
-    return F.format_string("%.16f", v)
+    """Sixteen decimals of the exact binary value, where a format string would print zeros behind the shortest form."""
+    size = F.abs(v)
+    whole = F.floor(size)
+    high = F.floor((size - whole) * 2.0**26)
+    low = F.floor(((size - whole) * 2.0**26 - high) * 2.0**26)
+    # 10**16 / 2**26 and 10**16 / 2**52
+    units = F.round(high.cast("decimal(9,0)") * F.lit(Decimal("149011611.9384765625")) + low.cast("decimal(9,0)") * F.lit(Decimal("2.220446049250313080847263")), 0).cast("bigint")
+    carry = units >= 10**16
+    text = F.concat((whole + carry.cast("bigint")).cast("string"), F.lit("."), F.lpad(F.when(carry, F.lit(0).cast("bigint")).otherwise(units).cast("string"), 16, "0"))
+    return F.when(size < 2.0**52, F.concat(F.when(v < 0, "-").otherwise(""), text)).otherwise(F.format_string("%.16f", v))
 
 
 def handle(v: Column) -> Column:

@@ -55,7 +55,7 @@ def documents(meshes: DataFrame, colors: dict[str, tuple[float, float, float]] |
     """(path, glb): one binary document per drawing, which is the unit of the format."""
     rgb = colors or {}
 
-    def one(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("seq")
         made = [(m, int(k), np.asarray(p, np.float32).reshape(-1, 3), np.asarray(i, np.uint32)) for m, k, p, i in zip(rows["material"], rows["mode"], rows["positions"], rows["indices"])]
         return pd.DataFrame({"path": [key[0]], "glb": [scene(made, rgb)]})
