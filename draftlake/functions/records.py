@@ -19,6 +19,8 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from draftlake.functions.bits import BitReader, BitsExhausted, BitWriter
 
@@ -28,11 +30,12 @@ HANDLE = "struct<code:tinyint,counter:tinyint,value:bigint>"
 TYPES = {
     "B": "boolean", "BB": "tinyint", "B3": "tinyint", "BS": "smallint", "BSu": "int", "BL": "int", "BLu": "bigint", "BLL": "bigint", "BD": "double",
     "RC": "smallint", "RS": "int", "RL": "bigint", "RD": "double", "H": HANDLE, "TV": "string", "BT": "double", "BE": P3,
-    "2BD": P2, "2RD": P2, "3BD": P3, "3RD": P3, "DATA": "binary", "CHUNKS": "binary",
+    "2BD": P2, "2RD": P2, "3BD": P3, "3RD": P3, "DATA": "binary", "RLDATA": "binary", "CHUNKS": "binary", "XLOOP": "array<struct<app:struct<code:tinyint,counter:tinyint,value:bigint>,data:binary>>",
 }
 
 #: Most elements a count may claim, whatever the remaining bits allow.
 MOST = 1_000_000
+MOST_XDATA = 256
 
 
 @dataclass
@@ -162,8 +165,15 @@ def _one(f: Field, r: BitReader, env: dict):
                 raise BitsExhausted(f"{n} bytes at {r.at} of {r.size}")
             parts.append(r.raw(n))
         return b"".join(parts)
-    if f.code == "DATA":
-        n = r.BLu()
+    if f.code == "XLOOP":
+        out = []
+        while n := r.BSu():
+            if len(out) >= MOST_XDATA:
+                raise ValueError("too much extended data")
+            out.append({"app": r.H(), "data": r.raw(n)})
+        return out
+    if f.code in ("DATA", "RLDATA"):
+        n = r.BLu() if f.code == "DATA" else r.RL()
         if 8 * n > r.remaining():
             raise BitsExhausted(f"{n} bytes at {r.at} of {r.size}")
         return r.raw(n)
@@ -232,9 +242,15 @@ def _write_one(f: Field, w: BitWriter, env: dict, value) -> None:
             w.BLu(len(value))
             w.raw(bytes(value))
             w.B(False)
-    elif f.code == "DATA":
-        w.BLu(len(value))
-        w.raw(bytes(value))
+    elif f.code == "XLOOP":
+        for x in value or []:
+            w.BSu(len(x["data"]))
+            w.H(x["app"])
+            w.raw(bytes(x["data"]))
+        w.BSu(0)
+    elif f.code in ("DATA", "RLDATA"):
+        (w.BLu if f.code == "DATA" else w.RL)(len(value or b""))
+        w.raw(bytes(value or b""))
     else:
         getattr(w, f.code)(value)
 
@@ -251,6 +267,11 @@ _DIMENSION = (
 _SOLID = "acis_empty:B version:BS?(not(acis_empty)) sat_blob:CHUNKS?(not(acis_empty))"
 _SAT = "sat:{empty:B version:BS?(not(empty)) bytes:CHUNKS?(not(empty))}"
 _HEADER = "header:{name:TV is_xref_dependent:B xref_index_plus_1:BS is_xref_resolved:B} "
+#: What stands before the fields of every entity.
+COMMON = (
+    "xdata:XLOOP has_graphics:B graphics:RLDATA?has_graphics entity_mode:BB num_reactors:BL no_xdictionary:B binary_data:B?v>=2004 no_links:B ltype_by_layer:B color_index:BS ltype_scale:BD ltype_flags:BB plotstyle_flags:BB "
+    "material_flags:BB?v>=2007 shadow_flags:BB?v>=2007 full_visual_style:B?v>=2010 face_visual_style:B?v>=2010 edge_visual_style:B?v>=2010 invisibility:BS lineweight:RC?v>=2000"
+)
 ENTITIES: dict[str, tuple[int, str]] = {
     "TEXT": (0x01, _TEXT),
     "ATTRIB": (0x02, "text:{" + _TEXT + "} tag:TV field_length:BS flags:RC lock_position:B?v>=2018"),
@@ -448,6 +469,8 @@ PREPARE = {
     "IMAGE": lambda r: r | {"_n": len(r["clip_boundary"])},
 }
 
+COMMON_LAYOUT = Layout(COMMON)
+
 _FACE_SCHEMA = f"struct<corners:array<{P3}>,invisible_edges:int,is_triangle:boolean>"
 
 
@@ -491,6 +514,28 @@ TYPE_CODES += [
 CONTROL_KINDS = {k: "CONTROL" for _, k, c in TYPE_CODES if c == "control"}
 
 
+def write_body(kind: str, record: dict, version: int, common: dict | None = None) -> BitWriter:
+    """An entity's body on the wire, with what stands before the fields of every entity."""
+    w = BitWriter(version >= 2007)
+    if common is not None:
+        COMMON_LAYOUT.write(w, version, common)
+    LAYOUTS[kind].write(w, version, PREPARE.get(kind, lambda r: r)(record))
+    return w
+
+
+def decode_entity(kind: str, data: bytes | None, version: int, at: int = 0) -> tuple[dict | None, dict | None, str, str | None, int]:
+    """(common, record, status, message, bits read) of an entity's body."""
+    if data is None or kind not in LAYOUTS:
+        return None, *decode(kind, data, version, at)
+    r = BitReader(bytes(data), version >= 2007, at)
+    try:
+        common = COMMON_LAYOUT.read(r, version)
+    except (ValueError, OverflowError) as e:
+        return None, None, "error", str(e)[:200], r.at - at
+    rec, status, message, used = decode(kind, data, version, r.at)
+    return common, rec, status, message, r.at - at + used
+
+
 def decode(kind: str, data: bytes | None, version: int, at: int = 0) -> tuple[dict | None, str, str | None, int]:
     """(record, status, message, bits read): 'ok', 'error' with what failed, or 'unhandled' for a kind without a layout."""
     layout = CONTROL_KINDS.get(kind, kind)
@@ -505,30 +550,32 @@ def decode(kind: str, data: bytes | None, version: int, at: int = 0) -> tuple[di
         return None, "error", str(e)[:200] or type(e).__name__, r.at - at
 
 
-def decode_records(rows: DataFrame, kind: str, data: str = "raw", version: str = "version", strict: bool = False) -> DataFrame:
+def decode_records(rows: DataFrame, kind: str, data: str = "raw", version: str = "version", at: str | None = None, common: bool = False, strict: bool = False) -> DataFrame:
     """`rows` with the columns rec, status, message and consumed_bits for records of one kind.
 
-    Failures stay as rows with a null rec; `strict` raises on the first one.
-    Columns of `rows` with those names are replaced. Null bytes are an error row.
+    `at` names a column with the bit where the body begins, else it is the first.
+    With `common` what stands before the fields of every entity is read too, into
+    a column of that name. Failures stay as rows with a null rec; `strict` raises
+    on the first one. Columns of `rows` with those names are replaced. Null bytes
+    are an error row.
     """
-    keep = [c for c in rows.columns if c not in ("rec", "status", "message", "consumed_bits")]
+    own = ["common"] * common + ["rec", "status", "message", "consumed_bits"]
+    keep = [c for c in rows.columns if c not in own]
     inner = ",".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema.fields)
-    out = f"{inner}, rec {schema(kind)}, status string, message string, consumed_bits int"
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
+    out = inner + f", common {COMMON_LAYOUT.schema()}" * common + f", rec {schema(kind)}, status string, message string, consumed_bits int"
     arrow = to_arrow_schema(StructType.fromDDL(out))
-    rec_type = arrow.field("rec").type
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = decode_entity if common else decode
         for batch in batches:
-            got = [decode(kind, d, v or 2018) for d, v in zip(batch.column(data).to_pylist(), batch.column(version).to_pylist())]
+            starts = batch.column(at).to_pylist() if at else [0] * batch.num_rows
+            got = [one(kind, d, v or 2018, s or 0) for d, v, s in zip(batch.column(data).to_pylist(), batch.column(version).to_pylist(), starts)]
             if strict:
-                bad = next((g for g in got if g[1] != "ok"), None)
+                bad = next((g for g in got if g[-3] != "ok"), None)
                 if bad:
-                    raise ValueError(f"{kind}: {bad[2] or bad[1]}")
-            cols = [pa.array([g[0] for g in got], rec_type), *[pa.array([g[i] for g in got], t) for i, t in ((1, pa.string()), (2, pa.string()), (3, pa.int32()))]]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *cols], [*keep, "rec", "status", "message", "consumed_bits"])
+                    raise ValueError(f"{kind}: {bad[-2] or bad[-3]}")
+            cols = [pa.array([g[i] for g in got], arrow.field(c).type) for i, c in enumerate(own)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *cols], [*keep, *own])
 
     return rows.mapInArrow(run, out)
 

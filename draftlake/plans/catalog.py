@@ -19,6 +19,7 @@ from draftlake.operators import graph
 from draftlake.operators import relational as R
 from draftlake.runtime import load
 from draftlake.sinks import dxf, gltf, svg
+from draftlake.streaming import windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -471,3 +472,21 @@ def q_svg_dimension(spark, d):
 def q_gltf(spark, d):
     e = _entities(spark, d).filter("kind = 'LINE'").select("path", "seq", F.lit("layer-7").alias("material"), F.array("line.start", "line.end").alias("points"))
     return gltf.documents(gltf.line_meshes(e)).select("path", F.length("glb").alias("bytes"), F.substring("glb", 1, 4).alias("magic"))
+
+
+# Streams
+
+
+@query("select date_trunc('hour', ts) as window_start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
+def q_stream_tumbling(spark, d):
+    return windows.run_available(spark, f"{d}/events.parquet", windows.tumbling).withColumn("total", F.round("total", 4))
+
+
+@query("select time_bucket(interval 15 minutes, ts) - interval (15 * k) minutes as window_start, count(*) as n from events, range(0, 4) t(k) group by 1")
+def q_stream_sliding(spark, d):
+    return windows.run_available(spark, f"{d}/events.parquet", windows.sliding)
+
+
+@query("with o as (select user_id, ts, case when ts > coalesce(lag(ts) over w, timestamp '1970-01-01') + interval 30 minutes then 1 else 0 end as fresh from events window w as (partition by user_id order by ts)), g as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) s from o) select user_id, min(ts) as session_start, max(ts) + interval 30 minutes as session_end, count(*) as n from g group by user_id, s")
+def q_stream_sessions(spark, d):
+    return windows.run_available(spark, f"{d}/events.parquet", windows.sessions)

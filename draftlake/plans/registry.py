@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from draftlake.plans import catalog, problems
+from draftlake.plans import catalog, drawings, problems
 
-QUERIES = problems.QUERIES | catalog.QUERIES
-SQL = problems.SQL | catalog.SQL
+QUERIES = problems.QUERIES | catalog.QUERIES | drawings.QUERIES
+SQL = problems.SQL | catalog.SQL | drawings.SQL

@@ -23,19 +23,23 @@ def tasks_for(spark: SparkSession, rows: int, rows_per_task: int) -> int:
     return max(shuffle_partitions(spark), math.ceil(rows / rows_per_task), 1)
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder and cut its lineage there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the one the cluster names in `spark.checkpoint.dir`.
 
-    The folder is the one the cluster names in `spark.checkpoint.dir`. A local
-    folder is used only where none is named and the master is a local one.
+    A local folder is used only where none is named and the master is a local one.
     """
+    where = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if where is None:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder shared by all executors")
+        where = os.path.join(tempfile.gettempdir(), "draftlake-checkpoints")
+    return where
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Write `df` to the shared folder and cut its lineage there."""
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        where = sc.getConf().get("spark.checkpoint.dir")
-        if where is None:
-            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-                raise RuntimeError("spark.checkpoint.dir must name a folder shared by all executors")
-            where = os.path.join(tempfile.gettempdir(), "draftlake-checkpoints")
-        sc.setCheckpointDir(where)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
