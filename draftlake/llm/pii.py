@@ -33,8 +33,8 @@ TYPES = ("EMAIL", "PHONE", "ID_NUMBER", "ADDRESS", "NAME")
 PARTNERS, SHARE = 4, 1e-5
 #: A family name ends as at least so many others do, in this many letters.
 FAMILIES, SUFFIX = 5, 3
-#: A word in more than this part of the texts is an ordinary word.
-ORDINARY = 2e-3
+#: A word in more than this part of the texts, and in more than FEW, is an ordinary word unless it is a family name.
+ORDINARY, FEW = 2e-3, 5
 
 _CODES = regex.compile(r"\\U\+([0-9A-Fa-f]{4})|%%([dcpDCP])|(\\[P~])|\\[ACcFfHhQTWSp][^;\\{}\n]{0,80};|\\[LlOoKkNX]|(\\[\\{}])|[{}]")
 _SYMBOL = {"d": "°", "c": "⌀", "p": "±"}
@@ -238,7 +238,7 @@ def learn(names: DataFrame, texts: DataFrame, model: Model) -> Lexicon:
 
     Given names are at least SHARE of the author fields, so at most 1 / SHARE;
     endings come by their letters; ordinary words are in more than ORDINARY of
-    the texts, and those are bounded by the words of a text over ORDINARY.
+    the texts, so they are at most the words of a text over ORDINARY.
     Family names themselves, unbounded, stay in the cluster.
     """
     rows = names.select(F.lit(True).alias("is_name"), "text").unionByName(texts.select(F.lit(False).alias("is_name"), "text"))
@@ -250,7 +250,8 @@ def learn(names: DataFrame, texts: DataFrame, model: Model) -> Lexicon:
         given = {r["a"] for r in first.filter((F.col("partners") >= PARTNERS) & (F.col("n") >= floor)).collect()}
         family = counts.filter((F.col("kind") == "pair") & F.col("a").isin(*given)).select("b").distinct() if given else counts.filter("false").select("b")
         suffixes = {r["s"] for r in family.groupBy(F.expr(f"right(b, {SUFFIX})").alias("s")).count().filter(F.col("count") >= FAMILIES).collect()}
-        ordinary = {r["a"] for r in counts.filter((F.col("kind") == "word") & (F.col("n") > ORDINARY * totals.get("text", 0))).collect()}
+        often = counts.filter((F.col("kind") == "word") & (F.col("n") > max(FEW, ORDINARY * totals.get("text", 0))))
+        ordinary = {r["a"] for r in often.join(family.withColumnRenamed("b", "a"), "a", "left_anti").collect()}
     finally:
         counts.unpersist()
     return Lexicon(given, set(), suffixes, ordinary - given)
