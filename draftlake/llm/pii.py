@@ -27,15 +27,24 @@ from pyspark.sql import functions as F
 
 from draftlake.llm.mojibake import LOST, Model
 
+#: Fields that are there for a person's name.
+NAME_FIELDS = ("author", "last_saved_by")
 TYPES = ("EMAIL", "PHONE", "ID_NUMBER", "ADDRESS", "NAME")
 
-#: A given name is followed by at least so many different family names, and makes this part of the author fields.
-PARTNERS, SHARE = 4, 1e-5
+#: A given name is followed by at least so many different family names, or by one that ends as many do, and makes this part of the author fields.
+PARTNERS, SHARE = 2, 1e-5
 #: A family name ends as at least so many others do, in this many letters.
 FAMILIES, SUFFIX = 5, 3
 #: A word in more than this part of the texts, and in more than FEW, is an ordinary word unless it is a family name.
 ORDINARY, FEW = 2e-3, 5
 
+# Words in names of firms, departments and machines.
+ORGANISATION = frozenset(
+    "ab ag admin administrator agency and architects architekten associates basin bureau büro cad co company consultants contractor contractors council department dept design division draughting drafting engineering engineers gmbh "
+    "group guest inc ingenieure institute kg lab laboratory llc ltd municipality office operator partners plot plotter plt printer project room sa sarl scanner server service services studio survey surveyors system team technical "
+    "the university unknown user utilities water works workstation".split()
+)
+
 _CODES = regex.compile(r"\\U\+([0-9A-Fa-f]{4})|%%([dcpDCP])|(\\[P~])|\\[ACcFfHhQTWSp][^;\\{}\n]{0,80};|\\[LlOoKkNX]|(\\[\\{}])|[{}]")
 _SYMBOL = {"d": "°", "c": "⌀", "p": "±"}
 
@@ -176,8 +185,12 @@ class Lexicon:
         return out
 
 
-def find(text: str, lexicon: Lexicon) -> list[tuple[int, int, str]]:
-    """Entities (start, end, type) of a text, without overlaps: the forms first, then names."""
+def find(text: str, lexicon: Lexicon, name_field: bool = False) -> list[tuple[int, int, str]]:
+    """Entities (start, end, type) of a text, without overlaps: the forms first, then names.
+
+    A field that is there for a name holds one where it has a name's form and no
+    word of a firm or department, whether the lexicon knows the name or not.
+    """
     taken: list[tuple[int, int, str]] = []
 
     def add(start: int, end: int, kind: str) -> None:
@@ -192,13 +205,23 @@ def find(text: str, lexicon: Lexicon) -> list[tuple[int, int, str]]:
             for m in form.finditer(text):
                 if kind != "PHONE" or sum(c.isdigit() for c in m[0]) >= 9:
                     add(*m.span(), kind)
-    for start, end in sorted(lexicon.names(text), key=lambda s: s[0] - s[1]):
+    names = lexicon.names(text)
+    if name_field:
+        for form in (_NAME_FIELD, _TURNED_FIELD, _INITIAL_FIELD):
+            m = form.match(text)
+            if m and not ORGANISATION.intersection(w.casefold() for w in _WORD.findall(m[0])):
+                names.append((m.start("name"), m.end()))
+                break
+    for start, end in sorted(names, key=lambda s: s[0] - s[1]):
         add(start, end, "NAME")
     return sorted(taken)
 
 
-_NAME_FIELD = regex.compile(rf"^\s*(?:(?:Dr|Prof|Ing|Mr|Mrs|Ms|Mme|Hr|Fr)\.?\s+)*({_NW})\s+(?:\p{{Lu}}\.\s*){{0,2}}{_PARTICLE}({_NW}(?:-{_NW})?)(?=\s*$|\s*[,(</;])")
-_TURNED_FIELD = regex.compile(rf"^\s*({_NW}(?:-{_NW})?),\s+({_NW})(?=\s*$|\s*[,(</;])")
+_TITLE = r"^\s*(?:(?:Dr|Prof|Ing|Mr|Mrs|Ms|Mme|Hr|Fr)\.?\s+)*"
+_AFTER = r"(?=\s*$|\s*[,(</;])"
+_NAME_FIELD = regex.compile(rf"{_TITLE}(?P<name>({_NW})\s+(?:\p{{Lu}}\.\s*){{0,2}}{_PARTICLE}({_NW}(?:-{_NW})?)){_AFTER}")
+_TURNED_FIELD = regex.compile(rf"{_TITLE}(?P<name>({_NW}(?:-{_NW})?),\s+({_NW})(?:\s+\p{{Lu}}\.)?){_AFTER}")
+_INITIAL_FIELD = regex.compile(rf"{_TITLE}(?P<name>[^\s\p{{N}}]\.\s*(?:\p{{Lu}}\.\s*)?{_PARTICLE}({_NW}(?:-{_NW})?)){_AFTER}")
 
 
 def _counted(model: Model):
@@ -209,9 +232,9 @@ def _counted(model: Model):
                 text = View(stored, model).text
                 if is_name:
                     count["row", "", ""] += 1
-                    for form, g, f in ((_NAME_FIELD, 1, 2), (_TURNED_FIELD, 2, 1)):
+                    for form, g, f in ((_NAME_FIELD, 2, 3), (_TURNED_FIELD, 3, 2)):
                         m = form.match(text)
-                        if m and LOST not in m[0]:
+                        if m and LOST not in m[0] and not ORGANISATION.intersection(w.casefold() for w in _WORD.findall(m[0])):
                             for part in m[f].casefold().split("-"):
                                 count["pair", m[g].casefold(), part] += 1
                             break
@@ -245,11 +268,14 @@ def learn(names: DataFrame, texts: DataFrame, model: Model) -> Lexicon:
     counts = rows.mapInArrow(_counted(model), "kind string, a string, b string, n bigint").groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).cache()
     try:
         totals = {r["kind"]: r["n"] for r in counts.filter("kind in ('row', 'text')").collect()}
-        floor = max(2.0, SHARE * totals.get("row", 0))
-        first = counts.filter("kind = 'pair'").groupBy("a").agg(F.count("*").alias("partners"), F.sum("n").alias("n"))
-        given = {r["a"] for r in first.filter((F.col("partners") >= PARTNERS) & (F.col("n") >= floor)).collect()}
-        family = counts.filter((F.col("kind") == "pair") & F.col("a").isin(*given)).select("b").distinct() if given else counts.filter("false").select("b")
-        suffixes = {r["s"] for r in family.groupBy(F.expr(f"right(b, {SUFFIX})").alias("s")).count().filter(F.col("count") >= FAMILIES).collect()}
+        pairs = counts.filter("kind = 'pair'").withColumn("s", F.expr(f"right(b, {SUFFIX})"))
+        endings = pairs.groupBy("s").agg(F.countDistinct("b").alias("families")).filter(F.col("families") >= FAMILIES)
+        suffixes = {r["s"] for r in endings.collect()}
+        usual = F.max(F.col("s").isin(*suffixes)) if suffixes else F.lit(False)
+        first = pairs.groupBy("a").agg(F.count("*").alias("partners"), F.sum("n").alias("n"), usual.alias("usual"))
+        named = first.filter(((F.col("partners") >= PARTNERS) | F.col("usual")) & (F.col("n") >= SHARE * totals.get("row", 0)))
+        given = {r["a"] for r in named.collect()}
+        family = pairs.join(named.select("a"), "a", "left_semi").select("b").distinct()
         often = counts.filter((F.col("kind") == "word") & (F.col("n") > max(FEW, ORDINARY * totals.get("text", 0))))
         ordinary = {r["a"] for r in often.join(family.withColumnRenamed("b", "a"), "a", "left_anti").collect()}
     finally:
@@ -263,9 +289,9 @@ def entities(fields: DataFrame, lexicon: Lexicon, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep, starts, ends, kinds, shown, canon = [], [], [], [], [], []
-            for i, stored in enumerate(batch.column("text").to_pylist()):
+            for i, (stored, field) in enumerate(zip(batch.column("text").to_pylist(), batch.column("field").to_pylist())):
                 view = View(stored, model)
-                for a, b, kind in find(view.text, lexicon):
+                for a, b, kind in find(view.text, lexicon, field in NAME_FIELDS):
                     s, e = view.stored(a, b)
                     keep.append(i)
                     starts.append(s)

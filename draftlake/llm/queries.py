@@ -23,7 +23,7 @@ def _texts(spark: SparkSession, d: str, *columns: str) -> DataFrame:
 def _entities(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     fields = _texts(spark, d, "author", "last_saved_by", "comments")
     model = mojibake.train(fields)
-    is_name = F.col("field").isin("author", "last_saved_by")
+    is_name = F.col("field").isin(*pii.NAME_FIELDS)
     lexicon = pii.learn(fields.filter(is_name), fields.filter(~is_name), model)
     return fields, pii.entities(fields, lexicon, model)
 

@@ -28,6 +28,17 @@ def test_forms(text, types):
     assert [k for _, _, k in pii.find(text, LEX)] == types
 
 
+@pytest.mark.parametrize(
+    "text,types",
+    [
+        ("Mirte Unbekannt", ["NAME"]), ("Unbekannt, Mirte <m@example.org>", ["NAME", "EMAIL"]), ("£. Zeliström", ["NAME"]), ("Dr. Mirte van Unbekannt / 030/23125-988", ["NAME", "PHONE"]), ("Halvor Basin Works", []), ("CAD Team 3", []),
+        ("Survey Dept.", []), ("Orben Ingenieure GmbH", []), ("Bureau d'études Vé-Nord", []), ("Plotter room", []), ("Administrator", []), ("mlv", []), ("MLV", []), ("-", []), ("Steel Works", []),
+    ],
+)
+def test_name_fields(text, types):
+    assert [k for _, _, k in pii.find(text, LEX, True)] == types
+
+
 def test_positions_lead_back_to_the_stored_text():
     stored = "{\\fArial|b0;see \\LGreta Halelund\\l}\\Pcall 020 7946 0798 %%d \\U+00D8"
     view = pii.View(stored, None)
