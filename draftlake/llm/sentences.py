@@ -89,6 +89,7 @@ _YEAR = regex.compile(r"\d\s*$")
 _SPACED = regex.compile(r"(\p{L}+\.)\s(\p{L}{1,2})$")
 _QUOTED = regex.compile(r"[」』”’\"»]")
 _CLAUSE = regex.compile(r"[，。！？,!?：:“]")
+_INTRODUCED = regex.compile(r"[：:][“「『\"][^“「『]*$")
 _UNKNOWN = regex.compile(r"(?:不明|不知|未知|为何)$")
 _MARKS_OF_PAIRS = regex.compile(r"[„“”«»‹›「」『』（）()《》\"]")
 _APOSTROPHE = regex.compile(r"['’]")
@@ -192,19 +193,23 @@ def _price(line: str, masked: str, m, end: int, after: int) -> float:
         return 2.0 if mark[0] == "…" and first not in AR_OPENERS else TAKE
     if _THAI_CHAR.match(head):
         return TAKE
+    last = _LAST.search(before)
+    token = last[0] if last else ""
+    key = token.lower()
+    opener = _APOSTROPHE.split(first)[0].lower() in OPENERS
+    if nxt[0] in "¿¡" and key not in BOUND:
+        return TAKE
     lower = first[:1].islower()
     if lower and not _CAMEL.match(first):
-        return NEVER
+        # in a text without capitals an opening word behind a whole word begins a sentence
+        whole = len(token) > 3 and key not in BOUND and key not in FREE and "." not in key
+        return TAKE if opener and whole and not quoted and mark in (".", "?", "!") else NEVER
     if not first:
         return TAKE if mark[0] in "!?" else 0.5
     if mark[0] in "!?" or quoted and not _BRACKETS.fullmatch(line, m.end(), end):
         return TAKE
     if mark[0] == "…" or mark.startswith("..."):
         return NEVER if lower else TAKE
-    last = _LAST.search(before)
-    token = last[0] if last else ""
-    key = token.lower()
-    opener = _APOSTROPHE.split(first)[0].lower() in OPENERS
     if token.isdigit():
         words = _NEXT.findall(before[: -len(token)])
         lead = words[-1].lower() if words else ""
@@ -257,6 +262,9 @@ def _spaceless(line: str, m, end: int, nxt: str, quoted: bool) -> float:
                 return NEVER
             return TAKE
         clause = _CLAUSE.split(head, maxsplit=1)[0]
+        # who said it stands before the quotation, or before the next one
+        if head[len(clause) :][:1] in ("：", ":") or _INTRODUCED.search(line[: m.start()]):
+            return TAKE
         words = ZH_WORDS.cut(clause[-14:])
         if len(clause) <= 14 and words and words[-1] in ZH_REPORT and words[0] not in ZH_OPENERS[:6]:
             return NEVER
