@@ -327,3 +327,57 @@ def fit_view(b: Column, width: float, height: float, margin: float) -> Column:
     w, h = (F.greatest(b["max"][k] - b["min"][k], F.lit(1e-9)) for k in "xy")
     zoom = F.least(F.lit(max(width, 1.0) * (1 - 2 * m)) / w, F.lit(max(height, 1.0) * (1 - 2 * m)) / h)
     return F.struct(zoom.alias("zoom"), ((b["min"]["x"] + b["max"]["x"]) / 2).alias("x"), ((b["min"]["y"] + b["max"]["y"]) / 2).alias("y"))
+
+
+# Outlines of dimensions and hatches
+
+
+def _segment(a: Column, b: Column) -> Column:
+    return F.struct(a.alias("a"), b.alias("b"))
+
+
+def arrow(tip: Column, tail: Column) -> Column:
+    """Triangle at the tip of a line: 3 % of its length long, at least 0.001, half as wide; null for a line without length."""
+    d = sub(tail, tip)
+    n = length(d)
+    size_ = F.greatest(n * 0.03, F.lit(1e-3))
+    along = _each(lambda t, v: t + v / n * size_, tip, d)
+    side = point(-d["y"] / n * size_ * 0.25, d["x"] / n * size_ * 0.25, 0.0)
+    return F.when(n > 0, F.array(tip, add(along, side), sub(along, side)))
+
+
+def dimension_segments(kind: Column, rec: Column) -> Column:
+    """Line segments of a dimension by its kind; rec has the definition points def_point_10, 13, 14, 15 and, for ordinates, feature and leader.
+
+    Linear and aligned ones have two extension lines and the line between them,
+    at the height of point 10; angular ones straight legs.
+    """
+    p10, p13, p14, p15 = (rec[f"def_point_{k}"] for k in (10, 13, 14, 15))
+    d = sub(p14, p13)
+    n2 = d["x"] * d["x"] + d["y"] * d["y"]
+    k = F.when(n2 > 0, ((p10["x"] - p13["x"]) * -d["y"] + (p10["y"] - p13["y"]) * d["x"]) / n2).otherwise(0.0)
+    off = point(-d["y"] * k, d["x"] * k, 0.0)
+    a, b = add(p13, off), add(p14, off)
+    straight = F.array(_segment(p13, a), _segment(p14, b), _segment(a, b))
+    return (
+        F.when(kind.isin("DIMENSION_LINEAR", "DIMENSION_ALIGNED"), straight)
+        .when(kind == "DIMENSION_ORDINATE", F.array(_segment(rec["feature_location_13"], rec["leader_endpoint_14"])))
+        .when(kind == "DIMENSION_ANG3PT", F.array(_segment(p15, p13), _segment(p15, p14), _segment(p10, p15)))
+        .when(kind == "DIMENSION_ANG2LN", F.array(_segment(p13, p14), _segment(p15, p10)))
+        .when(kind == "DIMENSION_RADIUS", F.array(_segment(p10, p15)))
+        .when(kind == "DIMENSION_DIAMETER", F.array(_segment(p15, p10)))
+    )
+
+
+def hatch_curves(path: Column, elevation: Column) -> Column:
+    """Curves of a hatch path (see the record's layout): its polyline's edges, or one curve per line, arc, ellipse and spline edge."""
+    at = lambda p: point(p["x"], p["y"], elevation)
+    line = lambda a, b: curve("line", a=at(a), b=at(b))
+    poly = F.transform(polyline_path(F.transform(path["vertices"], lambda v: v["point"]), F.coalesce(path["closed"], F.lit(False))), lambda s: line(s["a"], s["b"]))
+    edge = lambda e: (
+        F.when(e["kind"] == 1, line(e["line_start"], e["line_end"]))
+        .when(e["kind"] == 2, curve("arc", center=at(e["center"]), radius=e["radius"], start_angle=e["start_angle"], end_angle=e["end_angle"]))
+        .when(e["kind"] == 3, curve("ellipse", center=at(e["center"]), major=at(e["major"]), ratio=e["ratio"], start_angle=e["start_angle"], end_angle=e["end_angle"]))
+        .otherwise(curve("spline"))
+    )
+    return F.when(path["vertices"].isNotNull(), poly).otherwise(F.transform(path["edges"], edge))

@@ -85,6 +85,21 @@ def dimension_points(a: Column, b: Column, offset: Column, height: Column) -> Co
     return F.when(n > 0, F.struct(F.array(p(ax, ay), p(bx, by)).alias("line"), head(ax, ay, F.lit(1.0)).alias("head_a"), head(bx, by, F.lit(-1.0)).alias("head_b"), p((ax + bx) / 2, (ay + by) / 2).alias("text_at"), n.alias("measure")))
 
 
+def title_block(x: float, y: float, width: float, height: float, fields: Column) -> Column:
+    """Frame with a line of text for each struct(name, value) of an array."""
+    frame = F.lit(f'<rect x="{x:g}" y="{y:g}" width="{width:g}" height="{height:g}" fill="none" stroke="#000000"/>')
+    step = F.lit(float(height)) / F.greatest(F.size(fields), F.lit(1))
+    lines = F.transform(fields, lambda f, i: F.concat(F.lit(f'<text x="{x + 4:g}" y="'), number(F.lit(float(y)) + step * (i + 0.7)), F.lit('">'), escape_xml(f["name"]), F.lit(": "), escape_xml(F.coalesce(f["value"], F.lit(""))), F.lit("</text>")))
+    return F.concat(frame, F.array_join(lines, ""))
+
+
+def viewport_clips(viewports: DataFrame) -> DataFrame:
+    """Clip paths of (path, id, x, y, width, height), one per drawing and id: the first by its place."""
+    attrs = F.concat(*[F.concat(F.lit(f' {c}="'), number(F.col(c)), F.lit('"')) for c in ("x", "y", "width", "height")])
+    one = viewports.groupBy("path", "id").agg(F.min(F.struct("x", "y", "width", "height")).alias("v")).select("path", "id", "v.*")
+    return one.select("path", "id", F.concat(F.lit('<clipPath id="vp-'), escape_attribute(F.col("id").cast("string")), F.lit('"><rect'), attrs, F.lit("/></clipPath>")).alias("definition"))
+
+
 def page_size(mm: float, dpi: float = 96.0) -> float:
     return mm / 25.4 * dpi
 

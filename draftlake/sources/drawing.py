@@ -20,6 +20,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from draftlake.functions import codecs
 from draftlake.sources import container as C
+from draftlake.sources import metadata
 
 H = "struct<code:tinyint,counter:tinyint,value:bigint>"
 SCHEMAS = {
@@ -31,10 +32,23 @@ SCHEMAS = {
     "classes": "path string, class_number int, version smallint, app_name string, cpp_class_name string, dxf_class_name string, was_a_proxy boolean, item_class_id int",
     "raw_objects": f"path string, stream_offset bigint, size_bytes bigint, type_code int, handle {H}, raw binary, body_bit int, status string, reason string",
     "summary_info": "path string, title string, subject string, author string, keywords string, comments string, last_saved_by string, revision_number string, hyperlink_base string, total_edit_time_raw binary, create_date_raw binary, modified_date_raw binary, properties array<struct<key:string,value:string>>",
+    "app_info": "path string, name string, product_xml string, version string, comment string, product string",
+    "file_dependencies": "path string, full_filename string, found_path string, fingerprint_guid string, version_guid string, feature_index int, timestamp int, filesize int, affects_graphics boolean, reference_count int, feature string",
+    "previews": "path string, overall_size bigint, bmp binary, wmf binary, header binary",
+    "header_variables": "path string, valid_mark boolean, size_in_bits bigint, body binary",
 }
 MAX_FILE = 1 << 30
 
 
+METADATA = {
+    "summary_info": ("AcDb:SummaryInfo", C.summary_info),
+    "app_info": ("AcDb:AppInfo", metadata.app_info),
+    "file_dependencies": ("AcDb:FileDepList", metadata.file_dependencies),
+    "previews": ("AcDb:Preview", metadata.preview),
+    "header_variables": ("AcDb:Header", metadata.header_variables),
+}
+
+
 def _signed(v: int) -> int:
     v &= 2**64 - 1
     return v - 2**64 if v >> 63 else v
@@ -90,10 +104,13 @@ def _decoded(table: str, path: str, d: C.Drawing, limit: int) -> Iterator[tuple]
         index = [(h, o) for _, h, o in C.handle_index(handles)] if handles else None
         for o in C.objects(stream, d.number, index):
             yield path, o["stream_offset"], o.get("size_bytes"), o.get("type_code"), o.get("handle"), o.get("raw"), o.get("body_bit"), o["status"], o["reason"]
-    elif table == "summary_info":
-        data = d.section("AcDb:SummaryInfo", limit)
+    else:
+        section, parse = METADATA[table]
+        data = d.section(section, limit)
         if data is not None:
-            yield (path, *C.summary_info(data).values())
+            got = parse(data)
+            for row in got if isinstance(got, list) else [got]:
+                yield (path, *row.values())
 
 
 class _File(InputPartition):

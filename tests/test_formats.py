@@ -158,3 +158,32 @@ def test_source_reads_files_and_keeps_bad_ones(spark, tmp_path):
 
     firsts = relational.page_offsets(read("sections"), read("section_pages"), read("pages")).collect()
     assert len(firsts) == 4 and all(r["file_offset"] == r["offset"] for r in firsts)
+
+
+def test_metadata_sections(spark):
+    import struct
+
+    from draftlake.sources import metadata as M
+
+    text = lambda s: struct.pack("<H", len(s)) + s.encode()
+    wide = lambda s: struct.pack("<H", len(s)) + s.encode("utf-16-le")
+    long = lambda s: struct.pack("<I", len(s)) + s.encode()
+    assert M.app_info(text("A") + bytes(4) + text("") + text("<x/>") + text("9")) == {"name": "A", "product_xml": "<x/>", "version": "9", "comment": "", "product": ""}
+    assert M.app_info(b"\x02\0\0\0" + wide("Ä") + bytes(20) + wide("1") + bytes(16) + wide("c") + bytes(16) + wide("p"))["product"] == "p"
+    deps = M.file_dependencies(struct.pack("<I", 1) + long("xref") + struct.pack("<I", 2) + b"".join(long("f") + long("p") + long("g") + long("v") + struct.pack("<iii", k, 1, 2) + struct.pack("<H", 1) + struct.pack("<i", 3) for k in (0, 7)))
+    assert [d["feature"] for d in deps] == ["xref", "?"]
+    image = M.PNG + b"data"
+    listed = M.PREVIEW_START + struct.pack("<IB", 50, 1) + struct.pack("<BII", 6, 30, len(image)) + image + M.PREVIEW_END
+    assert M.preview(listed)["bmp"] == image and M.preview(M.PREVIEW_START + bytes(5) + image + M.PREVIEW_END)["bmp"] == image
+    with pytest.raises(container.ContainerError):
+        M.preview(b"x")
+    with pytest.raises(container.ContainerError):
+        M.file_dependencies(b"\xff\xff\xff\xff")
+    w = bits.BitWriter()
+    w.BD(1.5)
+    w.BD(0.0)
+    h = M.header_variables(M.HEADER_START + (68).to_bytes(4, "little") + w.bytes())
+    assert h["valid_mark"] and M.leading(h["body"], "BD", 2) == [1.5, 0.0] and M.header_variables(b"")["body"] == b""
+    content = container.build(2018, {"AcDb:Preview": listed, "AcDb:AppInfo": text("A") + bytes(4) + text("") + text("") + text("")})
+    files = spark.createDataFrame([("p", len(content), content)], "path string, length bigint, content binary")
+    assert drawing.tables_of(files, "previews").first()["bmp"] == image and drawing.tables_of(files, "app_info").first()["name"] == "A" and drawing.tables_of(files, "header_variables").count() == 0

@@ -71,3 +71,23 @@ def test_expand_inserts(spark):
         graph.expand_inserts(df, roots)
     assert graph.expand_inserts(df, roots, strict=False).count() == 1
     assert graph.expand_inserts(df, roots.limit(0)).count() == 0
+
+
+def test_outlines(spark):
+    from draftlake.functions import records
+    from draftlake.sinks import svg
+
+    p2, p3 = "struct<x:double,y:double>", "struct<x:double,y:double,z:double>"
+    pts = ", ".join(f"def_point_{k} {p3}" for k in (10, 13, 14, 15)) + f", feature_location_13 {p3}, leader_endpoint_14 {p3}, kind string"
+    z = (0.0, 0.0, 0.0)
+    df = spark.createDataFrame([((1.0, 5.0, 0.0), z, (4.0, 0.0, 0.0), z, z, z, k) for k in ("DIMENSION_LINEAR", "DIMENSION_RADIUS", "LINE")], pts)
+    got = [r["s"] for r in df.select(G.dimension_segments(F.col("kind"), F.struct("*")).alias("s")).collect()]
+    assert [tuple(s["b"]) for s in got[0]] == [(0.0, 5.0, 0.0), (4.0, 5.0, 0.0), (4.0, 5.0, 0.0)] and len(got[1]) == 1 and got[2] is None
+    row = df.select(G.arrow(G.point(0.0, 0.0), G.point(10.0, 0.0)).alias("a"), G.arrow(G.point(0.0, 0.0), G.point(0.0, 0.0)).alias("n")).first()
+    assert len(row["a"]) == 3 and row["n"] is None
+    hatch = spark.createDataFrame([], f"rec {records.schema('HATCH')}")
+    assert hatch.select(F.transform("rec.paths", lambda p: G.hatch_curves(p, F.col("rec.elevation"))).alias("c")).count() == 0
+    block = df.select(svg.title_block(0, 0, 100, 50, F.array(F.struct(F.lit("a<").alias("name"), F.lit("b").alias("value")))).alias("t")).first()["t"]
+    assert "a&lt;: b" in block
+    clips = svg.viewport_clips(spark.createDataFrame([("p", 1, 0.0, 0.0, 5.0, 5.0), ("p", 1, 1.0, 0.0, 5.0, 5.0)], "path string, id int, x double, y double, width double, height double"))
+    assert clips.count() == 1 and p2
