@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from draftlake.runtime import tasks_for
+
 CLEAN = "clean"
 #: Pairs of (encoding of the bytes, encoding they were read with).
 PAIRS = (
@@ -38,6 +40,7 @@ CHANGE, LOST_CLEAN, LOST_IN = 4.0, 20.0, 9.0
 #: A restored word must be likelier than the shown one by this much.
 MARGIN = 1.0
 WORDS = 300_000
+ROWS_PER_TASK = 20_000
 
 _SPLIT = regex.compile(r"( |\n|\\P|\\~)").split
 _DIGITS = regex.compile(r"[0-9]")
@@ -322,7 +325,10 @@ def fields_of(summary: DataFrame, mtext: DataFrame, columns: tuple[str, ...]) ->
     pairs = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("text")) for c in columns])
     a = summary.select(F.lit("summary_info").alias("src_table"), F.col("summary_id").alias("rec_id"), F.explode(pairs).alias("p")).select("src_table", "rec_id", "p.field", "p.text")
     b = mtext.select(F.lit("decoded_mtext").alias("src_table"), F.col("object_id").alias("rec_id"), F.lit("text").alias("field"), F.col("rec.text").alias("text"))
-    return a.unionByName(b).filter("text is not null and text <> ''").distinct()
+    # the work behind is done in Python, so tasks are cut by rows, not by bytes; removing repeats needs no further shuffle
+    tasks = tasks_for(summary.sparkSession, summary.count() * len(columns) + mtext.count(), ROWS_PER_TASK)
+    rows = a.unionByName(b).filter("text is not null and text <> ''")
+    return rows.repartition(tasks, "src_table", "rec_id", "field").distinct()
 
 
 def garbled(fields: DataFrame, model: Model) -> DataFrame:
