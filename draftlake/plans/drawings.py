@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from draftlake.functions import records
 from draftlake.operators import relational as R
-from draftlake.runtime import load
+from draftlake.runtime import checkpoint, load, tasks_for
 from draftlake.sources import container as C
 from draftlake.sources import drawing
 
@@ -66,8 +66,10 @@ def contents(spark: SparkSession, d: str) -> DataFrame:
                 made = [synthetic(p, v or "") for p, v in zip(part.column("path").to_pylist(), part.column("version").to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column("path"), pa.array(map(len, made), pa.int64()), pa.array(made, pa.binary())], ["path", "length", "content"])
 
-    files = load(spark, d, "files").groupBy("path").agg(F.max("version").alias("version"))
-    return files.mapInArrow(run, "path string, length bigint, content binary")
+    table = load(spark, d, "files").select("path", "version")
+    # cut by rows: few bytes make much work here
+    placed = table.repartition(tasks_for(spark, table.count(), 250), "path")
+    return placed.groupBy("path").agg(F.max("version").alias("version")).mapInArrow(run, "path string, length bigint, content binary")
 
 
 def _table(name: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -80,7 +82,7 @@ def _versions(df: DataFrame) -> DataFrame:
 
 def objects_with_version(spark: SparkSession, d: str) -> DataFrame:
     """Objects with the version of their file and the bytes of their body."""
-    made = contents(spark, d)
+    made = checkpoint(contents(spark, d))
     files = _versions(drawing.tables_of(made, "files")).select("path", "version")
     return drawing.tables_of(made, "raw_objects").join(files, "path")
 
@@ -97,8 +99,7 @@ def decoded(kind: str) -> Callable[[SparkSession, str], DataFrame]:
 
 def s_coverage(spark: SparkSession, d: str) -> DataFrame:
     """What decodes of every kind, by version."""
-    rows = objects_with_version(spark, d).filter("raw is not null")
-    typed = records.with_types(rows)
+    typed = checkpoint(records.with_types(objects_with_version(spark, d).filter("raw is not null").select("type_code", "version", "raw", "body_bit")))
     parts = [records.decode_records(typed.filter(F.col("type_name") == k).select("type_name", "version", "raw", "body_bit"), k, at="body_bit", common=True).select("type_name", "version", "status") for k in ("LINE", "CIRCLE", "ARC", "POINT", "INSERT", "LWPOLYLINE", "3DFACE", "TEXT")]
     out = parts[0]
     for p in parts[1:]:
