@@ -48,9 +48,7 @@ _DIGITS = regex.compile(r"[0-9]")
 
 def _byte_map(name: str) -> dict[str, int]:
     """The byte of each character as read with an encoding; bytes it leaves undefined stand for themselves."""
-    out = {}
-    for b in range(128, 256):
-        out.setdefault(chr(b), b) if b < 160 or name == "cp1252" else None
+    out = {chr(b): b for b in range(128, 160)}
     for b in range(128, 256):
         try:
             out[bytes([b]).decode(name)] = b
@@ -144,8 +142,17 @@ class Model:
         total = max(1.0, float(chars.sum()))
         self.pairs, self.chars, self.total = pairs / total, chars / total, total
         self.words: dict[str, tuple | None] = {}
+        self.scores: dict[str, float] = {}
 
     def score(self, a: str, b: str) -> float:
+        known = self.scores.get(a + b)
+        if known is None:
+            if len(self.scores) >= WORDS:
+                self.scores.clear()
+            known = self.scores[a + b] = self._score(a, b)
+        return known
+
+    def _score(self, a: str, b: str) -> float:
         m = (1 << CHAR_BITS) - 1
         a, b = "0" if "0" <= a <= "9" else a, "0" if "0" <= b <= "9" else b
         p = 0.95 * self.pairs[_pair(a, b)] + 0.05 * self.chars[ord(a) & m] * self.chars[ord(b) & m]
@@ -168,7 +175,7 @@ class Model:
 
     def _viterbi(self, word: str) -> tuple | None:
         n, score = len(word), self.score
-        # best[i]: state -> (score, last character, previous place, previous state, restored piece)
+        # at each place: state -> (score, last character, previous place, previous state, restored piece)
         best: list[dict[int, tuple]] = [{} for _ in range(n + 1)]
         best[0][-1] = (0.0, " ", 0, -1, "")
         for i in range(n):
