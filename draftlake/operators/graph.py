@@ -61,6 +61,33 @@ def expand_inserts(inserts: DataFrame, roots: DataFrame, max_depth: int = MAX_DE
     return out
 
 
+def expand_tree(entities: DataFrame) -> DataFrame:
+    """`expand_inserts` from every root block to the full depth, where an entity is itself the block of its members and so has one place.
+
+    entities: path, handle, owner_handle, seq, transform (16 doubles or null),
+    entity_id, depth, loaded_at, a row per (path, handle). Root blocks are
+    owners that have no row and entities without an owner. Returns path, root,
+    entity, depth (1 for direct members), transform, order_key; an entity whose
+    owners run in a circle has only path and entity. No join per level: the
+    transforms of a chain are folded in its order, however deep it is.
+    """
+    tree = hierarchy(entities.select("path", "handle", "owner_handle", "entity_id", "depth", "loaded_at"), with_path=True)
+    tree = checkpoint(tree.select("path", F.col("handle").alias("entity"), "in_cycle", "node_path"))
+    own = entities.select("path", "handle", "owner_handle", "seq", "transform")
+    steps = tree.filter("not in_cycle").select("path", "entity", F.posexplode("node_path").alias("pos", "handle")).join(own, ["path", "handle"])
+    chain = F.sort_array(F.collect_list(F.struct("pos", "handle", "owner_handle", "seq", "transform"))).alias("chain")
+    placed = steps.groupBy("path", "entity").agg(chain).withColumn("top", F.col("chain")[0])
+    # an entity without an owner is the block at the root and no member of it
+    bare = F.col("top.owner_handle").isNull()
+    placed = placed.withColumn("members", F.when(bare, F.slice("chain", 2, F.size("chain"))).otherwise(F.col("chain"))).filter(F.size("members") > 0)
+    folded = G.compose_chain(F.filter(F.transform("members", lambda m: m["transform"]), lambda t: t.isNotNull()))
+    out = placed.select(
+        "path", F.coalesce("top.owner_handle", "top.handle").alias("root"), "entity", F.size("members").alias("depth"), folded.alias("transform"), F.transform("members", lambda m: m["seq"].cast("int")).alias("order_key")
+    )
+    caught = tree.filter("in_cycle").select("path", F.lit(None).cast("bigint").alias("root"), "entity", F.lit(None).cast("int").alias("depth"), F.lit(None).cast("array<double>").alias("transform"), F.lit(None).cast("array<int>").alias("order_key"))
+    return out.unionByName(caught)
+
+
 def free_handles(used: DataFrame, n: int, start: int = 1) -> DataFrame:
     """(path, n_th, handle): the n smallest handles from `start` on that a drawing doesn't use.
 

@@ -407,12 +407,23 @@ def q_owner_chains(spark, d):
     return graph.owner_chains(load(spark, d, "expanded_entities"))
 
 
-@query("with m as (select path, handle, owner_handle, seq from (select *, row_number() over (partition by path, handle order by loaded_at desc, entity_id) n from expanded_entities where path is not null and handle is not null) where n = 1), t1 as (select path, owner_handle root, handle entity, 1 depth, seq from m where owner_handle in (16, 17, 18)), t2 as (select t1.path, root, m.handle, 2, m.seq from t1 join m on m.path = t1.path and m.owner_handle = t1.entity where m.handle <> root), t3 as (select t2.path, root, m.handle, 3, m.seq from t2 join m on m.path = t2.path and m.owner_handle = t2.handle where m.handle <> root and m.handle <> m.owner_handle and m.handle not in (select entity from t1 where t1.path = m.path and t1.root = t2.root and t1.entity = m.handle and false)) select path, root, depth, count(*) as n from (select path, root, entity, depth from t1 union all select path, root, handle, 2 from t2) group by all")
-def q_expand(spark, d):
-    """Members of three blocks of each drawing down to the second level: every entity counts as an insert of its members."""
+def _nested(spark, d):
+    """The last row of every entity, its transform as a matrix."""
     rows = R.first_of(load(spark, d, "expanded_entities").filter("path is not null and handle is not null"), ["path", "handle"], [F.desc("loaded_at"), F.col("entity_id")])
     own = F.when(F.size("transform") == 4, G.compose(G.translation(G.point(F.col("transform")[0], F.col("transform")[1], F.col("transform")[2])), G.scaling(G.point(F.col("transform")[3], F.col("transform")[3], F.col("transform")[3]))))
-    inserts = rows.filter("owner_handle is not null").select("path", F.col("owner_handle").alias("block"), "seq", F.col("handle").alias("entity"), F.col("handle").alias("child_block"), own.alias("transform"))
+    return rows.withColumn("transform", own)
+
+
+@query()
+def q_expand_all(spark, d):
+    """What every root block of each drawing holds, to the full depth; entities caught in circles without a root."""
+    return graph.expand_tree(_nested(spark, d))
+
+
+@query("with m as (select path, handle, owner_handle, seq from (select *, row_number() over (partition by path, handle order by loaded_at desc, entity_id) n from expanded_entities where path is not null and handle is not null) where n = 1), t1 as (select path, owner_handle root, handle entity, 1 depth, seq from m where owner_handle in (16, 17, 18)), t2 as (select t1.path, root, m.handle, 2, m.seq from t1 join m on m.path = t1.path and m.owner_handle = t1.entity where m.handle <> root), t3 as (select t2.path, root, m.handle, 3, m.seq from t2 join m on m.path = t2.path and m.owner_handle = t2.handle where m.handle <> root and m.handle <> m.owner_handle and m.handle not in (select entity from t1 where t1.path = m.path and t1.root = t2.root and t1.entity = m.handle and false)) select path, root, depth, count(*) as n from (select path, root, entity, depth from t1 union all select path, root, handle, 2 from t2) group by all")
+def q_expand(spark, d):
+    """Members of three blocks of each drawing down to the second level, the part of `q_expand_all` that its SQL states: every entity counts as an insert of its members."""
+    inserts = _nested(spark, d).filter("owner_handle is not null").select("path", F.col("owner_handle").alias("block"), "seq", F.col("handle").alias("entity"), F.col("handle").alias("child_block"), "transform")
     roots = inserts.filter("block in (16, 17, 18)").select("path", "block").distinct()
     out = graph.expand_inserts(inserts, roots, max_depth=2, strict=False)
     return out.filter("entity <> root or depth = 1").groupBy("path", "root", "depth").agg(F.count("*").alias("n"))

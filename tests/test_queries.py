@@ -73,6 +73,34 @@ def test_expand_inserts(spark):
     assert graph.expand_inserts(df, roots.limit(0)).count() == 0
 
 
+def test_expand_all_reaches_every_root_and_depth(spark, tmp_path):
+    # a chain of 20 below the missing owner 7, an entity without an owner with one member, a circle with a tail
+    links = [("p", 100 + k, 99 + k if k else 7, k) for k in range(20)] + [("p", 300, None, 0), ("p", 301, 300, 4), ("q", 1, 2, 0), ("q", 2, 1, 0), ("q", 3, 2, 0)]
+    rows = [(i, p, h, o, s, 0, [1.0, 0.0, 0.0, 2.0] if h != 105 else None) for i, (p, h, o, s) in enumerate(links)]
+    df = spark.createDataFrame(rows + rows[:3], "entity_id bigint, path string, handle bigint, owner_handle bigint, seq int, depth int, transform array<double>")
+    df.withColumn("loaded_at", F.lit("2024-01-01").cast("timestamp")).write.parquet(f"{tmp_path}/expanded_entities.parquet")
+    got = {(r["path"], r["entity"]): r for r in registry.QUERIES["q_expand_all"](spark, str(tmp_path)).collect()}
+    owner = {(p, h): o for p, h, o, _ in links}
+    seq = {(p, h): s for p, h, _, s in links}
+    want = {}
+    for (p, h), o in owner.items():
+        chain, at = [], h
+        while at is not None and (p, at) in owner and len(chain) < 99:
+            chain, at = [at, *chain], owner[p, at]
+        if len(chain) == 99:
+            want[p, h] = None
+        elif at is not None or len(chain) > 1:
+            members = chain if at is not None else chain[1:]
+            x, scale = 0.0, 1.0
+            for m in members:
+                x, scale = (x, scale) if m == 105 else (x + scale, scale * 2)
+            want[p, h] = (at if at is not None else chain[0], len(members), [seq[p, m] for m in members], x, scale)
+    assert got.keys() == want.keys() and len(got) == 24
+    for k, w in want.items():
+        r = got[k]
+        assert (r["root"] is None and r["depth"] is None) if w is None else (r["root"], r["depth"], r["order_key"], r["transform"][3], r["transform"][0]) == w
+
+
 def test_outlines(spark):
     from draftlake.functions import records
     from draftlake.sinks import svg
