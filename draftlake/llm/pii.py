@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from draftlake.llm.mojibake import LOST, Model
+from draftlake.runtime import checkpoint
 
 #: Fields that are there for a person's name.
 NAME_FIELDS = ("author", "last_saved_by")
@@ -142,7 +143,7 @@ class View:
 
 
 class Lexicon:
-    """Given names, family endings and ordinary words of a corpus, in lower case."""
+    """Given names, families, family endings and ordinary words, in lower case: of a corpus, or as far as the words of one text need them."""
 
     def __init__(self, given: set[str], families: set[str], suffixes: set[str], ordinary: set[str]):
         self.given, self.families, self.suffixes, self.ordinary = given, families, suffixes, ordinary
@@ -171,50 +172,63 @@ class Lexicon:
                 return False
         return True
 
-    def names(self, text: str) -> list[tuple[int, int]]:
-        out = []
-        for m in _FULL.finditer(text, overlapped=True):
-            if self.is_given(m[1]) and self.is_family(m[4], False):
-                out.append(m.span())
-        for m in _TURNED.finditer(text, overlapped=True):
-            if self.is_given(m[3]) and self.is_family(m[2], False):
-                out.append(m.span())
-        for m in _INITIAL.finditer(text, overlapped=True):
-            if self.is_family(m[2], True) and not _NO_INITIAL.search(text, max(0, m.start() - 8), m.start()):
-                out.append(m.span())
-        return out
+    def accepts(self, given: str | None, family: str | None, strict: bool) -> bool:
+        """Whether a name's form holds a name; without a family it does anyway."""
+        return family is None or (given is None or self.is_given(given)) and self.is_family(family, strict)
 
 
-def find(text: str, lexicon: Lexicon, name_field: bool = False) -> list[tuple[int, int, str]]:
-    """Entities (start, end, type) of a text, without overlaps: the forms first, then names.
+#: What may be an entity: start, end, type, then for names the words that decide.
+Candidate = tuple[int, int, str, str | None, str | None, bool]
+
+
+def names_of(text: str) -> list[Candidate]:
+    """Everything in a text that has a name's form."""
+    out: list[Candidate] = [(*m.span(), "NAME", m[1], m[4], False) for m in _FULL.finditer(text, overlapped=True)]
+    out += [(*m.span(), "NAME", m[3], m[2], False) for m in _TURNED.finditer(text, overlapped=True)]
+    for m in _INITIAL.finditer(text, overlapped=True):
+        if not _NO_INITIAL.search(text, max(0, m.start() - 8), m.start()):
+            out.append((*m.span(), "NAME", None, m[2], True))
+    return out
+
+
+def candidates(text: str, name_field: bool = False) -> list[Candidate]:
+    """What may be an entity of a text, the forms first, then names.
 
     A field that is there for a name holds one where it has a name's form and no
     word of a firm or department, whether the lexicon knows the name or not.
     """
-    taken: list[tuple[int, int, str]] = []
-
-    def add(start: int, end: int, kind: str) -> None:
-        if all(end <= a or start >= b for a, b, _ in taken):
-            taken.append((start, end, kind))
-
+    out: list[Candidate] = []
     if "@" in text or "at" in text.casefold():
-        for m in _EMAIL.finditer(text):
-            add(*m.span(), "EMAIL")
+        out += [(*m.span(), "EMAIL", None, None, False) for m in _EMAIL.finditer(text)]
     if any(c.isdigit() for c in text):
         for kind, form in (("ADDRESS", _ADDRESS), ("ID_NUMBER", _ID), ("PHONE", _PHONE)):
             for m in form.finditer(text):
                 if kind != "PHONE" or sum(c.isdigit() for c in m[0]) >= 9:
-                    add(*m.span(), kind)
-    names = lexicon.names(text)
+                    out.append((*m.span(), kind, None, None, False))
+    out += names_of(text)
     if name_field:
         for form in (_NAME_FIELD, _TURNED_FIELD, _INITIAL_FIELD):
             m = form.match(text)
             if m and not ORGANISATION.intersection(w.casefold() for w in _WORD.findall(m[0])):
-                names.append((m.start("name"), m.end()))
+                out.append((m.start("name"), m.end(), "NAME", None, None, False))
                 break
-    for start, end in sorted(names, key=lambda s: s[0] - s[1]):
-        add(start, end, "NAME")
-    return sorted(taken)
+    return out
+
+
+def settle(found: list[Candidate], lexicon: Lexicon) -> list[int]:
+    """Places of the candidates that are entities, in the order of the text and without overlaps; longer names go before shorter ones."""
+    names = [k for k, c in enumerate(found) if c[2] == "NAME" and lexicon.accepts(*c[3:])]
+    taken: list[int] = []
+    for k in [k for k, c in enumerate(found) if c[2] != "NAME"] + sorted(names, key=lambda k: found[k][0] - found[k][1]):
+        if all(found[k][1] <= found[t][0] or found[k][0] >= found[t][1] for t in taken):
+            taken.append(k)
+    return sorted(taken, key=lambda k: found[k][:3])
+
+
+def find(text: str, lexicon: Lexicon, name_field: bool = False) -> list[tuple[int, int, str]]:
+    """Entities (start, end, type) of a text, without overlaps."""
+    found = candidates(text, name_field)
+    return [found[k][:3] for k in settle(found, lexicon)]
 
 
 _TITLE = r"^\s*(?:(?:Dr|Prof|Ing|Mr|Mrs|Ms|Mme|Hr|Fr)\.?\s+)*"
@@ -256,56 +270,105 @@ def _batch(count: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(cols[i]), pa.string()) for i in range(3)] + [pa.array(list(cols[3]), pa.int64())], ["kind", "a", "b", "n"])
 
 
-def learn(names: DataFrame, texts: DataFrame, model: Model) -> Lexicon:
+class WordTable:
+    """The lexicon of a corpus as tables, which stay in the cluster: words (word, given, family, ordinary) and endings (ending)."""
+
+    def __init__(self, words: DataFrame, endings: DataFrame):
+        self.words, self.endings = words, endings
+
+    @property
+    def given(self) -> set[str]:
+        """All given names, for a look at small corpora."""
+        return {r["word"] for r in self.words.filter("given").collect()}
+
+    def of_rows(self, needed: DataFrame) -> DataFrame:
+        """(row, lexicon) for `needed` (row, words): what the tables hold of each row's words."""
+        each = needed.select("row", F.explode("words").alias("word")).distinct()
+        known = each.join(self.words, "word", "left").withColumn("ending", F.right("word", F.lit(SUFFIX)))
+        known = known.join(self.endings.withColumn("usual", F.lit(True)), "ending", "left")
+        # a run of lost marks may stand for one letter or several, so names meet by what stands before and behind it
+        lost = each.select("word").distinct().filter(F.contains("word", F.lit(LOST))).select("word", F.substring_index("word", LOST, 1).alias("head"), F.substring_index("word", LOST, -1).alias("tail"))
+        splits = self.words.filter("given").select(F.col("word").alias("name"), F.explode(F.expr("sequence(0, length(word))")).alias("i")).withColumn("j", F.explode(F.expr("sequence(0, length(name) - i)")))
+        splits = splits.select("name", F.expr("left(name, i)").alias("head"), F.expr("right(name, j)").alias("tail"))
+        shape = F.concat(F.lit("^"), F.replace("word", F.lit(LOST), F.lit(".{1,2}")), F.lit("$"))
+        meant = lost.join(splits, ["head", "tail"]).withColumn("shape", shape).filter("name rlike shape").groupBy("word").agg(F.min("name").alias("name"))
+        known = known.unionByName(each.join(meant, "word").select("row", F.col("name").alias("word"), F.lit(True).alias("given")), allowMissingColumns=True)
+        flags = [F.coalesce(c, F.lit(False)).alias(c) for c in ("given", "family", "ordinary", "usual")]
+        return known.filter("given or family or ordinary or usual").groupBy("row").agg(F.collect_list(F.struct("word", *flags)).alias("lexicon"))
+
+
+def learn(names: DataFrame, texts: DataFrame, model: Model) -> WordTable:
     """Lexicon of all rows of `names` (column text: author fields) and `texts` (column text: free text).
 
-    Given names are at least SHARE of the author fields, so at most 1 / SHARE;
-    endings come by their letters; ordinary words are in more than ORDINARY of
-    the texts, so they are at most the words of a text over ORDINARY.
-    Family names themselves, unbounded, stay in the cluster.
+    Given names are at least SHARE of the author fields; family names are those
+    behind given names; endings come by their letters; ordinary words are in
+    more than ORDINARY of the texts.
     """
     rows = names.select(F.lit(True).alias("is_name"), "text").unionByName(texts.select(F.lit(False).alias("is_name"), "text"))
-    counts = rows.mapInArrow(_counted(model), "kind string, a string, b string, n bigint").groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).cache()
-    try:
-        totals = {r["kind"]: r["n"] for r in counts.filter("kind in ('row', 'text')").collect()}
-        pairs = counts.filter("kind = 'pair'").withColumn("s", F.expr(f"right(b, {SUFFIX})"))
-        endings = pairs.groupBy("s").agg(F.countDistinct("b").alias("families")).filter(F.col("families") >= FAMILIES)
-        suffixes = {r["s"] for r in endings.collect()}
-        usual = F.max(F.col("s").isin(*suffixes)) if suffixes else F.lit(False)
-        first = pairs.groupBy("a").agg(F.count("*").alias("partners"), F.sum("n").alias("n"), usual.alias("usual"))
-        named = first.filter(((F.col("partners") >= PARTNERS) | F.col("usual")) & (F.col("n") >= SHARE * totals.get("row", 0)))
-        given = {r["a"] for r in named.collect()}
-        family = pairs.join(named.select("a"), "a", "left_semi").select("b").distinct()
-        often = counts.filter((F.col("kind") == "word") & (F.col("n") > max(FEW, ORDINARY * totals.get("text", 0))))
-        ordinary = {r["a"] for r in often.join(family.withColumnRenamed("b", "a"), "a", "left_anti").collect()}
-    finally:
-        counts.unpersist()
-    return Lexicon(given, set(), suffixes, ordinary - given)
-
-
-def entities(fields: DataFrame, lexicon: Lexicon, model: Model) -> DataFrame:
-    """Every entity of (src_table, rec_id, field, text): key columns, start_pos, end_pos (in the stored text), pii_type, shown, canonical."""
+    counts = checkpoint(rows.mapInArrow(_counted(model), "kind string, a string, b string, n bigint").groupBy("kind", "a", "b").agg(F.sum("n").alias("n")))
+    totals = {r["kind"]: r["n"] for r in counts.filter("kind in ('row', 'text')").collect()}
+    pairs = counts.filter("kind = 'pair'").withColumn("ending", F.expr(f"right(b, {SUFFIX})"))
+    endings = checkpoint(pairs.groupBy("ending").agg(F.countDistinct("b").alias("families")).filter(F.col("families") >= FAMILIES).select("ending"))
+    usual = F.max(F.coalesce("usual", F.lit(False))).alias("usual")
+    first = pairs.join(endings.withColumn("usual", F.lit(True)), "ending", "left").groupBy("a").agg(F.count("*").alias("partners"), F.sum("n").alias("n"), usual)
+    given = checkpoint(first.filter(((F.col("partners") >= PARTNERS) | F.col("usual")) & (F.col("n") >= SHARE * totals.get("row", 0))).select("a"))
+    family = pairs.join(given, "a", "left_semi").select(F.col("b").alias("a")).distinct()
+    often = counts.filter((F.col("kind") == "word") & (F.col("n") > max(FEW, ORDINARY * totals.get("text", 0)))).select("a")
+    ordinary = often.join(family, "a", "left_anti").join(given, "a", "left_anti")
+    each = [df.select(F.col("a").alias("word"), F.lit(name).alias("flag")) for df, name in ((given, "given"), (family, "family"), (ordinary, "ordinary"))]
+    words = each[0].unionByName(each[1]).unionByName(each[2]).groupBy("word").agg(*[F.max(F.col("flag") == name).alias(name) for name in ("given", "family", "ordinary")])
+    return WordTable(checkpoint(words), endings)
+
+
+_FOUND = "start_pos int, end_pos int, pii_type string, shown string, canonical string"
+_CANDIDATE = pa.struct([("a", pa.int32()), ("b", pa.int32()), ("kind", pa.string()), ("given", pa.string()), ("family", pa.string()), ("strict", pa.bool_()), ("start_pos", pa.int32()), ("end_pos", pa.int32()), ("shown", pa.string()), ("canonical", pa.string())])
+
+
+def entities(fields: DataFrame, lexicon: WordTable, model: Model) -> DataFrame:
+    """Every entity of (src_table, rec_id, field, text): key columns, start_pos, end_pos (in the stored text), pii_type, shown, canonical.
+
+    Texts are searched once for all that may be an entity; the words of these
+    candidates are looked up in the lexicon by joins, then each text is decided.
+    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, starts, ends, kinds, shown, canon = [], [], [], [], [], []
+            keep, items, words = [], [], []
             for i, (stored, field) in enumerate(zip(batch.column("text").to_pylist(), batch.column("field").to_pylist())):
                 view = View(stored, model)
-                for a, b, kind in find(view.text, lexicon, field in NAME_FIELDS):
+                found = candidates(view.text, field in NAME_FIELDS)
+                if not found:
+                    continue
+                own, needed = [], set()
+                for a, b, kind, given, family, strict in found:
                     s, e = view.stored(a, b)
-                    keep.append(i)
-                    starts.append(s)
-                    ends.append(e)
-                    kinds.append(kind)
-                    shown.append(regex.sub(r"\s+", " ", view.text[a:b]))
-                    canon.append(canonical(kind, view.text[a:b]))
+                    own.append({"a": a, "b": b, "kind": kind, "given": given, "family": family, "strict": strict, "start_pos": s, "end_pos": e, "shown": regex.sub(r"\s+", " ", view.text[a:b]), "canonical": canonical(kind, view.text[a:b])})
+                    needed.update(([given.casefold()] if given else []) + (family.casefold().split("-") if family else []))
+                keep.append(i)
+                items.append(own)
+                words.append(sorted(needed))
             part = batch.select(["src_table", "rec_id", "field"]).take(pa.array(keep, pa.int32()))
-            yield pa.RecordBatch.from_arrays(
-                [*part.columns, pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(kinds, pa.string()), pa.array(shown, pa.string()), pa.array(canon, pa.string())],
-                [*part.schema.names, "start_pos", "end_pos", "pii_type", "shown", "canonical"],
-            )
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(items, pa.list_(_CANDIDATE)), pa.array(words, pa.list_(pa.string()))], [*part.schema.names, "items", "words"])
 
-    return fields.mapInArrow(run, "src_table string, rec_id bigint, field string, start_pos int, end_pos int, pii_type string, shown string, canonical string")
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep, out = [], []
+            for i, (items, known) in enumerate(zip(batch.column("items").to_pylist(), batch.column("lexicon").to_pylist())):
+                has = lambda flag: {w["word"] for w in known or [] if w[flag]}  # noqa: B023, E731
+                own = Lexicon(has("given"), has("family"), {w[-SUFFIX:] for w in has("usual")}, has("ordinary"))
+                for k in settle([(c["a"], c["b"], c["kind"], c["given"], c["family"], c["strict"]) for c in items], own):
+                    keep.append(i)
+                    out.append(items[k])
+            part = batch.select(["src_table", "rec_id", "field"]).take(pa.array(keep, pa.int32()))
+            cols = [pa.array([c[name] for c in out], kind) for name, kind in (("start_pos", pa.int32()), ("end_pos", pa.int32()), ("kind", pa.string()), ("shown", pa.string()), ("canonical", pa.string()))]
+            yield pa.RecordBatch.from_arrays([*part.columns, *cols], [*part.schema.names, "start_pos", "end_pos", "pii_type", "shown", "canonical"])
+
+    item = "struct<a: int, b: int, kind: string, given: string, family: string, strict: boolean, start_pos: int, end_pos: int, shown: string, canonical: string>"
+    keys = "src_table string, rec_id bigint, field string"
+    rows = fields.mapInArrow(search, f"{keys}, items array<{item}>, words array<string>")
+    rows = checkpoint(rows.withColumn("row", F.monotonically_increasing_id()))
+    known = lexicon.of_rows(rows.select("row", "words"))
+    return rows.join(known, "row", "left").select("src_table", "rec_id", "field", "items", "lexicon").mapInArrow(decide, f"{keys}, {_FOUND}")
 
 
 def canonical(kind: str, text: str) -> str:

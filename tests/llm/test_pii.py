@@ -79,6 +79,22 @@ def test_redaction(spark):
     assert pii.learn(empty, empty, model).given == set()
 
 
+def corpus(spark, authors, comments):
+    """NAMEs found in comments, by comment."""
+    rows = [("summary_info", i, "author", a) for i, a in enumerate(authors)] + [("summary_info", i, "comments", c) for i, c in enumerate(comments)]
+    fields = spark.createDataFrame(rows, "src_table string, rec_id bigint, field string, text string").repartition(4)
+    model = mojibake.train(fields)
+    lexicon = pii.learn(fields.filter("field = 'author'"), fields.filter("field = 'comments'"), model)
+    found = pii.entities(fields, lexicon, model).filter("field = 'comments' and pii_type = 'NAME'").collect()
+    return {(r["rec_id"], r["shown"]) for r in found}
+
+
+def test_families_of_rare_endings_are_known(spark):
+    authors = [f"{g} {f}" for g in ("Greta", "Ivo") for f in ("Quiblox", "Zandvurm", "Teakhop")]
+    comments = ["checked by G. Quiblox", "see I. Zandvurm-Teakhop", "see I. Unheard", "bolts by B. Anchor", "Gr\ufffdta Zandvurm", ""]
+    assert corpus(spark, authors, comments) == {(0, "G. Quiblox"), (1, "I. Zandvurm-Teakhop"), (4, "Gr\ufffdta Zandvurm")}
+
+
 def test_collisions_draw_again(spark, monkeypatch):
     real = pii.surrogate
     monkeypatch.setattr(pii, "surrogate", lambda key, kind, shown, canon, attempt: "Same Name" if attempt == 0 else real(key, kind, shown, canon, attempt))
