@@ -19,6 +19,7 @@ import hashlib
 import hmac
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 import regex
@@ -32,12 +33,10 @@ from draftlake.runtime import checkpoint
 NAME_FIELDS = ("author", "last_saved_by")
 TYPES = ("EMAIL", "PHONE", "ID_NUMBER", "ADDRESS", "NAME")
 
-#: A given name is followed by at least so many different family names, or by one that ends as many do, and makes this part of the author fields.
-PARTNERS, SHARE = 2, 1e-5
+#: A given name is followed by at least so many different family names, or by one that ends as many do.
+PARTNERS = 2
 #: A family name ends as at least so many others do, in this many letters.
 FAMILIES, SUFFIX = 5, 3
-#: A word in more than this part of the texts, and in more than FEW, is an ordinary word unless it is a family name.
-ORDINARY, FEW = 2e-3, 5
 
 # Words in names of firms, departments and machines.
 ORGANISATION = frozenset(
@@ -145,8 +144,8 @@ class View:
 class Lexicon:
     """Given names, families, family endings and ordinary words, in lower case: of a corpus, or as far as the words of one text need them."""
 
-    def __init__(self, given: set[str], families: set[str], suffixes: set[str], ordinary: set[str]):
-        self.given, self.families, self.suffixes, self.ordinary = given, families, suffixes, ordinary
+    def __init__(self, given: set[str], families: set[str], suffixes: set[str], ordinary: set[str], alone: frozenset[str] | set[str] = frozenset()):
+        self.given, self.families, self.suffixes, self.ordinary, self.alone = given, families, suffixes, ordinary, alone
         self._lost: dict[str, bool] = {}
 
     def is_given(self, word: str) -> bool:
@@ -168,7 +167,7 @@ class Lexicon:
                 continue
             if p in self.ordinary or p in self.given:
                 return False
-            if strict and p[-SUFFIX:] not in self.suffixes:
+            if strict and (p in self.alone or p[-SUFFIX:] not in self.suffixes):
                 return False
         return True
 
@@ -216,10 +215,10 @@ def candidates(text: str, name_field: bool = False) -> list[Candidate]:
 
 
 def settle(found: list[Candidate], lexicon: Lexicon) -> list[int]:
-    """Places of the candidates that are entities, in the order of the text and without overlaps; longer names go before shorter ones."""
+    """Places of the candidates that are entities, in the order of the text and without overlaps; longer names go before shorter ones, and those whose family mostly stands alone last."""
     names = [k for k, c in enumerate(found) if c[2] == "NAME" and lexicon.accepts(*c[3:])]
     taken: list[int] = []
-    for k in [k for k, c in enumerate(found) if c[2] != "NAME"] + sorted(names, key=lambda k: found[k][0] - found[k][1]):
+    for k in [k for k, c in enumerate(found) if c[2] != "NAME"] + sorted(names, key=lambda k: (not lexicon.alone.isdisjoint((found[k][4] or "").casefold().split("-")), found[k][0] - found[k][1])):
         if all(found[k][1] <= found[t][0] or found[k][0] >= found[t][1] for t in taken):
             taken.append(k)
     return sorted(taken, key=lambda k: found[k][:3])
@@ -245,7 +244,6 @@ def _counted(model: Model):
             for is_name, stored in zip(batch.column("is_name").to_pylist(), batch.column("text").to_pylist()):
                 text = View(stored, model).text
                 if is_name:
-                    count["row", "", ""] += 1
                     for form, g, f in ((_NAME_FIELD, 2, 3), (_TURNED_FIELD, 3, 2)):
                         m = form.match(text)
                         if m and LOST not in m[0] and not ORGANISATION.intersection(w.casefold() for w in _WORD.findall(m[0])):
@@ -253,9 +251,12 @@ def _counted(model: Model):
                                 count["pair", m[g].casefold(), part] += 1
                             break
                 else:
-                    count["text", "", ""] += 1
-                    for w in {w.casefold() for w in _WORD.findall(text)}:
-                        count["word", w, ""] += 1
+                    words = {(w.casefold(), w[0].islower()) for whole in _WORD.findall(text) for w in whole.split("-")}
+                    for w, low in words:
+                        count["low" if low else "capital", w, ""] += 1
+                    behind = {((given or "").casefold(), p) for *_, given, family, _ in names_of(text) for p in family.casefold().split("-")}
+                    for given, p in behind:
+                        count["behind", given, p] += 1
                 if len(count) > 200_000:
                     yield _batch(count)
                     count.clear()
@@ -271,7 +272,7 @@ def _batch(count: Counter) -> pa.RecordBatch:
 
 
 class WordTable:
-    """The lexicon of a corpus as tables, which stay in the cluster: words (word, given, family, ordinary) and endings (ending)."""
+    """The lexicon of a corpus as tables, which stay in the cluster: words (word, given, family, ordinary, alone) and endings (ending)."""
 
     def __init__(self, words: DataFrame, endings: DataFrame):
         self.words, self.endings = words, endings
@@ -293,30 +294,33 @@ class WordTable:
         shape = F.concat(F.lit("^"), F.replace("word", F.lit(LOST), F.lit(".{1,2}")), F.lit("$"))
         meant = lost.join(splits, ["head", "tail"]).withColumn("shape", shape).filter("name rlike shape").groupBy("word").agg(F.min("name").alias("name"))
         known = known.unionByName(each.join(meant, "word").select("row", F.col("name").alias("word"), F.lit(True).alias("given")), allowMissingColumns=True)
-        flags = [F.coalesce(c, F.lit(False)).alias(c) for c in ("given", "family", "ordinary", "usual")]
-        return known.filter("given or family or ordinary or usual").groupBy("row").agg(F.collect_list(F.struct("word", *flags)).alias("lexicon"))
+        flags = [F.coalesce(c, F.lit(False)).alias(c) for c in ("given", "family", "ordinary", "alone", "usual")]
+        return known.filter("given or family or ordinary or alone or usual").groupBy("row").agg(F.collect_list(F.struct("word", *flags)).alias("lexicon"))
 
 
 def learn(names: DataFrame, texts: DataFrame, model: Model) -> WordTable:
     """Lexicon of all rows of `names` (column text: author fields) and `texts` (column text: free text).
 
-    Given names are at least SHARE of the author fields; family names are those
-    behind given names; endings come by their letters; ordinary words are in
-    more than ORDINARY of the texts.
+    Family names are those behind given names; endings come by their letters.
+    Words are judged by their use, however many texts hold them: an ordinary
+    word stands in lower case in more texts than behind a given name or initial,
+    and one that stands alone does so in lower case or with a capital.
     """
     rows = names.select(F.lit(True).alias("is_name"), "text").unionByName(texts.select(F.lit(False).alias("is_name"), "text"))
     counts = checkpoint(rows.mapInArrow(_counted(model), "kind string, a string, b string, n bigint").groupBy("kind", "a", "b").agg(F.sum("n").alias("n")))
-    totals = {r["kind"]: r["n"] for r in counts.filter("kind in ('row', 'text')").collect()}
     pairs = counts.filter("kind = 'pair'").withColumn("ending", F.expr(f"right(b, {SUFFIX})"))
     endings = checkpoint(pairs.groupBy("ending").agg(F.countDistinct("b").alias("families")).filter(F.col("families") >= FAMILIES).select("ending"))
     usual = F.max(F.coalesce("usual", F.lit(False))).alias("usual")
-    first = pairs.join(endings.withColumn("usual", F.lit(True)), "ending", "left").groupBy("a").agg(F.count("*").alias("partners"), F.sum("n").alias("n"), usual)
-    given = checkpoint(first.filter(((F.col("partners") >= PARTNERS) | F.col("usual")) & (F.col("n") >= SHARE * totals.get("row", 0))).select("a"))
+    first = pairs.join(endings.withColumn("usual", F.lit(True)), "ending", "left").groupBy("a").agg(F.count("*").alias("partners"), usual)
+    given = checkpoint(first.filter((F.col("partners") >= PARTNERS) | F.col("usual")).select("a"))
     family = pairs.join(given, "a", "left_semi").select(F.col("b").alias("a")).distinct()
-    often = counts.filter((F.col("kind") == "word") & (F.col("n") > max(FEW, ORDINARY * totals.get("text", 0)))).select("a")
-    ordinary = often.join(family, "a", "left_anti").join(given, "a", "left_anti")
-    each = [df.select(F.col("a").alias("word"), F.lit(name).alias("flag")) for df, name in ((given, "given"), (family, "family"), (ordinary, "ordinary"))]
-    words = each[0].unionByName(each[1]).unionByName(each[2]).groupBy("word").agg(*[F.max(F.col("flag") == name).alias(name) for name in ("given", "family", "ordinary")])
+    behind = counts.filter("kind = 'behind'").join(given.withColumn("is_given", F.lit(True)), "a", "left")
+    behind = behind.filter("is_given or a = ''").select(F.col("b").alias("a"), F.lit("behind").alias("kind"), "n")
+    times = [F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(k) for k in ("low", "capital", "behind")]
+    uses = counts.filter("kind in ('low', 'capital')").select("a", "kind", "n").unionByName(behind).groupBy("a").agg(*times)
+    uses = uses.join(family, "a", "left_anti").join(given, "a", "left_anti").select("a", (F.col("low") > F.col("behind")).alias("ordinary"), (F.col("low") + F.greatest(F.col("capital") - F.col("behind"), F.lit(0)) > F.col("behind")).alias("alone"))
+    each = [df.select(F.col("a").alias("word"), F.lit(name).alias("flag")) for df, name in ((given, "given"), (family, "family"), (uses.filter("ordinary"), "ordinary"), (uses.filter("alone"), "alone"))]
+    words = reduce(DataFrame.unionByName, each).groupBy("word").agg(*[F.max(F.col("flag") == name).alias(name) for name in ("given", "family", "ordinary", "alone")])
     return WordTable(checkpoint(words), endings)
 
 
@@ -355,7 +359,7 @@ def entities(fields: DataFrame, lexicon: WordTable, model: Model) -> DataFrame:
             keep, out = [], []
             for i, (items, known) in enumerate(zip(batch.column("items").to_pylist(), batch.column("lexicon").to_pylist())):
                 has = lambda flag: {w["word"] for w in known or [] if w[flag]}  # noqa: B023, E731
-                own = Lexicon(has("given"), has("family"), {w[-SUFFIX:] for w in has("usual")}, has("ordinary"))
+                own = Lexicon(has("given"), has("family"), {w[-SUFFIX:] for w in has("usual")}, has("ordinary"), has("alone"))
                 for k in settle([(c["a"], c["b"], c["kind"], c["given"], c["family"], c["strict"]) for c in items], own):
                     keep.append(i)
                     out.append(items[k])

@@ -95,6 +95,17 @@ def test_families_of_rare_endings_are_known(spark):
     assert corpus(spark, authors, comments) == {(0, "G. Quiblox"), (1, "I. Zandvurm-Teakhop"), (4, "Gr\ufffdta Zandvurm")}
 
 
+def test_frequent_names_are_no_ordinary_words(spark):
+    authors = [f"{g} {f}" for g in ("Greta", "Ivo") for f in ("Halelund", "Brenelund")]
+    comments = [f"checked by Greta Zylstra, plan {k}" for k in range(20)] + [f"verify anchor {k}" for k in range(20)] + ["Greta Anchor", "Ivo Rundeck"]
+    assert corpus(spark, authors, comments) == {(k, "Greta Zylstra") for k in range(20)} | {(41, "Ivo Rundeck")}
+
+
+def test_a_word_that_mostly_stands_alone_gives_way():
+    lexicon = pii.Lexicon({"greta"}, {"halelund"}, set(), set(), {"tolerance"})
+    assert pii.find("Halelund, Greta Tolerance 5", lexicon) == [(0, 15, "NAME")] and pii.find("Greta Tolerance", lexicon) == [(0, 15, "NAME")]
+
+
 def test_collisions_draw_again(spark, monkeypatch):
     real = pii.surrogate
     monkeypatch.setattr(pii, "surrogate", lambda key, kind, shown, canon, attempt: "Same Name" if attempt == 0 else real(key, kind, shown, canon, attempt))
