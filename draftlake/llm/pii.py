@@ -407,13 +407,22 @@ def surrogate(key: bytes, kind: str, shown: str, canon: str, attempt: int) -> st
 
     Digits become digits and words invented words of the same script, case and
     length class; a given name keeps an ending in a vowel or a consonant, as its
-    gender shows; initials, marks, titles of streets and separators stay.
+    gender shows; initials, marks, titles of streets and separators stay. Each
+    word of a name has a stream of its own, by its place in the canonical form,
+    so that 'Family, Given' and 'Given Family' become one person.
     """
-    draw = _stream(key, kind, canon, attempt)
+    words = regex.compile(r"\d+|[\p{L}\p{M}" + LOST + r"]+")
+    turned = regex.fullmatch(r"([^,]+), (.+)", shown.strip()) if kind == "NAME" else None
+    ahead, behind = (len(words.findall(turned[k])) for k in (1, 2)) if turned else (0, 0)
+    draw, at = _stream(key, kind, canon, attempt), 0
     fixed = {"lane", "st", "road", "avenue", "street", "house", "flat", "apt", "rue", "des", "de", "del", "calle", "ul", "at", "dot", "mailto", "van", "von", "x", "ext", "dl", "qq"}
 
     def piece(m) -> str:
+        nonlocal draw, at
         w = m[0]
+        if kind == "NAME":
+            draw = _stream(key, kind, canon, attempt, at + behind if at < ahead else at - ahead)
+            at += 1
         if w[0].isdigit():
             return "".join(str(next(draw) % 10) for _ in w)
         if w.casefold() in fixed or len(w) == 1:
@@ -428,7 +437,7 @@ def surrogate(key: bytes, kind: str, shown: str, canon: str, attempt: int) -> st
             new += "nr"[next(draw) % 2] if parts is _LATIN else "нр"[next(draw) % 2]
         return (new.upper() if w.isupper() else new.capitalize() if w[0].isupper() else new) + tail
 
-    return regex.sub(r"\d+|[\p{L}\p{M}" + LOST + r"]+", piece, shown)
+    return words.sub(piece, shown)
 
 
 def _assign(key: bytes, attempt: int):
@@ -448,28 +457,30 @@ _ASSIGNED = "pii_type string, canonical string, shown string, surrogate string,
 def replacements(found: DataFrame, key: bytes, attempts: int = 4) -> DataFrame:
     """(pii_type, canonical, shown, surrogate, tag) of all entities of a corpus.
 
-    All ways of writing an entity share a hash stream. Entities whose surrogates
-    collide with each other's, or with a real entity, draw again; what still
-    collides after `attempts` rounds keeps its typed placeholder as surrogate.
+    All ways of writing an entity share hash streams. Entities whose surrogates
+    collide with each other's, with one accepted before, or with a real entity,
+    draw again; what still collides after `attempts` rounds keeps its typed
+    placeholder as surrogate.
     """
-    forms = found.select("pii_type", "canonical", "shown").distinct()
-    real = forms.select("pii_type", F.col("canonical").alias("new_canonical")).distinct().withColumn("real", F.lit(True))
-    todo, done = forms, None
+    todo = forms = checkpoint(found.select("pii_type", "canonical", "shown").distinct())
+    used = forms.select("pii_type", F.col("canonical").alias("new_canonical"))
+    columns = ["pii_type", "canonical", "shown", "surrogate", "tag"]
+    done = None
     for attempt in range(attempts):
-        drawn = todo.mapInArrow(_assign(key, attempt), _ASSIGNED)
-        clash = drawn.groupBy("pii_type", "new_canonical").agg(F.min("canonical").alias("lo"), F.max("canonical").alias("hi")).join(real, ["pii_type", "new_canonical"], "left")
-        bad = clash.filter("lo <> hi or real").select("pii_type", "new_canonical").withColumn("bad", F.lit(True))
+        drawn = checkpoint(todo.mapInArrow(_assign(key, attempt), _ASSIGNED))
+        clash = drawn.groupBy("pii_type", "new_canonical").agg(F.min("canonical").alias("lo"), F.max("canonical").alias("hi")).join(used.distinct().withColumn("used", F.lit(True)), ["pii_type", "new_canonical"], "left")
+        bad = clash.filter("lo <> hi or used").select("pii_type", "new_canonical").withColumn("bad", F.lit(True))
         judged = drawn.join(bad, ["pii_type", "new_canonical"], "left")
         # an entity draws again in all its forms
         worst = judged.groupBy("pii_type", "canonical").agg(F.max(F.coalesce("bad", F.lit(False))).alias("again"))
-        judged = judged.drop("bad").join(worst, ["pii_type", "canonical"])
-        good = judged.filter("not again").select("pii_type", "canonical", "shown", "surrogate", "tag")
-        done = good if done is None else done.unionByName(good)
-        if attempt == attempts - 1:
-            rest = judged.filter("again").select("pii_type", "canonical", "shown", F.concat(F.lit("["), "pii_type", F.lit("_"), "tag", F.lit("]")).alias("surrogate"), "tag")
-            return done.unionByName(rest)
-        todo = judged.filter("again").select("pii_type", "canonical", "shown")
-    return done
+        judged = checkpoint(judged.drop("bad").join(worst, ["pii_type", "canonical"]))
+        good = judged.filter("not again")
+        used = used.unionByName(good.select("pii_type", "new_canonical"))
+        done = good.select(*columns) if done is None else done.unionByName(good.select(*columns))
+        todo = judged.filter("again").select("pii_type", "canonical", "shown", "tag")
+        if todo.isEmpty():
+            return done
+    return done.unionByName(todo.withColumn("surrogate", F.concat(F.lit("["), "pii_type", F.lit("_"), "tag", F.lit("]"))).select(*columns))
 
 
 def redact(fields: DataFrame, found: DataFrame, key: bytes) -> DataFrame:

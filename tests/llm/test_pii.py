@@ -114,4 +114,19 @@ def test_collisions_draw_again(spark, monkeypatch):
     assert len(got) == 4 and len({(r["canonical"], r["surrogate"].casefold()) for r in got}) == 3 and len({r["surrogate"].casefold() for r in got}) == 3
 
 
+def test_surrogates_are_distinct_over_all_rounds(spark):
+    numbers = [str(n) for n in range(100, 400)]
+    got = pii.replacements(spark.createDataFrame([("PHONE", n, n) for n in numbers], "pii_type string, canonical string, shown string"), b"k").collect()
+    new = [r["surrogate"] for r in got]
+    assert len(new) == len(set(new)) == 300 and not set(new) & set(numbers)
+
+
+@pytest.mark.parametrize("turned,straight", [("Draoski, Soren", "Soren Draoski"), ("DRAOSKI-LIND, Soren M.", "Soren M. Draoski-Lind"), ("van Draoski, Soren", "Soren van Draoski")])
+def test_turned_names_are_one_person(turned, straight):
+    canon = pii.canonical("NAME", straight)
+    assert pii.canonical("NAME", turned) == canon
+    a, b = (pii.surrogate(b"k", "NAME", shown, canon, 0) for shown in (turned, straight))
+    assert "," in a and pii.canonical("NAME", a) == pii.canonical("NAME", b) != canon
+
+
 T = "x"
