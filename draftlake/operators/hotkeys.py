@@ -13,6 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from draftlake.runtime import checkpoint
+
 
 def pack(loads: list[tuple[object, int]], tasks: int) -> tuple[dict[object, list[int]], list[float]]:
     """Bins of each unit (several for a split one), and the load of each bin.
@@ -44,7 +46,8 @@ class Layout:
     Heavy keys are those with more than 1 / (4 * tasks) of all rows, so at most
     4 * tasks of them exist, whatever the data; they come to the driver and are
     broadcast as a table of at most 5 * tasks rows. Light keys are hashed into
-    4 * tasks groups, which are packed as wholes.
+    4 * tasks groups, which are packed as wholes and broadcast as a table of as
+    many rows. `loads` is read three times: pass a written or checkpointed table.
     """
 
     def __init__(self, loads: DataFrame, keys: list[str], count: str, tasks: int):
@@ -56,60 +59,64 @@ class Layout:
         light = loads.filter(F.col(count) <= floor).groupBy(self._group().alias("g")).agg(F.sum(count).alias("n")).collect()
         units = [(tuple(r[k] for k in keys), r[count]) for r in heavy] + [(r["g"], r["n"]) for r in light]
         bins, self.bin_loads = pack(units, tasks)
-        self.light_bins = [bins.get(g, [g % tasks])[0] for g in range(self.groups)]
         rows = [(*key, len(bins[key]), bins[key]) for key in (tuple(r[k] for k in keys) for r in heavy)]
         types = dict(loads.dtypes)
-        schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", n_shards int, bins array<int>"
+        schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", _n_shards int, _bins array<int>"
         self.heavy = spark.createDataFrame(rows, schema)
+        self.light = spark.createDataFrame([(g, bins.get(g, [g % tasks])[0]) for g in range(self.groups)], "_group int, _light int")
 
     def _group(self) -> Column:
         return F.pmod(F.xxhash64(*self.keys), F.lit(self.groups)).cast("int")
 
-    def _with_shards(self, df: DataFrame) -> DataFrame:
-        return df.join(F.broadcast(self.heavy), self.keys, "left")
+    def _with_bins(self, df: DataFrame) -> DataFrame:
+        return df.join(F.broadcast(self.heavy), self.keys, "left").withColumn("_group", self._group()).join(F.broadcast(self.light), "_group")
 
-    def _bin(self, shard: Column) -> Column:
-        light = F.element_at(F.array(*[F.lit(b) for b in self.light_bins]), self._group() + 1)
-        return F.coalesce(F.element_at("bins", shard + 1), light)
+    def _placed(self, df: DataFrame, shard: Column) -> DataFrame:
+        out = df.withColumn("shard", shard).withColumn("bin", F.coalesce(F.element_at("_bins", F.col("shard") + 1), "_light"))
+        return out.drop("_n_shards", "_bins", "_group", "_light")
 
     def fragment(self, df: DataFrame, by: Column) -> DataFrame:
         """`df` with columns shard and bin; rows of a heavy key are spread over its shards by `by`."""
-        shard = F.coalesce(F.pmod(F.xxhash64(by), F.col("n_shards").cast("long")).cast("int"), F.lit(0))
-        return self._with_shards(df).withColumn("shard", shard).withColumn("bin", self._bin(F.col("shard"))).drop("n_shards", "bins")
+        return self._placed(self._with_bins(df), F.coalesce(F.pmod(F.xxhash64(by), F.col("_n_shards").cast("long")).cast("int"), F.lit(0)))
 
     def replicate(self, df: DataFrame) -> DataFrame:
         """`df` with a copy of each row for every shard of its key, and the columns shard and bin."""
-        shards = F.sequence(F.lit(0), F.coalesce("n_shards", F.lit(1)) - 1)
-        return self._with_shards(df).withColumn("shard", F.explode(shards)).withColumn("bin", self._bin(F.col("shard"))).drop("n_shards", "bins")
+        return self._placed(self._with_bins(df), F.explode(F.sequence(F.lit(0), F.coalesce("_n_shards", F.lit(1)) - 1)))
 
 
-def long_form(raw_objects: DataFrame, fields: list[str]) -> DataFrame:
-    """A row (field, key_text, object_id, path, size_bytes) for each field of each row whose value is not null."""
+def long_form(raw_objects: DataFrame, fields: list[str], *columns: str) -> DataFrame:
+    """A row (field, key_text, *columns) for each field of each row, null values included."""
     pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("key_text")) for f in fields])
-    return raw_objects.select("object_id", "path", "size_bytes", F.explode(pairs).alias("k")).select("k.field", "k.key_text", "object_id", "path", "size_bytes").filter("key_text is not null")
+    return raw_objects.select(*columns, F.explode(pairs).alias("k")).select("k.field", "k.key_text", *columns)
 
 
 def key_profile(raw_objects: DataFrame, fields: list[str], tasks: int) -> DataFrame:
     """Per (field, key_text): n_rows, row_share, n_objects, n_bytes, n_drawings.
 
     n_rows counts repeated rows; row_share is its part of all rows, those with a
-    null key included; objects count once with their largest recorded size, a
-    null size as 0, and a null path as no drawing. An empty table gives no rows.
-    The matching side, the load of each key, is replicated to the shards of its
-    key and meets the objects there in one grouping, after one shuffle by bin.
+    null key included. An object under several paths is one object; its bytes
+    count once in each path, with the largest recorded size, a null size as 0. A
+    null id is no object and a null path no drawing. An empty table gives no
+    rows. Two scans: the first counts rows and drawings of each key, combined
+    before its shuffle; the second places the objects by these loads, whose rows
+    are replicated to the shards of their key and meet the objects there, after
+    one shuffle by bin.
     """
-    total = raw_objects.count()
-    rows = long_form(raw_objects, fields)
-    loads = rows.groupBy("field", "key_text").agg(F.count("*").alias("n_rows"))
+    counted = long_form(raw_objects, fields, "path").groupBy("field", "key_text", "path").agg(F.count("*").alias("n"))
+    loads = checkpoint(counted.groupBy("field", "key_text").agg(F.sum("n").alias("n_rows"), F.count("path").alias("n_drawings")))
+    total = loads.filter(F.col("field") == fields[0]).agg(F.sum("n_rows")).first()[0] or 0
+    loads = loads.filter("key_text is not null")
     layout = Layout(loads, ["field", "key_text"], "n_rows", tasks)
-    facts = layout.fragment(rows, F.col("object_id")).select("bin", "shard", "field", "key_text", "object_id", "path", "size_bytes", F.lit(None).cast("long").alias("n_rows"))
-    match = layout.replicate(loads).select("bin", "shard", "field", "key_text", F.lit(None).cast("long").alias("object_id"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("long").alias("size_bytes"), "n_rows")
-    placed = facts.unionByName(match).repartitionById(tasks, F.col("bin"))
-    objects = placed.groupBy("bin", "shard", "field", "key_text", "object_id", "path").agg(F.max("size_bytes").alias("size_bytes"), F.max("n_rows").alias("n_rows"))
-    per_drawing = objects.groupBy("field", "key_text", "path").agg(F.count("object_id").alias("n_objects"), F.sum(F.coalesce("size_bytes", F.lit(0))).alias("n_bytes"), F.max("n_rows").alias("n_rows"))
+    rows = long_form(raw_objects, fields, "object_id", "path", "size_bytes").filter("key_text is not null")
+    facts = layout.fragment(rows, F.col("object_id"))
+    placed = facts.unionByName(layout.replicate(loads), allowMissingColumns=True).repartitionById(tasks, F.col("bin"))
+    shard = ["bin", "shard", "field", "key_text"]
+    per_path = placed.groupBy(*shard, "object_id", "path").agg(F.max("size_bytes").alias("size_bytes"), F.max("n_rows").alias("n_rows"), F.max("n_drawings").alias("n_drawings"))
+    # all rows of an object are in one shard of its key, so these are whole objects
+    objects = per_path.groupBy(*shard, "object_id").agg(F.sum(F.coalesce("size_bytes", F.lit(0))).alias("n_bytes"), F.max("n_rows").alias("n_rows"), F.max("n_drawings").alias("n_drawings"))
     return (
-        per_drawing.groupBy("field", "key_text")
-        .agg(F.max("n_rows").alias("n_rows"), F.sum("n_objects").alias("n_objects"), F.sum("n_bytes").alias("n_bytes"), F.count("path").alias("n_drawings"))
+        objects.groupBy("field", "key_text")
+        .agg(F.max("n_rows").alias("n_rows"), F.count("object_id").alias("n_objects"), F.sum("n_bytes").alias("n_bytes"), F.max("n_drawings").alias("n_drawings"))
         .withColumn("row_share", F.col("n_rows") / F.lit(float(max(1, total))))
         .select("field", "key_text", "n_rows", "row_share", "n_objects", "n_bytes", "n_drawings")
     )

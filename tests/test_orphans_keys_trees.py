@@ -70,6 +70,13 @@ def test_profile_equals_brute_force(spark):
     assert hotkeys.key_profile(df.limit(0), ["kind"], 6).count() == 0
 
 
+def test_profile_of_an_object_under_two_paths(spark):
+    rows = [(1, "a", 5, "K", "x"), (1, "b", 7, "K", "x"), (1, "b", 6, "K", "x"), (2, "a", None, "K", "x"), (None, "a", 1, "K", "x"), (3, None, 2, None, "x")]
+    df = spark.createDataFrame(rows, "object_id bigint, path string, size_bytes bigint, kind string, shard string")
+    got = [tuple(r) for r in hotkeys.key_profile(df, ["kind"], 3).collect()]
+    assert got == [("kind", "K", 5, pytest.approx(5 / 6), 2, 13, 2)]
+
+
 NODES = "entity_id bigint, path string, handle bigint, owner_handle bigint, depth int, loaded_at timestamp, exit string, status int"
 
 
