@@ -21,7 +21,7 @@ ROOT, EXIT, CYCLE = 0, 1, 2
 
 #: Handles per fragment at the first level, as a power of two, and its growth per level.
 SHIFT, STEP = 13, 3
-#: Once no drawing has more quotient nodes than this, the next level takes drawings whole.
+#: Once no drawing has more quotient nodes than this, the next level takes drawings whole; the results don't depend on it.
 WHOLE = 500_000
 ROWS_PER_TASK = 400_000
 #: Path elements per emitted batch.
@@ -195,16 +195,18 @@ def _solve(chains: DataFrame, with_path: bool, shift: int) -> DataFrame:
     placed = quotient.repartition(tasks, F.col("path"), F.shiftright("handle", shift))
     solved = checkpoint(placed.mapInArrow(_next_level(with_path, shift), _CORE + ", chain array<bigint>" * with_path))
     solved = _solve(solved, with_path, shift).select("path", F.col("handle").alias("exit"), F.col("top").alias("_top"), F.col("dist").alias("_dist"), F.col("status").alias("_status"), *[F.col("chain").alias("_chain")] * with_path)
-    met = chains.join(solved, ["path", "exit"], "left")
+    # chains that end where they are need no partner, so the rows that meet are spread by their exits
+    met = chains.filter(F.col("exit").isNotNull()).join(solved, ["path", "exit"], "left")
     # an exit that is no node makes the end of the chain a root
     out = (
         met.withColumn("dist", F.col("dist") + F.coalesce(F.col("_dist") + 1, F.lit(0)))
         .withColumn("top", F.coalesce("_top", "top"))
-        .withColumn("status", F.when(F.col("exit").isNull(), F.col("status")).otherwise(F.coalesce("_status", F.lit(ROOT))))
+        .withColumn("status", F.coalesce("_status", F.lit(ROOT)))
     )
     if with_path:
         out = out.withColumn("chain", F.when(F.col("_chain").isNull(), F.col("chain")).otherwise(F.concat("_chain", "chain")))
-    return out.withColumn("exit", F.lit(None).cast("long")).drop("_top", "_dist", "_status", "_chain")
+    out = out.withColumn("exit", F.lit(None).cast("long")).drop("_top", "_dist", "_status", "_chain")
+    return out.unionByName(chains.filter(F.col("exit").isNull()))
 
 
 def hierarchy(entities: DataFrame, with_path: bool = False, shift: int = SHIFT) -> DataFrame:
