@@ -11,6 +11,8 @@ a name, or a derived field, by an expression. Schemas follow from the layouts.
 
 from __future__ import annotations
 
+import base64
+import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -30,9 +32,11 @@ HANDLE = "struct<code:tinyint,counter:tinyint,value:bigint>"
 TYPES = {
     "B": "boolean", "BB": "tinyint", "B3": "tinyint", "BS": "smallint", "BSu": "int", "BL": "int", "BLu": "bigint", "BLL": "bigint", "BD": "double",
     "RC": "smallint", "RS": "int", "RL": "bigint", "RD": "double", "H": HANDLE, "TV": "string", "BT": "double", "BE": P3,
-    "2BD": P2, "2RD": P2, "3BD": P3, "3RD": P3, "DATA": "binary", "RLDATA": "binary", "CHUNKS": "binary", "XLOOP": "array<struct<app:struct<code:tinyint,counter:tinyint,value:bigint>,data:binary>>",
+    "2BD": P2, "2RD": P2, "3BD": P3, "3RD": P3, "DATA": "binary", "RLDATA": "binary", "RCDATA": "binary", "BYTES": "binary", "CHUNKS": "binary", "XLOOP": "array<struct<app:struct<code:tinyint,counter:tinyint,value:bigint>,data:binary>>",
 }
 
+#: Lowest number of a class that a drawing names.
+FIRST_CLASS = 500
 #: Most elements a count may claim, whatever the remaining bits allow.
 MOST = 1_000_000
 MOST_XDATA = 256
@@ -123,10 +127,10 @@ class Layout:
         return _schema(self.fields)
 
     def read(self, r: BitReader, version: int) -> dict:
-        return _read(self.fields, r, {"v": version})
+        return _read(self.fields, r, {"v": version, "count": 1, "left": r.remaining})
 
     def write(self, w: BitWriter, version: int, record: dict) -> None:
-        _write(self.fields, w, {"v": version}, record)
+        _write(self.fields, w, {"v": version, "count": 1, "left": lambda: 64}, record)
 
 
 def _type(f: Field) -> str:
@@ -172,8 +176,8 @@ def _one(f: Field, r: BitReader, env: dict):
                 raise ValueError("too much extended data")
             out.append({"app": r.H(), "data": r.raw(n)})
         return out
-    if f.code in ("DATA", "RLDATA"):
-        n = r.BLu() if f.code == "DATA" else r.RL()
+    if f.code in ("DATA", "RLDATA", "RCDATA", "BYTES"):
+        n = r.BLu() if f.code == "DATA" else r.RL() if f.code == "RLDATA" else r.RC() if f.code == "RCDATA" else env["_bytes"]
         if 8 * n > r.remaining():
             raise BitsExhausted(f"{n} bytes at {r.at} of {r.size}")
         return r.raw(n)
@@ -226,7 +230,7 @@ def _write_many(f: Field, w: BitWriter, env: dict, values: list) -> None:
 
 def _write_one(f: Field, w: BitWriter, env: dict, value) -> None:
     if value is None and f.code not in ("{}", "{item}"):
-        value = {"H": {"code": 0, "counter": 0, "value": 0}, "TV": "", "DATA": b"", "CHUNKS": b""}.get(f.code, dict.fromkeys("xyz", 0.0) if f.code[0] in "23" else 0)
+        value = {"H": {"code": 0, "counter": 0, "value": 0}, "TV": "", "DATA": b"", "RCDATA": b"", "BYTES": b"", "CHUNKS": b""}.get(f.code, dict.fromkeys("xyz", 0.0) if f.code[0] in "23" else 0)
     if f.code == "{}":
         _write(f.sub, w, {**env}, value)
     elif f.code == "{item}":
@@ -248,8 +252,9 @@ def _write_one(f: Field, w: BitWriter, env: dict, value) -> None:
             w.H(x["app"])
             w.raw(bytes(x["data"]))
         w.BSu(0)
-    elif f.code in ("DATA", "RLDATA"):
-        (w.BLu if f.code == "DATA" else w.RL)(len(value or b""))
+    elif f.code in ("DATA", "RLDATA", "RCDATA", "BYTES"):
+        if f.code != "BYTES":
+            {"DATA": w.BLu, "RLDATA": w.RL, "RCDATA": w.RC}[f.code](len(value or b""))
         w.raw(bytes(value or b""))
     else:
         getattr(w, f.code)(value)
@@ -340,7 +345,7 @@ ENTITIES: dict[str, tuple[int, str]] = {
         "elevation:BD extrusion:3BD pattern_name:TV solid_fill:B associative:B "
         "paths:BLu[{flags:BLu has_bulges:B?flags&2 closed:B?flags&2 vertices:BLu[{point:2BD bulge:BD?has_bulges}]?flags&2 "
         "edges:BLu[{kind:RC line_start:2BD?kind==1 line_end:2BD?kind==1 center:2BD?(kind in(2,3)) radius:BD?kind==2 major:2BD?kind==3 ratio:BD?kind==3 start_angle:BD?(kind in(2,3)) end_angle:BD?(kind in(2,3)) ccw:B?(kind in(2,3)) "
-        "degree:BLu?kind==4 rational:B?kind==4 periodic:B?kind==4 _k:BLu?kind==4 _c:BLu?kind==4 knots:BD*((_k)if(kind==4)else(0)) controls:2BD*((_c)if(kind==4)else(0)) weights:BD*((_c)if(kind==4and(rational))else(0)) fits:BLu[2BD]?kind==4}]?not(flags&2) "
+        "degree:BLu?kind==4 rational:B?kind==4 periodic:B?kind==4 _k:BLu?kind==4 _c:BLu?kind==4 knots:BD*((_k)if(kind==4)else(0)) controls:2BD*((_c)if(kind==4)else(0)) weights:BD*((_c)if((kind==4)and(rational))else(0)) fits:BLu[2BD]?kind==4}]?not(flags&2) "
         "boundary_handles:BLu[H]}] pattern_style:BS pattern_angle:BD?not(solid_fill) pattern_scale:BD?not(solid_fill) pattern_double:B?not(solid_fill) "
         "pattern_lines:BS[{angle:BD base:2BD offset:2BD dashes:BS[BD]}]?not(solid_fill) pixel_size:BS seed_points:BLu[2BD] _style:H?v>=2007",
     ),
@@ -398,7 +403,7 @@ TABLES: dict[str, tuple[int, str]] = {
     "DIMSTYLE": (0x45, _HEADER + "dimscale:BD dimasz:BD dimexo:BD dimexe:BD dimtxt:BD dimcen:BD dimtfac:BD dimlfac:BD dimtih:B dimtoh:B dimtad:RC dimtolj:RC dimaltf:BD dimaltrnd:BD dimupt:B"),
 }
 OBJECTS: dict[str, str] = {
-    "DICTIONARY": "_n:BLu cloning_flag:BS hard_owner:RC entries:{name:TV handle:H}*_n",
+    "DICTIONARY": "_n:BLu cloning_flag:BS _hard:RC hard_owner=b|_hard!=0 entries:{name:TV handle:H}*_n",
     "XRECORD": "data:DATA cloning_flags:BS?v>=2000",
     "CONTROL": "num_entries:BLu",
     "ACAD_GROUP": "name:TV unnamed:B selectable:B member_handles:BLu[H]",
@@ -415,12 +420,33 @@ OBJECTS: dict[str, str] = {
     "edge_obscured_color:BS edge_color:BS edge_silhouette_color:BS",
     "CUSTOM_DICTIONARY": "entries:BS[{name:TV handle:H}]",
     "PROXY_OBJECT": "proxy_class_id:BLu raw_proxy_data:DATA handles:BLu[H]",
-    "XDATA": "app_handle:H items:BLu[{code:BS text:TV?(1000<=code<=1003) data:DATA?code==1004 handle:H?code==1005 point:3BD?(1010<=code<=1013) real:BD?(1020<=code<=1042) short:BS?code==1070 whole:BL?code==1071}]",
+    "XDATA": "app_handle:H items:BLu[{code:BS text:TV?(1000<=code<=1003) data:RCDATA?code==1004 handle:H?code==1005 point:3BD?(1010<=code<=1013) real:BD?(1020<=code<=1042) short:BS?code==1070 whole:BL?code==1071}]",
 }
+#: Records that stand inside others, behind what those have in common, or in a section of their own.
+PARTS: dict[str, str] = {
+    "CLASS_MAP_EXTENSION": "entries:{class_number:BSu proxy_flags:BSu app_name:TV cpp_class_name:TV dxf_record_name:TV was_zombie:B?v>=2000!False item_class_id:BSu}*count",
+    "PROXY_PASSTHROUGH": "proxy_class_id:BLu application_version:BLu data_size_bits:BLu _bytes=(data_size_bits+7)//8 raw_proxy_data:BYTES original_object_handle:H?(v>=2007)and(left()>=8)",
+    "DIMENSION_LINEAR_SUFFIX": "extension_line_1_origin:3BD extension_line_2_origin:3BD dim_line_definition_point:3BD rotation_radians:BD oblique_angle_radians:BD",
+    "DIMENSION_ALIGNED_SUFFIX": "extension_line_1_origin:3BD extension_line_2_origin:3BD dim_line_definition_point:3BD oblique_angle_radians:BD",
+    "DIMENSION_ANG2LN_SUFFIX": "extension_line_1a:3BD extension_line_1b:3BD extension_line_2a:3BD extension_line_2b:3BD",
+    "DIMENSION_ANG3PT_SUFFIX": "center:3BD first_extension_point:3BD second_extension_point:3BD",
+    "DIMENSION_ORDINATE_SUFFIX": "feature_location:3BD leader_endpoint:3BD flags:RC",
+    "DIMENSION_RADIUS_SUFFIX": "center_point:3BD first_arc_point:3BD leader_length:BD",
+    "DIMENSION_DIAMETER_SUFFIX": "center_point:3BD first_arc_point:3BD leader_length:BD",
+}
+# Class names, besides those that are a kind's own name.
+CLASS_NAMES: dict[str, str] = {
+    "RASTERIMAGE": "IMAGE", "MLEADER": "MULTILEADER", "ACDBMULTILEADER": "MULTILEADER", "ACDBEXTRUDEDSURFACE": "EXTRUDEDSURFACE", "ACDBREVOLVEDSURFACE": "REVOLVEDSURFACE",
+    "ACDBSWEPTSURFACE": "SWEPTSURFACE", "ACDBLOFTEDSURFACE": "LOFTEDSURFACE", "ACDBHELIX": "HELIX", "PDFUNDERLAY": "UNDERLAY", "ACDBPDFUNDERLAY": "UNDERLAY", "DWFUNDERLAY": "UNDERLAY",
+    "ACDBDWFUNDERLAY": "UNDERLAY", "DGNUNDERLAY": "UNDERLAY", "ACDBDGNUNDERLAY": "UNDERLAY", "ACDBWIPEOUT": "WIPEOUT", "ACDBSUBDMESH": "MESH", "ACDBMESH": "MESH", "MATERIAL": "ACAD_MATERIAL",
+    "PLOTSETTINGS": "ACAD_PLOTSETTINGS", "AEC_PROPERTY_SET": "ACAD_PROPERTYSET_DATA", "SCALE": "ACAD_SCALE", "VISUALSTYLE": "ACAD_VISUALSTYLE", "ACDBDICTIONARYWDFLT": "CUSTOM_DICTIONARY",
+} | {k: k for k in CLASS_ENTITIES}
+#: Kinds that begin with what stands before the fields of every entity.
+WITH_COMMON = (set(ENTITIES) | set(CLASS_ENTITIES)) - {"IMAGEDEF"}
 #: Versions from which on a record exists.
 SINCE = {"CAMERA": 2007, "SUN": 2007, "LIGHT": 2007, "GEODATA": 2010, "MULTILEADER": 2010, "MESH": 2010, "ACAD_MATERIAL": 2007, "ACAD_VISUALSTYLE": 2007}
 
-LAYOUTS: dict[str, Layout] = {k: Layout(t) for k, (_, t) in (ENTITIES | TABLES).items()} | {k: Layout(t) for k, t in (CLASS_ENTITIES | OBJECTS).items()}
+LAYOUTS: dict[str, Layout] = {k: Layout(t) for k, (_, t) in (ENTITIES | TABLES).items()} | {k: Layout(t) for k, t in (CLASS_ENTITIES | OBJECTS | PARTS).items()}
 
 
 def _finish_face(env: dict) -> dict:
@@ -428,7 +454,7 @@ def _finish_face(env: dict) -> dict:
     for k in ("_a", "_b", "_c"):
         d = env[k]
         p.append({c: p[-1][c] + d[c] for c in "xyz"} if d else p[-1])
-    return {"corners": p, "is_triangle": p[2] == p[3]}
+    return {"corners": p, "invisible_edges": env["invisible_edges"], "is_triangle": p[2] == p[3]}
 
 
 def _prepare_line(r: dict) -> dict:
@@ -465,7 +491,7 @@ def _prepare_face(r: dict) -> dict:
 PREPARE = {
     "LINE": _prepare_line, "TEXT": _prepare_text, "INSERT": _prepare_insert, "LWPOLYLINE": _prepare_polyline, "3DFACE": _prepare_face,
     "ATTRIB": lambda r: r | {"text": _prepare_text(r["text"])}, "ATTDEF": lambda r: r | {"text": _prepare_text(r["text"])},
-    "MLINE": lambda r: r | {"_n": len(r["vertices"])}, "DICTIONARY": lambda r: r | {"_n": len(r["entries"])}, "HATCH": lambda r: r | {"_g": int(bool(r.get("gradient")))},
+    "MLINE": lambda r: r | {"_n": len(r["vertices"])}, "DICTIONARY": lambda r: r | {"_n": len(r["entries"]), "_hard": int(bool(r["hard_owner"]))}, "HATCH": lambda r: r | {"_g": int(bool(r.get("gradient")))},
     "IMAGE": lambda r: r | {"_n": len(r["clip_boundary"])},
 }
 
@@ -491,7 +517,10 @@ def read(kind: str, r: BitReader, version: int) -> dict:
         env: dict = {"v": version}
         out = _read(LAYOUTS[kind].fields, r, env)
         return _finish_face(env) | out
-    return LAYOUTS[kind].read(r, version)
+    out = LAYOUTS[kind].read(r, version)
+    if kind == "CLASS_MAP_EXTENSION" and any(e["class_number"] < FIRST_CLASS for e in out["entries"]):
+        raise ValueError(f"a class below {FIRST_CLASS}")
+    return out
 
 
 def encode(kind: str, record: dict, version: int) -> bytes:
@@ -580,6 +609,50 @@ def decode_records(rows: DataFrame, kind: str, data: str = "raw", version: str =
     return rows.mapInArrow(run, out)
 
 
+def _plain(v):
+    """A decoded value for JSON: bytes in base 64, nulls of records left out."""
+    if isinstance(v, dict):
+        return {k: _plain(x) for k, x in v.items() if x is not None}
+    if isinstance(v, list):
+        return [_plain(x) for x in v]
+    return base64.b64encode(v).decode() if isinstance(v, bytes) else v
+
+
+def decode_all(rows: DataFrame, kind: str = "type_name", data: str = "raw", version: str = "version", at: str = "body_bit") -> DataFrame:
+    """`rows` with status, message, consumed_bits and record for records of all kinds, in one pass.
+
+    `kind` names the column with each record's kind; record is JSON as `to_json`
+    would write it (`from_json` with `schema(kind)` gives it back). Kinds without
+    a layout are 'unhandled', failures and null bytes 'error' rows. Columns of
+    `rows` with those names are replaced.
+    """
+    own = ["status", "message", "consumed_bits", "record"]
+    keep = [c for c in rows.columns if c not in own]
+    inner = ",".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema.fields)
+    out = inner + ", status string, message string, consumed_bits int, record string"
+    types = (pa.string(), pa.string(), pa.int32(), pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = []
+            for k, d, v, s in zip(*(batch.column(c).to_pylist() for c in (kind, data, version, at))):
+                rec, status, message, used = (decode_entity(k, d, v or 2018, s or 0)[1:] if k in WITH_COMMON else decode(k, d, v or 2018, s or 0)) if k else (None, "unhandled", None, 0)
+                got.append((status, message, used, None if rec is None else json.dumps(_plain(rec), ensure_ascii=False, separators=(",", ":"))))
+            cols = [pa.array([g[i] for g in got], t) for i, t in enumerate(types)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *cols], [*keep, *own])
+
+    return rows.mapInArrow(run, out)
+
+
+def with_kinds(objects: DataFrame, classes: DataFrame) -> DataFrame:
+    """`with_types`, where custom codes have the kind that the class map of their file (path, class_number, dxf_class_name) names; of two classes with one number the first by name counts."""
+    named = classes.groupBy("path", F.col("class_number").alias("type_code")).agg(F.min("dxf_class_name").alias("_class"))
+    table = objects.sparkSession.createDataFrame(list(CLASS_NAMES.items()), "_class string, _kind string")
+    custom = named.join(F.broadcast(table), "_class", "left").withColumn("_kind", F.coalesce("_kind", "_class")).drop("_class")
+    typed = with_types(objects).join(custom, ["path", "type_code"], "left")
+    return typed.withColumn("type_name", F.coalesce("_kind", "type_name")).withColumn("has_decoder", F.col("has_decoder") | F.col("type_name").isin(*LAYOUTS)).drop("_kind")
+
+
 def type_table(spark) -> DataFrame:
     """(type_code, type_name, type_class, has_decoder) of the fixed codes; a table of constant size."""
     rows = [(c, k, cls, CONTROL_KINDS.get(k, k) in LAYOUTS) for c, k, cls in TYPE_CODES]

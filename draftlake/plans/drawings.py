@@ -1,60 +1,24 @@
-"""Queries on drawing files: synthetic files for every row of the files table, through the source and the decoders."""
+"""Queries on drawing files: a file for every row of the files table, through the source and the decoders.
+
+The files come from `samples`, whose encoder shares nothing with the reader; the
+SQL states what it put into them.
+"""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from draftlake.functions import records
 from draftlake.operators import relational as R
+from draftlake.plans import samples as S
 from draftlake.runtime import checkpoint, load, tasks_for
 from draftlake.sources import container as C
 from draftlake.sources import drawing
 
-_P = lambda x, y, z=0.0: {"x": float(x), "y": float(y), "z": float(z)}
-_UP = _P(0, 0, 1)
-
-
-def _entity(k: int) -> tuple[str, dict]:
-    """The k-th entity of a synthetic drawing."""
-    n = float(k)
-    return (
-        ("LINE", {"is_2d": False, "start": _P(n, 1, 0), "end": _P(n + 3, 5, 0), "thickness": 0.0, "extrusion": _UP}),
-        ("CIRCLE", {"center": _P(n, 2), "radius": 1.0 + k % 7, "thickness": 0.0, "extrusion": _UP}),
-        ("ARC", {"center": _P(n, 3), "radius": 2.5, "thickness": 0.5, "extrusion": _UP, "start_angle": 0.0, "end_angle": math.pi / 2}),
-        ("POINT", {"position": _P(n, 4, 1), "thickness": 0.0, "extrusion": _UP, "x_axis_angle": 0.0}),
-        ("INSERT", {"insertion_point": _P(n, 5), "scale": _P(2, 2, 2), "rotation": 0.25, "extrusion": _UP, "has_attribs": False}),
-        ("LWPOLYLINE", {"vertices": [_P(n, 0), _P(n, 1), _P(n + 1, 1)], "bulges": [0.5, 0.0, 0.0], "vertex_ids": [], "widths": [], "closed": True, "elevation": None, "thickness": None, "extrusion": None, "constant_width": None}),
-        ("3DFACE", {"corners": [_P(n, 0), _P(n, 1), _P(n + 1, 1), _P(n + 1, 0)], "invisible_edges": 0, "is_triangle": False}),
-        ("TEXT", {"elevation": 0.0, "insertion_point": _P(n, 6), "alignment_point": None, "extrusion": _UP, "thickness": 0.0, "oblique_angle": 0.0, "rotation_angle": 0.0, "height": 2.5, "width_factor": 1.0, "text": f"note {k}", "generation": 0, "h_align": 0, "v_align": 0}),
-    )[k % 8]
-
-
-def synthetic(path: str, magic: str) -> bytes:
-    """A file of a drawing's version: entities for the paged ones (one in seventeen cut short), headers only for the others."""
-    version = C.VERSIONS.get(magic, 0)
-    seed = xxhash.xxh3_64_intdigest(path)
-    if version not in C.PAGED:
-        return magic.encode().ljust(6, b" ")[:6] + bytes(0x100)
-    stream, index = bytes(4), []
-    for k in range(8 + seed % 25):
-        kind, rec = _entity(k)
-        w = records.write_body(kind, rec, version, {"xdata": [], "color_index": k % 256, "ltype_scale": 1.0, "lineweight": 29})
-        index.append((16 + k, len(stream)))
-        stream += C.write_object(records.ENTITIES[kind][0], 16 + k, w, version)
-    classes = [{"class_number": 500, "version": 0, "app_name": "APP", "cpp_class_name": "AcDbWipeout", "dxf_class_name": "WIPEOUT", "was_a_proxy": False, "item_class_id": 498}]
-    data = C.build(
-        version,
-        {"AcDb:AcDbObjects": stream, "AcDb:Handles": C.write_handle_index(index), "AcDb:Classes": C.write_class_map(classes, version), "AcDb:SummaryInfo": C.write_summary_info({"title": path[-40:], "properties": [{"key": "seed", "value": str(seed % 1000)}]})},
-        codepage=30,
-    )
-    return data[: len(data) // 2] if seed % 17 == 0 else data
-
 
 def contents(spark: SparkSession, d: str) -> DataFrame:
     """(path, length, content) for every path of the files table."""
@@ -63,7 +27,7 @@ def contents(spark: SparkSession, d: str) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
-                made = [synthetic(p, v or "") for p, v in zip(part.column("path").to_pylist(), part.column("version").to_pylist())]
+                made = [S.content_of(p, v) for p, v in zip(part.column("path").to_pylist(), part.column("version").to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column("path"), pa.array(map(len, made), pa.int64()), pa.array(made, pa.binary())], ["path", "length", "content"])
 
     table = load(spark, d, "files").select("path", "version")
@@ -72,41 +36,124 @@ def contents(spark: SparkSession, d: str) -> DataFrame:
     return placed.groupBy("path").agg(F.max("version").alias("version")).mapInArrow(run, "path string, length bigint, content binary")
 
 
-def _table(name: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, d: drawing.tables_of(contents(spark, d), name)
-
-
 def _versions(df: DataFrame) -> DataFrame:
     return df.withColumn("version", F.expr("case version " + " ".join(f"when '{m}' then {v}" for m, v in C.VERSIONS.items()) + " end"))
 
 
 def objects_with_version(spark: SparkSession, d: str) -> DataFrame:
-    """Objects with the version of their file and the bytes of their body."""
+    """Objects with the version of their file, the kind by fixed codes and by the classes of the file, and the bytes of their body."""
     made = checkpoint(contents(spark, d))
     files = _versions(drawing.tables_of(made, "files")).select("path", "version")
-    return drawing.tables_of(made, "raw_objects").join(files, "path")
+    return records.with_kinds(drawing.tables_of(made, "raw_objects").join(files, "path"), drawing.tables_of(made, "classes"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+#: Tables of the source: the columns of the query, and how they are shown.
+_SHOWN = {
+    "sections": "name, kind, offset, size, compressed, encrypted",
+    "pages": "seq, number, size, file_offset, is_gap",
+    "section_pages": "section_name, page_number, data_size, start_offset",
+    "handle_map": "seq, handle, stream_offset",
+    "classes": "class_number, class_version, app_name, cpp_class_name, dxf_class_name, was_a_proxy, item_class_id",
+    "raw_objects": "stream_offset, size_bytes, type_code, handle, raw_md5, body_bit",
+    "summary_info": "title, subject, author, keywords, comments, last_saved_by, revision_number, hyperlink_base, total_edit_time, create_date, modified_date, property_key, property_value",
+    "app_info": "name, product_xml, app_version, comment, product",
+    "file_dependencies": "full_filename, found_path, fingerprint_guid, version_guid, feature_index, timestamp_, filesize, affects_graphics, reference_count, feature",
+    "previews": "overall_size, bmp, header",
+    "header_variables": "valid_mark, size_in_bits, body",
+}
+_AS = {
+    "raw_objects": {"handle": "handle.value", "raw_md5": "md5(raw)"},
+    "summary_info": {"total_edit_time": "lower(hex(total_edit_time_raw))", "create_date": "lower(hex(create_date_raw))", "modified_date": "lower(hex(modified_date_raw))", "property_key": "properties[0].key", "property_value": "properties[0].value"},
+    "classes": {"class_version": "version"},
+    "app_info": {"app_version": "version"},
+    "file_dependencies": {"timestamp_": "timestamp"},
+    "previews": {"bmp": "lower(hex(bmp))", "header": "lower(hex(header))"},
+    "header_variables": {"body": "lower(hex(body))"},
+}
+
+
+def _table(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    columns = _SHOWN[name].split(", ")
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return drawing.tables_of(contents(spark, d), name).selectExpr("path", *[f"{_AS.get(name, {}).get(c, c)} as {c}" for c in columns])
+
+    return run
+
+
+def _values(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join(map(S._literal, r)) + ")" for r in rows)
+
+
+def _of_variant(table: str) -> list[tuple]:
+    return [(m, k, *row) for m, v in S.VERSIONS.items() for k in range(S.CONTENTS) for row in S.drawing(v, k)[1][table]]
+
+
+_OLD = ("AC1014", "AC1015")
+for _t, _columns in _SHOWN.items():
+    QUERIES[f"s_{_t}"] = _table(_t)
+    SQL[f"s_{_t}"] = S.expected_sql(_t, _columns.replace("offset, size", '"offset", size'))
+_SECTIONS = _SHOWN["sections"].replace("offset", '"offset"')
+# a file without its page map names the sections of its headers, one of before 2004 those of its locators
+SQL["s_sections"] += f" union all select path, {_SECTIONS} from {S.FILES} f join (values {_values(_of_variant('broken_sections'))}) t(version_, k_, {_SECTIONS}) on version = version_ and k = k_ where broken"
+SQL["s_sections"] += f" union all select path, {_SECTIONS} from {S.FILES} f join (values {_values([(m, *r) for m in _OLD for r in S.old_drawing(m)[1]])}) t(version_, {_SECTIONS}) on version = version_"
+SQL["s_header_variables"] += f" union all select path, false, 0, '' from {S.FILES} f where version in {_OLD}"
+
+
+def s_files(spark: SparkSession, d: str) -> DataFrame:
+    return drawing.tables_of(contents(spark, d), "files")
+
+
+_LENGTHS = [(m, k, len(S.drawing(v, k)[0])) for m, v in S.VERSIONS.items() for k in range(S.CONTENTS)]
+SQL["s_files"] = (
+    f"select path, n as length, version, k as maint_version, 30 as codepage, 'Full' as section_map_status, null as reason from {S.FILES} f join (values {_values(_LENGTHS)}) t(version_, k_, n) on version = version_ and k = k_ where not broken "
+    f"union all select path, n, version, maint, page, status, reason from {S.FILES} f join (values {_values([(m, k, *r) for m, k, *r in _of_variant('broken')])}) t(version_, k_, n, magic, maint, page, status, reason) on version = version_ and k = k_ where broken "
+    f"union all select path, n, version, 1, 29, case version when 'AC1021' then 'Deferred' else 'Full' end, case version when 'AC1021' then '2007 header' end from {S.FILES} f join (values {_values([(m, len(S.old_drawing(m)[0])) for m in (*_OLD, 'AC1021')])}) t(version_, n) on version = version_"
+)
+QUERIES["s_files"] = s_files
 
 
 def decoded(kind: str) -> Callable[[SparkSession, str], DataFrame]:
-    """Typed records of a kind; the body begins at a bit of the record, so the decoder gets record and bit."""
+    """Typed records of a kind, shown as JSON; the body begins at a bit of the record, so the decoder gets record and bit."""
 
     def run(spark: SparkSession, d: str) -> DataFrame:
-        rows = objects_with_version(spark, d).filter(F.col("type_code") == records.ENTITIES[kind][0])
-        return records.decode_records(rows.select("path", F.col("handle.value").alias("handle"), "version", "raw", "body_bit"), kind, at="body_bit", common=True).select("path", "handle", "status", "message", "common.color_index", "rec.*")
+        own = "CONTROL" if kind == "CONTROL" else kind
+        wanted = F.col("type_name") == kind if kind != "CONTROL" else F.col("type_name").isin(*records.CONTROL_KINDS)
+        rows = objects_with_version(spark, d).filter(wanted).select("path", F.col("handle.value").alias("handle"), "version", "raw", "body_bit")
+        return records.decode_records(rows, own, at="body_bit", common=kind in records.WITH_COMMON).select("path", "handle", "status", F.to_json("rec").alias("record"))
 
     return run
 
 
-def s_coverage(spark: SparkSession, d: str) -> DataFrame:
-    """What decodes of every kind, by version."""
-    typed = checkpoint(records.with_types(objects_with_version(spark, d).filter("raw is not null").select("type_code", "version", "raw", "body_bit")))
-    parts = [records.decode_records(typed.filter(F.col("type_name") == k).select("type_name", "version", "raw", "body_bit"), k, at="body_bit", common=True).select("type_name", "version", "status") for k in ("LINE", "CIRCLE", "ARC", "POINT", "INSERT", "LWPOLYLINE", "3DFACE", "TEXT")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return R.coverage(out, ["type_name", "version"])
+def decoded_part(kind: str) -> Callable[[SparkSession, str], DataFrame]:
+    """Records that stand inside others."""
 
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        rows = [(v, k, S.part_record(kind, v, k)[0]) for v in S.VERSIONS.values() for k in range(S.CONTENTS)]
+        parts = F.broadcast(spark.createDataFrame(rows, "version int, k int, raw binary"))  # a row per version and content
+        files = _versions(load(spark, d, "files").groupBy("path").agg(F.max("version").alias("version"))).withColumn("k", F.length("path") % S.CONTENTS)
+        return records.decode_records(files.join(parts, ["version", "k"]), kind).select("path", "status", F.to_json("rec").alias("record"))
 
-QUERIES = {f"s_{t}": _table(t) for t in drawing.SCHEMAS} | {f"s_decoded_{k.lower()}": decoded(k) for k in ("LINE", "CIRCLE", "ARC", "POINT", "INSERT", "LWPOLYLINE", "3DFACE", "TEXT")} | {"s_coverage": s_coverage}
+    return run
 
-SQL: dict[str, str] = {}
+
+for _k in dict.fromkeys(s.kind for s in S.SAMPLES):
+    _part = any(s.kind == _k and s.family == "part" for s in S.SAMPLES)
+    QUERIES[f"s_decoded_{_k.lower()}"] = decoded_part(_k) if _part else decoded(_k)
+    SQL[f"s_decoded_{_k.lower()}"] = S.part_sql(_k) if _part else S.records_sql(_k)
+
+
+def s_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """What decodes of every kind, by version, in one pass over all objects."""
+    typed = objects_with_version(spark, d).filter("raw is not null").select("type_name", "version", "raw", "body_bit")
+    return R.coverage(records.decode_all(typed).select("type_name", "version", "status"), ["type_name", "version"])
+
+
+_KINDS = [(m, v, k, "LAYER_CONTROL" if own == "CONTROL" else own) for m, v in S.VERSIONS.items() for k in range(S.CONTENTS) for _, own, _ in S.drawing(v, k)[1]["records"]]
+QUERIES["s_coverage"] = s_coverage
+SQL["s_coverage"] = (
+    f"select type_name, v as version, count(*) as decoded, 0 as unhandled, 0 as errored, count(*) as total, 1.0::double as decoded_ratio from {S.FILES} f join (values {_values(_KINDS)}) t(version_, v, k_, type_name) on version = version_ and k = k_ where not broken group by type_name, v"
+)

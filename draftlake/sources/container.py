@@ -27,6 +27,7 @@ LOCATOR_NAMES = {0: "AcDb:Header", 1: "AcDb:Classes", 2: "AcDb:Handles", 3: "AcD
 FILE_ID = b"AcFssFcAJMB\0"
 DATA_PAGE, PAGE_MAP, SECTION_MAP = 0x4163043B, 0x41630E3B, 0x4163003B
 FIRST_PAGE = 0x100
+SYSTEM = "system_section"
 MAX_HANDLES, MAX_CLASSES, HANDLE_BLOCK = 1_000_000, 4096, 2032
 
 
@@ -110,6 +111,33 @@ def section_map(content: bytes, header: dict, pages: list[dict]) -> list[dict]:
     return out
 
 
+def first_page(content: bytes) -> dict | None:
+    """What the masked header of the page behind the file's header tells, or None where its tag is no known one."""
+    if len(content) < FIRST_PAGE + 32:
+        return None
+    tag, number, size = codecs.words(codecs.mask_words(content[FIRST_PAGE : FIRST_PAGE + 32], FIRST_PAGE), 3)
+    name = {PAGE_MAP: "SystemSection(PageMap)", SECTION_MAP: "SystemSection(SectionMap)", DATA_PAGE: f"DataPage(decomp={number})"}.get(tag)
+    return name and {"name": name, "kind": "unknown" if tag == DATA_PAGE else SYSTEM, "offset": FIRST_PAGE + 32, "size": size, "compressed": 2, "encrypted": 1, "pages": []}
+
+
+def stub_sections(content: bytes, header: dict | None) -> list[dict]:
+    """Sections that the headers alone name, with a size of 0, for files whose section map can't be read."""
+    if header is None:
+        return []
+    word = lambda at: int.from_bytes(content[at : at + 4], "little")
+    seeker, whole = word(0x0D), len(content)
+    known = (
+        ("SectionPageMap", SYSTEM, header["page_map_addr"] + FIRST_PAGE, 2, True),
+        ("AcDb:SummaryInfo", "summary_info", word(0x20) + 32, 1, word(0x20) != 0),
+        ("AcDb:VBAProject", "vba_project", word(0x24) + 32, 1, word(0x24) != 0),
+        ("AcDb:Preview", "preview", seeker + 32, 1, 0 < seeker < whole),
+        ("SecondHeader", SYSTEM, header["second_header"], 1, 0 < header["second_header"] < whole),
+    )
+    out = [{"name": n, "kind": kind, "offset": at, "size": 0, "compressed": how, "encrypted": 0, "pages": []} for n, kind, at, how, there in known if there]
+    sniffed = first_page(content)
+    return out + ([sniffed] if sniffed else [])
+
+
 def locator_sections(content: bytes) -> list[dict]:
     """Sections of the versions before 2004: records of 9 bytes from 0x19."""
     count = int.from_bytes(content[0x15:0x19], "little")
@@ -160,6 +188,7 @@ class Drawing:
         self.sections: list[dict] = []
         self.status, self.reason = "Full", None
         if self.number in PAGED:
+            masked = None
             try:
                 masked = masked_header(content)
                 self.pages = page_map(content, masked)
@@ -168,6 +197,7 @@ class Drawing:
                     raise ContainerError("no sections")
             except (ContainerError, codecs.Lz77Error) as e:
                 self.status, self.reason = "Fallback", str(e)
+                self.sections = stub_sections(content, masked)
         elif self.number == 2007:
             self.status, self.reason = "Deferred", "2007 header"
         else:
@@ -404,6 +434,11 @@ def write_summary_info(info: dict) -> bytes:
 
 def build(version: int, sections: dict[str, bytes], maint_version: int = 0, codepage: int = 30, page_size: int = 0x7400) -> bytes:
     """A file of the paged family from section payloads, in the order of their names; names must be known ones."""
+    return build_with_places(version, sections, maint_version, codepage, page_size)[0]
+
+
+def build_with_places(version: int, sections: dict[str, bytes], maint_version: int = 0, codepage: int = 30, page_size: int = 0x7400) -> tuple[bytes, dict]:
+    """`build`, and where everything was put."""
     if version not in PAGED:
         raise ContainerError(f"files of version {version} can't be written")
     unknown = [n for n in sections if n not in SECTIONS]
@@ -456,4 +491,16 @@ def build(version: int, sections: dict[str, bytes], maint_version: int = 0, code
     head[0x0B] = maint_version
     head[0x13:0x15] = codepage.to_bytes(2, "little")
     head[0x80:0xEC] = codecs.xor(bytes(block), codecs.magic())
-    return bytes(head) + body + map_page
+    sizes = [(n, len(p)) for n, p in pages] + [(info_id, len(section_page)), (map_id, len(map_page))]
+    starts = [FIRST_PAGE + sum(n for _, n in sizes[:i]) for i in range(len(sizes))]
+    refs_of = [(name, *r) for name, _, _, _, refs in described for r in refs]
+    by_number = {n: s for (n, _), s in zip(sizes, starts)}
+    places = {
+        "pages": [(i, n, size, start, False) for i, ((n, size), start) in enumerate(zip(sizes, starts))],
+        "section_pages": refs_of,
+        "first": {name: by_number[refs[0][0]] if refs else 0 for name, _, _, _, refs in described},
+        "page_map": starts[-1],
+        "first_number": described[0][3] if described else 0,
+        "first_size": refs_of[0][2] if refs_of else 0,
+    }
+    return bytes(head) + body + map_page, places

@@ -3,7 +3,8 @@
     spark.dataSource.register(DrawingSource)
     spark.read.format("drawing").option("path", "/drawings").option("table", "raw_objects").load()
 
-Each file is one partition's work; files are never gathered. Options: table
+Files are read in groups of about the same bytes, or, through `read`, by the
+`binaryFile` source, which also reads object stores. Options: table
 (files, sections, pages, section_pages, handle_map, classes, raw_objects,
 summary_info), mode (PERMISSIVE keeps failures as rows, FAILFAST raises),
 maxFileBytes and maxSectionBytes.
@@ -15,7 +16,7 @@ import os
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from draftlake.functions import codecs
@@ -75,7 +76,7 @@ def rows_of(table: str, path: str, content: bytes | None, length: int, strict: b
         first = {p["number"]: p["file_offset"] for p in reversed(d.pages) if not p["is_gap"]}
         for s in d.sections:
             offset = s.get("offset", first.get(s["pages"][0]["page_number"], 0) if s["pages"] else 0)
-            yield path, s["name"], C.SECTIONS.get(s["name"], "unknown"), offset, s["size"], s["compressed"] == 2, s["encrypted"] == 1
+            yield path, s["name"], s.get("kind") or C.SECTIONS.get(s["name"], "unknown"), offset, s["size"], s["compressed"] == 2, s["encrypted"] == 1
     elif table == "pages":
         for p in d.pages:
             yield path, p["seq"], p["number"], p["size"], p["file_offset"], p["is_gap"]
@@ -113,33 +114,48 @@ def _decoded(table: str, path: str, d: C.Drawing, limit: int) -> Iterator[tuple]
                 yield (path, *row.values())
 
 
-class _File(InputPartition):
-    def __init__(self, path: str, size: int):
-        super().__init__(path)
-        self.path, self.size = path, size
+class _Files(InputPartition):
+    def __init__(self, files: list[tuple[str, int]]):
+        super().__init__(len(files))
+        self.files = files
+
+
+#: Bytes and files in one partition of the source: many small files share a task.
+GROUP_BYTES, GROUP_FILES = 64 << 20, 2_000
 
 
 class DrawingReader(DataSourceReader):
     def __init__(self, options: dict, table: str):
         self.options, self.table = options, table
 
-    def partitions(self) -> list[_File]:
+    def partitions(self) -> list[_Files]:
         root = self.options["path"]
         if os.path.isfile(root):
             found = [root]
         else:
             found = sorted(os.path.join(d, f) for d, _, fs in os.walk(root) for f in fs if f.lower().endswith(".dwg"))
-        return [_File(p, os.path.getsize(p)) for p in found] or [_File("", 0)]
-
-    def read(self, partition: _File) -> Iterator[tuple]:
-        if not partition.path:
-            return
+        groups: list[list[tuple[str, int]]] = [[]]
+        size = 0
+        for path in found:
+            own = os.path.getsize(path)
+            if groups[-1] and (size + own > GROUP_BYTES or len(groups[-1]) >= GROUP_FILES):
+                groups.append([])
+                size = 0
+            groups[-1].append((path, own))
+            size += own
+        return [_Files(g) for g in groups]
+
+    def read(self, partition: _Files) -> Iterator[tuple]:
+        for path, size in partition.files:
+            yield from self._rows(path, size)
+
+    def _rows(self, path: str, size: int) -> Iterator[tuple]:
         content = None
-        if partition.size <= int(self.options.get("maxfilebytes", MAX_FILE)):
-            with open(partition.path, "rb") as f:
+        if size <= int(self.options.get("maxfilebytes", MAX_FILE)):
+            with open(path, "rb") as f:
                 content = f.read()
         strict = self.options.get("mode", "PERMISSIVE").upper() == "FAILFAST"
-        for row in rows_of(self.table, partition.path, content, partition.size, strict, int(self.options.get("maxsectionbytes", codecs.MAX_OUTPUT))):
+        for row in rows_of(self.table, path, content, size, strict, int(self.options.get("maxsectionbytes", codecs.MAX_OUTPUT))):
             yield tuple((v["code"], v["counter"], v["value"]) if isinstance(v, dict) else [(p["key"], p["value"]) for p in v] if isinstance(v, list) else v for v in row)
 
 
@@ -163,8 +179,14 @@ class DrawingSource(DataSource):
         return DrawingReader({k.lower(): v for k, v in dict(self.options).items()}, self._table())
 
 
+def read(spark: SparkSession, path: str, table: str, **limits) -> DataFrame:
+    """One table of all drawings below a path, local or in an object store; Spark groups small files into tasks."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[dD][wW][gG]").load(path)
+    return tables_of(files, table, **limits)
+
+
 def tables_of(files: DataFrame, table: str, strict: bool = False, max_file: int = MAX_FILE, max_section: int = codecs.MAX_OUTPUT) -> DataFrame:
-    """One table of a DataFrame (path, length, content), as `spark.read.format("binaryFile")` gives it. Null contents are files that fail."""
+    """One table of a DataFrame (path, length, content), as `spark.read.format("binaryFile")` gives it. Null contents are files that fail, a null length is that of the content."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -174,6 +196,7 @@ def tables_of(files: DataFrame, table: str, strict: bool = False, max_file: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, length, content in zip(*(batch.column(c).to_pylist() for c in ("path", "length", "content"))):
+                length = len(content or b"") if length is None else length
                 rows = list(rows_of(table, path, content if length <= max_file else None, length, strict, max_section))
                 for at in range(0, len(rows), 10_000):
                     cols = list(zip(*rows[at : at + 10_000]))

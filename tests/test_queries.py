@@ -12,8 +12,8 @@ from draftlake.plans import registry
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
-#: One of each family; all run against SQL at a larger size outside of the tests.
-SOME = ["p2_found", "p2_by_month", "p3_profile", "p4_found", "p4_paths", "q_coverage", "q_type_names", "q_lines_by_handle", "q_running_offset", "q_free_handles", "q_transform", "q_axes", "q_bulge", "q_page_checksum", "q_dashes", "q_expand", "q_dxf_pairs", "q_stream_sessions"]
+#: Every query with SQL but those of record kinds, of which one of each family runs.
+SOME = [q for q in registry.SQL if not q.startswith("s_decoded_")] + [f"s_decoded_{k}" for k in ("hatch", "mesh", "ltype", "dictionary", "xdata")]
 
 
 def norm(v):
