@@ -180,7 +180,7 @@ class DrawingSource(DataSource):
 
 
 def read(spark: SparkSession, path: str, table: str, **limits) -> DataFrame:
-    """One table of all drawings below a path, local or in an object store; Spark groups small files into tasks."""
+    """One table of all drawings below a path, local or in an object store; Spark groups small files into tasks and leaves out empty ones."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[dD][wW][gG]").load(path)
     return tables_of(files, table, **limits)
 
