@@ -5,6 +5,11 @@ the picked tokens of both sides are joined, and around each hit the diagonal of
 the two texts is checked for a long stretch with few substitutions. The masks
 are such that every stretch of the least length with the most substitutions
 allowed has a hit (tests go through all cases).
+
+One scan of the documents whatever the number of items: a Bloom filter of the
+items' hashes, of a fixed largest size, decides which places leave the scan, as
+short segments of tokens around them. All else are joins of these segments with
+the items; nothing comes to the driver but the filter's bits.
 """
 
 from __future__ import annotations
@@ -20,24 +25,25 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from draftlake.runtime import checkpoint, tasks_for
+
 #: A stretch has at least so many tokens, of which at most one in TENTH is altered.
 WORDS, CHARS, TENTH = 20, 30, 10
 WORD_MASKS = ((0, 1, 4, 6, 7, 8, 9, 12), (0, 1, 2, 3, 4, 5, 6, 7))
 CHAR_MASKS = ((0, 1, 2, 3, 4, 5, 6, 7, 8, 9), (0, 1, 2, 4, 5, 7, 8, 9, 10, 11))
 #: Languages without spaces, whose stretches are counted in characters.
 SPACELESS = ("ja", "zh")
-#: Characters of evaluation texts in one block; a larger set is searched block by block.
-BLOCK = 8_000_000
+#: Bits of the filter per hash of the items, as far as the whole has at most 2**MOST_BITS; FEWEST at least.
+BITS_PER_HASH, MOST_BITS, FEWEST_BITS, PROBES = 64, 28, 16, 4
+#: Hashes of the items up to which they are broadcast to the join (16 bytes each); more are joined by a shuffle.
+BROADCAST_HASHES = 2_000_000
+ROWS_PER_TASK = 20_000
 LINES, LONG_LINE = 100_000, 2_000
-#: Cells of one verification step.
-CELLS = 4_000_000
-
 _LINK = regex.compile(r"\[\[(?:[^\[\]|]*\|)*([^\[\]|]*)\]\]")
 _URL = regex.compile(r"\[(?:https?:)?//\S*\s?")
 _INLINE = regex.compile(r"(?i)</?(?:b|i|u|s|em|strong|small|big|sup|sub|span|font|tt|code|nowiki|mark|abbr)(?:\s[^<>]*)?/?>")
 _TAG = regex.compile(r"</?[a-zA-Z][^<>]*>")
 _MARKS = regex.compile(r"[\p{P}\p{S}\p{Cf}]+")
-_CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]{4}")
 
 
 def plain(line: str) -> str:
@@ -67,26 +73,33 @@ def _hash(word: str) -> int:
     return xxhash.xxh3_64_intdigest(word) | 2
 
 
-class Lines:
-    """Token hashes of lines, kept for lines that come again."""
+class Tokens:
+    """Word hashes and characters of lines, both from one reading, kept for lines that come again."""
 
-    def __init__(self):
-        self.words: dict[str, int] = {}
-        self.seen: dict[str, np.ndarray] = {}
+    def __init__(self, words: bool, chars: bool):
+        self.words, self.chars = words, chars
+        self.hashes: dict[str, int] = {}
+        self.seen: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
-    def __call__(self, line: str) -> np.ndarray:
+    def _hashes(self, words: list[str]) -> np.ndarray:
+        out, get = [], self.hashes.get
+        for w in words:
+            h = get(w)
+            if h is None:
+                if len(self.hashes) > 1_000_000:
+                    self.hashes.clear()
+                h = self.hashes[w] = _hash(w)
+            out.append(h)
+        return np.array(out, np.uint64)
+
+    def __call__(self, line: str) -> tuple[np.ndarray, np.ndarray]:
         known = self.seen.get(line)
         if known is None:
-            get = self.words.get
-            out = []
-            for w in words_of(line):
-                h = get(w)
-                if h is None:
-                    if len(self.words) > 1_000_000:
-                        self.words.clear()
-                    h = self.words[w] = _hash(w)
-                out.append(h)
-            known = np.array(out, np.uint64)
+            words = words_of(line)
+            known = (
+                self._hashes(words) if self.words else _NONE,
+                np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(2) if self.chars else _NONE,
+            )
             if len(line) <= LONG_LINE:
                 if len(self.seen) >= LINES:
                     self.seen.clear()
@@ -94,16 +107,7 @@ class Lines:
         return known
 
 
-class Chars(Lines):
-    def __call__(self, line: str) -> np.ndarray:
-        known = self.seen.get(line)
-        if known is None:
-            known = np.frombuffer(chars_of(line).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(2)
-            if len(line) <= LONG_LINE:
-                if len(self.seen) >= LINES:
-                    self.seen.clear()
-                self.seen[line] = known
-        return known
+_NONE = np.empty(0, np.uint64)
 
 
 def _join(parts: list[list[np.ndarray]], separator: int) -> tuple[np.ndarray, np.ndarray]:
@@ -130,126 +134,164 @@ def seeds(tokens: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
     return h
 
 
-class Index:
-    """Seeds of the evaluation texts of one kind (words or characters)."""
-
-    def __init__(self, texts: list[tuple[int, list[np.ndarray]]], masks: tuple[tuple[int, ...], ...], least: int):
-        texts = [(i, a) for i, a in texts if sum(map(len, a)) >= least]
-        self.items = np.array([i for i, _ in texts], np.int64)
-        self.tokens, self.starts = _join([a for _, a in texts], 0)
-        self.masks, self.least, self.tables = masks, least, []
-        for mask in masks:
-            h = seeds(self.tokens, mask)
-            where = np.arange(len(h))
-            text = np.searchsorted(self.starts, where, side="right") - 1
-            inside = where + mask[-1] < self.starts[text + 1] - 1 if len(h) else np.empty(0, bool)
-            h, where = h[inside], where[inside]
-            order = np.argsort(h, kind="stable")
-            bits = np.zeros(1 << 22, bool)
-            bits[(h >> np.uint64(42)).astype(np.int64)] = True
-            self.tables.append((h[order], where[order], bits))
-
-    def hits(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places (in tokens, in the index) of equal seeds."""
-        here, there = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for mask, (table, where, bits) in zip(self.masks, self.tables):
-            h = seeds(tokens, mask)
-            if not len(h) or not len(table):
-                continue
-            at = np.flatnonzero(bits[(h >> np.uint64(42)).astype(np.int64)])
-            lo, hi = np.searchsorted(table, h[at], "left"), np.searchsorted(table, h[at], "right")
-            n = hi - lo
-            here.append(np.repeat(at, n))
-            there.append(where[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)])
-        return np.concatenate(here), np.concatenate(there)
-
-    def matches(self, tokens: np.ndarray, starts: np.ndarray) -> set[tuple[int, int]]:
-        """(text, item) of the texts in `tokens` that hold a stretch of an item."""
-        at, to = self.hits(tokens)
-        if not len(at):
-            return set()
-        doc = np.searchsorted(starts, at, side="right") - 1
-        text = np.searchsorted(self.starts, to, side="right") - 1
-        runs = np.unique(np.stack([doc, text, at - to], 1), axis=0)
-        found: set[tuple[int, int]] = set()
-        length = self.starts[runs[:, 1] + 1] - 1 - self.starts[runs[:, 1]]
-        runs, length = runs[np.argsort(length, kind="stable")], np.sort(length)
-        i = 0
-        while i < len(runs):
-            j = i + max(1, CELLS // max(1, int(length[min(i + CELLS // 64, len(runs) - 1)])))
-            part = runs[i:j]
-            good = self._verify(tokens, starts, part, int(length[min(j, len(runs)) - 1]))
-            found.update(zip(part[good, 0].tolist(), self.items[part[good, 1]].tolist()))
-            i = j
-        return found
-
-    def _verify(self, tokens: np.ndarray, starts: np.ndarray, runs: np.ndarray, width: int) -> np.ndarray:
-        """Which diagonals hold a stretch of the least length with at most one in TENTH altered."""
-        doc, text, diagonal = runs[:, 0], runs[:, 1], runs[:, 2]
-        there = self.starts[text][:, None] + np.arange(width)[None, :]
-        here = there + diagonal[:, None]
-        inside = (there < (self.starts[text + 1] - 1)[:, None]) & (here >= starts[doc][:, None]) & (here < (starts[doc + 1] - 1)[:, None])
-        same = self.tokens[np.minimum(there, len(self.tokens) - 1)] == tokens[np.clip(here, 0, len(tokens) - 1)]
-        # a stretch is good where its length is at least TENTH times its alterations
-        step = np.where(inside, np.where(same, 1, 1 - TENTH), -(10**6))
-        score = np.concatenate([np.zeros((len(runs), 1), np.int64), np.cumsum(step, 1)], 1)
-        if width < self.least:
-            return np.zeros(len(runs), bool)
-        lowest = np.minimum.accumulate(score[:, : width + 1 - self.least], 1)
-        return (score[:, self.least :] >= lowest).any(1)
-
-
-def build(rows: list[tuple[int, str, str]]) -> tuple[Index, Index]:
-    """Word and character index of (item_id, lang, text) rows."""
-    lines, chars = Lines(), Chars()
-    spaced = [(i, [lines(x) for x in t.split("\n")]) for i, lang, t in rows if lang not in SPACELESS]
-    packed = [(i, [chars(x) for x in t.split("\n")]) for i, lang, t in rows if lang in SPACELESS]
-    return Index(spaced, WORD_MASKS, WORDS), Index(packed, CHAR_MASKS, CHARS)
+#: Kinds of tokens: masks and least length of a stretch.
+KINDS = ((WORD_MASKS, WORDS), (CHAR_MASKS, CHARS))
 
 
-@lru_cache(maxsize=1)
-def _worker_lines() -> tuple[Lines, Chars]:
-    return Lines(), Chars()
+def hashes_of(tokens: np.ndarray, kind: int, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, places) of a row of texts under the masks of a kind; `inside` numbers the text of each token, so that no window spans two."""
+    hashes, places = [_NONE], [np.empty(0, np.int64)]
+    for m, mask in enumerate(KINDS[kind][0]):
+        h = seeds(tokens, mask)
+        if len(h):
+            at = np.flatnonzero(inside[: len(h)] == inside[mask[-1] :])
+            hashes.append(h[at] ^ np.uint64(0x5851F42D4C957F2D * (2 * kind + m + 1) & (2**64 - 1)))
+            places.append(at)
+    return np.concatenate(hashes), np.concatenate(places)
+
+
+def _probes(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Places of hashes in a filter of 2**bits bits."""
+    step = (hashes >> np.uint64(32)) | np.uint64(1)
+    return [((hashes + step * np.uint64(i)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits) for i in range(PROBES)]
+
+
+def _may_be_in(hashes: np.ndarray, words: np.ndarray, bits: int) -> np.ndarray:
+    """Which hashes the filter (64 bits a word) may hold."""
+    at = np.arange(len(hashes))
+    for i in range(PROBES):
+        p = _probes(hashes[at], bits)[i]
+        at = at[(words[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1]
+    return at
+
+
+def _signed(a: np.ndarray) -> pa.Array:
+    return pa.array(a.view(np.int64), pa.int64())
+
 
+def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    read = Tokens(True, True)
+    for batch in batches:
+        rows: list[tuple] = []
+        for item, lang, text in zip(*(batch.column(c).to_pylist() for c in ("item_id", "lang", "t"))):
+            kind = int(lang in SPACELESS)
+            tokens = np.concatenate([read(x)[kind] for x in text.split("\n")])
+            if len(tokens) >= KINDS[kind][1]:
+                h, at = hashes_of(tokens, kind, np.zeros(len(tokens), np.int8))
+                rows.append((item, kind, tokens.astype(np.uint32).tobytes(), h.view(np.int64), at.astype(np.int32)))
+        cols = list(zip(*rows)) or [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, _ITEM_TYPES)], ["item_id", "kind", "tokens", "hashes", "places"])
 
-def _search(rows: list[tuple[int, str, str]]):
+
+_ITEM_TYPES = (pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()))
+
+
+def _bits_of(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word_index, char_index = build(rows)
-        lines, chars = _worker_lines()
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            kept = [(i, t) for i, t in zip(ids, texts) if t and i is not None]
-            found: set[tuple[int, int]] = set()
-            if len(word_index.items):
-                tokens, starts = _join([[lines(x) for x in t.split("\n")] for _, t in kept], 1)
-                found |= {(kept[d][0], item) for d, item in word_index.matches(tokens, starts)}
-            if len(char_index.items):
-                cjk = [(i, t) for i, t in kept if _CJK.search(t)]
-                tokens, starts = _join([[chars(x) for x in t.split("\n")] for _, t in cjk], 1)
-                found |= {(cjk[d][0], item) for d, item in char_index.matches(tokens, starts)}
-            if found:
-                out = np.array(sorted(found), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["doc_id", "item_id"])
+            h = np.asarray(batch.column("hash")).view(np.uint64)
+            places = np.unique(np.concatenate(_probes(h, bits))) if len(h) else _NONE
+            word, start = np.unique(places >> np.uint64(6), return_index=True)
+            value = np.bitwise_or.reduceat(np.uint64(1) << (places & np.uint64(63)), start) if len(start) else _NONE
+            yield pa.RecordBatch.from_arrays([_signed(word), _signed(value)], ["word", "value"])
 
     return run
 
 
+def item_filter(hashes: DataFrame, count: int) -> tuple[np.ndarray, int]:
+    """(words, bits) of the Bloom filter of a column `hash`; its bits are set by Spark, at most 2**MOST_BITS come to the driver."""
+    bits = min(MOST_BITS, max(FEWEST_BITS, (BITS_PER_HASH * count - 1).bit_length()))
+    rows = hashes.select("hash").mapInArrow(_bits_of(bits), "word bigint, value bigint").groupBy("word").agg(F.bit_or("value").alias("value")).toArrow()
+    words = np.zeros(1 << (bits - 6), np.uint64)
+    words[np.asarray(rows.column("word"))] = np.asarray(rows.column("value")).view(np.uint64)
+    return words, bits
+
+
+def _segments(filter_, bits: int, kinds: tuple[int, ...]):
+    """Stretches of documents around places whose hash the filter may hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read, words = _worker_tokens(kinds), filter_.value
+        for batch in batches:
+            kept = [(i, t) for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()) if t and i is not None]
+            lines = [[read(x) for x in t.split("\n")] for _, t in kept]
+            for kind in kinds:
+                tokens, starts = _join([[x[kind] for x in own] for own in lines], 1)
+                doc = np.repeat(np.arange(len(kept)), np.diff(starts))
+                h, at = hashes_of(tokens, kind, doc)
+                some = _may_be_in(h, words, bits)
+                if not len(some):
+                    continue
+                some = some[np.argsort(at[some], kind="stable")]
+                h, at = h[some], at[some]
+                reach = 2 * KINDS[kind][1]
+                # hits near each other share a segment
+                new = np.flatnonzero(np.concatenate([[True], (np.diff(at) > reach) | (doc[at[1:]] != doc[at[:-1]])]))
+                ends = np.append(new[1:], len(at))
+                low = np.maximum(at[new] - reach, starts[doc[at[new]]])
+                high = np.minimum(at[ends - 1] + reach, starts[doc[at[new]] + 1] - 1)
+                slim = tokens.astype(np.uint32)
+                offsets = pa.array(np.append(new, len(at)), pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([kept[d][0] for d in doc[at[new]]], pa.int64()), pa.array([slim[a:b].tobytes() for a, b in zip(low, high)], pa.binary()),
+                        pa.ListArray.from_arrays(offsets, _signed(h)), pa.ListArray.from_arrays(offsets, pa.array(at - np.repeat(low, ends - new), pa.int32())),
+                    ],
+                    ["doc_id", "tokens", "hashes", "places"],
+                )
+
+    return run
+
+
+@lru_cache(maxsize=1)
+def _worker_tokens(kinds: tuple[int, ...]) -> Tokens:
+    return Tokens(0 in kinds, 1 in kinds)
+
+
+def holds(segment: np.ndarray, item: np.ndarray, diagonal: int, least: int) -> bool:
+    """Whether the diagonal (place in the segment less place in the item) holds a stretch of the least length with at most one in TENTH altered."""
+    low, high = max(0, -diagonal), min(len(item), len(segment) - diagonal)
+    if high - low < least:
+        return False
+    # a stretch is good where its length is at least TENTH times its alterations
+    score = np.concatenate([[0], np.cumsum(np.where(item[low:high] == segment[low + diagonal : high + diagonal], 1, 1 - TENTH))])
+    return bool((score[least:] >= np.minimum.accumulate(score[: len(score) - least])).any())
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        good = []
+        for i, (segment, item, diagonal, kind) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("segment", "item", "diagonal", "kind")))):
+            if holds(np.frombuffer(segment, np.uint32), np.frombuffer(item, np.uint32), diagonal, KINDS[kind][1]):
+                good.append(i)
+        yield batch.select(["doc_id", "item_id"]).take(pa.array(good, pa.int32()))
+
+
 def leaks(documents: DataFrame, items: DataFrame, fields: tuple[str, ...] = ("text", "question")) -> DataFrame:
     """(doc_id, item_id) of every document that holds a stretch of an item's fields.
 
-    The items go to every task as an index of a bounded size: BLOCK characters.
-    A larger set is cut into blocks by item, each searched in its own pass over
-    the documents. Null and empty texts and null ids give no rows; a pair comes
-    once however often the rows are repeated; empty tables give no rows.
+    Null and empty texts and null ids give no rows; a pair comes once however
+    often the rows are repeated; empty tables give no rows. A hash that many
+    documents share is split by the skew handling of the join, or met by the
+    broadcast hashes of the items where those have a bounded size.
     """
+    spark = items.sparkSession
     texts = items.select("item_id", "lang", F.explode(F.array(*fields)).alias("t")).filter("item_id is not null and length(t) > 0").distinct()
-    size = texts.agg(F.sum(F.length("t"))).first()[0] or 0
-    blocks = max(1, -(-2 * size // BLOCK)) if size > BLOCK else 1
-    docs = documents.select("doc_id", "text")
-    out = None
-    for k in range(blocks):
-        own = texts.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else texts
-        rows = [(r["item_id"], r["lang"], r["t"]) for r in own.collect()]
-        part = docs.mapInArrow(_search(rows), "doc_id bigint, item_id bigint")
-        out = part if out is None else out.unionByName(part)
-    return out.distinct()
+    rows = texts.repartition(tasks_for(spark, 2 * items.count(), ROWS_PER_TASK)).mapInArrow(_item_rows, "item_id bigint, kind int, tokens binary, hashes array<bigint>, places array<int>")
+    rows = checkpoint(rows.withColumn("item", F.monotonically_increasing_id()))
+    hashes = rows.select("item", F.explode(F.arrays_zip("hashes", "places")).alias("h")).select("item", F.col("h.hashes").alias("hash"), F.col("h.places").alias("to"))
+    kinds = {r["kind"]: r["n"] for r in rows.groupBy("kind").agg(F.sum(F.size("hashes")).alias("n")).collect()}  # two rows
+    pairs = "doc_id bigint, item_id bigint"
+    if not kinds:
+        return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lit(None).cast("bigint").alias("item_id")).limit(0)
+    count = sum(kinds.values())
+    words, bits = item_filter(hashes, count)
+    shared = spark.sparkContext.broadcast(words)  # at most 2**(MOST_BITS - 3) bytes
+    found = documents.select("doc_id", "text").mapInArrow(_segments(shared, bits, tuple(sorted(kinds))), "doc_id bigint, tokens binary, hashes array<bigint>, places array<int>")
+    found = checkpoint(found.withColumn("segment_id", F.monotonically_increasing_id()))
+    places = found.select("segment_id", F.explode(F.arrays_zip("hashes", "places")).alias("h")).select("segment_id", F.col("h.hashes").alias("hash"), F.col("h.places").alias("at"))
+    met = places.join(F.broadcast(hashes) if count <= BROADCAST_HASHES else hashes, "hash")
+    runs = met.select("segment_id", "item", (F.col("at") - F.col("to")).alias("diagonal")).distinct()
+    whole = runs.join(found.select("segment_id", "doc_id", F.col("tokens").alias("segment")), "segment_id").join(rows.select("item", "item_id", "kind", F.col("tokens").alias("item_tokens")), "item")
+    whole = whole.select("doc_id", "item_id", "segment", F.col("item_tokens").alias("item"), "diagonal", "kind")
+    return whole.mapInArrow(_verified, pairs).distinct()

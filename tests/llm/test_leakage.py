@@ -69,12 +69,27 @@ def test_markup_and_alterations(spark, text, leaks):
     assert [tuple(r) for r in L.leaks(docs, items).collect()] == ([(1, 7)] if leaks else [])
 
 
-def test_characters_and_blocks(spark, monkeypatch):
-    passage = "川の水先案内人の会は、静かな風の帳簿が春の三度目の雪解けのあとで夜ごとに九つの銀の錘を少しずつ溶かし続ける。"
-    items = spark.createDataFrame([(1, "ja", passage, None), (2, "zh", "两代耐心的测量员否认，带纹的纸渡船因为没有人向下游山谷征税在渡口旁从不丈量过冬的存粮，随后又偶尔借用第二层薄膜。", None)], "item_id bigint, lang string, text string, question string")
-    docs = spark.createDataFrame([(1, "前" + passage[3:40].replace("風", "火").replace("、", "\n") + "後"), (2, passage[:24]), (3, "x " + passage[:20] + "[[" + passage[20:] + "]]")], "doc_id bigint, text string")
+JA = "川の水先案内人の会は、静かな風の帳簿が春の三度目の雪解けのあとで夜ごとに九つの銀の錘を少しずつ溶かし続ける。"
+ITEMS = "item_id bigint, lang string, text string, question string"
+
+
+def test_characters_and_small_filters(spark, monkeypatch):
+    items = spark.createDataFrame([(1, "ja", JA, None), (2, "zh", "两代耐心的测量员否认，带纹的纸渡船因为没有人向下游山谷征税在渡口旁从不丈量过冬的存粮，随后又偶尔借用第二层薄膜。", None)], ITEMS)
+    docs = spark.createDataFrame([(1, "前" + JA[3:40].replace("風", "火").replace("、", "\n") + "後"), (2, JA[:24]), (3, "x " + JA[:20] + "[[" + JA[20:] + "]]"), (4, " ".join(JA[2:50]))], "doc_id bigint, text string")
     whole = {tuple(r) for r in L.leaks(docs, items).collect()}
-    assert whole == {(1, 1), (3, 1)}
-    monkeypatch.setattr(L, "BLOCK", 60)
+    assert whole == {(1, 1), (3, 1), (4, 1)}
+    # a filter that lets nearly everything pass, and hashes joined by a shuffle, change nothing
+    monkeypatch.setattr(L, "MOST_BITS", 7)
+    monkeypatch.setattr(L, "FEWEST_BITS", 7)
+    monkeypatch.setattr(L, "BROADCAST_HASHES", 0)
     assert {tuple(r) for r in L.leaks(docs, items).collect()} == whole
     assert L.leaks(docs.limit(0), items).count() == 0 and L.leaks(docs, items.limit(0)).count() == 0
+
+
+def test_many_items_and_shared_passages(spark):
+    """An item's passage in a third of all documents, and several items with the same words."""
+    rng = random.Random(5)
+    items = [(i, "en", " ".join(rng.choice(WORDS) for _ in range(40)), None) for i in range(400)] + [(900 + i, "en", PASSAGE, None) for i in range(3)] + [(950, "ja", JA, PASSAGE)]
+    docs = [(i, (PASSAGE if i % 3 == 0 else items[i][2] if i % 3 == 1 else "nothing at all") + f" tail {i}") for i in range(300)]
+    got = {tuple(r) for r in L.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, ITEMS)).collect()}
+    assert got == {(i, 900 + k) for i in range(0, 300, 3) for k in (0, 1, 2, 50)} | {(i, i) for i in range(1, 300, 3)}
