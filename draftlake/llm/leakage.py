@@ -70,7 +70,7 @@ def _hash(word: str) -> int:
     # the two lowest values are kept free as separators
     import xxhash
 
-    return xxhash.xxh3_64_intdigest(word) | 2
+    return xxhash.xxh3_64_intdigest(word) & 0xFFFFFFFF | 2
 
 
 class Tokens:
@@ -90,7 +90,7 @@ class Tokens:
                     self.hashes.clear()
                 h = self.hashes[w] = _hash(w)
             out.append(h)
-        return np.array(out, np.uint64)
+        return np.array(out, np.uint32)
 
     def __call__(self, line: str) -> tuple[np.ndarray, np.ndarray]:
         known = self.seen.get(line)
@@ -98,7 +98,7 @@ class Tokens:
             words = words_of(line)
             known = (
                 self._hashes(words) if self.words else _NONE,
-                np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(2) if self.chars else _NONE,
+                np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32) + np.uint32(2) if self.chars else _NONE,
             )
             if len(line) <= LONG_LINE:
                 if len(self.seen) >= LINES:
@@ -107,46 +107,63 @@ class Tokens:
         return known
 
 
-_NONE = np.empty(0, np.uint64)
+_NONE = np.empty(0, np.uint32)
+_NO_HASH = np.empty(0, np.uint64)
 
 
 def _join(parts: list[list[np.ndarray]], separator: int) -> tuple[np.ndarray, np.ndarray]:
     """Token arrays in a row with one separator behind each, and their starts."""
     flat, starts, at = [], [0], 0
-    gap = np.array([separator], np.uint64)
+    gap = np.array([separator], np.uint32)
     for arrays in parts:
         flat += arrays
         flat.append(gap)
         at += sum(map(len, arrays)) + 1
         starts.append(at)
-    return (np.concatenate(flat) if flat else np.empty(0, np.uint64)), np.array(starts, np.int64)
-
-
-def seeds(tokens: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
-    """Hash of the tokens under the mask at each place."""
-    n = len(tokens) - mask[-1]
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    h = np.zeros(n, np.uint64)
-    for k in mask:
-        h = (h ^ tokens[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-    return h
+    return (np.concatenate(flat) if flat else _NONE), np.array(starts, np.int64)
 
 
 #: Kinds of tokens: masks and least length of a stretch.
 KINDS = ((WORD_MASKS, WORDS), (CHAR_MASKS, CHARS))
 
 
-def hashes_of(tokens: np.ndarray, kind: int, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, places) of a row of texts under the masks of a kind; `inside` numbers the text of each token, so that no window spans two."""
-    hashes, places = [_NONE], [np.empty(0, np.int64)]
-    for m, mask in enumerate(KINDS[kind][0]):
-        h = seeds(tokens, mask)
-        if len(h):
-            at = np.flatnonzero(inside[: len(h)] == inside[mask[-1] :])
-            hashes.append(h[at] ^ np.uint64(0x5851F42D4C957F2D * (2 * kind + m + 1) & (2**64 - 1)))
-            places.append(at)
+#: Bits of the table of token pairs, and offsets of neighbours that all masks of a kind pick.
+PAIR_BITS = 20
+COMMON = tuple(tuple(k for k in masks[0] if all(k in m and k + 1 in m for m in masks)) for masks, _ in KINDS)
+
+
+def pair_places(tokens: np.ndarray) -> np.ndarray:
+    """Place of each token and its right neighbour in the table of pairs."""
+    return (tokens[:-1] * np.uint32(0x9E3779B1) ^ tokens[1:] * np.uint32(0x85EBCA77)) >> np.uint32(32 - PAIR_BITS)
+
+
+def hashes_of(tokens: np.ndarray, kind: int, starts: np.ndarray, pairs: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, places) of texts in a row, each with a separator behind it, under the masks of a kind.
+
+    With `pairs`, whether the items have a pair of neighbours, only places are
+    hashed whose neighbours under all masks the items may have.
+    """
+    masks = KINDS[kind][0]
+    hashes, places = [_NO_HASH], [np.empty(0, np.int64)]
+    if pairs is not None and len(tokens) > 1:
+        there = pairs[pair_places(tokens)]
+        n = len(there) - COMMON[kind][-1]
+        good = there[:n].copy() if n > 0 else there[:0]
+        for k in COMMON[kind][1:]:
+            good &= there[k : k + n]
+        some = np.flatnonzero(good)
+    else:
+        some = np.arange(len(tokens))
+    # a window lies within the text of its first token
+    last = starts[np.searchsorted(starts, some, side="right")] - 1 if len(some) else some
+    for m, mask in enumerate(masks):
+        at = some[some + mask[-1] < last]
+        h = np.full(len(at), 0x5851F42D4C957F2D * (2 * kind + m + 1) & (2**64 - 1), np.uint64)
+        for k in mask:
+            h = (h ^ tokens[at + k]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        hashes.append(h)
+        places.append(at)
     return np.concatenate(hashes), np.concatenate(places)
 
 
@@ -177,8 +194,8 @@ def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kind = int(lang in SPACELESS)
             tokens = np.concatenate([read(x)[kind] for x in text.split("\n")])
             if len(tokens) >= KINDS[kind][1]:
-                h, at = hashes_of(tokens, kind, np.zeros(len(tokens), np.int8))
-                rows.append((item, kind, tokens.astype(np.uint32).tobytes(), h.view(np.int64), at.astype(np.int32)))
+                h, at = hashes_of(tokens, kind, np.array([0, len(tokens) + 1]))
+                rows.append((item, kind, tokens.tobytes(), h.view(np.int64), at.astype(np.int32)))
         cols = list(zip(*rows)) or [[]] * 5
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, _ITEM_TYPES)], ["item_id", "kind", "tokens", "hashes", "places"])
 
@@ -190,9 +207,9 @@ def _bits_of(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h = np.asarray(batch.column("hash")).view(np.uint64)
-            places = np.unique(np.concatenate(_probes(h, bits))) if len(h) else _NONE
+            places = np.unique(np.concatenate(_probes(h, bits))) if len(h) else _NO_HASH
             word, start = np.unique(places >> np.uint64(6), return_index=True)
-            value = np.bitwise_or.reduceat(np.uint64(1) << (places & np.uint64(63)), start) if len(start) else _NONE
+            value = np.bitwise_or.reduceat(np.uint64(1) << (places & np.uint64(63)), start) if len(start) else _NO_HASH
             yield pa.RecordBatch.from_arrays([_signed(word), _signed(value)], ["word", "value"])
 
     return run
@@ -207,34 +224,53 @@ def item_filter(hashes: DataFrame, count: int) -> tuple[np.ndarray, int]:
     return words, bits
 
 
+def _pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for kind in (0, 1):
+            own = [np.frombuffer(t, np.uint32) for t, k in zip(batch.column("tokens").to_pylist(), batch.column("kind").to_pylist()) if k == kind]
+            places = np.unique(np.concatenate([pair_places(t) for t in own])) if own else _NONE
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(places), kind), pa.int32()), pa.array(places, pa.int32())], ["kind", "place"])
+
+
+def pair_tables(rows: DataFrame) -> list[np.ndarray]:
+    """Which pairs of neighbours the items of each kind have: tables of 2**PAIR_BITS flags, set by Spark."""
+    got = rows.select("kind", "tokens").mapInArrow(_pairs_of, "kind int, place int").distinct().toArrow()
+    kinds, places = np.asarray(got.column("kind")), np.asarray(got.column("place"))
+    tables = []
+    for kind in (0, 1):
+        table = np.zeros(1 << PAIR_BITS, bool)
+        table[places[kinds == kind]] = True
+        tables.append(table)
+    return tables
+
+
 def _segments(filter_, bits: int, kinds: tuple[int, ...]):
     """Stretches of documents around places whose hash the filter may hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read, words = _worker_tokens(kinds), filter_.value
+        read, (words, pairs) = _worker_tokens(kinds), filter_.value
         for batch in batches:
             kept = [(i, t) for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()) if t and i is not None]
             lines = [[read(x) for x in t.split("\n")] for _, t in kept]
             for kind in kinds:
                 tokens, starts = _join([[x[kind] for x in own] for own in lines], 1)
-                doc = np.repeat(np.arange(len(kept)), np.diff(starts))
-                h, at = hashes_of(tokens, kind, doc)
+                h, at = hashes_of(tokens, kind, starts, pairs[kind])
                 some = _may_be_in(h, words, bits)
                 if not len(some):
                     continue
                 some = some[np.argsort(at[some], kind="stable")]
                 h, at = h[some], at[some]
+                doc = np.searchsorted(starts, at, side="right") - 1
                 reach = 2 * KINDS[kind][1]
                 # hits near each other share a segment
-                new = np.flatnonzero(np.concatenate([[True], (np.diff(at) > reach) | (doc[at[1:]] != doc[at[:-1]])]))
+                new = np.flatnonzero(np.concatenate([[True], (np.diff(at) > reach) | (np.diff(doc) > 0)]))
                 ends = np.append(new[1:], len(at))
-                low = np.maximum(at[new] - reach, starts[doc[at[new]]])
-                high = np.minimum(at[ends - 1] + reach, starts[doc[at[new]] + 1] - 1)
-                slim = tokens.astype(np.uint32)
+                low = np.maximum(at[new] - reach, starts[doc[new]])
+                high = np.minimum(at[ends - 1] + reach, starts[doc[new] + 1] - 1)
                 offsets = pa.array(np.append(new, len(at)), pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([kept[d][0] for d in doc[at[new]]], pa.int64()), pa.array([slim[a:b].tobytes() for a, b in zip(low, high)], pa.binary()),
+                        pa.array([kept[d][0] for d in doc[new]], pa.int64()), pa.array([tokens[a:b].tobytes() for a, b in zip(low, high)], pa.binary()),
                         pa.ListArray.from_arrays(offsets, _signed(h)), pa.ListArray.from_arrays(offsets, pa.array(at - np.repeat(low, ends - new), pa.int32())),
                     ],
                     ["doc_id", "tokens", "hashes", "places"],
@@ -286,7 +322,7 @@ def leaks(documents: DataFrame, items: DataFrame, fields: tuple[str, ...] = ("te
         return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lit(None).cast("bigint").alias("item_id")).limit(0)
     count = sum(kinds.values())
     words, bits = item_filter(hashes, count)
-    shared = spark.sparkContext.broadcast(words)  # at most 2**(MOST_BITS - 3) bytes
+    shared = spark.sparkContext.broadcast((words, pair_tables(rows)))  # at most 2**(MOST_BITS - 3) + 2**(PAIR_BITS + 1) bytes
     found = documents.select("doc_id", "text").mapInArrow(_segments(shared, bits, tuple(sorted(kinds))), "doc_id bigint, tokens binary, hashes array<bigint>, places array<int>")
     found = checkpoint(found.withColumn("segment_id", F.monotonically_increasing_id()))
     places = found.select("segment_id", F.explode(F.arrays_zip("hashes", "places")).alias("h")).select("segment_id", F.col("h.hashes").alias("hash"), F.col("h.places").alias("at"))
