@@ -5,13 +5,17 @@ just read. It starts as one state with a loop for each byte. Each merge (a, b)
 adds a gadget: every state with an arc a, followed by b, gets an arc for the
 merged token, and b leaves the state behind a. A state of a merged token is a
 snapshot of the state of its right part, so an arc (x, y) is there unless the
-merge (x, y) removed it, or it was missing when the later of x and y was made.
-That is resolved from the merges once per arc and kept in the transition table;
-the whole table would have the square of the vocabulary's size.
-
-A byte string has exactly one path in the automaton, its BPE encoding. It is
-found by dynamic programming over the prefixes, each with the one last token of
-its own encoding.
+merge (x, y) removed it, or it was missing when the later of x and y was made:
+the gadgets of both, from the latest to the first, decide an arc.
+
+Compiled are a fixed number of tables, in all a small multiple of the
+vocabulary's bytes: transitions by bytes over the tokens' prefixes with their
+failure links, for each place in them the longest token that ends there, for
+each token the next shorter one that ends it, and the gadgets (parts and rank of
+each token, rank of each merge). A byte string has exactly one path, its BPE
+encoding. It is read byte by byte; at each place the tokens that end there are
+tried from the longest on until the state behind the bytes before has an arc for
+it. Nothing else is kept but memos of fixed size.
 """
 
 from __future__ import annotations
@@ -28,8 +32,8 @@ from pyspark.sql import DataFrame
 #: Fixed value: the pattern that splits text before the merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Entries of a worker's caches of words and of lines; full caches start anew.
-WORDS, LINES = 500_000, 200_000
+#: Entries of a worker's memos of words and of lines (full ones start anew) and, a power of two, of arcs.
+WORDS, LINES, ARCS = 500_000, 200_000, 1 << 16
 LONG_LINE = 2_000
 
 
@@ -48,7 +52,7 @@ def _byte_names() -> dict[str, int]:
 
 
 class Automaton:
-    """Token automaton of a vocabulary file, with transitions resolved on first use."""
+    """Token automaton of a vocabulary file."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -57,35 +61,76 @@ class Automaton:
         vocab = model["vocab"]
         label = {token: bytes(map(names.__getitem__, token)) for token in vocab if all(c in names for c in token)}
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        made = [a + b for a, b in pairs]
-        self.size = max(vocab.values()) + 1
-        self.merge = {vocab[a] * self.size + vocab[b]: rank for rank, (a, b) in reversed(list(enumerate(pairs)))}
-        self.left, self.right, self.rank = {}, {}, {}
-        for rank, ((a, b), c) in reversed(list(enumerate(zip(pairs, made)))):
-            self.left[vocab[c]], self.right[vocab[c]], self.rank[vocab[c]] = vocab[a], vocab[b], rank
-        usable = {t for t in label if len(label[t]) == 1} | set(made)
-        self.ids = {label[t]: vocab[t] for t in usable}
-        self.labels = {vocab[t]: label[t] for t in usable}
-        self.longest = max(map(len, self.ids))
-        self.arcs: dict[int, bool] = {}
+        self.size = size = max(vocab.values()) + 1
+        # the gadgets: of merges with one outcome the first counts
+        self.left, self.right, self.rank = [0] * size, [0] * size, [-1] * size
+        self.merge: dict[int, int] = {}
+        for rank, (a, b) in reversed(list(enumerate(pairs))):
+            x, y, t = vocab[a], vocab[b], vocab[a + b]
+            self.merge[x * size + y] = rank
+            self.left[t], self.right[t], self.rank[t] = x, y, rank
+        usable = [vocab[t] for t in label if len(label[t]) == 1] + sorted({vocab[a + b] for a, b in pairs}, key=self.rank.__getitem__)
+        self.labels = {vocab[t]: data for t, data in label.items()}
+        # a token whose parts never meet is on no path; parts come before their token
+        reached = [False] * size
+        for t in usable:
+            reached[t] = self.rank[t] < 0 or reached[self.left[t]] and reached[self.right[t]] and self._arc(self.left[t], self.right[t], self.rank[t])
+        self.ids = {self.labels[t]: t for t in usable if reached[t]}
+        self._compile()
+        self.memo_keys, self.memo = [-1] * ARCS, [False] * ARCS
         self.words: dict[str, tuple[int, ...]] = {}
         self.lines: dict[str, np.ndarray] = {}
         self.split = regex.compile(PATTERN).findall
 
+    def _compile(self) -> None:
+        """Transitions by bytes, failure links, the longest token that ends at a node, and the next shorter one of a token."""
+        go: dict[int, int] = {}
+        ends: list[int] = [-1]
+        parents: list[tuple[int, int]] = [(0, 0)]
+        depths: list[int] = [0]
+        for data, t in self.ids.items():
+            node = 0
+            for depth, b in enumerate(data, 1):
+                key = node << 8 | b
+                after = go.get(key)
+                if after is None:
+                    after = go[key] = len(ends)
+                    ends.append(-1)
+                    parents.append((node, b))
+                    depths.append(depth)
+                node = after
+            ends[node] = t
+        fail = [0] * len(ends)
+        self.shorter = [-1] * self.size
+        for node in sorted(range(1, len(ends)), key=depths.__getitem__):
+            up, b = parents[node]
+            if up:
+                at = fail[up]
+                while at and (at << 8 | b) not in go:
+                    at = fail[at]
+                fail[node] = go.get(at << 8 | b, 0)
+            if ends[node] < 0:
+                ends[node] = ends[fail[node]]
+            else:
+                self.shorter[ends[node]] = ends[fail[node]]
+        self.go, self.fail, self.ends = go, fail, ends
+        self.length = [len(self.labels.get(t, b"")) for t in range(self.size)]
+
     def arc(self, x: int, y: int) -> bool:
         """Whether the finished automaton has an arc y in the state behind x."""
         key = x * self.size + y
-        known = self.arcs.get(key)
-        if known is None:
-            known = self.arcs[key] = self._arc(x, y, 1 << 40)
-        return known
+        slot = (key * 0x9E3779B1 >> 12) & (ARCS - 1)
+        if self.memo_keys[slot] != key:
+            self.memo[slot] = self._arc(x, y, 1 << 40)
+            self.memo_keys[slot] = key
+        return self.memo[slot]
 
     def _arc(self, x: int, y: int, before: int) -> bool:
         """Whether the arc (x, y) was there just before the merge of rank `before`."""
         while True:
             if self.merge.get(x * self.size + y, before) < before:
                 return False
-            rx, ry = self.rank.get(x, -1), self.rank.get(y, -1)
+            rx, ry = self.rank[x], self.rank[y]
             if rx < 0 and ry < 0:
                 return True
             if rx >= ry:
@@ -97,37 +142,29 @@ class Automaton:
                 before, y = ry, self.left[y]
 
     def word(self, data: bytes) -> tuple[int, ...]:
-        """The encoding of one pre-split word."""
+        """The encoding of one pre-split word: the path of its bytes."""
         whole = self.ids.get(data)
-        if whole is not None and self.whole_valid(whole):
+        if whole is not None:
             return (whole,)
-        n, ids, arc = len(data), self.ids, self.arc
-        last: list[int] = [-1] * (n + 1)
-        start = [0] * (n + 1)
-        for i in range(1, n + 1):
-            for j in range(max(0, i - self.longest), i):
-                if j and last[j] < 0:
-                    continue
-                token = ids.get(data[j:i])
-                if token is not None and (not j or arc(last[j], token)) and self.whole_valid(token):
-                    last[i], start[i] = token, j
-                    break
-        out, i = [], n
+        go, fail, ends, shorter, length, arc = self.go, self.fail, self.ends, self.shorter, self.length, self.arc
+        last = [-1] * (len(data) + 1)
+        node = 0
+        for i, b in enumerate(data, 1):
+            after = go.get(node << 8 | b)
+            while after is None:
+                node = fail[node]
+                after = go.get(node << 8 | b)
+            node = after
+            token = ends[node]
+            while length[token] < i and not arc(last[i - length[token]], token):
+                token = shorter[token]
+            last[i] = token
+        out, i = [], len(data)
         while i:
             out.append(last[i])
-            i = start[i]
+            i -= length[last[i]]
         return tuple(out[::-1])
 
-    def whole_valid(self, token: int) -> bool:
-        """Whether a token's own bytes are encoded as that token: its parts must have met."""
-        key = -1 - token
-        known = self.arcs.get(key)
-        if known is None:
-            rank = self.rank.get(token, -1)
-            known = rank < 0 or (self.whole_valid(self.left[token]) and self.whole_valid(self.right[token]) and self._arc(self.left[token], self.right[token], rank))
-            self.arcs[key] = known
-        return known
-
     def line(self, text: str) -> np.ndarray:
         known = self.lines.get(text)
         if known is None:

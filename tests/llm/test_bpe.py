@@ -38,7 +38,17 @@ def test_every_token_is_its_own_encoding_or_splits_the_same(both):
     for token, label in list(auto.labels.items())[::37]:
         own = auto.word(label)
         assert b"".join(auto.labels[t] for t in own) == label
-        assert (own == (token,)) == auto.whole_valid(token)
+        assert (own == (token,)) == (auto.ids.get(label) == token)
+
+
+def test_tables_stay_as_compiled(both):
+    """Unlike words fill memos of a fixed size only."""
+    auto, _ = both
+    sizes = [len(t) for t in (auto.go, auto.fail, auto.ends, auto.shorter, auto.merge, auto.memo, auto.memo_keys)]
+    rng = random.Random(2)
+    for _ in range(300):
+        auto.encode("".join(chr(rng.choice([rng.randrange(97, 123), rng.randrange(0x400, 0x500), rng.randrange(0x4E00, 0x9000)])) for _ in range(400)))
+    assert [len(t) for t in (auto.go, auto.fail, auto.ends, auto.shorter, auto.merge, auto.memo, auto.memo_keys)] == sizes and len(auto.memo) == bpe.ARCS
 
 
 def test_documents(spark):
