@@ -59,7 +59,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return cutting.sentences(load(spark, d, "documents").dropDuplicates(["doc_id"]))
+    return cutting.sentences(load(spark, d, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (p5_found, p5_redacted, p6_found, p6_restored, p7_ids, p8_found, p9_found)}

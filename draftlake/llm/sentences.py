@@ -6,18 +6,23 @@ path wins. In spaced scripts the terminator and its neighbours price a gap:
 abbreviations, initials, ordinals and numbers before it, the opening word
 behind it. In spaceless scripts a dictionary word lattice segments the text on
 both sides of a gap, and the final particle before and the opening word behind
-price it. A cut inside a quotation is dear where the sentence goes on behind.
+price it. Its dictionary is the closed classes below and what the corpus itself
+yields: pieces of up to four characters, how often they stand anywhere, at a
+sure beginning and at a sure end, in tables of a fixed size. A cut inside a
+quotation is dear where the sentence goes on behind.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from draftlake.runtime import checkpoint
 
 LINES, LONG_LINE = 200_000, 4_000
 
@@ -27,7 +32,7 @@ NO_SENTENCE = frozenset("={|}!*#:;<_-")
 # Abbreviations that are followed by what they belong to.
 BOUND = frozenset(
     # titles
-    "mr mrs ms dr prof sir mt ft st sta sto hr fr frau mme mlle mgr sr sra srta dña ing rev gen col capt lt sgt hon gov sen rep dipl dres "
+    "mr mrs ms mx messrs mlles mmes sres dr prof ph.d adm attn lic cmdr maj brig supt pres sir mt ft st sta sto hr fr frau mme mlle mgr sr sra srta dña ing rev gen col capt lt sgt hon gov sen rep dipl dres "
     "проф д-р гр г-н г-жа акад им ул пл св пос дер с ст обл р-н о оз "
     "डॉ श्री श्रीमती प्रो पं "
     # references and measures
@@ -58,11 +63,11 @@ AR_OPENERS = frozenset("هل لا لم لن يا قال قالت كتب كتبت
 HI_REPORT = ("लिखा", "पूछा", "कहा", "बताया", "बोला", "बोली", "चिल्लाया")
 AR_REPORT = ("كتب", "كتبت", "قال", "قالت", "سأل", "سألت", "تساءل", "تساءلت", "أضاف", "صرخ", "هتف", "يقول", "تقول")
 ZH_REPORT = ("写道", "说道", "问道", "答道", "喊道", "说", "问", "道", "答", "写", "表示", "回答", "喊", "认为", "指出", "感叹")
-ZH_OPENERS = ("据", "参见", "面积", "原因", "多么", "著名", "破败", "位于", "该", "这", "那", "在", "从", "于", "他", "她", "它", "我", "没有", "谁", "为什么", "何时", "如今", "后来", "此后", "其", "西", "泉", "折")
+ZH_OPENERS = ("位于", "该", "这", "那", "在", "从", "于", "他", "她", "它", "我", "没有", "谁", "为什么", "何时", "如今", "后来", "此后", "其", "据", "参见", "多么")
 #: Particles by which a Japanese sentence goes on behind a quotation.
 JA_LINKS = ("という", "といった", "として", "とは", "とも", "との", "って", "と", "は", "が", "を", "に", "の", "で", "も", "へ", "や", "など", "から", "より", "まで", "だ", "である", "です", "、")
 JA_FINAL = ("である", "であった", "でした", "ました", "ません", "だろう", "です", "ます", "だった", "された", "れた", "した", "った", "いた", "いる", "ない", "だ", "た", "る", "か", "ね", "よ", "な", "ぞ", "さ", "の")
-JA_OPENERS = ("なんと", "詳細", "理由", "面積", "この", "その", "あの", "ここ", "そこ", "彼", "また", "しかし", "ただし", "なお", "さらに", "そして", "現在", "有名な", "荒れた", "誰", "いつ", "なぜ")
+JA_OPENERS = ("なんと", "この", "その", "あの", "ここ", "そこ", "彼", "また", "しかし", "ただし", "なお", "さらに", "そして", "現在", "誰", "いつ", "なぜ")
 
 _CLOSERS = "\"'”’»›」』）)］]｝}〉》】“‘"
 _OPENING = "\"'“‘„‚«‹「『（([¿¡《〈【'*—–-"
@@ -70,7 +75,7 @@ _REF = r"<ref(?:\s[^<>]*)?/>|<ref(?:\s[^<>]*)?>.*?</ref>"
 _TEMPLATE = r"\{\{(?:[^{}]|\{[^{]|\}[^}]|\{\{(?:[^{}]|\{\{[^{}]*\}\})*\}\})*\}\}"
 _PROTECTED = regex.compile(rf"{_REF}|{_TEMPLATE}|(?:https?://|www\.)[^\s<>\"]*[\p{{L}}\p{{N}}/]|[\w.+-]+@[\w-]+\.[\w.]*\w|<[^<>]*>|\[\[[^\[\]]*\]\]|\[(?:https?:)?//[^\]]*\]")
 _TRAIL = regex.compile(rf"(?:{_REF}|{_TEMPLATE})")
-_MARK = regex.compile(r"[.!?…]+|[。！？．｡؟।॥]+(?:[.!?…。！？]*)")
+_MARK = regex.compile(r"[.!?…]+|[。！？．｡؟।॥]+(?:[.!?…。！？]*)|[։។៕။]+")
 _CLOSE = regex.compile(rf"(?:''+|[{regex.escape(_CLOSERS)}]|[\s  ](?=[»›]))+")
 _THAI = regex.compile(r"(?<=[\p{Thai}--[\p{N}ฯๆ฿]])[ \t  ]+(?=[\p{Thai}--[\p{N}ฯๆ฿]])", flags=regex.V1)
 _CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
@@ -90,39 +95,120 @@ _SPACED = regex.compile(r"(\p{L}+\.)\s(\p{L}{1,2})$")
 _QUOTED = regex.compile(r"[」』”’\"»]")
 _CLAUSE = regex.compile(r"[，。！？,!?：:“]")
 _INTRODUCED = regex.compile(r"[：:][“「『\"][^“「『]*$")
-_UNKNOWN = regex.compile(r"(?:不明|不知|未知|为何)$")
+_SURE = "。！？｡"
+_RUN = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー々]+")
 _MARKS_OF_PAIRS = regex.compile(r"[„“”«»‹›「」『』（）()《》\"]")
 _APOSTROPHE = regex.compile(r"['’]")
 
 TAKE, NEVER = 0.0, 9.0
 
 
-class Words:
-    """Dictionary word lattice: the cheapest segmentation of a short text, known words cheap by their length, other characters one by one."""
+#: Longest piece that is counted, and the size of a table of counts, as a power of two.
+PIECE, TABLE_BITS = 4, 18
+#: A piece that goes on with the same character in more than this part of its places is no word there.
+BOUND_TO = 0.9
+#: The least cohesion of a word: how much more often its parts meet than by chance.
+COHESION = 30.0
+_FACTOR, _MIX = 0x01000193, 0x9E3779B1
+
+
+def _slot(piece: str) -> int:
+    h = 0
+    for c in piece:
+        h = (h * _FACTOR + ord(c)) & 0xFFFFFFFF
+    return (h * _MIX & 0xFFFFFFFF) >> (32 - TABLE_BITS)
+
+
+class Dictionary:
+    """Counts of pieces (anywhere, at a sure beginning, at a sure end) in hashed tables of a fixed size, and the lattice over them."""
+
+    def __init__(self, anywhere: np.ndarray, begins: np.ndarray, ends: np.ndarray):
+        self.anywhere, self.begins, self.ends = anywhere, begins, ends
+        self.total, self.n_begins, self.n_ends = (max(1.0, float(t.sum()) / PIECE) for t in (anywhere, begins, ends))
+
+    @classmethod
+    def empty(cls) -> Dictionary:
+        return cls(*(np.zeros(1 << TABLE_BITS, np.float32) for _ in range(3)))
+
+    def count(self, piece: str) -> float:
+        return float(self.anywhere[_slot(piece)])
 
-    def __init__(self, *groups: tuple[str, ...]):
-        self.words = {w for g in groups for w in g}
-        self.longest = max(map(len, self.words))
+    def _is_word(self, line: str, i: int, j: int) -> bool:
+        """Whether the piece at i to j is a word there: its parts belong together, and neither side is bound to the character beyond."""
+        piece = line[i:j]
+        n = self.count(piece)
+        if n < 2 or any(n * self.total < COHESION * self.count(piece[:k]) * self.count(piece[k:]) for k in range(1, j - i)):
+            return False
+        tail, head = piece[1 - PIECE :], piece[: PIECE - 1]
+        return not (_RUN.match(line, j) and self.count(tail + line[j]) > BOUND_TO * self.count(tail) or i and _RUN.match(line, i - 1) and self.count(line[i - 1] + head) > BOUND_TO * self.count(head))
 
-    @lru_cache(maxsize=100_000)
-    def cut(self, text: str) -> tuple[str, ...]:
-        n = len(text)
+    def cut(self, line: str, start: int, stop: int, closed: frozenset[str]) -> list[str]:
+        """The cheapest segmentation of a stretch of a line: words of closed classes cost the less the longer, learned words more, other characters most."""
+        n = stop - start
         cost, back = [0.0] + [1e9] * n, [0] * (n + 1)
         for i in range(1, n + 1):
-            for j in range(max(0, i - self.longest), i):
-                w = text[j:i]
-                price = 1.0 / len(w) if w in self.words else 1.5 if i - j == 1 else None
+            for j in range(max(0, i - PIECE), i):
+                w = line[start + j : start + i]
+                price = 1.0 / len(w) if w in closed else 1.5 if i - j == 1 else 1.2 if self._is_word(line, start + j, start + i) else None
                 if price is not None and cost[j] + price < cost[i]:
                     cost[i], back[i] = cost[j] + price, j
         out, i = [], n
         while i:
-            out.append(text[back[i] : i])
+            out.append(line[start + back[i] : start + i])
             i = back[i]
-        return tuple(out[::-1])
+        return out[::-1]
 
+    def _odds(self, word: str, table: np.ndarray, total: float) -> float:
+        """Logarithm of how much more often a word stands at a place than by chance, 0 for what was never seen."""
+        at = _slot(word[:PIECE] if table is self.begins else word[-PIECE:])
+        return max(-4.0, min(4.0, float(np.log((table[at] + 1) / (self.anywhere[at] * total / self.total + 1)))))
 
-JA_WORDS = Words(JA_LINKS, JA_FINAL, JA_OPENERS)
-ZH_WORDS = Words(ZH_REPORT, ZH_OPENERS)
+    def opens(self, word: str) -> float:
+        return self._odds(word, self.begins, self.n_begins)
+
+    def closes(self, word: str) -> float:
+        return self._odds(word, self.ends, self.n_ends)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tables = [np.zeros(1 << TABLE_BITS) for _ in range(3)]
+    for batch in batches:
+        texts = [t for t in batch.column("text").to_pylist() if t and _CJK.search(t)]
+        if not texts:
+            continue
+        chars = np.frombuffer(("\n" + "\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+        own = ((chars >= 0x3041) & (chars <= 0x30FF) | (chars >= 0x3400) & (chars <= 0x9FFF) | (chars == 0x3005) | (chars >= 0x20000) & (chars <= 0x323AF)).astype(bool)
+        stop = np.isin(chars, [ord(c) for c in _SURE])
+        line = chars == 10
+        # marks of any kind that end their line are a sure end
+        dots, final = np.isin(chars, [ord("…"), ord(".")]), stop | line
+        for _ in range(6):
+            final = final | dots & np.append(final[1:], False)
+        h = np.zeros(len(chars), np.uint32)
+        good = np.ones(len(chars), bool)
+        for n in range(1, PIECE + 1):
+            size = len(chars) - n + 1
+            h = h[:size] * np.uint32(_FACTOR) + chars[n - 1 :]
+            good = good[:size] & own[n - 1 :]
+            at = np.flatnonzero(good)
+            slots = (h[at] * np.uint32(_MIX)) >> np.uint32(32 - TABLE_BITS)
+            tables[0] += np.bincount(slots, minlength=1 << TABLE_BITS)
+            tables[1] += np.bincount(slots[(stop | line)[at - 1]], minlength=1 << TABLE_BITS)
+            tables[2] += np.bincount(slots[final[at + n]], minlength=1 << TABLE_BITS)
+    key = np.concatenate([(k << TABLE_BITS) + np.flatnonzero(t) for k, t in enumerate(tables)])
+    yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(np.concatenate([t[t > 0] for t in tables]), pa.float64())], ["key", "n"])
+
+
+def learn(documents: DataFrame) -> Dictionary:
+    """The dictionary of all documents. What reaches the driver are the sums of three tables of 2**TABLE_BITS counts."""
+    rows = documents.select("text").mapInArrow(_counted, "key bigint, n double").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(3 << TABLE_BITS, np.float32)
+    counts[np.asarray(rows.column("key"), np.int64)] = np.asarray(rows.column("n"))
+    return Dictionary(*counts.reshape(3, -1))
+
+
+JA_CLOSED = frozenset(w for w in JA_LINKS + JA_FINAL + JA_OPENERS)
+ZH_CLOSED = frozenset(w for w in ZH_REPORT + ZH_OPENERS)
 
 
 _CLOSE_OF = {"„": "“”", "“": "”", "«": "»", "‹": "›", "「": "」", "『": "』", "（": "）", "(": ")", "《": "》", "»": "«"}
@@ -156,7 +242,7 @@ def _mask(line: str) -> str:
     return _PROTECTED.sub(lambda m: "\x00" * len(m[0]), line)
 
 
-def _price(line: str, masked: str, m, end: int, after: int) -> float:
+def _price(line: str, masked: str, m, end: int, after: int, words: Dictionary) -> float:
     """Cost of a cut at `end` behind the mark m; `after` is where the next sentence would begin. Below 1 it is taken."""
     mark, nxt = m[0], line[after:]
     if not nxt:
@@ -165,13 +251,15 @@ def _price(line: str, masked: str, m, end: int, after: int) -> float:
     head = nxt.lstrip(_OPENING + "'")
     word = _NEXT.match(head)
     first = word[0] if word else ""
-    before = line[max(0, m.start() - 80) : m.start()]  # of what stands further off nothing depends
+    before = line[max(0, m.start() - 80) : m.start()]  # abbreviations, numbers and initials are shorter; nothing else before a mark is asked for
     prev = before[-1:] if before else ""
+    if mark[0] in "։។៕။":
+        return TAKE
     if mark[0] in "。！？．｡":
-        return _spaceless(line, m, end, nxt, quoted)
+        return _spaceless(line, m, end, after, quoted, words)
     if _CJK.match(prev) or _CJK.match(head[:1]) and quoted and _CJK.search(line[max(0, m.start() - 4) : m.start()]):
         if mark[0] in "!?…":
-            return _spaceless(line, m, end, nxt, quoted)
+            return _spaceless(line, m, end, after, quoted, words)
         return TAKE if end < after and not _CJK.match(head[:1]) else NEVER
     if end == after:  # spaced scripts put a space behind a sentence
         return NEVER
@@ -243,45 +331,64 @@ def _price(line: str, masked: str, m, end: int, after: int) -> float:
 
 
 def _reports(nxt: str, verbs: tuple[str, ...], stops: str) -> bool:
-    """Whether the clause behind a quotation tells who said it."""
+    """Whether the clause behind a quotation tells who said it: a doer and the verb, without a comma."""
     clause = regex.split(f"[{regex.escape(stops)}]", nxt, maxsplit=1)[0].strip()
-    words = clause.split()
-    return len(words) <= 9 and any(clause.endswith(v) for v in verbs)
+    return "," not in clause and clause.endswith(verbs) and (" ने " in clause or len(clause.split()) <= 3)
+
+
+def _japanese(line: str) -> bool:
+    """Whether the spaceless text of a line is Japanese: one in ten of its characters is kana."""
+    kana = len(_KANA.findall(line))
+    return kana > 0 and 10 * kana >= len(_CJK.findall(line))
+
 
+def _first(line: str, at: int, closed: frozenset[str], words: Dictionary) -> str:
+    """The first word behind a gap."""
+    m = _RUN.match(line, at)
+    got = words.cut(line, at, m.end(), closed) if m else []
+    return got[0] if got else ""
 
-def _spaceless(line: str, m, end: int, nxt: str, quoted: bool) -> float:
+
+def _final(line: str, at: int, closed: frozenset[str], words: Dictionary) -> str:
+    """The last word before a gap."""
+    start = at
+    while start and _RUN.match(line, start - 1):
+        start -= 1
+    got = words.cut(line, start, at, closed) if start < at else []
+    return got[-1] if got else ""
+
+
+def _spaceless(line: str, m, end: int, after: int, quoted: bool, words: Dictionary) -> float:
     """Price of a gap in Chinese or Japanese, by the words of the lattice on both sides."""
-    japanese = bool(_KANA.search(line[max(0, m.start() - 30) : m.start() + 30]))
-    head = nxt.lstrip()
+    head = line[after:]
     if head[:1] and head[0] in "，、,；;：:）)】":
         return NEVER
-    if quoted and _QUOTED.search(line, m.end(), end):
-        if japanese:
-            first = JA_WORDS.cut(head[:12])
-            if first and first[0] in JA_LINKS and not head.startswith(JA_OPENERS):
-                return NEVER
+    inner = quoted and _QUOTED.search(line, m.end(), end)
+    dots = m[0][0] in "…" or m[0].startswith("...")
+    if not inner and not dots:
+        return TAKE
+    if _japanese(line):
+        first = _first(line, after, JA_CLOSED, words)
+        if first in JA_LINKS or first not in JA_OPENERS and first[:1] in ("と", "、") and words.opens(first) <= 0:
+            return NEVER
+        if inner:
             return TAKE
+        last = _final(line, m.start(), JA_CLOSED, words)
+        return TAKE if last in JA_FINAL or words.closes(last) + words.opens(first) > 0 else NEVER
+    if inner:
         clause = _CLAUSE.split(head, maxsplit=1)[0]
         # who said it stands before the quotation, or before the next one
         if head[len(clause) :][:1] in ("：", ":") or _INTRODUCED.search(line[: m.start()]):
             return TAKE
-        words = ZH_WORDS.cut(clause[-14:])
-        if len(clause) <= 14 and words and words[-1] in ZH_REPORT and words[0] not in ZH_OPENERS[:6]:
-            return NEVER
-        return TAKE
-    if m[0][0] in "…" or m[0].startswith("..."):
-        if japanese:
-            last = JA_WORDS.cut(line[max(0, m.start() - 8) : m.start()])
-            first = JA_WORDS.cut(head[:12])
-            if first and first[0] in JA_LINKS:
-                return NEVER
-            return TAKE if last and last[-1] in JA_FINAL else NEVER
-        first = ZH_WORDS.cut(head[:12])
-        return TAKE if first and first[0] in ZH_OPENERS or _UNKNOWN.search(line[max(0, m.start() - 4) : m.start()]) else 0.5
-    return TAKE
+        got = words.cut(line, after, after + len(clause), ZH_CLOSED)
+        return NEVER if got and got[-1] in ZH_REPORT and got[0] not in ZH_OPENERS else TAKE
+    first, last = _first(line, after, ZH_CLOSED, words), _final(line, m.start(), ZH_CLOSED, words)
+    if not first:  # a quotation, a number or another script opens
+        return TAKE if words.closes(last) > 0 or head[:1] in _OPENING else 2.0
+    return TAKE if first in ZH_OPENERS or words.opens(first) + words.closes(last) > 0 else 2.0
 
 
-def _gaps(line: str, masked: str) -> list[tuple[int, int, float, int]]:
+def _gaps(line: str, masked: str, words: Dictionary) -> list[tuple[int, int, float, int]]:
     """(end of the sentence before, start of the next, price, place of the mark) of every gap."""
     out = []
     n = len(line)
@@ -301,7 +408,7 @@ def _gaps(line: str, masked: str) -> list[tuple[int, int, float, int]]:
         after = end
         while after < n and line[after].isspace():
             after += 1
-        out.append((end, after, _price(line, masked, m, end, after), m.start()))
+        out.append((end, after, _price(line, masked, m, end, after, words), m.start()))
     for t in _THAI.finditer(masked):
         out.append((t.start(), t.end(), TAKE, t.start()))
     return sorted(out)
@@ -317,7 +424,7 @@ def _opens(masked: str, start: int, end: int) -> bool:
     return False
 
 
-def cut(line: str) -> list[tuple[int, int]]:
+def cut(line: str, words: Dictionary | None = None) -> list[tuple[int, int]]:
     """Sentences (start, end) of one line, without white space around them."""
     start, stop = 0, len(line)
     while start < stop and line[start].isspace():
@@ -328,7 +435,7 @@ def cut(line: str) -> list[tuple[int, int]]:
     if not body or body[0] in NO_SENTENCE or (body.startswith("[[") and body.endswith("]]")):
         return []
     masked = _mask(body)
-    found = _gaps(body, masked)
+    found = _gaps(body, masked, words or NOTHING_LEARNED)
     gaps = [g for g in found if g[1] < len(body) and g[0] > 0]
     if not gaps:
         return [(start, stop)]
@@ -369,16 +476,20 @@ def cut(line: str) -> list[tuple[int, int]]:
     return out
 
 
+NOTHING_LEARNED = Dictionary.empty()
+
+
 class Cutter:
-    """`cut` with the results of recent lines kept, one for a worker."""
+    """`cut` by a dictionary, with the results of recent lines kept."""
 
-    def __init__(self):
+    def __init__(self, words: Dictionary):
+        self.words = words
         self.seen: dict[str, np.ndarray] = {}
 
     def __call__(self, line: str) -> np.ndarray:
         known = self.seen.get(line)
         if known is None:
-            known = np.array(cut(line), np.int64).reshape(-1, 2)
+            known = np.array(cut(line, self.words), np.int64).reshape(-1, 2)
             if len(line) <= LONG_LINE:
                 if len(self.seen) >= LINES:
                     self.seen.clear()
@@ -386,9 +497,14 @@ class Cutter:
         return known
 
 
-@lru_cache(maxsize=1)
-def cutter_of_worker() -> Cutter:
-    return Cutter()
+_CUTTER: list[Cutter] = []
+
+
+def cutter_of_worker(words: Dictionary) -> Cutter:
+    """The worker's cutter; a broadcast dictionary is one object in a worker, so its lines stay known from task to task."""
+    if not _CUTTER or _CUTTER[0].words is not words:
+        _CUTTER[:] = [Cutter(words)]
+    return _CUTTER[0]
 
 
 def spans(text: str, cutter: Cutter) -> list[np.ndarray]:
@@ -401,15 +517,31 @@ def spans(text: str, cutter: Cutter) -> list[np.ndarray]:
     return out
 
 
-def sentences(documents: DataFrame) -> DataFrame:
+def once(documents: DataFrame) -> DataFrame:
+    """(doc_id, text) with every id once, the largest text of a repeated one; null ids are left out.
+
+    Repeats are looked for among the ids alone, so texts are moved only where
+    there are repeats, and only theirs.
+    """
+    rows = documents.select("doc_id", "text").filter("doc_id is not null")
+    repeated = checkpoint(rows.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
+    if repeated.isEmpty():
+        return rows
+    return rows.join(repeated, "doc_id", "left_anti").unionByName(rows.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text")))
+
+
+def sentences(documents: DataFrame, words: Dictionary | None = None) -> DataFrame:
     """(doc_id, start_pos, end_pos) of every sentence: 0-based code points, end exclusive.
 
-    Null and empty texts, and null ids, give no rows; a doc_id counts once. One
-    pass without a shuffle but for the removal of repeated rows.
+    Null and empty texts, and null ids, give no rows; a doc_id counts once, with
+    the largest of its texts. `words` is the dictionary of the corpus; without
+    one it is learned from the documents first. Two passes, without a shuffle of
+    the texts.
     """
+    shared = documents.sparkSession.sparkContext.broadcast(words or learn(documents))  # three tables of a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter = cutter_of_worker()
+        cutter = cutter_of_worker(shared.value)
         for batch in batches:
             ids, found = [], []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
@@ -422,4 +554,4 @@ def sentences(documents: DataFrame) -> DataFrame:
                 table = np.concatenate(found)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(table[:, 0]), pa.array(table[:, 1])], ["doc_id", "start_pos", "end_pos"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, start_pos bigint, end_pos bigint")
+    return once(documents).mapInArrow(run, "doc_id bigint, start_pos bigint, end_pos bigint")

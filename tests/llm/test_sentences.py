@@ -58,3 +58,38 @@ def test_documents(spark):
     one = sorted((r["start_pos"], r["end_pos"]) for r in rows if r["doc_id"] == 1)
     assert [text[a:b] for a, b in one] == ["One.", "Two!", "Three"]
     assert sum(r["doc_id"] == 4 for r in rows) == 20_000 and {r["doc_id"] for r in rows} == {1, 4}
+
+
+def _learned(spark):
+    texts = ["他走了很久。原因不明……\n面积很大。他终于到了。据说很好。", "原因不明……\n面积很大。灯塔终于建成。", "彼は行った。面積は広い。", None, ""] * 3
+    return S.learn(spark.createDataFrame([(t,) for t in texts], "text string"))
+
+
+# a held-out set: no line of it is in the test tables; | stands where a sentence ends
+HELD_OUT = [
+    "他走了很久……终于到了。|", "原因不明……|面积很大。|", "“你好吗？”老师问。|学生笑了。|", "「行くの？」と彼は言った。|彼女は黙った。|", "老王说：“明天再来。”|大家都走了。|",
+    "Adm. Nelson met Lic. Pérez.|They spoke.|", "Prof. Ada Ph.D. Smith left at 5 p.m. and slept.|", "Er kam am 3. Mai um 5.30 Uhr.|Dann ging er z. B. heim.|", "Il a dit « Non ! » et il partit.|Puis rien.|",
+    "उसने कहा कि वह आएगा।|फिर वह चला गया।|", "\"क्या हुआ?\" राम ने पूछा।|सब चुप रहे।|", "Он родился в 1990 г. в Туле.|Там он и жил.|", "See vol. 3, pp. 4–5 of it.|Why?|Nobody knows.|", "¿Qué pasó?|Nada, dijo el Sr. López.|",
+    "Այն տուն է։|Սա այգի է։|", "ဒါအိမ်။|ဒါကား။|",
+]
+
+
+@pytest.mark.parametrize("text", HELD_OUT)
+def test_held_out(spark, text):
+    global _WORDS
+    _WORDS = globals().get("_WORDS") or _learned(spark)
+    want = [p.strip() for p in text.split("|") if p.strip()]
+    line = ("" if S._RUN.search(text) or "ဒါ" in text else " ").join(want)
+    assert [line[a:b] for a, b in S.cut(line, _WORDS)] == want
+
+
+def test_learning_meets_empty_and_null_texts(spark):
+    assert S.learn(spark.createDataFrame([], "text string")).total == 1.0
+    words = _learned(spark)
+    assert words.closes("不明") > 0 and words.opens("面积") > 0 and words.opens("没见过") == 0
+
+
+def test_once_keeps_one_text_of_an_id(spark):
+    df = spark.createDataFrame([(1, "A b.", "x"), (1, "A c. D e.", "x"), (2, "Z.", "x"), (None, "N.", "x"), (3, None, "x")], "doc_id bigint, text string, n string")
+    assert sorted((r["doc_id"], r["text"]) for r in S.once(df).collect()) == [(1, "A c. D e."), (2, "Z."), (3, None)]
+    assert sorted(map(tuple, S.sentences(df).collect())) == [(1, 0, 4), (1, 5, 9), (2, 0, 2)]
