@@ -81,7 +81,7 @@ _THAI = regex.compile(r"(?<=[\p{Thai}--[\p{N}ฯๆ฿]])[ \t  ]+(?=[\p{Thai}--[
 _CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
 _KANA = regex.compile(r"[\p{Hiragana}\p{Katakana}]")
 _NEXT = regex.compile(r"[\p{L}\p{M}\p{N}]+(?:[.'’-][\p{L}\p{M}\p{N}]+)*")
-_LAST = regex.compile(r"(?:[\p{L}\p{M}\p{N}º№]+(?:[.\-'’][\p{L}\p{M}\p{N}º]+)*)$")
+_LAST = regex.compile(r"(?r)(?:[\p{L}\p{M}\p{N}º№]+(?:[.\-'’][\p{L}\p{M}\p{N}º]+)*)$")
 
 _DEVANAGARI = regex.compile(r"\p{Devanagari}")
 _ARABIC = regex.compile(r"\p{Arabic}")
@@ -90,8 +90,8 @@ _CAMEL = regex.compile(r"\p{Ll}{1,2}\p{Lu}")
 _BRACKETS = regex.compile(r"[)\]]+")
 _INITIAL = regex.compile(r"\p{Lu}")
 _LETTERS = regex.compile(r"(?:\p{Lu}\.)+\p{Lu}")
-_YEAR = regex.compile(r"\d\s*$")
-_SPACED = regex.compile(r"(\p{L}+\.)\s(\p{L}{1,2})$")
+_YEAR = regex.compile(r"(?r)\d\s*$")
+_SPACED = regex.compile(r"(?r)(\p{L}+\.)\s(\p{L}{1,2})$")
 _QUOTED = regex.compile(r"[」』”’\"»]")
 _CLAUSE = regex.compile(r"[，。！？,!?：:“]")
 _INTRODUCED = regex.compile(r"[：:][“「『\"][^“「『]*$")
