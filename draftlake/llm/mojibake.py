@@ -5,9 +5,11 @@ state per pair of encodings (that of the bytes, that they were read with). A
 state emits one character of the restored text per step, which in the shown
 text takes as many characters as the bytes of that character. Emissions are
 scored by the character pairs of the corpus itself, in a state's case after
-its inverse transform; a change of state costs. Each labelled span gets the inverse
-transform of its state, again as long as that finds anything (text garbled
-twice).
+its inverse transform; a change of state costs what the corpus shows, fitted to
+the labels of the round before. Each labelled span gets the inverse transform of
+its state, again as long as that finds anything (text garbled twice or more). A
+word is left as it is where no path is clearly likelier; where letters would be
+made of letters, pairs of characters that the corpus never has count against it.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,15 +33,20 @@ PAIRS = (
     ("utf-8", "cp1252"), ("utf-8", "cp1251"), ("utf-8", "cp437"), ("utf-8", "cp850"), ("utf-8", "mac_roman"), ("utf-8", "cp1250"),
     ("cp1252", "cp1251"), ("cp1252", "cp437"), ("cp1252", "cp850"), ("cp1252", "mac_roman"), ("cp1251", "cp1252"), ("cp1250", "cp1252"),
     ("shift_jis", "cp1252"), ("ascii", "utf-16-le"),
+    ("utf-8", "cp1253"), ("utf-8", "cp1254"), ("utf-8", "koi8-r"), ("utf-8", "cp866"), ("utf-8", "iso8859-2"),
+    ("mac_roman", "cp1252"), ("cp437", "cp1252"), ("cp850", "cp1252"), ("iso8859-2", "cp1252"), ("iso8859-5", "cp1252"), ("koi8-r", "cp1252"), ("cp866", "cp1252"), ("cp1253", "cp1252"), ("cp1254", "cp1252"),
+    ("koi8-r", "cp1251"), ("cp866", "cp1251"), ("cp1251", "koi8-r"), ("cp1251", "cp866"), ("gbk", "cp1252"), ("euc-kr", "cp1252"), ("euc_jp", "cp1252"),
 )
 LOST = "�"
 
 #: Hash buckets of character pairs and of characters: the model has this size whatever the corpus.
 PAIR_BITS, CHAR_BITS = 18, 16
-#: Natural logarithms: cost of a change of state, of a lost character as clean text and within a span.
-CHANGE, LOST_CLEAN, LOST_IN = 4.0, 20.0, 9.0
-#: A restored word must be likelier than the shown one by this much.
-MARGIN = 1.0
+#: Natural logarithms: cost of a change of state before any is fitted and its bounds, of a lost character as clean text and within a span.
+CHANGE, LEAST_CHANGE, MOST_CHANGE, LOST_CLEAN, LOST_IN = 4.0, 2.0, 12.0, 20.0, 9.0
+#: A restored word must be likelier than the shown one by this much, by more in a state that makes letters of letters; a pair of characters that the corpus never has costs so much more there.
+MARGIN, STRICT_MARGIN, UNSEEN = 1.0, 8.0, 8.0
+#: Below this gain a restored text counts as unsure.
+SURE = 5.0
 WORDS = 300_000
 ROWS_PER_TASK = 20_000
 
@@ -46,6 +54,7 @@ _SPLIT = regex.compile(r"( |\n|\\P|\\~)").split
 _DIGITS = regex.compile(r"[0-9]")
 
 
+@lru_cache(maxsize=None)
 def _byte_map(name: str) -> dict[str, int]:
     """The byte of each character as read with an encoding; bytes it leaves undefined stand for themselves."""
     out = {chr(b): b for b in range(128, 160)}
@@ -95,24 +104,27 @@ def _units(true: str, wrong: str):
                 return None
 
         return utf8
-    if true == "shift_jis":
+    if true in ("shift_jis", "gbk", "euc-kr", "euc_jp"):
+        leads = set(range(0x81, 0xA0)) | set(range(0xE0, 0xFD)) if true == "shift_jis" else set(range(0x81, 0xFF)) if true == "gbk" else set(range(0xA1, 0xFF))
+        low = 0x40 if true in ("shift_jis", "gbk") else 0xA1
 
-        def sjis(word: str, i: int):
+        def double(word: str, i: int):
             b = of.get(word[i], -1)
-            if not (0x81 <= b < 0xA0 or 0xE0 <= b < 0xFD) or i + 1 >= len(word):
+            if b not in leads or i + 1 >= len(word):
                 return None
             c = word[i + 1]
             t = ord(c) if c < "\x80" else of.get(c, -1)
             if c == LOST:
                 return 2, LOST
-            if not 0x40 <= t < 0xFD:
+            if not low <= t < 0xFF:
                 return None
             try:
-                return 2, bytes([b, t]).decode("shift_jis")
+                out = bytes([b, t]).decode(true)
             except UnicodeDecodeError:
                 return None
+            return (2, out) if len(out) == 1 else None
 
-        return sjis
+        return double
     to = {}
     for c, b in of.items():
         try:
@@ -125,6 +137,25 @@ def _units(true: str, wrong: str):
 
 
 UNITS = [(f"{t} as {w}", _units(t, w)) for t, w in PAIRS]
+_DOUBLE = ("shift_jis", "gbk", "euc-kr", "euc_jp")
+_PLAIN = ("cp1252", "cp1251", "cp437", "cp850", "mac_roman", "cp1250")
+#: States whose shown text may be proper words of some language, or that are rare: such a reading must be borne out by the corpus.
+STRICT = [t in _DOUBLE or not (t == "ascii" or t == "utf-8" and w in _PLAIN or (t, w) in (("cp1251", "cp1252"), ("cp1250", "cp1252")) or t == "cp1252") for t, w in PAIRS]
+
+
+@lru_cache(maxsize=4096)
+def _states_at(c: str) -> tuple[int, ...]:
+    """States that can begin with a character at all."""
+    out = []
+    for s, (true, wrong) in enumerate(PAIRS):
+        if wrong == "utf-16-le":
+            here = 0x2000 <= ord(c) < 0x7F00
+        else:
+            b = _byte_map(wrong).get(c, -1)
+            here = b >= 0xC2 if true == "utf-8" else b >= 0x81 if true in _DOUBLE else UNITS[s][1](c, 0) is not None
+        if here:
+            out.append(s)
+    return tuple(out)
 
 
 def _pair(a: str, b: str) -> int:
@@ -138,11 +169,19 @@ def shape(word: str) -> str:
 class Model:
     """Probabilities of character pairs, and the labelling of words by them."""
 
-    def __init__(self, pairs: np.ndarray, chars: np.ndarray):
+    def __init__(self, pairs: np.ndarray, chars: np.ndarray, states: np.ndarray | None = None):
         total = max(1.0, float(chars.sum()))
         self.pairs, self.chars, self.total = pairs / total, chars / total, total
         self.words: dict[str, tuple | None] = {}
         self.scores: dict[str, float] = {}
+        self.gain: dict[str, float] = {}
+        # transitions: of (spans, characters in them) per state and the words beyond ASCII, with one change in e**CHANGE seen before
+        n = len(PAIRS)
+        spans, inside, outside = (states[:n], states[n : 2 * n], states[2 * n]) if states is not None else (np.zeros(n), np.zeros(n), 0.0)
+        prior = math.exp(CHANGE)
+        most = np.where(STRICT, MOST_CHANGE, CHANGE)
+        fitted = lambda changes, places: np.clip(-np.log((changes + 1) / (places + prior)), LEAST_CHANGE, most)
+        self.enter, self.leave = fitted(spans, outside).tolist(), np.minimum(fitted(spans, inside), CHANGE).tolist()
 
     def score(self, a: str, b: str) -> float:
         known = self.scores.get(a + b)
@@ -158,6 +197,10 @@ class Model:
         p = 0.95 * self.pairs[_pair(a, b)] + 0.05 * self.chars[ord(a) & m] * self.chars[ord(b) & m]
         return math.log(p + 0.02 / self.total)
 
+    def unseen(self, a: str, b: str) -> bool:
+        """Whether a pair of characters, one of them beyond ASCII, is nowhere in the corpus; what was lost says nothing."""
+        return (a >= "\x80" or b >= "\x80") and LOST not in (a, b) and self.pairs[_pair("0" if "0" <= a <= "9" else a, "0" if "0" <= b <= "9" else b)] == 0
+
     def label(self, word: str) -> tuple[tuple[int, int, int, str], ...] | None:
         """Spans (start, end, state, restored) of a word, or None for a clean one. Digits count alike."""
         key = shape(word)
@@ -166,6 +209,7 @@ class Model:
         else:
             if len(self.words) >= WORDS:
                 self.words.clear()
+                self.gain.clear()
             known = self._viterbi(key)
             if len(key) < 200:
                 self.words[key] = known
@@ -174,7 +218,7 @@ class Model:
         return tuple((i, j, s, word[i:j] if s < 0 else t) for i, j, s, t in known)
 
     def _viterbi(self, word: str) -> tuple | None:
-        n, score = len(word), self.score
+        n, score, enter, leave = len(word), self.score, self.enter, self.leave
         # at each place: state -> (score, last character, previous place, previous state, restored piece)
         best: list[dict[int, tuple]] = [{} for _ in range(n + 1)]
         best[0][-1] = (0.0, " ", 0, -1, "")
@@ -186,8 +230,8 @@ class Model:
                 options = [(s, 1, c, (s,)) for s in here]
             else:
                 options = [(-1, 1, c, tuple(here))]
-            for s, (_, unit) in enumerate(UNITS):
-                u = unit(word, i) if c >= "\x80" else None
+            for s in _states_at(c) if c >= "\x80" else ():
+                u = UNITS[s][1](word, i)
                 if u:
                     options.append((s, *u, tuple(here)))
             for s, k, out, sources in options:
@@ -195,13 +239,15 @@ class Model:
                 for t in sources:
                     v, last = here[t][:2]
                     if s != t:
-                        v -= CHANGE
+                        v -= (leave[t] if t >= 0 else 0.0) + (enter[s] if s >= 0 else 0.0)
                     if out == LOST:
                         v -= LOST_CLEAN if s < 0 else LOST_IN
                         last = " "
                     else:
                         for x in out:
                             v += score(last, x)
+                            if s >= 0 and STRICT[s] and self.unseen(last, x):
+                                v -= UNSEEN
                             last = x
                     if s not in to or v > to[s][0]:
                         to[s] = (v, last, i, t, out)
@@ -211,7 +257,8 @@ class Model:
             last = c if c != LOST else " "
         raw += score(last, " ")
         end = max(best[n].items(), key=lambda kv: kv[1][0] + score(kv[1][1], " "))
-        if end[1][0] + score(end[1][1], " ") <= raw + MARGIN:
+        gain = end[1][0] + score(end[1][1], " ") - raw
+        if gain <= MARGIN:
             return None
         spans, at, state = [], n, end[0]  # backwards
         while at > 0:
@@ -222,6 +269,9 @@ class Model:
         spans.reverse()
         if all(s < 0 for _, _, s, _ in spans):
             return None
+        if gain <= STRICT_MARGIN and any(s >= 0 and STRICT[s] for _, _, s, _ in spans):
+            return None
+        self.gain[word] = gain
         merged = [spans[0]]
         for i, j, s, t in spans[1:]:
             if merged[-1][2] == s:
@@ -232,26 +282,36 @@ class Model:
 
     def repair(self, text: str) -> tuple[str, list[tuple[int, int, int, int]], list[str]]:
         """Restored text, changed spans (start, end, restored start, restored end), and the pairs found."""
+        return self.repair_with_gain(text)[:3]
+
+    def repair_with_gain(self, text: str) -> tuple[str, list[tuple[int, int, int, int]], list[str], float]:
+        """`repair`, and the least gain in likelihood of its words (infinite without any)."""
+        least = math.inf
         if text.isascii():
-            return text, [], []
+            return text, [], [], least
         out, spans, found, at, size = [], [], [], 0, 0
         for word in _SPLIT(text):
             if word.isascii():
                 out.append(word)
                 at, size = at + len(word), size + len(word)
                 continue
-            fixed, seen = word, False
-            for _ in range(3):
-                labels = None if fixed.isascii() else self.label(fixed)
+            fixed, before = word, {word}
+            while not fixed.isascii():
+                labels = self.label(fixed)
                 if labels is None:
                     break
+                again = "".join(t for _, _, _, t in labels)
+                if again in before:
+                    break
+                least = min(least, self.gain.get(shape(fixed), math.inf))
                 found += [UNITS[s][0] for _, _, s, _ in labels if s >= 0]
-                fixed, seen = "".join(t for _, _, _, t in labels), True
-            if seen:
+                fixed = again
+                before.add(fixed)
+            if fixed != word:
                 spans.append((at, at + len(word), size, size + len(fixed)))
             out.append(fixed)
             at, size = at + len(word), size + len(fixed)
-        return "".join(out), spans, list(dict.fromkeys(found))
+        return "".join(out), spans, list(dict.fromkeys(found)), least
 
 
 def _count(words: Counter) -> tuple[np.ndarray, np.ndarray]:
@@ -268,7 +328,7 @@ def _count(words: Counter) -> tuple[np.ndarray, np.ndarray]:
     return pairs, chars
 
 
-_UTF8 = [unit for name, unit in UNITS if name.startswith("utf-8")]
+_UTF8 = [unit for (name, unit), strict in zip(UNITS, STRICT) if name.startswith("utf-8") and not strict]
 _WIDE = dict(UNITS)["ascii as utf-16-le"]
 #: Words no model may learn from at first: a symbol, or a capital with an accent, amid letters, or letters of two scripts.
 _ODD = regex.compile(r"\p{L}(?![\x00-\x7f])[\p{S}\p{Lm}\p{Pi}\p{Pf}\p{Ps}\p{Po}\p{Cc}\p{Co}]+\p{L}|\p{L}(?![\x00-\x7f])\p{Lu}\p{Ll}|\p{Latin}\p{Cyrillic}|\p{Cyrillic}\p{Latin}|\p{Latin}\p{Greek}|\p{Greek}\p{Latin}")
@@ -281,16 +341,29 @@ def _suspect(word: str) -> bool:
     return any(all(_WIDE(word, k) for k in range(i, i + 3)) for i in range(len(word) - 2))
 
 
+#: Counts of a model: pairs, characters, then spans and characters of each state and words beyond ASCII.
+_SIZES = (1 << PAIR_BITS, 1 << CHAR_BITS, 2 * len(PAIRS) + 1)
+
+
 def _counter(model: Model | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()
-        pairs, chars = np.zeros(1 << PAIR_BITS), np.zeros(1 << CHAR_BITS)
+        pairs, chars, states = (np.zeros(n) for n in _SIZES)
 
         def flush() -> None:
             kept = Counter()
             for w, n in words.items():
-                if w.isascii() or (not _suspect(w) if model is None else model.label(w) is None):
+                if w.isascii():
+                    kept[w] += n
+                    continue
+                labels = None if model is None else model.label(w)
+                if not _suspect(w) if model is None else labels is None:
                     kept[w] += n
+                states[-1] += n
+                for i, j, s, _ in labels or ():
+                    if s >= 0:
+                        states[s] += n
+                        states[len(PAIRS) + s] += n * (j - i)
             p, c = _count(kept)
             pairs[:] += p
             chars[:] += c
@@ -303,9 +376,9 @@ def _counter(model: Model | None):
             if len(words) > WORDS:
                 flush()
         flush()
-        key = np.concatenate([np.flatnonzero(pairs), (1 << PAIR_BITS) + np.flatnonzero(chars)])
-        n = np.concatenate([pairs[pairs > 0], chars[chars > 0]])
-        yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(n, pa.float64())], ["key", "n"])
+        every = np.concatenate([pairs, chars, states])
+        key = np.flatnonzero(every)
+        yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(every[key], pa.float64())], ["key", "n"])
 
     return run
 
@@ -314,16 +387,18 @@ def train(texts: DataFrame, rounds: int = 2) -> Model:
     """Model of the column `text` of all rows.
 
     The first round leaves out words that hold a valid UTF-8 sequence under some
-    pair or look odd, the next ones words that the model before labels garbled. Counts are
-    summed by Spark into at most 2**PAIR_BITS + 2**CHAR_BITS numbers, which is
-    all that comes to the driver.
+    pair or look odd, the next ones words that the model before labels garbled,
+    whose spans give the costs of the transitions. Counts are summed by Spark
+    into at most 2**PAIR_BITS + 2**CHAR_BITS and a few numbers, which is all that
+    comes to the driver.
     """
     model = None
     for _ in range(rounds):
         rows = texts.select("text").mapInArrow(_counter(model), "key bigint, n double").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
-        counts = np.zeros((1 << PAIR_BITS) + (1 << CHAR_BITS))
+        counts = np.zeros(sum(_SIZES))
         counts[np.asarray(rows.column("key"), np.int64)] = np.asarray(rows.column("n"))
-        model = Model(counts[: 1 << PAIR_BITS], counts[1 << PAIR_BITS :])
+        pairs, chars, states = np.split(counts, np.cumsum(_SIZES)[:-1])
+        model = Model(pairs, chars, None if model is None else states)
     return model
 
 
@@ -339,19 +414,21 @@ def fields_of(summary: DataFrame, mtext: DataFrame, columns: tuple[str, ...]) ->
 
 
 def garbled(fields: DataFrame, model: Model) -> DataFrame:
-    """Rows of (src_table, rec_id, field, text) with garbled text, and restored, pairs (names of the encoding pairs), complete (nothing was lost)."""
+    """Rows of (src_table, rec_id, field, text) with garbled text, and restored, pairs (names of the encoding pairs), complete (nothing was lost), sure (every word gained enough)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, restored, names, complete = [], [], [], []
+            keep, restored, names, complete, sure = [], [], [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
-                fixed, spans, pairs = model.repair(text)
+                fixed, spans, pairs, least = model.repair_with_gain(text)
                 if spans:
                     keep.append(i)
                     restored.append(fixed)
                     names.append(", ".join(pairs))
                     complete.append(LOST not in fixed)
+                    sure.append(least >= SURE)
             out = batch.take(pa.array(keep, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(restored, pa.string()), pa.array(names, pa.string()), pa.array(complete, pa.bool_())], [*out.schema.names, "restored", "pairs", "complete"])
+            more = {"restored": pa.array(restored, pa.string()), "pairs": pa.array(names, pa.string()), "complete": pa.array(complete, pa.bool_()), "sure": pa.array(sure, pa.bool_())}
+            yield pa.RecordBatch.from_arrays([*out.columns, *more.values()], [*out.schema.names, *more])
 
-    return fields.mapInArrow(run, "src_table string, rec_id bigint, field string, text string, restored string, pairs string, complete boolean")
+    return fields.mapInArrow(run, "src_table string, rec_id bigint, field string, text string, restored string, pairs string, complete boolean, sure boolean")

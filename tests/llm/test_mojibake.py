@@ -58,3 +58,36 @@ def test_rows(spark, model):
     assert [(r["src_table"], r["rec_id"], r["field"], r["restored"], r["complete"]) for r in rows] == [("summary_info", 1, "title", "Prüfstatik", True)]
     empty = M.fields_of(s.limit(0), m.limit(0), ("title",))
     assert M.garbled(empty, M.train(empty)).count() == 0
+
+
+RARE = [(t, a, b) for t in ("Сечение колонны по расчёту", "Отметка чистого пола", "Größe der Öffnung", "réseau électrique", "配管図 第3号", "寸法は現場で確認すること", "Müller Straße", "Przekrój słupa", "Ώρα λειτουργίας") for a, b in M.PAIRS[14:] + (("iso8859-7", "cp1252"), ("hz", "cp1252"))]
+
+
+def test_rare_pairs_are_restored_or_left(model):
+    """Texts garbled by pairs that the corpus doesn't hold come back whole, or stay; no word becomes another text."""
+    restored = tried = wrong = 0
+    for text, true, read in RARE:
+        try:
+            shown = text.encode(true).decode(read)
+        except UnicodeError:
+            continue
+        if shown == text or not shown.isprintable():
+            continue
+        fixed = model.repair(shown)[0]
+        tried += 1
+        for was, now, meant in zip(shown.split(" "), fixed.split(" "), text.split(" ")):
+            restored += now == meant != was
+            wrong += now not in (was, meant)
+    assert tried > 20 and restored > 25 and wrong <= restored // 20, (tried, restored, wrong)
+
+
+def test_garbled_many_times(model):
+    shown = "réseau électrique"
+    for _ in range(5):
+        shown = garble(shown, "utf-8", "latin-1")
+    assert model.repair(shown)[0] == "réseau électrique"
+
+
+def test_states_are_fitted(model):
+    usual, rare = [n for n, _ in M.UNITS].index("utf-8 as cp1252"), [n for n, _ in M.UNITS].index("cp866 as cp1251")
+    assert model.enter[usual] < model.enter[rare] and M.STRICT[rare] and not M.STRICT[usual]
