@@ -22,7 +22,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from draftlake.runtime import tasks_for
@@ -45,6 +46,8 @@ PAIR_BITS, CHAR_BITS = 18, 16
 CHANGE, LEAST_CHANGE, MOST_CHANGE, LOST_CLEAN, LOST_IN = 4.0, 2.0, 12.0, 20.0, 9.0
 #: A restored word must be likelier than the shown one by this much, by more in a state that makes letters of letters; a pair of characters that the corpus never has costs so much more there.
 MARGIN, STRICT_MARGIN, UNSEEN = 1.0, 8.0, 8.0
+#: Two changes of state and the largest difference of one pair of characters.
+BEHIND = 2 * MOST_CHANGE + 20.0
 #: Below this gain a restored text counts as unsure.
 SURE = 5.0
 WORDS = 300_000
@@ -175,6 +178,7 @@ class Model:
         self.words: dict[str, tuple | None] = {}
         self.scores: dict[str, float] = {}
         self.gain: dict[str, float] = {}
+        self.rare: set[str] = set()
         # transitions: of (spans, characters in them) per state and the words beyond ASCII, with one change in e**CHANGE seen before
         n = len(PAIRS)
         spans, inside, outside = (states[:n], states[n : 2 * n], states[2 * n]) if states is not None else (np.zeros(n), np.zeros(n), 0.0)
@@ -183,12 +187,22 @@ class Model:
         fitted = lambda changes, places: np.clip(-np.log((changes + 1) / (places + prior)), LEAST_CHANGE, most)
         self.enter, self.leave = fitted(spans, outside).tolist(), np.minimum(fitted(spans, inside), CHANGE).tolist()
 
+    def broadcast(self, spark: SparkSession) -> Broadcast:
+        """The model for all tasks, of a fixed size; a worker keeps one object of it, with the words it knows, from task to task."""
+        return spark.sparkContext.broadcast(self)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"words": {}, "scores": {}, "gain": {}, "rare": set()}
+
     def score(self, a: str, b: str) -> float:
         known = self.scores.get(a + b)
         if known is None:
             if len(self.scores) >= WORDS:
                 self.scores.clear()
+                self.rare.clear()
             known = self.scores[a + b] = self._score(a, b)
+            if self.unseen(a, b):
+                self.rare.add(a + b)
         return known
 
     def _score(self, a: str, b: str) -> float:
@@ -218,7 +232,7 @@ class Model:
         return tuple((i, j, s, word[i:j] if s < 0 else t) for i, j, s, t in known)
 
     def _viterbi(self, word: str) -> tuple | None:
-        n, score, enter, leave = len(word), self.score, self.enter, self.leave
+        n, score, enter, leave, rare = len(word), self.score, self.enter, self.leave, self.rare
         # at each place: state -> (score, last character, previous place, previous state, restored piece)
         best: list[dict[int, tuple]] = [{} for _ in range(n + 1)]
         best[0][-1] = (0.0, " ", 0, -1, "")
@@ -226,6 +240,9 @@ class Model:
             here, c = best[i], word[i]
             if not here:
                 continue
+            if len(here) > 2:  # what lies so far behind can't catch up: whoever is ahead may change the state for less
+                floor = max(v[0] for v in here.values()) - BEHIND
+                here = {s: v for s, v in here.items() if v[0] >= floor}
             if c < "\x80":  # looks alike in every state, so none is left or entered
                 options = [(s, 1, c, (s,)) for s in here]
             else:
@@ -246,7 +263,7 @@ class Model:
                     else:
                         for x in out:
                             v += score(last, x)
-                            if s >= 0 and STRICT[s] and self.unseen(last, x):
+                            if s >= 0 and STRICT[s] and last + x in rare:
                                 v -= UNSEEN
                             last = x
                     if s not in to or v > to[s][0]:
@@ -345,9 +362,10 @@ def _suspect(word: str) -> bool:
 _SIZES = (1 << PAIR_BITS, 1 << CHAR_BITS, 2 * len(PAIRS) + 1)
 
 
-def _counter(model: Model | None):
+def _counter(shared: Broadcast | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()
+        model = shared and shared.value
         pairs, chars, states = (np.zeros(n) for n in _SIZES)
 
         def flush() -> None:
@@ -394,7 +412,7 @@ def train(texts: DataFrame, rounds: int = 2) -> Model:
     """
     model = None
     for _ in range(rounds):
-        rows = texts.select("text").mapInArrow(_counter(model), "key bigint, n double").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+        rows = texts.select("text").mapInArrow(_counter(model and model.broadcast(texts.sparkSession)), "key bigint, n double").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
         counts = np.zeros(sum(_SIZES))
         counts[np.asarray(rows.column("key"), np.int64)] = np.asarray(rows.column("n"))
         pairs, chars, states = np.split(counts, np.cumsum(_SIZES)[:-1])
@@ -416,7 +434,10 @@ def fields_of(summary: DataFrame, mtext: DataFrame, columns: tuple[str, ...]) ->
 def garbled(fields: DataFrame, model: Model) -> DataFrame:
     """Rows of (src_table, rec_id, field, text) with garbled text, and restored, pairs (names of the encoding pairs), complete (nothing was lost), sure (every word gained enough)."""
 
+    shared = model.broadcast(fields.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         for batch in batches:
             keep, restored, names, complete, sure = [], [], [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):

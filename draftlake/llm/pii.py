@@ -23,6 +23,7 @@ from functools import reduce
 
 import pyarrow as pa
 import regex
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -237,9 +238,10 @@ _TURNED_FIELD = regex.compile(rf"{_TITLE}(?P<name>({_NW}(?:-{_NW})?),\s+({_NW})(
 _INITIAL_FIELD = regex.compile(rf"{_TITLE}(?P<name>[^\s\p{{N}}]\.\s*(?:\p{{Lu}}\.\s*)?{_PARTICLE}({_NW}(?:-{_NW})?)){_AFTER}")
 
 
-def _counted(model: Model):
+def _counted(shared: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count: Counter = Counter()
+        model = shared.value
         for batch in batches:
             for is_name, stored in zip(batch.column("is_name").to_pylist(), batch.column("text").to_pylist()):
                 text = View(stored, model).text
@@ -307,7 +309,7 @@ def learn(names: DataFrame, texts: DataFrame, model: Model) -> WordTable:
     and one that stands alone does so in lower case or with a capital.
     """
     rows = names.select(F.lit(True).alias("is_name"), "text").unionByName(texts.select(F.lit(False).alias("is_name"), "text"))
-    counts = checkpoint(rows.mapInArrow(_counted(model), "kind string, a string, b string, n bigint").groupBy("kind", "a", "b").agg(F.sum("n").alias("n")))
+    counts = checkpoint(rows.mapInArrow(_counted(model.broadcast(rows.sparkSession)), "kind string, a string, b string, n bigint").groupBy("kind", "a", "b").agg(F.sum("n").alias("n")))
     pairs = counts.filter("kind = 'pair'").withColumn("ending", F.expr(f"right(b, {SUFFIX})"))
     endings = checkpoint(pairs.groupBy("ending").agg(F.countDistinct("b").alias("families")).filter(F.col("families") >= FAMILIES).select("ending"))
     usual = F.max(F.coalesce("usual", F.lit(False))).alias("usual")
@@ -335,7 +337,10 @@ def entities(fields: DataFrame, lexicon: WordTable, model: Model) -> DataFrame:
     candidates are looked up in the lexicon by joins, then each text is decided.
     """
 
+    shared = model.broadcast(fields.sparkSession)
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         for batch in batches:
             keep, items, words = [], [], []
             for i, (stored, field) in enumerate(zip(batch.column("text").to_pylist(), batch.column("field").to_pylist())):
