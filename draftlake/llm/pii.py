@@ -24,7 +24,7 @@ from functools import reduce
 import pyarrow as pa
 import regex
 from pyspark.core.broadcast import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from draftlake.llm.mojibake import LOST, Model
@@ -46,7 +46,7 @@ ORGANISATION = frozenset(
     "the university unknown user utilities water works workstation".split()
 )
 
-_CODES = regex.compile(r"\\U\+([0-9A-Fa-f]{4})|%%([dcpDCP])|(\\[P~])|\\[ACcFfHhQTWSp][^;\\{}\n]{0,80};|\\[LlOoKkNX]|(\\[\\{}])|[{}]")
+_CODES = regex.compile(r"\\U\+([0-9A-Fa-f]{4})|%%([dcpDCP])|(\\[P~])|\\[ACcFfHhQTWSp][^;\\{}\n]*;|\\[LlOoKkNX]|(\\[\\{}])|[{}]")
 _SYMBOL = {"d": "°", "c": "⌀", "p": "±"}
 
 _EMAIL = regex.compile(
@@ -61,6 +61,7 @@ _PHONE = regex.compile(
     r"|\+\d{1,3}[^\S\n]?(?:\(\d{1,4}\)[^\S\n]?)?\d{1,4}(?:[.\-]\d{2,5}|[^\S\n]\d{2,5}){1,6}"
     r"|00\d{2}[^\S\n]\d{1,4}(?:[^\S\n]\d{2,6}){1,4}"
     r"|\(\d{3}\)\s?\d{3}[\s.-]\d{4}"
+    r"|8[\s-]?\(\d{3}\)\s?\d{3}-\d{2}-\d{2}"
     r"|\d{3}\.\d{3}\.\d{4}|[2-9]\d{2}-\d{3}-\d{4}"
     r"|0\d(?:[\s.]\d{2}){4}"
     r"|0\d{2,4}[\s/]\d{3,6}[\s-]\d{3,5}"
@@ -70,8 +71,9 @@ _ID = regex.compile(
     r"(?x)(?<![\p{L}\p{N}-]) (?:"
     r"\d{3}-\d{2}-\d{4}"
     r"|(?<=soc\.\s?sec\.\s?no\.\s{1,3}|SSN:?\s{1,3})\d{3}\s?-?\d{2}\s?-?\d{4}"
-    r"|QQ\s?\d{2}\s?\d{2}\s?\d{2}\s?[A-D]"
-    r"|(?<=(?i:passport(?:\sno\.?|\snumber)?:?)\s{1,3})\p{Lu}{1,2}\s?\d{6,8}"
+    r"|(?:QQ|(?!BG|GB|KN|NK|NT|TN|ZZ)[A-CEGHJ-PR-TW-Z][A-CEGHJ-NPR-TW-Z])\s?\d{2}\s?\d{2}\s?\d{2}\s?[A-D]"
+    r"|(?<=(?i:passport(?:\sno\.?|\snumber)?:?)\s{1,3})\p{Lu}{0,2}\s?\d{6,9}"
+    r"|(?<=PESEL:?\s{1,3})\d{11}"
     r"|(?<=(?i:DNI|NIE):?\s{1,3})[XYZ]?\d{7,8}-?\p{Lu}|\d{8}-\p{Lu}"
     r"|(?<=(?i:Steuer-ID|Steuernummer|tax\sID)(?:\sNr\.?)?:?\s{1,3})\d{2}(?:\s?\d{3}){3}"
     r"|(?<=(?i:Ausweis(?:-?Nr\.?|nummer)|identity\scard(?:\sno\.?)?):?\s{1,3})[A-Z0-9]{8,12}"
@@ -85,10 +87,12 @@ _TOWN = rf"(?:,\s+(?:\d{{4,5}}\s+)?{_W}(?:\s(?:Cross|Green|Heath|Hill|Bay|Bridge
 _ADDRESS = regex.compile(
     rf"(?x)(?<![\p{{L}}\p{{N}}]) (?:"
     rf"Flat\s+\d+[a-zA-Z]?,\s+(?:{_W}\s+){{1,3}}House,\s+(?:{_W}\s+){{1,3}}(?:Road|Street|Lane|Avenue){_TOWN}"
-    rf"|\d{{1,5}}\s?[a-zA-Z]?\s+(?:{_W}\s+){{1,3}}(?:(?:Lane|Street|Road|Avenue|Drive|Close|Way|LANE|STREET|ROAD|AVENUE|Ave)(?![\p{{L}}])|St\.|ST\.|Rd\.|Ave\.)(?:\s+(?:APT|Apt|Flat|Unit)\.?\s+\d+)?{_TOWN}"
+    rf"|\d{{1,5}}\s?[a-zA-Z]?\s+(?:{_W}\s+){{1,3}}(?:(?:Lane|Street|Road|Avenue|Drive|Close|Way|Boulevard|Court|Terrace|Crescent|Gardens|Grove|Mews|Parkway|LANE|STREET|ROAD|AVENUE|Ave)(?![\p{{L}}])|St\.|ST\.|Rd\.|Ave\.|Blvd\.)(?:\s+(?:APT|Apt|Flat|Unit)\.?\s+\d+)?{_TOWN}"
     rf"|(?:\p{{L}}+(?:straße|strasse|STRASSE|str\.|weg|gasse|platz|allee))\s+\d{{1,4}}\s?[a-zA-Z]?(?![\p{{L}}\p{{N}}]){_TOWN}"
     rf"|(?:Calle|Avda\.|Avenida|Plaza|CALLE)\s+(?:(?:del|de|la|las|los|DEL|DE)\s+)*{_W}(?:\s+{_W})*\s+\d{{1,4}}(?:,\s+\d+\s?º\s+[A-Z])?"
     rf"|\d{{1,4}}(?:\s?(?:bis|ter))?,?\s+(?:rue|avenue|boulevard|place|RUE)\s+(?:(?:des|de|du|la|le|les|DES)\s+|d')*{_W}{_TOWN}"
+    rf"|(?:via|viale|Via|Viale|Piazza|Corso)\s+{_W}(?:\s+{_W}){{0,2}},?\s+\d{{1,4}}(?![\p{{L}}\p{{N}}])"
+    rf"|(?:ул\.|улица|пр\.|проспект|пер\.|наб\.)\s+{_W}(?:\s+{_W})?,?\s+(?:д\.\s*)?\d{{1,4}}(?![\p{{L}}\p{{N}}])"
     rf"|(?:ul\.|al\.|UL\.)\s+{_W}(?:\s+{_W})?\s+\d{{1,4}}(?:/\d{{1,4}})?"
     rf")"
 )
@@ -96,6 +100,10 @@ _PARTICLE = r"(?:(?:van|von|de|der|den|del|di|da|la|le|ter|VAN|VON|DE)\s+){0,2}"
 _NW = r"[\p{Lu}" + LOST + r"][\p{L}\p{M}'’" + LOST + r"]+"
 _FULL = regex.compile(rf"(?<![\p{{L}}\p{{N}}@._+-])({_NW})\s+((?:\p{{Lu}}\.\s*){{0,2}})({_PARTICLE})({_NW}(?:-{_NW})?)(?![\p{{L}}\p{{N}}@_])")
 _TURNED = regex.compile(rf"(?<![\p{{L}}\p{{N}}@._+-])({_PARTICLE})({_NW}(?:-{_NW})?),\s+({_NW})(?:\s+\p{{Lu}}\.)?(?![\p{{L}}\p{{N}}@_])")
+#: Two given names before the family.
+_DOUBLE = regex.compile(rf"(?<![\p{{L}}\p{{N}}@._+-])({_NW}\s+{_NW})\s+({_PARTICLE})({_NW}(?:-{_NW})?)(?![\p{{L}}\p{{N}}@_])")
+#: What a part of a bank account number stands behind.
+_ACCOUNT = regex.compile(r"(?r)(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?:\s?[A-Z0-9]{4})*\s?$")
 _INITIAL = regex.compile(rf"(?<![\p{{L}}\p{{N}}@._+-])(?:[\p{{Lu}}{LOST}]\.\s*){{1,3}}({_PARTICLE})({_NW}(?:-{_NW})?)(?![\p{{L}}\p{{N}}@_])")
 _WORD = regex.compile(r"[\p{L}\p{M}]+(?:-[\p{L}\p{M}]+)*")
 #: What stands before a letter with a full stop that is no initial.
@@ -174,7 +182,7 @@ class Lexicon:
 
     def accepts(self, given: str | None, family: str | None, strict: bool) -> bool:
         """Whether a name's form holds a name; without a family it does anyway."""
-        return family is None or (given is None or self.is_given(given)) and self.is_family(family, strict)
+        return family is None or (given is None or all(map(self.is_given, given.split()))) and self.is_family(family, strict)
 
 
 #: What may be an entity: start, end, type, then for names the words that decide.
@@ -184,6 +192,7 @@ Candidate = tuple[int, int, str, str | None, str | None, bool]
 def names_of(text: str) -> list[Candidate]:
     """Everything in a text that has a name's form."""
     out: list[Candidate] = [(*m.span(), "NAME", m[1], m[4], False) for m in _FULL.finditer(text, overlapped=True)]
+    out += [(*m.span(), "NAME", m[1], m[3], False) for m in _DOUBLE.finditer(text, overlapped=True)]
     out += [(*m.span(), "NAME", m[3], m[2], False) for m in _TURNED.finditer(text, overlapped=True)]
     for m in _INITIAL.finditer(text, overlapped=True):
         if not _NO_INITIAL.search(text, max(0, m.start() - 8), m.start()):
@@ -203,7 +212,7 @@ def candidates(text: str, name_field: bool = False) -> list[Candidate]:
     if any(c.isdigit() for c in text):
         for kind, form in (("ADDRESS", _ADDRESS), ("ID_NUMBER", _ID), ("PHONE", _PHONE)):
             for m in form.finditer(text):
-                if kind != "PHONE" or sum(c.isdigit() for c in m[0]) >= 9:
+                if kind != "PHONE" or sum(c.isdigit() for c in m[0]) >= 9 and not _ACCOUNT.search(text, 0, m.start()):
                     out.append((*m.span(), kind, None, None, False))
     out += names_of(text)
     if name_field:
@@ -258,7 +267,7 @@ def _counted(shared: Broadcast):
                         count["low" if low else "capital", w, ""] += 1
                     behind = {((given or "").casefold(), p) for *_, given, family, _ in names_of(text) for p in family.casefold().split("-")}
                     for given, p in behind:
-                        count["behind", given, p] += 1
+                        count["behind", given.split()[-1] if given else "", p] += 1
                 if len(count) > 200_000:
                     yield _batch(count)
                     count.clear()
@@ -352,7 +361,7 @@ def entities(fields: DataFrame, lexicon: WordTable, model: Model) -> DataFrame:
                 for a, b, kind, given, family, strict in found:
                     s, e = view.stored(a, b)
                     own.append({"a": a, "b": b, "kind": kind, "given": given, "family": family, "strict": strict, "start_pos": s, "end_pos": e, "shown": regex.sub(r"\s+", " ", view.text[a:b]), "canonical": canonical(kind, view.text[a:b])})
-                    needed.update(([given.casefold()] if given else []) + (family.casefold().split("-") if family else []))
+                    needed.update((given.casefold().split() if given else []) + (family.casefold().split("-") if family else []))
                 keep.append(i)
                 items.append(own)
                 words.append(sorted(needed))
@@ -395,9 +404,18 @@ def canonical(kind: str, text: str) -> str:
     return t
 
 
-# Parts of surrogate names and words, by script.
-_LATIN = ("ba", "de", "fi", "go", "hu", "ka", "le", "mi", "no", "pu", "ra", "se", "ti", "vo", "wu", "za")
-_CYRILLIC = ("ба", "де", "фи", "го", "ху", "ка", "ле", "ми", "но", "пу", "ра", "се", "ти", "во", "му", "за")
+# Consonants and vowels of invented words, by script, and endings of family names that tell a gender or an origin.
+SYLLABLES = {
+    "Latin": ("bdfghklmnprstvwz", "aeiou"), "Cyrillic": ("бвгдзклмнпрстфхц", "аеиоу"), "Greek": ("βγδζθκλμνπρστφχψ", "αειου"), "Armenian": ("բգդզթկլմնպրստխհվ", "աեիոէ"), "Hebrew": ("בגדזחטכלמנספקרשת", "אהוי"),
+    "Arabic": ("بتجحدرزسشعفقكلمن", "اوي"), "Devanagari": ("कगचजटडतदनपबमयरलस", "ािीुे"), "Thai": ("กขคงจชดตทนบปมรลส", "ะาิีุ"), "Hangul": ("가나다라마바사아자차카타파하고노", "기니디리미"), "Hiragana": ("かきさしたちなにはまやらわみとの", "あいうえお"),
+    "Katakana": ("カキサシタチナニハマヤラワミトノ", "アイウエオ"), "Han": ("安白陈丁方高何江林马平秦沈田王周", "文明华英子"),
+}
+FAMILY_ENDINGS = ("овский", "овская", "ский", "ская", "ова", "ева", "ина", "ов", "ев", "ин", "owska", "owski", "ska", "ski", "ova", "eva", "ov", "ev", "dóttir", "sson", "sen")
+_SCRIPTS = [(name, regex.compile(rf"\p{{{name}}}")) for name in SYLLABLES]
+# Words of addresses, emails and names that stay, country codes of two digits, and letters of Spanish numbers.
+KEPT = frozenset("lane st road rd avenue ave street drive close way boulevard blvd court terrace crescent gardens grove mews parkway flat house apt unit rue des de du la le del calle plaza avda avenida ul al ул улица пр проспект пер наб д via viale piazza corso place bis ter at dot mailto x ext dl qq van von der den di da".split())
+TWO_DIGITS = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+DNI = "TRWAGMYFPDXBNJZSQVHLCKE"
 
 
 def _stream(key: bytes, *parts: object) -> Iterator[int]:
@@ -407,85 +425,198 @@ def _stream(key: bytes, *parts: object) -> Iterator[int]:
         k += 1
 
 
+def _script(word: str) -> str:
+    return next((name for name, form in _SCRIPTS if form.search(word)), "Latin")
+
+
+def _cased(new: str, like: str) -> str:
+    return new.upper() if like.isupper() and len(like) > 1 else new.capitalize() if like[:1].isupper() else new
+
+
+def _initial(key: bytes, letter: str) -> str:
+    """The first letter of the replacements of all given names with a first letter: a keyed permutation of the script's consonants as far as they go."""
+    letters = SYLLABLES[_script(letter)][0]
+    order = sorted(letters, key=lambda c: hmac.new(key, f"initial|{c}".encode(), hashlib.sha256).digest())
+    plain = sorted(set(letters))
+    return order[plain.index(letter) if letter in plain else ord(letter) % len(order)]
+
+
+def word_surrogate(key: bytes, role: str, word: str, attempt: int) -> str:
+    """A replacement of one word of a name ('given' or 'family', in lower case), in its script.
+
+    A given name begins as all with its first letter do, so that initials agree,
+    and ends in a vowel or a consonant as it did; a family name keeps an ending
+    that tells a gender. Every four attempts make it a syllable longer, so there
+    is always another.
+    """
+    draw = _stream(key, role, word, attempt)
+    consonants, vowels = SYLLABLES[_script(word)]
+    tail = next((e for e in FAMILY_ENDINGS if role == "family" and word.endswith(e) and len(word) > len(e) + 1), "")
+    size = max(2, (len(word) - len(tail) + 1) // 2) + attempt // 4
+    out = "".join(consonants[next(draw) % len(consonants)] + vowels[next(draw) % len(vowels)] for _ in range(size))
+    if role == "given":
+        out = _initial(key, word[0]) + out[1:]
+    if not tail and word[-1] not in vowels and word[-1].casefold() not in "aeiouyáéíóúëяаеиоуыэю":
+        out += consonants[next(draw) % len(consonants)]
+    return out + tail
+
+
+_WORDS_OF = regex.compile(r"[\p{L}\p{M}" + LOST + r"]+")
+
+
+def name_parts(shown: str) -> list[tuple[int, int, str, str]]:
+    """(start, end, role, word) of the words of a name: 'given', 'family' or 'initial'; particles stay."""
+    comma = shown.find(",")
+    found = [m for m in _WORDS_OF.finditer(shown) if m[0].casefold() not in KEPT]
+    # hyphens join the words of one family name
+    last = next((i for i in range(len(found) - 1, -1, -1) if len(found[i][0]) > 1), -1)
+    first = last
+    while first > 0 and shown[found[first].start() - 1] == "-" and found[first - 1].end() == found[first].start() - 1:
+        first -= 1
+    out = []
+    for i, m in enumerate(found):
+        role = "initial" if len(m[0]) == 1 else "family" if (m.start() < comma if comma >= 0 else first <= i <= last) else "given"
+        out.append((m.start(), m.end(), role, m[0].casefold()))
+    return out
+
+
 def surrogate(key: bytes, kind: str, shown: str, canon: str, attempt: int) -> str:
-    """A replacement in the form of `shown`, from the keyed hash of `canon`.
+    """A replacement in the form of `shown` for what is no name, from the keyed hash of `canon`.
 
     Digits become digits and words invented words of the same script, case and
-    length class; a given name keeps an ending in a vowel or a consonant, as its
-    gender shows; initials, marks, titles of streets and separators stay. Each
-    word of a name has a stream of its own, by its place in the canonical form,
-    so that 'Family, Given' and 'Given Family' become one person.
+    length class; country codes, marks, kinds of streets and separators stay, and
+    the letter of a Spanish identity number fits its digits. Every four attempts
+    make words a syllable longer.
     """
-    words = regex.compile(r"\d+|[\p{L}\p{M}" + LOST + r"]+")
-    turned = regex.fullmatch(r"([^,]+), (.+)", shown.strip()) if kind == "NAME" else None
-    ahead, behind = (len(words.findall(turned[k])) for k in (1, 2)) if turned else (0, 0)
-    draw, at = _stream(key, kind, canon, attempt), 0
-    fixed = {"lane", "st", "road", "avenue", "street", "house", "flat", "apt", "rue", "des", "de", "del", "calle", "ul", "at", "dot", "mailto", "van", "von", "x", "ext", "dl", "qq"}
+    draw = _stream(key, kind, canon, attempt)
+    code = regex.match(r"(?:\+|00)(\d{1,3})", shown) if kind == "PHONE" else None
+    keep = 0
+    if code:
+        keep = code.start(1) + (1 if code[1][0] in "17" else 2 if code[1][:2] in TWO_DIGITS else 3)
 
     def piece(m) -> str:
-        nonlocal draw, at
         w = m[0]
-        if kind == "NAME":
-            draw = _stream(key, kind, canon, attempt, at + behind if at < ahead else at - ahead)
-            at += 1
         if w[0].isdigit():
-            return "".join(str(next(draw) % 10) for _ in w)
-        if w.casefold() in fixed or len(w) == 1:
-            return w if w.casefold() in fixed else chr(65 + next(draw) % 26) if w.isascii() and w.isupper() else w
-        tail = ""
-        for end in ("straße", "strasse"):
-            if w.casefold().endswith(end):
-                w, tail = w[: -len(end)] or w, w[-len(end) :]
-        parts = _CYRILLIC if regex.search(r"\p{Cyrillic}", w) else _LATIN
-        new = "".join(parts[next(draw) % 16] for _ in range(max(3, (len(w) + 1) // 2)))
-        if w[-1].casefold() not in "aeiouáéíóúëяаеиоу":
-            new += "nr"[next(draw) % 2] if parts is _LATIN else "нр"[next(draw) % 2]
-        return (new.upper() if w.isupper() else new.capitalize() if w[0].isupper() else new) + tail
-
-    return words.sub(piece, shown)
-
-
-def _assign(key: bytes, attempt: int):
+            stay = max(0, min(len(w), keep - m.start()))
+            return w[:stay] + "".join(str(next(draw) % 10) for _ in w[stay:])
+        if w.casefold() in KEPT:
+            return w
+        if len(w) == 1:
+            return chr(65 + next(draw) % 26) if w.isascii() and w.isupper() else w
+        tail = next((w[-len(e) :] for e in ("straße", "strasse") if w.casefold().endswith(e) and len(w) > len(e)), "")
+        consonants, vowels = SYLLABLES[_script(w)]
+        new = "".join(consonants[next(draw) % len(consonants)] + vowels[next(draw) % len(vowels)] for _ in range(max(2, (len(w) - len(tail) + 1) // 2) + attempt // 4))
+        return _cased(new, w) + tail
+
+    out = regex.sub(r"\d+|[\p{L}\p{M}" + LOST + r"]+", piece, shown)
+    dni = regex.fullmatch(r"(\d{8})(-?)[A-Z]", out) if kind == "ID_NUMBER" else None
+    return f"{dni[1]}{dni[2]}{DNI[int(dni[1]) % 23]}" if dni else out
+
+
+def _tag(key: bytes, kind: str, canon: str) -> str:
+    return hmac.new(key, f"{kind}|{canon}".encode(), hashlib.sha256).hexdigest()[:12]
+
+
+def _drawn(key: bytes, attempt: int, names: bool):
+    """(kind, canonical, new) of (kind, canonical, shown): words of names by their role, else the first form of an entity."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kinds, canon, shown = (batch.column(c).to_pylist() for c in ("pii_type", "canonical", "shown"))
-            new = [surrogate(key, k, s, c, attempt) for k, s, c in zip(kinds, shown, canon)]
-            tags = [hmac.new(key, f"{k}|{c}".encode(), hashlib.sha256).hexdigest()[:12] for k, c in zip(kinds, canon)]
-            yield pa.RecordBatch.from_arrays([batch.column("pii_type"), batch.column("canonical"), batch.column("shown"), pa.array(new, pa.string()), pa.array(tags, pa.string()), pa.array([canonical(k, n) for k, n in zip(kinds, new)], pa.string())], ["pii_type", "canonical", "shown", "surrogate", "tag", "new_canonical"])
+            kinds, canon, shown = (batch.column(c).to_pylist() for c in ("kind", "canonical", "shown"))
+            new = [word_surrogate(key, k, c, attempt) if names else canonical(k, surrogate(key, k, s, c, attempt)) for k, c, s in zip(kinds, canon, shown)]
+            yield pa.RecordBatch.from_arrays([batch.column("kind"), batch.column("canonical"), batch.column("shown"), pa.array(new, pa.string())], ["kind", "canonical", "shown", "new"])
 
     return run
 
 
-_ASSIGNED = "pii_type string, canonical string, shown string, surrogate string, tag string, new_canonical string"
+#: Rounds after which a form without a free replacement is an error; no known form comes near.
+MOST_ROUNDS = 64
 
 
-def replacements(found: DataFrame, key: bytes, attempts: int = 4) -> DataFrame:
-    """(pii_type, canonical, shown, surrogate, tag) of all entities of a corpus.
+def _distinct(entities: DataFrame, key: bytes, names: bool) -> DataFrame:
+    """(kind, canonical, attempt): the first attempt of each whose replacement no other has, and that is nothing real.
 
-    All ways of writing an entity share hash streams. Entities whose surrogates
-    collide with each other's, with one accepted before, or with a real entity,
-    draw again; what still collides after `attempts` rounds keeps its typed
-    placeholder as surrogate.
+    entities: kind, canonical (a row each), shown. Of those that draw one
+    replacement in the same round the smallest keeps it. What is taken stays
+    taken in all later rounds.
     """
-    todo = forms = checkpoint(found.select("pii_type", "canonical", "shown").distinct())
-    used = forms.select("pii_type", F.col("canonical").alias("new_canonical"))
-    columns = ["pii_type", "canonical", "shown", "surrogate", "tag"]
-    done = None
-    for attempt in range(attempts):
-        drawn = checkpoint(todo.mapInArrow(_assign(key, attempt), _ASSIGNED))
-        clash = drawn.groupBy("pii_type", "new_canonical").agg(F.min("canonical").alias("lo"), F.max("canonical").alias("hi")).join(used.distinct().withColumn("used", F.lit(True)), ["pii_type", "new_canonical"], "left")
-        bad = clash.filter("lo <> hi or used").select("pii_type", "new_canonical").withColumn("bad", F.lit(True))
-        judged = drawn.join(bad, ["pii_type", "new_canonical"], "left")
-        # an entity draws again in all its forms
-        worst = judged.groupBy("pii_type", "canonical").agg(F.max(F.coalesce("bad", F.lit(False))).alias("again"))
-        judged = checkpoint(judged.drop("bad").join(worst, ["pii_type", "canonical"]))
-        good = judged.filter("not again")
-        used = used.unionByName(good.select("pii_type", "new_canonical"))
-        done = good.select(*columns) if done is None else done.unionByName(good.select(*columns))
-        todo = judged.filter("again").select("pii_type", "canonical", "shown", "tag")
+    scope = F.lit("") if names else F.col("kind")
+    taken = entities.select(scope.alias("scope"), F.col("canonical").alias("new")).distinct()
+    todo, done = entities, None
+    for attempt in range(MOST_ROUNDS):
+        drawn = checkpoint(todo.mapInArrow(_drawn(key, attempt, names), "kind string, canonical string, shown string, new string").withColumn("scope", scope))
+        free = drawn.groupBy("scope", "new").agg(F.min(F.struct("kind", "canonical")).alias("first")).join(taken, ["scope", "new"], "left_anti")
+        good = checkpoint(free.select(F.col("first.kind").alias("kind"), F.col("first.canonical").alias("canonical"), "scope", "new"))
+        own = good.select("kind", "canonical", F.lit(attempt).alias("attempt"))
+        done = own if done is None else done.unionByName(own)
+        taken = taken.unionByName(good.select("scope", "new"))
+        todo = drawn.join(good, ["kind", "canonical"], "left_anti").select("kind", "canonical", "shown")
         if todo.isEmpty():
             return done
-    return done.unionByName(todo.withColumn("surrogate", F.concat(F.lit("["), "pii_type", F.lit("_"), "tag", F.lit("]"))).select(*columns))
+    raise ValueError(f"no free replacement after {MOST_ROUNDS} rounds")
+
+
+def _rebuilt(text: Column, parts: str, name: str) -> Column:
+    """A text with its parts (sorted structs with start_pos, end_pos and the new text) replaced."""
+    zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+    step = lambda acc, p: F.struct(F.concat(acc["out"], F.substr(text, acc["at"] + 1, p["start_pos"] - acc["at"]), p[name]).alias("out"), p["end_pos"].alias("at"))
+    return F.aggregate(parts, zero, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
+
+
+_PARTS = "canonical string, shown string, start_pos int, end_pos int, kind string, word string, form string"
+
+
+def _split_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(c, s, a, b, role, word, s[a:b]) for c, s in zip(batch.column("canonical").to_pylist(), batch.column("shown").to_pylist()) for a, b, role, word in name_parts(s)]
+        cols = list(zip(*rows)) or [[]] * 7
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int32() if i in (2, 3) else pa.string()) for i, c in enumerate(cols)], ["canonical", "shown", "start_pos", "end_pos", "kind", "word", "form"])
+
+
+def _filled(key: bytes, names: bool):
+    """The replacement in the case and form of each way of writing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds, canon, shown, attempts = (batch.column(c).to_pylist() for c in ("kind", "canonical", "shown", "attempt"))
+            if names:
+                new = [_initial(key, c).upper() if k == "initial" else _cased(word_surrogate(key, k, c, n), s) for k, c, s, n in zip(kinds, canon, shown, attempts)]
+            else:
+                new = [surrogate(key, k, s, c, n) for k, c, s, n in zip(kinds, canon, shown, attempts)]
+            yield pa.RecordBatch.from_arrays([batch.column("kind"), batch.column("canonical"), batch.column("shown"), pa.array(new, pa.string())], ["kind", "canonical", "shown", "surrogate"])
+
+    return run
+
+
+_FILLED = "kind string, canonical string, shown string, surrogate string"
+
+
+def replacements(found: DataFrame, key: bytes) -> DataFrame:
+    """(pii_type, canonical, shown, surrogate, tag) of all entities of a corpus.
+
+    Names are replaced word by word: a given or family name has one replacement
+    in the whole corpus, two never the same, and none that is a name itself, so
+    persons stay distinct and 'J. Smith', 'Smith, John' and 'John Smith' still
+    agree. Other entities are replaced as wholes, in all their ways of writing.
+    """
+    forms = checkpoint(found.select("pii_type", "canonical", "shown").distinct())
+
+    def tagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tags = [_tag(key, k, c) for k, c in zip(batch.column("pii_type").to_pylist(), batch.column("canonical").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tags, pa.string())], [*batch.schema.names, "tag"])
+
+    other = forms.filter("pii_type <> 'NAME'").withColumnRenamed("pii_type", "kind")
+    attempts = _distinct(other.groupBy("kind", "canonical").agg(F.min("shown").alias("shown")), key, False)
+    plain = other.join(attempts, ["kind", "canonical"]).select("kind", "canonical", "shown", "attempt").mapInArrow(_filled(key, False), _FILLED)
+    parts = checkpoint(forms.filter("pii_type = 'NAME'").select("canonical", "shown").mapInArrow(_split_names, _PARTS))
+    words = parts.filter("kind <> 'initial'").groupBy("kind", F.col("word").alias("canonical")).agg(F.min("form").alias("shown"))
+    attempts = _distinct(words, key, True)
+    written = parts.select("kind", F.col("word").alias("canonical"), F.col("form").alias("shown")).distinct().join(attempts, ["kind", "canonical"], "left").select("kind", "canonical", "shown", F.coalesce("attempt", F.lit(0)).alias("attempt"))
+    written = written.mapInArrow(_filled(key, True), _FILLED).select("kind", F.col("canonical").alias("word"), F.col("shown").alias("form"), "surrogate")
+    each = parts.join(written, ["kind", "word", "form"]).groupBy("canonical", "shown").agg(F.sort_array(F.collect_list(F.struct("start_pos", "end_pos", "surrogate"))).alias("parts"))
+    names = each.select(F.lit("NAME").alias("kind"), "canonical", "shown", _rebuilt(F.col("shown"), "parts", "surrogate").alias("surrogate"))
+    return plain.unionByName(names).select(F.col("kind").alias("pii_type"), "canonical", "shown", "surrogate").mapInArrow(tagged, "pii_type string, canonical string, shown string, surrogate string, tag string")
 
 
 def redact(fields: DataFrame, found: DataFrame, key: bytes) -> DataFrame:
@@ -502,12 +633,5 @@ def redact(fields: DataFrame, found: DataFrame, key: bytes) -> DataFrame:
         .groupBy(*ids)
         .agg(F.sort_array(F.collect_list(F.struct("start_pos", "end_pos", "placeholder", "surrogate"))).alias("parts"))
     )
-    start = lambda p: p["start_pos"]
     text = F.col("text")
-
-    def rebuilt(name: str):
-        zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-        step = lambda acc, p: F.struct(F.concat(acc["out"], F.substr(text, acc["at"] + 1, start(p) - acc["at"]), p[name]).alias("out"), p["end_pos"].alias("at"))
-        return F.aggregate("parts", zero, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
-
-    return fields.join(parts, ids).select(*ids, rebuilt("placeholder").alias("placeholders"), rebuilt("surrogate").alias("surrogates"))
+    return fields.join(parts, ids).select(*ids, _rebuilt(text, "parts", "placeholder").alias("placeholders"), _rebuilt(text, "parts", "surrogate").alias("surrogates"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +13,10 @@ from draftlake.llm import sentences as cutting
 from draftlake.runtime import checkpoint, load
 
 
-#: Key of the replacements. Whoever holds it can repeat them, so a deployment passes its own.
-KEY = b"draftlake"
+def replacement_key(spark: SparkSession) -> bytes:
+    """Key of the replacements: the session's setting `draftlake.redaction.key`, or a random one, with which nobody can repeat them."""
+    named = spark.conf.get("draftlake.redaction.key", None)
+    return named.encode() if named else secrets.token_bytes(32)
 
 
 def _texts(spark: SparkSession, d: str, *columns: str) -> DataFrame:
@@ -34,7 +37,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
     fields, found = _entities(spark, d)
-    return pii.redact(fields, checkpoint(found), KEY)
+    return pii.redact(fields, checkpoint(found), replacement_key(spark))
 
 
 def _garbled(spark: SparkSession, d: str) -> DataFrame:

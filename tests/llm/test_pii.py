@@ -18,7 +18,8 @@ LEX = pii.Lexicon(GIVEN, set(), {"lnd", "röm", "und", "ück", "rez", "мов",
         ("a (at) b.example", ["EMAIL"]), ("mailto:a+b[at]c[dot]d[dot]com", ["EMAIL"]), ("x @ mail.example.com", ["EMAIL"]), ("bolts M87 @ 311 c/c. Tube", []), ("tray @ level 391. Datum", []), ("john at mail dot example dot org", ["EMAIL"]),
         ("tel. +44 (0)20 7946 0152", ["PHONE"]), ("+12345550172 x37", ["PHONE"]), ("01.99.00.77.03", ["PHONE"]), ("(812) 555-0145", ["PHONE"]), ("540.555.0121", ["PHONE"]), ("0049 30 23125 946", ["PHONE"]), ("030/23125-988", ["PHONE"]), ("020\xa07946\xa00798", ["PHONE"]),
         ("Drawing no. 339-555-80 rev B", []), ("Ref. 020-49-187 per schedule", []), ("Datum +285.250 at bench mark", []), ("Отметка +342,150", []), ("25° angle", []),
-        ("SSN 666-49-9732", ["ID_NUMBER"]), ("soc. sec. no. 000 57 5425", ["ID_NUMBER"]), ("NI number QQ 14 61 06 C", ["ID_NUMBER"]), ("passport ZZ0097337", ["ID_NUMBER"]), ("DNI 00054004-G", ["ID_NUMBER"]), ("Steuer-ID 00 998 792 221", ["ID_NUMBER"]),
+        ("SSN 666-49-9732", ["ID_NUMBER"]), ("NI AB 12 34 56 C", ["ID_NUMBER"]), ("passport no 123456789", ["ID_NUMBER"]), ("PESEL 44051401359", ["ID_NUMBER"]), ("8 (495) 123-45-67", ["PHONE"]), ("GB29 NWBK 6016 1331 9268 19", []), ("item GB 12 34 56 C", []),
+        ("123 Main Boulevard", ["ADDRESS"]), ("12 Oak Court", ["ADDRESS"]), ("via Roma 12", ["ADDRESS"]), ("ул. Ленина 5", ["ADDRESS"]), ("проспект Мира, д. 7", ["ADDRESS"]), ("Greta Ivo Halelund", ["NAME"]), ("via hole 12", []), ("court 12", []), ("soc. sec. no. 000 57 5425", ["ID_NUMBER"]), ("NI number QQ 14 61 06 C", ["ID_NUMBER"]), ("passport ZZ0097337", ["ID_NUMBER"]), ("DNI 00054004-G", ["ID_NUMBER"]), ("Steuer-ID 00 998 792 221", ["ID_NUMBER"]),
         ("Ausweis-Nr. L00X78234T", ["ID_NUMBER"]), ("licence no. DL-59616-XX-675", ["ID_NUMBER"]), ("ID: 000743087", ["ID_NUMBER"]),
         ("33 Orben Lane, Brennick", ["ADDRESS"]), ("ul. Brzezowa 90/11", ["ADDRESS"]), ("Calle del Olmo Seco 275, 2º B", ["ADDRESS"]), ("225, rue des Tanneurs-Bleus, Brennick", ["ADDRESS"]), ("Orbenstraße\n242, 00242 Villarén", ["ADDRESS"]),
         ("289 QUILLON AVENUE APT 20", ["ADDRESS"]), ("Flat 28, Culver Dene House, Minor Road, Quellstadt", ["ADDRESS"]), ("Grid line 332 / lane 2", []), ("Street light type 184, pole 384", []), ("", []), (" ", []),
@@ -106,12 +107,44 @@ def test_a_word_that_mostly_stands_alone_gives_way():
     assert pii.find("Halelund, Greta Tolerance 5", lexicon) == [(0, 15, "NAME")] and pii.find("Greta Tolerance", lexicon) == [(0, 15, "NAME")]
 
 
+FORMS = "pii_type string, canonical string, shown string"
+
+
+def replaced(spark, shown):
+    rows = [("NAME", pii.canonical("NAME", s), s) for s in shown]
+    return {r["shown"]: r["surrogate"] for r in pii.replacements(spark.createDataFrame(rows, FORMS), b"k").collect()}
+
+
 def test_collisions_draw_again(spark, monkeypatch):
-    real = pii.surrogate
-    monkeypatch.setattr(pii, "surrogate", lambda key, kind, shown, canon, attempt: "Same Name" if attempt == 0 else real(key, kind, shown, canon, attempt))
-    rows = [("NAME", c, c.title()) for c in ("ann lund", "bob lund", "cid lund")] + [("NAME", "ann lund", "ANN LUND")]
-    got = pii.replacements(spark.createDataFrame(rows, "pii_type string, canonical string, shown string"), b"k").collect()
-    assert len(got) == 4 and len({(r["canonical"], r["surrogate"].casefold()) for r in got}) == 3 and len({r["surrogate"].casefold() for r in got}) == 3
+    real = pii.word_surrogate
+    monkeypatch.setattr(pii, "word_surrogate", lambda key, role, word, attempt: "same" if attempt == 0 else real(key, role, word, attempt))
+    got = replaced(spark, ["Ann Lund", "Bob Lund", "Cid Berg", "ANN LUND"])
+    assert len({v.casefold() for v in got.values()}) == 3 and got["Ann Lund"].upper() == got["ANN LUND"]
+
+
+def test_persons_stay_the_same_and_distinct(spark):
+    shown = ["John Smith", "J. Smith", "Smith, John", "JOHN SMITH", "Mary Smith", "John Jones", "J. Jones", "Mary Ann Smith-Jones", "Вера Иванова", "В. Иванова", "Νίκος Πάππος", "Anna Kowalska", "van Smith, John", "S\ufffdren Smith"]
+    got = replaced(spark, shown)
+    words = {s: pii._WORDS_OF.findall(v) for s, v in got.items()}
+    family, given = words["John Smith"][1], words["John Smith"][0]
+    assert words["J. Smith"] == [given[0], family] and words["Smith, John"] == [family, given] and words["JOHN SMITH"] == [given.upper(), family.upper()]
+    assert words["Mary Smith"][1] == family and words["John Jones"][0] == given and words["John Jones"][1] != family and words["Mary Ann Smith-Jones"] == [words["Mary Smith"][0], words["Mary Ann Smith-Jones"][1], family, words["John Jones"][1]]
+    assert words["van Smith, John"] == ["van", family, given]
+    assert pii._script(got["Вера Иванова"]) == "Cyrillic" and words["Вера Иванова"][1].endswith("ова") and words["В. Иванова"][1] == words["Вера Иванова"][1] and words["В. Иванова"][0] == words["Вера Иванова"][0][0]
+    assert pii._script(got["Νίκος Πάππος"]) == "Greek" and words["Anna Kowalska"][1].endswith("ska")
+    real = {w.casefold() for s in shown for w in pii._WORDS_OF.findall(s) if len(w) > 1} - {"van"}
+    assert not real & {w.casefold() for ws in words.values() for w in ws}
+    assert len({v.casefold() for v in got.values()}) == len(shown) - 1
+
+
+@pytest.mark.parametrize("kind,shown,form", [("PHONE", "+44 (0)20 7946 0152", r"\+44 \(\d\)\d\d \d{4} \d{4}"), ("PHONE", "0049 30 23125 946", r"0049 \d\d \d{5} \d{3}"), ("PHONE", "+12345550172", r"\+1\d{10}"), ("ID_NUMBER", "SSN", "[A-Z][a-z]*|.*"), ("EMAIL", "a.b@mail.example.org", r"\w+\.\w+@\w+\.\w+\.\w+"), ("ADDRESS", "33 Orben Lane, Brennick", r"\d\d \w+ Lane, \w+")])
+def test_forms_are_kept(kind, shown, form):
+    import regex
+
+    new = pii.surrogate(b"k", kind, shown, pii.canonical(kind, shown), 0)
+    assert regex.fullmatch(form, new) and new != shown
+    number = pii.surrogate(b"k", "ID_NUMBER", "00054004-G", "00054004g", 0)
+    assert pii.DNI[int(number[:8]) % 23] == number[-1]
 
 
 def test_surrogates_are_distinct_over_all_rounds(spark):
@@ -122,11 +155,11 @@ def test_surrogates_are_distinct_over_all_rounds(spark):
 
 
 @pytest.mark.parametrize("turned,straight", [("Draoski, Soren", "Soren Draoski"), ("DRAOSKI-LIND, Soren M.", "Soren M. Draoski-Lind"), ("van Draoski, Soren", "Soren van Draoski")])
-def test_turned_names_are_one_person(turned, straight):
+def test_turned_names_are_one_person(spark, turned, straight):
     canon = pii.canonical("NAME", straight)
     assert pii.canonical("NAME", turned) == canon
-    a, b = (pii.surrogate(b"k", "NAME", shown, canon, 0) for shown in (turned, straight))
-    assert "," in a and pii.canonical("NAME", a) == pii.canonical("NAME", b) != canon
+    got = replaced(spark, [turned, straight])
+    assert "," in got[turned] and pii.canonical("NAME", got[turned]) == pii.canonical("NAME", got[straight]) != canon
 
 
 T = "x"
