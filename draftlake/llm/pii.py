@@ -67,21 +67,31 @@ _PHONE = regex.compile(
     r"|0\d{2,4}[\s/]\d{3,6}[\s-]\d{3,5}"
     r")(?:\s?(?:x|ext\.?)\s?\d{1,5})?(?![\p{L}\p{N}]|[.,-]\d)"
 )
-_ID = regex.compile(
+#: Identity numbers by their form alone, and those that follow a word; a text without any of the words needs no look for the latter.
+_ID_BARE = regex.compile(
     r"(?x)(?<![\p{L}\p{N}-]) (?:"
     r"\d{3}-\d{2}-\d{4}"
-    r"|(?<=soc\.\s?sec\.\s?no\.\s{1,3}|SSN:?\s{1,3})\d{3}\s?-?\d{2}\s?-?\d{4}"
     r"|(?:QQ|(?!BG|GB|KN|NK|NT|TN|ZZ)[A-CEGHJ-PR-TW-Z][A-CEGHJ-NPR-TW-Z])\s?\d{2}\s?\d{2}\s?\d{2}\s?[A-D]"
+    r"|\d{8}-\p{Lu}|L\d{2}X\w{5,7}|DL-\d{4,6}-[A-Z]{2}-\d{2,4}"
+    r")(?![\p{L}\p{N}])"
+)
+_ID_WORDS = ("soc", "ssn", "passport", "pesel", "dni", "nie", "steuer", "tax", "ausweis", "identity", "licen", "id:")
+_ID_NAMED = regex.compile(
+    r"(?x)(?<![\p{L}\p{N}-]) (?:"
+    r"(?<=soc\.\s?sec\.\s?no\.\s{1,3}|SSN:?\s{1,3})\d{3}\s?-?\d{2}\s?-?\d{4}"
     r"|(?<=(?i:passport(?:\sno\.?|\snumber)?:?)\s{1,3})\p{Lu}{0,2}\s?\d{6,9}"
     r"|(?<=PESEL:?\s{1,3})\d{11}"
-    r"|(?<=(?i:DNI|NIE):?\s{1,3})[XYZ]?\d{7,8}-?\p{Lu}|\d{8}-\p{Lu}"
+    r"|(?<=(?i:DNI|NIE):?\s{1,3})[XYZ]?\d{7,8}-?\p{Lu}"
     r"|(?<=(?i:Steuer-ID|Steuernummer|tax\sID)(?:\sNr\.?)?:?\s{1,3})\d{2}(?:\s?\d{3}){3}"
     r"|(?<=(?i:Ausweis(?:-?Nr\.?|nummer)|identity\scard(?:\sno\.?)?):?\s{1,3})[A-Z0-9]{8,12}"
-    r"|L\d{2}X\w{5,7}"
-    r"|(?<=(?i:licen[cs]e(?:\sno\.?|\snumber)?):?\s{1,3})[A-Z]{1,3}-?\d{3,}[\w-]*|DL-\d{4,6}-[A-Z]{2}-\d{2,4}"
+    r"|(?<=(?i:licen[cs]e(?:\sno\.?|\snumber)?):?\s{1,3})[A-Z]{1,3}-?\d{3,}[\w-]*"
     r"|(?<=(?-i:ID):\s{0,3})\d{8,12}"
     r")(?![\p{L}\p{N}])"
 )
+#: Parts of a text one of which every form of an address holds, in lower case.
+_STREETS = (
+    "lane street road avenue drive close way boulevard blvd court terrace crescent gardens grove mews parkway st. rd. ave strasse str. weg gasse platz allee calle avda plaza rue place ul. al. via piazza corso ул пр. проспект пер. наб.".split()
+)
 _W = r"\p{Lu}[\p{L}'’-]*"
 _TOWN = rf"(?:,\s+(?:\d{{4,5}}\s+)?{_W}(?:\s(?:Cross|Green|Heath|Hill|Bay|Bridge|Park))?)?"
 _ADDRESS = regex.compile(
@@ -96,6 +106,7 @@ _ADDRESS = regex.compile(
     rf"|(?:ul\.|al\.|UL\.)\s+{_W}(?:\s+{_W})?\s+\d{{1,4}}(?:/\d{{1,4}})?"
     rf")"
 )
+_DIGIT = regex.compile(r"\d")
 _PARTICLE = r"(?:(?:van|von|de|der|den|del|di|da|la|le|ter|VAN|VON|DE)\s+){0,2}"
 _NW = r"[\p{Lu}" + LOST + r"][\p{L}\p{M}'’" + LOST + r"]+"
 _FULL = regex.compile(rf"(?<![\p{{L}}\p{{N}}@._+-])({_NW})\s+((?:\p{{Lu}}\.\s*){{0,2}})({_PARTICLE})({_NW}(?:-{_NW})?)(?![\p{{L}}\p{{N}}@_])")
@@ -209,11 +220,16 @@ def candidates(text: str, name_field: bool = False) -> list[Candidate]:
     out: list[Candidate] = []
     if "@" in text or "at" in text.casefold():
         out += [(*m.span(), "EMAIL", None, None, False) for m in _EMAIL.finditer(text)]
-    if any(c.isdigit() for c in text):
-        for kind, form in (("ADDRESS", _ADDRESS), ("ID_NUMBER", _ID), ("PHONE", _PHONE)):
-            for m in form.finditer(text):
-                if kind != "PHONE" or sum(c.isdigit() for c in m[0]) >= 9 and not _ACCOUNT.search(text, 0, m.start()):
-                    out.append((*m.span(), kind, None, None, False))
+    if _DIGIT.search(text):
+        low = text.casefold()
+        if any(w in low for w in _STREETS):
+            out += [(*m.span(), "ADDRESS", None, None, False) for m in _ADDRESS.finditer(text)]
+        if any(w in low for w in _ID_WORDS):
+            out += [(*m.span(), "ID_NUMBER", None, None, False) for m in _ID_NAMED.finditer(text)]
+        out += [(*m.span(), "ID_NUMBER", None, None, False) for m in _ID_BARE.finditer(text)]
+        for m in _PHONE.finditer(text):
+            if sum(c.isdigit() for c in m[0]) >= 9 and not _ACCOUNT.search(text, 0, m.start()):
+                out.append((*m.span(), "PHONE", None, None, False))
     out += names_of(text)
     if name_field:
         for form in (_NAME_FIELD, _TURNED_FIELD, _INITIAL_FIELD):
