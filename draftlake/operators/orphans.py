@@ -114,5 +114,6 @@ def orphan_references(handle_map: DataFrame, decoded: DataFrame, raw_objects: Da
 
 def orphans_by_month(orphans: DataFrame) -> DataFrame:
     """Counts per referring field, month of the referring record and reason."""
-    month = F.date_format(F.timestamp_micros("ref_us"), "yyyy-MM")
+    # days since 1970, so that no time zone plays a part
+    month = F.left(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("ref_us") / 86_400_000_000).cast("int")).cast("string"), F.lit(7))
     return orphans.groupBy("ref_field", month.alias("month"), "reason").agg(F.count("*").alias("n_refs"), F.countDistinct("src_id").alias("n_records"))

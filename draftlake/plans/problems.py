@@ -16,11 +16,30 @@ def _measured(spark: SparkSession, d: str) -> DataFrame:
     return checkpoint(units.measurements(load(spark, d, "decoded_objects")))
 
 
-def p1_found(spark: SparkSession, d: str) -> DataFrame:
+def _comparable(spark: SparkSession, d: str) -> DataFrame:
+    """Widths with a named unit and scales, each under its thing."""
     measured = _measured(spark, d)
-    widths = units.common_widths(measured).filter("unit_source in ('code', 'text')").select("object_id", F.concat(F.lit("width:"), "thing").alias("thing"), "recorded", F.col("width_mm").alias("common"))
+    widths = units.named_widths(measured).select("object_id", F.concat(F.lit("width:"), "thing").alias("thing"), "recorded", F.col("width_mm").alias("common"))
     scales = measured.filter("kind = 'scale'").select("object_id", F.concat(F.lit("scale:"), "thing").alias("thing"), "recorded", F.col("value").alias("common"))
-    return units.agreeing_pairs(widths.unionByName(scales))
+    return widths.unionByName(scales)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return units.agreeing_pairs(_comparable(spark, d))
+
+
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs of p1_found as pairs of classes with their sizes; `p1_members` says who is in them."""
+    return units.agreeing_classes(_comparable(spark, d)).withColumn("n_pairs", F.when(F.col("same"), F.col("n_a") * (F.col("n_a") - 1) / 2).otherwise(F.col("n_a") * F.col("n_b")).cast("bigint"))
+
+
+def p1_members(spark: SparkSession, d: str) -> DataFrame:
+    return _comparable(spark, d).filter("thing is not null and common > 0")
+
+
+def p1_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """Right assignments and posteriors of the mixture where the unit is known."""
+    return units.calibration(_measured(spark, d))
 
 
 def p1_widths(spark: SparkSession, d: str) -> DataFrame:
@@ -64,7 +83,7 @@ def p4_descendants(spark: SparkSession, d: str) -> DataFrame:
     return trees.descendants(trees.hierarchy(load(spark, d, "expanded_entities"), with_path=True))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (p1_found, p1_widths, p1_scales, p2_found, p2_by_month, p3_found, p3_profile, p4_found, p4_paths, p4_descendants)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (p1_found, p1_classes, p1_members, p1_mixture, p1_widths, p1_scales, p2_found, p2_by_month, p3_found, p3_profile, p4_found, p4_paths, p4_descendants)}
 
 _TARGET = "case when r.code = 6 then own + 1 when r.code = 8 then own - 1 when r.code = 10 then own + r.value when r.code = 12 then own - r.value when r.code is not null and r.value <> 0 then r.value end"
 
