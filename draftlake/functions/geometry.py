@@ -299,6 +299,60 @@ def tessellate_circle(cx: Column, cy: Column, radius: Column, full: int = 64) ->
     return F.transform(F.sequence(F.lit(0), F.lit(full - 1)), lambda i: point(cx + radius * F.cos(i * (2 * math.pi / full)), cy + radius * F.sin(i * (2 * math.pi / full)), 0.0))
 
 
+def _around(center: Column, major: Column, minor: Column, start: Column, sweep: Column, segments: Column) -> Column:
+    """Points at center + major cos t + minor sin t, from start on, one more than segments."""
+    at = lambda i: start + sweep * i / segments
+    return F.transform(F.sequence(F.lit(0), segments), lambda i: _each(lambda c, a, b: c + a * F.cos(at(i)) + b * F.sin(at(i)), center, major, minor))
+
+
+def entity_points(kind: Column, rec: dict[str, Column]) -> Column:
+    """Points of the line that an entity is drawn by, null for kinds that aren't lines. rec has a struct column per kind.
+
+    A circle is closed, arcs and ellipses have segments by their sweep, a point
+    is a line without length, and a polyline lies at its elevation.
+    """
+    zero = F.lit(0.0)
+
+    def turned(e: Column, start: Column, end: Column) -> Column:
+        s = segments_of_sweep(start, end)
+        return _around(e["center"], point(e["radius"], 0.0, 0.0), point(zero, e["radius"], zero), start, s["sweep"], s["segments"])
+
+    def ellipse(e: Column) -> Column:
+        s = segments_of_sweep(e["start_param"], e["end_param"])
+        minor = scale(cross(normalize(e["extrusion"]), e["major_axis"]), e["axis_ratio"])
+        return _around(e["center"], e["major_axis"], minor, e["start_param"], s["sweep"], s["segments"])
+
+    def polyline(e: Column) -> Column:
+        pts = F.transform(e["vertices"], lambda v: point(v["x"], v["y"], F.coalesce(e["elevation"], zero)))
+        return F.when(e["closed"] & (F.size(pts) > 1), F.concat(pts, F.slice(pts, 1, 1))).otherwise(pts)
+
+    forms = {
+        "LINE": lambda e: F.array(e["start"], e["end"]), "POINT": lambda e: F.array(e["position"], e["position"]), "CIRCLE": lambda e: turned(e, zero, F.lit(2 * math.pi)),
+        "ARC": lambda e: turned(e, e["start_angle"], e["end_angle"]), "ELLIPSE": ellipse, "LWPOLYLINE": polyline,
+    }
+    return F.coalesce(*[F.when(kind == k, forms[k](e)) for k, e in rec.items() if k in forms])
+
+
+def text_baseline(rec: Column) -> Column:
+    """struct(origin, direction, height) of a text: from its insertion point at its elevation, along its rotation."""
+    p = point(rec["insertion_point"]["x"], rec["insertion_point"]["y"], rec["elevation"])
+    return F.struct(p.alias("origin"), point(F.cos(rec["rotation_angle"]), F.sin(rec["rotation_angle"]), F.lit(0.0)).alias("direction"), rec["height"].alias("height"))
+
+
+def box_mesh(b: Column) -> Column:
+    """struct(points, triangles): the eight corners and twelve triangles of a box."""
+    lo, hi = b["min"], b["max"]
+    corners = F.array(*[point(x["x"], y["y"], z["z"]) for z in (lo, hi) for x, y in ((lo, lo), (hi, lo), (hi, hi), (lo, hi))])
+    quads = ((0, 3, 2, 1), (4, 5, 6, 7), (0, 1, 5, 4), (1, 2, 6, 5), (2, 3, 7, 6), (3, 0, 4, 7))
+    triangles = [F.array(*[F.lit(i) for i in t]) for q in quads for t in ((q[0], q[1], q[2]), (q[0], q[2], q[3]))]
+    return F.struct(corners.alias("points"), F.array(*triangles).alias("triangles"))
+
+
+def empty_mesh() -> Column:
+    """struct(points, triangles) of a solid whose shape isn't computed."""
+    return F.struct(F.array().cast("array<struct<x:double,y:double,z:double>>").alias("points"), F.array().cast("array<array<int>>").alias("triangles"))
+
+
 def model_to_paper(p: Column, target: Column, twist: Column, scale_: Column, paper_center: Column) -> Column:
     """Viewport: move the target to the origin, turn by the twist, scale, move to the centre on paper."""
     dx, dy = p["x"] - target["x"], p["y"] - target["y"]

@@ -25,6 +25,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from draftlake.functions.bits import BitReader, BitsExhausted, BitWriter
+from draftlake.sources.limits import Limits, exceeded
 
 P2, P3 = "struct<x:double,y:double>", "struct<x:double,y:double,z:double>"
 HANDLE = "struct<code:tinyint,counter:tinyint,value:bigint>"
@@ -579,14 +580,20 @@ def decode(kind: str, data: bytes | None, version: int, at: int = 0) -> tuple[di
         return None, "error", str(e)[:200] or type(e).__name__, r.at - at
 
 
-def decode_records(rows: DataFrame, kind: str, data: str = "raw", version: str = "version", at: str | None = None, common: bool = False, strict: bool = False) -> DataFrame:
+def _limited(kind: str, got: tuple, limits: Limits) -> tuple:
+    rec, status, message, used = got[-4:]
+    much = exceeded(kind, rec, limits) if status == "ok" else None
+    return (*got[:-4], None, "error", much, used) if much else got
+
+
+def decode_records(rows: DataFrame, kind: str, data: str = "raw", version: str = "version", at: str | None = None, common: bool = False, strict: bool = False, limits: Limits | None = None) -> DataFrame:
     """`rows` with the columns rec, status, message and consumed_bits for records of one kind.
 
     `at` names a column with the bit where the body begins, else it is the first.
     With `common` what stands before the fields of every entity is read too, into
     a column of that name. Failures stay as rows with a null rec; `strict` raises
     on the first one. Columns of `rows` with those names are replaced. Null bytes
-    are an error row.
+    are an error row, and so is a record with more than `limits` allow.
     """
     own = ["common"] * common + ["rec", "status", "message", "consumed_bits"]
     keep = [c for c in rows.columns if c not in own]
@@ -599,6 +606,8 @@ def decode_records(rows: DataFrame, kind: str, data: str = "raw", version: str =
         for batch in batches:
             starts = batch.column(at).to_pylist() if at else [0] * batch.num_rows
             got = [one(kind, d, v or 2018, s or 0) for d, v, s in zip(batch.column(data).to_pylist(), batch.column(version).to_pylist(), starts)]
+            if limits:
+                got = [_limited(kind, g, limits) for g in got]
             if strict:
                 bad = next((g for g in got if g[-3] != "ok"), None)
                 if bad:

@@ -35,6 +35,18 @@ def with_rgb(df: DataFrame, index: str) -> DataFrame:
     return joined.withColumn("rgb_hex", F.when(F.col("_r").isNotNull(), F.format_string("#%02X%02X%02X", "_r", "_g", "_b"))).drop("_aci", "_r", "_g", "_b")
 
 
+def page_rgb(index: Column) -> Column:
+    """Colour of an index on vector pages: the basic ones, 256 black, and for all others a hue by the golden angle."""
+    hue = F.pmod(index.cast("double") * 137.508, F.lit(360.0))
+    c, m = 0.7, 0.15  # saturation 0.7, lightness 0.5
+    x = c * (1 - F.abs(F.pmod(hue / 60.0, F.lit(2.0)) - 1))
+    sector = F.floor(hue / 60.0).cast("int")
+    part = lambda *which: F.round((F.coalesce(*[F.when(sector == i, x if w == "x" else F.lit(c if w == "c" else 0.0)) for i, w in enumerate(which)]) + m) * 255).cast("int")
+    other = F.format_string("#%02X%02X%02X", part(*"cx00xc"), part(*"xccx00"), part(*"00xccx"))
+    fixed = F.create_map(*[F.lit(v) for i, rgb in {**BASIC, 256: (0, 0, 0)}.items() for v in (i, "#%02X%02X%02X" % rgb)])
+    return F.coalesce(F.try_element_at(fixed, index.cast("int")), other)
+
+
 def escape_xml(text: Column) -> Column:
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
         text = F.replace(text, F.lit(a), F.lit(b))
@@ -67,7 +79,7 @@ def paragraphs(text: Column) -> Column:
     return F.split(text, r"\\P")
 
 
-_CODE = regex.compile(r"\\P|\\[LlOoKk]|\\U\+([0-9A-Fa-f]{4})|\\([fFHCAWQTp])([^;\\]*);|\\([\\{}])|[{}]")
+_CODE = regex.compile(r"\\P|\\[LlOoKk]|\\S([^;\\]*);|\\U\+([0-9A-Fa-f]{4})|\\([fFHCAWQTp])([^;\\]*);|\\([\\{}])|[{}]")
 _RUN = ArrayType(StructType().add("text", "string").add("font", "string").add("color", "string").add("height", "string").add("underline", "boolean").add("overline", "boolean").add("line", "integer"))
 
 
@@ -95,20 +107,23 @@ def note_runs(texts: pd.Series) -> pd.Series:
                 stack.append(dict(style))
             elif t == "}":
                 style = stack.pop() if stack else style
-            elif m[1]:
-                emit(chr(int(m[1], 16)))
-            elif m[2] in ("f", "F"):
-                style["font"] = m[3].split("|")[0]
-            elif m[2] == "C":
-                style["color"] = m[3]
-            elif m[2] == "H":
-                style["height"] = m[3]
+            elif m[1] is not None:
+                # a stack shows its two parts with a stroke, whatever parts them
+                emit(regex.sub(r"[\^#]", "/", m[1]))
+            elif m[2]:
+                emit(chr(int(m[2], 16)))
+            elif m[3] in ("f", "F"):
+                style["font"] = m[4].split("|")[0]
+            elif m[3] == "C":
+                style["color"] = m[4]
+            elif m[3] == "H":
+                style["height"] = m[4]
             elif t in ("\\L", "\\l"):
                 style["underline"] = t == "\\L"
             elif t in ("\\O", "\\o"):
                 style["overline"] = t == "\\O"
-            elif m[4]:
-                emit(m[4])
+            elif m[5]:
+                emit(m[5])
         emit(text[at:])
         return out
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from draftlake.plans import catalog, drawings, problems
+from draftlake.plans import catalog, drawings, exports, problems
 
-QUERIES = problems.QUERIES | catalog.QUERIES | drawings.QUERIES
-SQL = problems.SQL | catalog.SQL | drawings.SQL
+QUERIES = problems.QUERIES | catalog.QUERIES | drawings.QUERIES | exports.QUERIES
+SQL = problems.SQL | catalog.SQL | drawings.SQL | exports.SQL

@@ -345,6 +345,7 @@ def drawing(version: int, k: int) -> tuple[bytes, dict[str, list[tuple]]]:
         "previews": [(60, image.hex(), b"HDR".hex())],
         "header_variables": [(True, 64, header[20:].hex())],
         "records": [(o[3], o[6], o[7]) for o in objects],
+        "payloads": list(sections.items()),
     }
     # what the page map's place tells of a file cut in two
     half = len(data) // 2

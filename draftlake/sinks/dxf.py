@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 VERSIONS = {"R12": "AC1009", "R14": "AC1014", "R2000": "AC1015", "R2004": "AC1018", "R2007": "AC1021", "R2010": "AC1024", "R2013": "AC1027", "R2018": "AC1032"}
 #: The sections and where their pairs stand.
 HEADER, TABLES, BLOCKS, ENTITIES, OBJECTS, END = range(6)
+#: First and last place in a section, around every handle.
+FIRST, LAST = -(2**63), 2**63 - 1
 
 
 def version_name(text: str) -> str:
@@ -90,6 +92,13 @@ def skipped(df: DataFrame, pairs: Column) -> DataFrame:
     return df.filter(pairs.isNull()).groupBy("path", "kind").agg(F.count("*").alias("n"))
 
 
+def comment_rows(skipped_: DataFrame) -> DataFrame:
+    """A comment per kind without a text form, in the order of the kinds, at the head of the entities."""
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("kind", "n"))), lambda k: F.concat(F.lit("skipped: "), k["kind"], F.lit(" x"), k["n"].cast("string")))
+    lines = skipped_.groupBy("path").agg(listed.alias("lines")).select("path", F.posexplode("lines").alias("pair", "value"))
+    return lines.select("path", F.lit(ENTITIES).alias("section"), F.lit(FIRST + 1).cast("bigint").alias("seq"), "pair", F.lit(999).alias("code"), "value")
+
+
 def layer_pairs(name: Column, color: Column, frozen: Column, linetype: Column) -> Column:
     """Pairs of a layer; a frozen one has a negative colour, and layer 0 is always white."""
     aci = F.when(name == "0", 7).otherwise(F.greatest(F.lit(0), F.least(F.lit(255), color.cast("int"))))
@@ -101,10 +110,10 @@ def frame_rows(paths: DataFrame, version: str = "AC1032") -> DataFrame:
     rows = [
         (HEADER, 0, [(0, "SECTION"), (2, "HEADER"), (9, "$ACADVER"), (1, version), (0, "ENDSEC")]),
         (TABLES, 0, [(0, "SECTION"), (2, "TABLES"), (0, "TABLE"), (2, "LAYER")]),
-        (TABLES, 2**40, [(0, "ENDTAB"), (0, "ENDSEC")]),
+        (TABLES, LAST, [(0, "ENDTAB"), (0, "ENDSEC")]),
         (BLOCKS, 0, [(0, "SECTION"), (2, "BLOCKS"), (0, "BLOCK"), (2, "*Model_Space"), (0, "ENDBLK"), (0, "ENDSEC")]),
-        (ENTITIES, -1, [(0, "SECTION"), (2, "ENTITIES")]),
-        (ENTITIES, 2**40, [(0, "ENDSEC")]),
+        (ENTITIES, FIRST, [(0, "SECTION"), (2, "ENTITIES")]),
+        (ENTITIES, LAST, [(0, "ENDSEC")]),
         *([(OBJECTS, 0, [(0, "SECTION"), (2, "OBJECTS"), (0, "ENDSEC")])] if version != "AC1009" else []),
         (END, 0, [(0, "EOF")]),
     ]

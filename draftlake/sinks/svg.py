@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from draftlake.functions.text import escape_attribute, escape_xml, font_fallback
+from draftlake.functions.text import escape_attribute, escape_xml, font_fallback, page_rgb
 
 
 def number(v: Column) -> Column:
@@ -60,6 +60,32 @@ def text_fragment(x: Column, y: Column, height: Column, text: Column, font: Colu
     )
 
 
+def note_fragment(x: Column, y: Column, height: Column, runs: Column) -> Column:
+    """A note from its runs (see text.note_runs): a span per run, a new line where the line number grows, styles as attributes."""
+
+    def span(run: Column, i: Column) -> Column:
+        first = F.when(i == 0, True).otherwise(F.get(runs, i - 1)["line"] < run["line"])
+        steps = run["line"] - F.when(i == 0, F.lit(0)).otherwise(F.coalesce(F.get(runs, i - 1)["line"], F.lit(0)))
+        line = F.when(first & (run["line"] > 0), F.concat(F.lit(' x="0" dy="'), number(height * 1.2 * steps), F.lit('"'))).otherwise("")
+        attr = lambda name, v: F.when(v.isNull(), "").otherwise(F.concat(F.lit(f' {name}="'), v, F.lit('"')))
+        drawn = F.concat_ws(" ", F.when(run["underline"], "underline"), F.when(run["overline"], "overline"))
+        color = page_rgb(run["color"].try_cast("int"))
+        return F.concat(
+            F.lit("<tspan"), line, attr("font-family", F.when(run["font"].isNotNull(), escape_attribute(font_fallback(run["font"])))), attr("fill", F.when(run["color"].try_cast("int").isNotNull(), color)),
+            attr("text-decoration", F.when(drawn != "", drawn)), F.lit(">"), escape_xml(run["text"]), F.lit("</tspan>"),
+        )
+
+    head = F.concat(F.lit('<text transform="translate('), number(x), F.lit(","), number(y), F.lit(') scale(1,-1)" font-size="'), number(height), F.lit('">'))
+    return F.when(F.size(runs) > 0, F.concat(head, F.array_join(F.transform(runs, span), ""), F.lit("</text>")))
+
+
+def dots(objects: DataFrame) -> DataFrame:
+    """(path, n, handle, x, y, fragment): a dot for each object (path, n from 0 in order, handle), 17 apart in rows of 700."""
+    x, y = F.lit(50.0) + F.pmod(F.col("n") * 17.0, F.lit(700.0)), F.lit(50.0) + F.pmod(F.col("handle"), F.lit(500)).cast("double")
+    dot = F.concat(F.lit('<circle cx="'), number(F.col("x")), F.lit('" cy="'), number(F.col("y")), F.lit('" r="3" fill="none" stroke="#1A65BF" stroke-width="1.5" data-handle="0x'), F.hex("handle"), F.lit('"/>'))
+    return objects.select("path", "n", "handle", x.alias("x"), y.alias("y")).withColumn("fragment", dot)
+
+
 def hatch_fragment(points: Column, pattern: Column, color: Column) -> Column:
     """Even-odd fill of an outline: solid, a known pattern by reference, or solid with a comment."""
     known = F.upper(pattern).isin("ANSI31", "ANGLE")

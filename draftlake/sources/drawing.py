@@ -6,8 +6,9 @@
 Files are read in groups of about the same bytes, or, through `read`, by the
 `binaryFile` source, which also reads object stores. Options: table
 (files, sections, pages, section_pages, handle_map, classes, raw_objects,
-summary_info), mode (PERMISSIVE keeps failures as rows, FAILFAST raises),
-maxFileBytes and maxSectionBytes.
+summary_info, payloads and more), mode (PERMISSIVE keeps failures as rows,
+FAILFAST raises), limits (safe, paranoid or permissive), and maxFileBytes and
+maxSectionBytes in place of theirs.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from draftlake.functions import codecs
 from draftlake.sources import container as C
 from draftlake.sources import metadata
+from draftlake.sources.limits import SAFE, named
 
 H = "struct<code:tinyint,counter:tinyint,value:bigint>"
 SCHEMAS = {
@@ -37,8 +39,9 @@ SCHEMAS = {
     "file_dependencies": "path string, full_filename string, found_path string, fingerprint_guid string, version_guid string, feature_index int, timestamp int, filesize int, affects_graphics boolean, reference_count int, feature string",
     "previews": "path string, overall_size bigint, bmp binary, wmf binary, header binary",
     "header_variables": "path string, valid_mark boolean, size_in_bits bigint, body binary",
+    "payloads": "path string, name string, payload binary, status string",
 }
-MAX_FILE = 1 << 30
+MAX_FILE = SAFE.max_file_bytes
 
 
 METADATA = {
@@ -96,6 +99,12 @@ def _decoded(table: str, path: str, d: C.Drawing, limit: int) -> Iterator[tuple]
     if table == "handle_map":
         for seq, handle, offset in C.handle_index(d.section("AcDb:Handles", limit) or b""):
             yield path, seq, _signed(handle), offset
+    elif table == "payloads":
+        for s in d.sections:
+            try:
+                yield path, s["name"], d.section(s["name"], limit), "ok"
+            except (C.ContainerError, codecs.Lz77Error) as e:
+                yield path, s["name"], None, str(e)
     elif table == "classes":
         for c in C.class_map(d.section("AcDb:Classes", limit) or b"", d.number):
             yield (path, *c.values())
@@ -151,11 +160,12 @@ class DrawingReader(DataSourceReader):
 
     def _rows(self, path: str, size: int) -> Iterator[tuple]:
         content = None
-        if size <= int(self.options.get("maxfilebytes", MAX_FILE)):
+        limits = named(self.options.get("limits", "safe"))
+        if size <= int(self.options.get("maxfilebytes", limits.max_file_bytes)):
             with open(path, "rb") as f:
                 content = f.read()
         strict = self.options.get("mode", "PERMISSIVE").upper() == "FAILFAST"
-        for row in rows_of(self.table, path, content, size, strict, int(self.options.get("maxsectionbytes", codecs.MAX_OUTPUT))):
+        for row in rows_of(self.table, path, content, size, strict, int(self.options.get("maxsectionbytes", limits.max_section_bytes))):
             yield tuple((v["code"], v["counter"], v["value"]) if isinstance(v, dict) else [(p["key"], p["value"]) for p in v] if isinstance(v, list) else v for v in row)
 
 
