@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, BooleanType, StringType, StructType
 
 from draftlake.functions import geometry as G
 
@@ -90,10 +90,10 @@ def ordinate_outline(feature: Column, leader: Column) -> Column:
 
 # States of links
 
-_STATE = StructType().add("pan_x", "double").add("pan_y", "double").add("zoom", "double").add("is_model", "boolean").add("layout_index", "integer").add("layers", "array<boolean>").add("problem", "string")
+_STATE = StructType().add("pan_x", "double").add("pan_y", "double").add("zoom", "double").add("is_model", "boolean").add("layout_index", "integer").add("layers", ArrayType(BooleanType())).add("problem", "string")
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def state_text(pan_x: pd.Series, pan_y: pd.Series, zoom: pd.Series, is_model: pd.Series, layout: pd.Series, layers: pd.Series) -> pd.Series:
     """A view with its space, layout and visible layers as text for a link; more layers than it holds are an error."""
 

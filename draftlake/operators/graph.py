@@ -36,7 +36,8 @@ def expand_inserts(inserts: DataFrame, roots: DataFrame, max_depth: int = MAX_DE
     entity, depth (1 for direct members), transform, order_key (sequence numbers
     from the root down; sorting by it gives the depth-first order). A block
     inside itself, or one deeper than max_depth, raises, or with strict=False is
-    not entered. One join per level; the frontier is checkpointed every four.
+    not entered and its insert marked by cut ('cycle' or 'depth', else null).
+    One join and one aggregate per level, which is written once.
     """
     frontier = roots.select("path", F.col("block").alias("root"), "block", F.array("block").alias("seen"), G.matrix(*G.IDENTITY).alias("outer"), F.array().cast("array<int>").alias("prefix"))
     out = None
@@ -44,20 +45,20 @@ def expand_inserts(inserts: DataFrame, roots: DataFrame, max_depth: int = MAX_DE
         level = frontier.join(inserts.select("path", "block", "seq", "entity", "child_block", F.col("transform").alias("own")), ["path", "block"])
         level = level.withColumn("order_key", F.concat("prefix", F.array(F.col("seq").cast("int"))))
         level = level.withColumn("transform", F.when(F.col("own").isNull(), F.col("outer")).otherwise(G.compose(F.col("outer"), F.col("own"))))
-        if depth % 4 == 0:
-            level = checkpoint(level)
-        loop = F.array_contains("seen", F.col("child_block"))
-        if level.isEmpty():
+        loop = F.coalesce(F.array_contains("seen", F.col("child_block")), F.lit(False))
+        level = checkpoint(level.withColumn("cut", F.when(loop, "cycle").when(F.col("child_block").isNotNull() & F.lit(depth == max_depth), "depth")))
+        loops, n = level.agg(F.count_if(F.col("cut") == "cycle"), F.count("*")).first()
+        if not n:
             break
-        if depth > max_depth or (strict and not level.filter(loop).isEmpty()):
-            if strict:
-                raise CycleError("a block inside itself" if depth <= max_depth else f"deeper than {max_depth}")
+        if strict and (loops or depth > max_depth):
+            raise CycleError("a block inside itself" if loops else f"deeper than {max_depth}")
+        if depth > max_depth:
             break
-        rows = level.select("path", "root", "entity", F.lit(depth).alias("depth"), "transform", "order_key")
+        rows = level.select("path", "root", "entity", F.lit(depth).alias("depth"), "transform", "order_key", "cut")
         out = rows if out is None else out.unionByName(rows)
-        frontier = level.filter(F.col("child_block").isNotNull() & ~loop).select("path", "root", F.col("child_block").alias("block"), F.concat("seen", F.array("child_block")).alias("seen"), F.col("transform").alias("outer"), F.col("order_key").alias("prefix"))
+        frontier = level.filter(F.col("child_block").isNotNull() & (F.coalesce("cut", F.lit("")) != "cycle")).select("path", "root", F.col("child_block").alias("block"), F.concat("seen", F.array("child_block")).alias("seen"), F.col("transform").alias("outer"), F.col("order_key").alias("prefix"))
     if out is None:
-        return inserts.limit(0).select("path", F.col("block").alias("root"), "entity", F.lit(0).alias("depth"), "transform", F.array().cast("array<int>").alias("order_key"))
+        return inserts.limit(0).select("path", F.col("block").alias("root"), "entity", F.lit(0).alias("depth"), "transform", F.array().cast("array<int>").alias("order_key"), F.lit(None).cast("string").alias("cut"))
     return out
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from draftlake.functions.text import block_space
+from draftlake.runtime import checkpoint, shuffle_partitions
 
 #: Error messages kept for a report; the rest is counted.
 KEPT_MESSAGES = 1000
@@ -35,9 +38,10 @@ def plausible(v: Column, most: float = 1e12) -> Column:
 
 
 def first_of(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    """The first row of each key, nulls last and ties by the other columns; a minimum, so rows are combined before the shuffle."""
+    rest = [c for c in df.columns if c not in keys]
+    by = F.struct(*[F.struct(c.isNull().alias("n"), c.alias("v")).alias(f"o{i}") for i, c in enumerate(order)], F.struct(*rest).alias("row"))
+    return df.groupBy(*keys).agg(F.min(by)["row"].alias("_row")).select(*keys, *[F.col("_row")[c].alias(c) for c in rest]).select(*df.columns)
 
 
 # Joins
@@ -58,7 +62,7 @@ def referenced(child: DataFrame, parent: DataFrame, keys: list[str]) -> tuple[Da
 
 def by_handle(entries: DataFrame, objects: DataFrame, kind: str | None = None) -> DataFrame:
     """Index entries with their object, the first entry of a handle; `kind` keeps the entry but drops objects of another kind."""
-    first = first_of(entries.filter("handle is not null"), ["path", "handle"], [F.col("seq").asc_nulls_last(), F.col("stream_offset").asc_nulls_last()])
+    first = first_of(entries.filter("handle is not null").select("path", "handle", "seq", "stream_offset"), ["path", "handle"], [F.col("seq"), F.col("stream_offset")])
     on = (F.col("e.path") == F.col("o.path")) & (F.col("e.handle") == F.col("o.value"))
     if kind is not None:
         on = on & (F.col("o.kind") == kind)
@@ -67,8 +71,8 @@ def by_handle(entries: DataFrame, objects: DataFrame, kind: str | None = None) -
 
 
 def with_classes(objects: DataFrame, classes: DataFrame) -> DataFrame:
-    """Objects of custom codes with the class of their file, the first of a number."""
-    first = classes.groupBy("path", F.col("class_number").alias("type_code")).agg(F.first("dxf_class_name").alias("dxf_class_name"), F.first("cpp_class_name").alias("cpp_class_name"))
+    """Objects of custom codes with the class of their file, the first of a number by its names."""
+    first = classes.groupBy("path", F.col("class_number").alias("type_code")).agg(F.min(F.struct("dxf_class_name", "cpp_class_name")).alias("c")).select("path", "type_code", "c.*")
     return objects.join(first, ["path", "type_code"], "left")
 
 
@@ -89,11 +93,15 @@ def coverage(rows: DataFrame, keys: list[str], status: str = "status") -> DataFr
     return out.withColumn("decoded_ratio", F.coalesce(F.try_divide(F.col("decoded").cast("double"), F.col("total")), F.lit(0.0)))
 
 
-def kept_messages(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first messages of each group in order, and how many more there were; this is a report of a fixed length."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    numbered = rows.filter("reason is not null").withColumn("n", F.row_number().over(w))
-    return numbered.groupBy(*keys).agg(F.count("*").alias("errors"), F.greatest(F.count("*") - KEPT_MESSAGES, F.lit(0)).alias("suppressed"), F.count_if(F.col("n") <= KEPT_MESSAGES).alias("kept"))
+def kept_messages(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """How many messages each group has, keeps and leaves out; the kept ones are the first in order (`first_messages`)."""
+    n = F.count("*")
+    return rows.filter("reason is not null").groupBy(*keys).agg(n.alias("errors"), F.greatest(n - KEPT_MESSAGES, F.lit(0)).alias("suppressed"), F.least(n, F.lit(KEPT_MESSAGES)).alias("kept"))
+
+
+def first_messages(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The messages that a report of a fixed length keeps."""
+    return ends_of(rows.filter("reason is not null"), keys, order, KEPT_MESSAGES, 0)
 
 
 def walk_confidence(decoded: Column, skipped: Column, errored: Column) -> Column:
@@ -122,28 +130,79 @@ def totals(rows: DataFrame, key: str, sums: list[str]) -> DataFrame:
     return rows.rollup(key).agg(F.grouping(key).cast("boolean").alias("is_total"), F.count("*").alias("n"), *aggs)
 
 
+class Ranges:
+    """Rows in ranges of (keys, order), so that a hot key is sorted and summed in several tasks.
+
+    Ranges are cut by a sample of the rows, equal rows lie in one, and their
+    number follows the rows; each range knows what the ranges of its key before
+    it sum up to, or end with.
+    """
+
+    def __init__(self, rows: DataFrame, keys: list[str], order: list[Column]):
+        tasks = shuffle_partitions(rows.sparkSession)
+        self.keys, self.order = keys, order
+        self.rows = checkpoint(rows.repartitionByRange(tasks, *keys, *order).withColumn("_range", F.spark_partition_id()))
+        self.within = Window.partitionBy("_range", *keys).orderBy(*order)
+        # one row for each range of a key
+        self.before = Window.partitionBy(*keys).orderBy("_range")
+
+    def _join(self, facts: DataFrame) -> DataFrame:
+        on = [F.col(f"l.{k}").eqNullSafe(F.col(f"f.{k}")) for k in ("_range", *self.keys)]
+        named = self.rows.alias("l").join(facts.alias("f"), reduce(Column.__and__, on), "left")
+        return named.select("l.*", "f._fact")
+
+    def summed(self, value: str, inclusive: bool) -> DataFrame:
+        """The rows with _sum: of all values before in their key, and with their own where inclusive."""
+        sums = self.rows.groupBy("_range", *self.keys).agg(F.sum(value).alias("_own"))
+        facts = sums.withColumn("_fact", F.sum("_own").over(self.before.rowsBetween(Window.unboundedPreceding, -1))).drop("_own")
+        own = F.sum(value).over(self.within.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
+        return self._join(facts).withColumn("_sum", F.coalesce(own, F.lit(0)) + F.coalesce("_fact", F.lit(0))).drop("_range", "_fact")
+
+    def lagged(self, value: str) -> DataFrame:
+        """The rows with _lag: the value of the row before in their key."""
+        last = self.rows.groupBy("_range", *self.keys).agg(F.max_by(value, F.struct(*[F.struct(c.isNotNull().alias("n"), c.alias("v")).alias(f"o{i}") for i, c in enumerate(self.order)])).alias("_own"))
+        facts = last.withColumn("_fact", F.lag("_own").over(self.before)).drop("_own")
+        return self._join(facts).withColumn("_lag", F.coalesce(F.lag(value).over(self.within), "_fact")).drop("_range", "_fact")
+
+
 def running_offset(rows: DataFrame, keys: list[str], order: list[Column], size: str, base: int) -> DataFrame:
-    """The place of each piece behind all before it in its group."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("offset", F.lit(base) + F.coalesce(F.sum(size).over(w), F.lit(0)))
+    """The place of each piece behind all before it in its group; rows that are equal in the order count in any order."""
+    return Ranges(rows, keys, order).summed(size, False).withColumn("offset", F.lit(base) + F.col("_sum")).drop("_sum")
 
 
 def deltas(rows: DataFrame, keys: list[str], order: list[Column], value: str) -> DataFrame:
     """Difference to the row before, the first to 0."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("delta", F.col(value) - F.coalesce(F.lag(value).over(w), F.lit(0)))
+    return Ranges(rows, keys, order).lagged(value).withColumn("delta", F.col(value) - F.coalesce("_lag", F.lit(0))).drop("_lag")
 
 
 def undelta(rows: DataFrame, keys: list[str], order: list[Column], delta: str = "delta") -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("value", F.sum(delta).over(w))
+    return Ranges(rows, keys, order).summed(delta, True).withColumnRenamed("_sum", "value")
+
+
+#: Parts of a group that are cut to their ends before the group is.
+SALTS = 32
+
+
+def ends_of(rows: DataFrame, keys: list[str], order: list[str], head: int, tail: int) -> DataFrame:
+    """The first `head` and last `tail` rows of each group in ascending order, nulls first.
+
+    Groups are split by a hash of the order; what is at neither end of its part
+    is at no end of the group, so no task sorts a large group.
+    """
+
+    def cut(df: DataFrame, by: list[str]) -> DataFrame:
+        w = Window.partitionBy(*by)
+        up = F.row_number().over(w.orderBy(*[F.asc(c) for c in order]))
+        numbered = df.withColumn("_u", up).withColumn("_n", F.count("*").over(w))
+        return numbered.filter((F.col("_u") <= head) | (F.col("_u") > F.col("_n") - tail)).drop("_u", "_n")
+
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(SALTS)))
+    return cut(cut(salted, [*keys, "_salt"]), keys).drop("_salt")
 
 
 def head_and_tail(rows: DataFrame, keys: list[str], order: list[str], n: int = 5) -> DataFrame:
     """The first and last n rows of each group."""
-    up = Window.partitionBy(*keys).orderBy(*[F.asc(c) for c in order])
-    down = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
-    return rows.withColumn("_u", F.row_number().over(up)).withColumn("_d", F.row_number().over(down)).filter((F.col("_u") <= n) | (F.col("_d") <= n)).drop("_u", "_d")
+    return ends_of(rows, keys, order, n, n)
 
 
 def capped(rows: DataFrame, most: int) -> DataFrame:

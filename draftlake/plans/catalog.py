@@ -15,12 +15,21 @@ from pyspark.sql import functions as F
 from draftlake.functions import bits, codecs, records
 from draftlake.functions import geometry as G
 from draftlake.functions import text as T
+from draftlake.functions import viewer as V
 from draftlake.operators import graph
 from draftlake.operators import relational as R
 from draftlake.runtime import load
 from draftlake.sinks import dxf, gltf, svg
+from draftlake.sources import limits
 from draftlake.streaming import windows
 
+def _table_entry(i: int, polynomial: int) -> int:
+    """An entry of the table of a reflected checksum."""
+    for _ in range(8):
+        i = i >> 1 ^ polynomial * (i & 1)
+    return i
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -81,7 +90,7 @@ def q_top_errors(spark, d):
 
 @query("select path, count(*) as errors, greatest(count(*) - 1000, 0) as suppressed, least(count(*), 1000) as kept from raw_objects where reason is not null group by path")
 def q_error_messages(spark, d):
-    return R.kept_messages(load(spark, d, "raw_objects"), ["path"], [F.col("stream_offset"), F.col("object_id")])
+    return R.kept_messages(load(spark, d, "raw_objects"), ["path"])
 
 
 @query("select path, greatest(0.0, least(1.0, coalesce(count(*) filter (status = 'ok') / cast(nullif(count(*) filter (status in ('ok','skipped','error')), 0) as double), 1.0))) as confidence from raw_objects group by path")
@@ -114,10 +123,14 @@ def q_compression_ratio(spark, d):
     return sizes.join(files, "path").select("path", F.try_divide(F.col("size").cast("double"), F.col("lo")).alias("ratio"))
 
 
-@query("select path, list_sort(list(distinct type_code)) as unknown from raw_objects where type_code is not null and type_code < 500 and type_code not in (" + ", ".join(str(c) for c, _, _ in records.TYPE_CODES) + ") group by path")
+_KNOWN = ", ".join(str(c) for c, _, _ in records.TYPE_CODES)
+
+
+@query(f"select p_brand, array_to_string(list_sort(list(distinct code)), ',') as unknown, count(*) as n from (select p_brand, cast(p_partkey % 700 as integer) as code from part) where code < 500 and code not in ({_KNOWN}) group by p_brand")
 def q_unknown_types(spark, d):
-    typed = records.with_types(load(spark, d, "raw_objects"))
-    return typed.filter("type_class = 'unknown' and type_code is not null").groupBy("path").agg(F.sort_array(F.collect_set("type_code")).alias("unknown"))
+    """Codes that no type has, per brand: part numbers stand in for codes."""
+    rows = load(spark, d, "part").select("p_brand", (F.col("p_partkey") % 700).cast("int").alias("type_code"))
+    return records.with_types(rows).filter("type_class = 'unknown'").groupBy("p_brand").agg(F.array_join(F.sort_array(F.collect_set("type_code")), ",").alias("unknown"), F.count("*").alias("n"))
 
 
 # Filters and joins
@@ -158,10 +171,9 @@ def q_lines_by_handle(spark, d):
     return R.by_handle(load(spark, d, "handle_map"), load(spark, d, "raw_objects"), "LINE")
 
 
-@query("select count(*) as n, count(s_suppkey) as filled, sum(coalesce(s_acctbal, 0)) as total from nation left join supplier on n_nationkey = s_nationkey and s_nationkey < 10")
+@query("select count(*) as n, count(s_suppkey) as filled, sum(coalesce(s_acctbal, 0)) as total from nation left join supplier on n_nationkey = s_nationkey")
 def q_outer_default(spark, d):
-    s = load(spark, d, "supplier").filter("s_nationkey < 10")
-    j = load(spark, d, "nation").join(s, F.col("n_nationkey") == F.col("s_nationkey"), "left")
+    j = load(spark, d, "nation").join(load(spark, d, "supplier"), F.col("n_nationkey") == F.col("s_nationkey"), "left")
     return j.agg(F.count("*").alias("n"), F.count("s_suppkey").alias("filled"), F.sum(F.coalesce("s_acctbal", F.lit(0.0))).alias("total"))
 
 
@@ -186,10 +198,11 @@ def q_prefer_full(spark, d):
 # Windows, order
 
 
-@query("select path, object_id, 256 + coalesce(sum(size_bytes) over (partition by path order by stream_offset, object_id, loaded_at, status rows between unbounded preceding and 1 preceding), 0) as page_offset from raw_objects")
+@query("select path, object_id, 256 + coalesce(sum(size_bytes) over (partition by path order by stream_offset nulls first, object_id nulls first, loaded_at nulls first, status nulls first rows between unbounded preceding and 1 preceding), 0) as page_offset from raw_objects")
 def q_running_offset(spark, d):
-    order = [F.col(c).asc_nulls_last() for c in ("stream_offset", "object_id", "loaded_at", "status")]
-    return R.running_offset(load(spark, d, "raw_objects"), ["path"], order, "size_bytes", 256).select("path", "object_id", F.col("offset").alias("page_offset"))
+    order = [F.col(c) for c in ("stream_offset", "object_id", "loaded_at", "status")]
+    rows = load(spark, d, "raw_objects").select("path", "size_bytes", *order)
+    return R.running_offset(rows, ["path"], order, "size_bytes", 256).select("path", "object_id", F.col("offset").alias("page_offset"))
 
 
 @query("select path, handle, handle - lag(handle, 1, 0) over (partition by path order by handle) as delta, handle as value from (select distinct path, handle from handle_map where handle is not null)")
@@ -237,14 +250,20 @@ def q_transform(spark, d):
     return p.select("vec_id", r6(t["x"]).alias("x"), r6(t["y"]).alias("y"), r6(t["z"]).alias("z"), r6(v["x"]).alias("vx"))
 
 
-@query(f"select vec_id, true as orthogonal, true as restored from {_E}")
+_AXES = f"""with n as (select e.*, cx, cy, cz, ax / sqrt(ax*ax + ay*ay + az*az) nx, ay / sqrt(ax*ax + ay*ay + az*az) ny, az / sqrt(ax*ax + ay*ay + az*az) nz from {_E} e join (select vec_id, cast(embedding[7] as double) cx, cast(embedding[8] as double) cy, cast(embedding[9] as double) cz from embeddings) c using (vec_id)),
+u as (select *, abs(nx) < 1.0/64 and abs(ny) < 1.0/64 up from n),
+x as (select *, case when up then nz / sqrt(nz*nz + nx*nx) else -ny / sqrt(nx*nx + ny*ny) end xx, case when up then 0 else nx / sqrt(nx*nx + ny*ny) end xy, case when up then -nx / sqrt(nz*nz + nx*nx) else 0 end xz from u),
+y as (select *, ny*xz - nz*xy yx, nz*xx - nx*xz yy, nx*xy - ny*xx yz from x)
+select vec_id, round(xx, 6) + 0.0 as x_x, round(xy, 6) + 0.0 as x_y, round(xz, 6) + 0.0 as x_z, round(yx, 6) + 0.0 as y_x, round(yy, 6) + 0.0 as y_y, round(yz, 6) + 0.0 as y_z, round(bx + xx*cx + yx*cy + nx*cz, 6) + 0.0 as moved_x, round(by_ + xy*cx + yy*cy + ny*cz, 6) + 0.0 as moved_y, round(cx, 6) + 0.0 as back_x, round(cz, 6) + 0.0 as back_z from y"""
+
+
+@query(_AXES)
 def q_axes(spark, d):
-    """Axes of an extrusion are orthogonal, and the inverse of their transform undoes it."""
+    """Axes of an extrusion, a point moved by their transform, and back by its inverse."""
     p = _points(spark, d).withColumn("axes", G.axes(F.col("a"))).select("*", "axes.*").withColumn("m", G.axes_matrix(F.col("b"), F.col("x"), F.col("y"), F.col("z")))
     p = p.withColumn("inverse", G.invert_orthonormal(F.col("m"))).withColumn("moved", G.transform_point(F.col("m"), F.col("c")))
-    back = G.transform_point(F.col("inverse"), F.col("moved"))
-    small = lambda c: F.abs(c) < 1e-9
-    return p.select("vec_id", (small(G.dot(F.col("x"), F.col("y"))) & small(G.dot(F.col("y"), F.col("z")))).alias("orthogonal"), small(G.distance(back, F.col("c"))).alias("restored"))
+    p = p.withColumn("back", G.transform_point(F.col("inverse"), F.col("moved")))
+    return p.select("vec_id", *[r6(F.col(f"{a}.{k}")).alias(f"{a}_{k}") for a in "xy" for k in "xyz"], r6(F.col("moved.x")).alias("moved_x"), r6(F.col("moved.y")).alias("moved_y"), r6(F.col("back.x")).alias("back_x"), r6(F.col("back.z")).alias("back_z"))
 
 
 @query(f"select vec_id, round(bx + 2 * (cos(0.3) * ax - sin(0.3) * ay), 6) + 0.0 as x, round(by_ + 2 * (sin(0.3) * ax + cos(0.3) * ay), 6) + 0.0 as y from {_E}")
@@ -288,13 +307,27 @@ def q_area_length(spark, d):
     return _paths(spark, d).select("k", F.round(G.polygon_area(F.col("pts")), 3).alias("area"), F.round(G.polyline_length(F.col("pts")), 4).alias("len"))
 
 
-@query(f"select k, len(pts) - 1 as open_edges, len(pts) as closed_edges, case when len(pts) >= 4 and pts[3] = pts[4] then 1 when len(pts) >= 4 then 2 end as triangles from {_ITEMS}")
+@query(f"select k, cast(i - 1 as integer) as i, pts[i].x as ax, pts[i].y as ay, pts[i % len(pts) + 1].x as bx, pts[i % len(pts) + 1].y as by_, i < len(pts) as in_open from {_ITEMS}, range(1, 1000) t(i) where i <= len(pts)")
 def q_path_edges(spark, d):
+    """Every edge of the closed path of an order, and whether the open path has it."""
     p = F.col("pts")
-    return _paths(spark, d).select(
-        "k", F.size(G.polyline_path(p, F.lit(False))).alias("open_edges"), F.size(G.polyline_path(p, F.lit(True))).alias("closed_edges"),
-        F.when(F.size(p) >= 4, F.size(G.face_triangles(F.slice(p, 1, 4)))).alias("triangles"),
-    )
+    edges = _paths(spark, d).select("k", F.size(G.polyline_path(p, F.lit(False))).alias("n"), F.posexplode(G.polyline_path(p, F.lit(True))).alias("i", "e"))
+    return edges.select("k", "i", F.col("e.a.x").alias("ax"), F.col("e.a.y").alias("ay"), F.col("e.b.x").alias("bx"), F.col("e.b.y").alias("by_"), (F.col("i") < F.col("n")).alias("in_open"))
+
+
+@query(f"select k, t as triangle, case t when 0 then pts[1].x + pts[2].x * 10 + pts[3].x * 100 else pts[1].x + pts[3].x * 10 + pts[4].x * 100 end as corners from {_ITEMS}, (values (0), (1)) v(t) where len(pts) >= 4 and (t = 0 or pts[3] <> pts[4])")
+def q_face_triangles(spark, d):
+    """Triangles of the faces that the first four items of an order make, by their corners."""
+    p = F.slice("pts", 1, 4)
+    t = _paths(spark, d).filter(F.size("pts") >= 4).select("k", p.alias("p"), F.posexplode(G.face_triangles(p)).alias("triangle", "t"))
+    return t.select("k", "triangle", (F.col("p")[F.col("t")[0]]["x"] + F.col("p")[F.col("t")[1]]["x"] * 10 + F.col("p")[F.col("t")[2]]["x"] * 100).alias("corners"))
+
+
+@query(f"select vec_id, round(least(ax, bx), 6) + 0.0 as line_x, round(ax - abs(bz), 6) + 0.0 as round_x, round(az + abs(bz), 6) + 0.0 as round_z from {_E}")
+def q_curve_bounds(spark, d):
+    """Boxes of a line and of a circle around its start."""
+    line, circle = G.curve("line", a=F.col("a"), b=F.col("b")), G.curve("circle", center=F.col("a"), radius=F.abs(F.col("b.z")))
+    return _points(spark, d).select("vec_id", r6(G.curve_bounds(line)["min"]["x"]).alias("line_x"), r6(G.curve_bounds(circle)["min"]["x"]).alias("round_x"), r6(G.curve_bounds(circle)["max"]["z"]).alias("round_z"))
 
 
 @query(f"select vec_id, round(sqrt((cx - ax)**2 + (cy - ay)**2), 6) + 0.0 as radius, round(cx, 6) + 0.0 as cx, round(cy, 6) + 0.0 as cy, az > 0 as ccw from (select vec_id, ax, ay, az, (ax + bx) / 2 - (by_ - ay) * (1 - az * az) / (4 * az) cx, (ay + by_) / 2 + (bx - ax) * (1 - az * az) / (4 * az) cy from {_E} where az <> 0)")
@@ -340,11 +373,31 @@ def q_rotate_add(spark, d):
     return load(spark, d, "part").select("p_partkey", codecs.rotate_add_of(codecs.text_bytes(F.col("p_name"))).alias("checksum"))
 
 
-@query()
+_T32, _T16 = ([str(_table_entry(i, poly)) for i in range(256)] for poly in (0xEDB88320, 0xA001))
+_BYTES = "list_transform(range(1, length(c_name) + 1), lambda i: ord(substr(c_name, i, 1))::bigint)"
+_FOLD = "list_reduce({b}, lambda s, b: xor(s >> 8, ([{t}])[(xor(s, b) & 255) + 1]), {seed}::bigint)"
+
+
+@query(f"select c_custkey, xor({_FOLD.format(b=_BYTES, t=', '.join(_T32), seed=0xFFFFFFFF)}, 4294967295) as crc32, {_FOLD.format(b=_BYTES, t=', '.join(_T16), seed=codecs.SECTION_SEED)} as crc16 from customer")
 def q_crc(spark, d):
     return load(spark, d, "customer").select("c_custkey", F.crc32(F.encode("c_name", "utf-8")).alias("crc32"), codecs.crc16_of(codecs.text_bytes(F.col("c_name")), codecs.SECTION_SEED).alias("crc16"))
 
 
+_BASE = "p_name || substr(repeat(p_name, 20), 1, k) || '#'"
+
+
+@query(f"select p_partkey, base || left(repeat(right(base, 2), 3), 5) as text from (select p_partkey, {_BASE} as base from (select p_partkey, p_name, p_size % 12 + 3 as k from part))")
+def q_lz77_references(spark, d):
+    """Streams with back references: the name as literals, its first letters again from its own length back, a literal, and five letters from two back."""
+    byte = lambda c: F.unhex(F.lpad(F.hex(c.cast("long")), 2, "0"))
+    n, k = F.length("p_name"), (F.col("p_size") % 12 + 3)
+    head = F.when(n <= 18, byte(n - 3)).otherwise(F.concat(byte(F.lit(0)), byte(n - 18)))
+    near = F.concat(byte((k + 1) * 16 + F.pmod(n - 1, F.lit(4)) * 4 + 1), byte(F.floor((n - 1) / 4)), byte(F.lit(0x23)))
+    far = F.concat(byte(F.lit(0x23)), byte(F.lit(1 << 2)), byte(F.lit(0)), byte(F.lit(0x11)))
+    stream = F.concat(head, F.encode("p_name", "utf-8"), near, far)
+    return load(spark, d, "part").select("p_partkey", F.decode(codecs.lz77_decompressed(stream)["data"], "utf-8").alias("text"))
+
+
 @query("select object_id, true as same from raw_objects where raw is not null and (octet_length(raw) = 0 or octet_length(raw) > 3)")
 def q_lz77(spark, d):
     """What was packed comes back: every object's bytes."""
@@ -352,20 +405,43 @@ def q_lz77(spark, d):
     return rows.select("object_id", "raw", codecs.lz77_compressed("raw").alias("packed")).select("object_id", (codecs.lz77_decompressed("packed")["data"] == F.col("raw")).alias("same"))
 
 
-@query("select c_custkey, true as same, 1 as words from customer")
+@query("select c_custkey, c_custkey % 10 <= 8 as mended, case when c_custkey % 10 <= 8 then cast(c_custkey % 10 as integer) end as corrected, case when c_custkey % 10 <= 8 then c_name end as name from customer")
 def q_reed_solomon(spark, d):
-    """Names as messages: encoded, then decoded."""
+    """Names as messages, with none to nine bytes damaged: up to eight are mended."""
     rows = load(spark, d, "customer").select("c_custkey", F.encode("c_name", "utf-8").alias("m"))
-    coded = rows.withColumn("words", codecs.rs_words(F.length("m")).cast("int")).withColumn("back", codecs.rs_decoded(codecs.rs_encoded("m")))
-    return coded.select("c_custkey", (F.substring(F.hex("back.data"), F.lit(1), F.length(F.hex("m"))) == F.hex("m")).alias("same"), "words")
+    rows = rows.withColumn("hex", F.hex(codecs.rs_encoded("m")))
+    pair = lambda i: F.substr(F.col("hex"), 2 * i + 1, F.lit(2))
+    hit = lambda i: (i % 25 == 3) & (i / 25 < F.col("c_custkey") % 10)
+    damaged = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(254)), lambda i: F.when(hit(i), F.translate(pair(i), "0123456789ABCDEF", "FEDCBA9876543210")).otherwise(pair(i))), "")
+    back = rows.withColumn("back", codecs.rs_decoded(F.unhex(damaged)))
+    return back.select("c_custkey", (F.col("back.status") == "ok").alias("mended"), "back.corrected", F.decode(F.substring(F.col("back.data"), F.lit(1), F.length("m")), "utf-8").alias("name"))
 
 
 # Colour and text
 
 
-@query("select c_custkey, case c_custkey % 10 when 0 then '#000000' when 1 then '#FF0000' when 2 then '#FFFF00' when 3 then '#00FF00' when 4 then '#00FFFF' when 5 then '#0000FF' when 6 then '#FF00FF' when 7 then '#FFFFFF' when 8 then '#414141' else '#808080' end as rgb_hex from customer")
+_HSV = "case cast(floor(hue / 4.0) as integer) % 6 when {0} then 1.0 when {1} then 1.0 when {2} then 1 - s * (hue / 4.0 - floor(hue / 4.0)) when {3} then 1 - s * (1 - (hue / 4.0 - floor(hue / 4.0))) else 1 - s end"
+_RGB = [_HSV.format(*o) for o in ((0, 5, 1, 4), (1, 2, 3, 0), (3, 4, 5, 2))]
+_FIXED = " ".join(f"when {i} then '#{r:02X}{g:02X}{b:02X}'" for i, (r, g, b) in T.BASIC.items())
+_SHADE = "(case (aci % 10) // 2 when 0 then 255 when 1 then 165 when 2 then 127 when 3 then 76 else 38 end)"
+_GREY = "(case aci when 250 then 51 when 251 then 80 when 252 then 105 when 253 then 130 when 254 then 190 else 255 end)"
+
+
+@query(f"select p_partkey, case aci {_FIXED} else case when aci < 250 then printf('#%02X%02X%02X', " + ", ".join(f"cast(trunc({c} * {_SHADE}) as integer)" for c in _RGB) + f") when aci < 256 then printf('#%02X%02X%02X', {_GREY}, {_GREY}, {_GREY}) end end as rgb_hex from (select p_partkey, cast(p_partkey % 300 as integer) as aci, (p_partkey % 300 - 10) // 10 as hue, case when (p_partkey % 300) % 2 = 1 then 0.5 else 1.0 end::double as s from part)")
 def q_colors(spark, d):
-    return T.with_rgb(load(spark, d, "customer").select("c_custkey", (F.col("c_custkey") % 10).alias("aci")), "aci").select("c_custkey", "rgb_hex")
+    """All colours of the index, and numbers beyond it."""
+    return T.with_rgb(load(spark, d, "part").select("p_partkey", (F.col("p_partkey") % 300).alias("aci")), "aci").select("p_partkey", "rgb_hex")
+
+
+_HUE = "fmod(aci * 137.508, 360.0)"
+_X = f"(0.7 * (1 - abs(fmod({_HUE} / 60.0, 2.0) - 1)))"
+_PART = lambda order: "cast(round((case cast(floor(" + _HUE + " / 60.0) as integer) " + " ".join(f"when {i} then {dict(c='0.7', x=_X)[w] if w != '0' else '0.0'}" for i, w in enumerate(order)) + " end + 0.15) * 255) as integer)"
+
+
+@query(f"select p_partkey, case aci {_FIXED} when 256 then '#000000' else printf('#%02X%02X%02X', {_PART('cx00xc')}, {_PART('xccx00')}, {_PART('00xccx')}) end as rgb_hex from (select p_partkey, cast(p_partkey % 300 as integer) as aci from part)")
+def q_page_colors(spark, d):
+    """Colours of the index as vector pages show them."""
+    return load(spark, d, "part").select("p_partkey", T.page_rgb(F.col("p_partkey") % 300).alias("rgb_hex"))
 
 
 @query("select event_id, replace(replace(replace(props, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') as xml, replace(replace(replace(replace(replace(props, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;') as attr from events")
@@ -402,31 +478,37 @@ def q_fonts(spark, d):
 # Graphs
 
 
-@query()
+_LAST = "select * from (select *, row_number() over (partition by path, handle order by loaded_at desc nulls last, entity_id) as nth from expanded_entities where path is not null and handle is not null) where nth = 1"
+_LINKED = f"with recursive rows_ as ({_LAST}), linked as (select n.*, case when p.handle is null then null else n.owner_handle end as parent from rows_ n left join rows_ p on n.path = p.path and n.owner_handle = p.handle)"
+
+
+@query(_LINKED + ", walk as (select path, handle, cast(handle as varchar) as chain from linked where parent is null union all select l.path, l.handle, l.handle || '/' || w.chain from walk w join linked l on l.path = w.path and l.parent = w.handle) select l.path, l.handle, w.chain from linked l left join walk w on l.path = w.path and l.handle = w.handle")
 def q_owner_chains(spark, d):
-    return graph.owner_chains(load(spark, d, "expanded_entities"))
+    """The owners of each entity from inside to outside; null where they run in a circle."""
+    return graph.owner_chains(load(spark, d, "expanded_entities")).withColumn("chain", F.array_join("chain", "/"))
 
 
 def _nested(spark, d):
     """The last row of every entity, its transform as a matrix."""
-    rows = R.first_of(load(spark, d, "expanded_entities").filter("path is not null and handle is not null"), ["path", "handle"], [F.desc("loaded_at"), F.col("entity_id")])
+    rows = R.first_of(load(spark, d, "expanded_entities").filter("path is not null and handle is not null"), ["path", "handle"], [-F.unix_micros(F.col("loaded_at").cast("timestamp")), F.col("entity_id")])
     own = F.when(F.size("transform") == 4, G.compose(G.translation(G.point(F.col("transform")[0], F.col("transform")[1], F.col("transform")[2])), G.scaling(G.point(F.col("transform")[3], F.col("transform")[3], F.col("transform")[3]))))
     return rows.withColumn("transform", own)
 
 
-@query()
-def q_expand_all(spark, d):
-    """What every root block of each drawing holds, to the full depth; entities caught in circles without a root."""
-    return graph.expand_tree(_nested(spark, d))
+_STEP = "case when len(transform) = 4 then w.s * transform[{i}] else 0 end"
 
 
-@query("with m as (select path, handle, owner_handle, seq from (select *, row_number() over (partition by path, handle order by loaded_at desc, entity_id) n from expanded_entities where path is not null and handle is not null) where n = 1), t1 as (select path, owner_handle root, handle entity, 1 depth, seq from m where owner_handle in (16, 17, 18)), t2 as (select t1.path, root, m.handle, 2, m.seq from t1 join m on m.path = t1.path and m.owner_handle = t1.entity where m.handle <> root), t3 as (select t2.path, root, m.handle, 3, m.seq from t2 join m on m.path = t2.path and m.owner_handle = t2.handle where m.handle <> root and m.handle <> m.owner_handle and m.handle not in (select entity from t1 where t1.path = m.path and t1.root = t2.root and t1.entity = m.handle and false)) select path, root, depth, count(*) as n from (select path, root, entity, depth from t1 union all select path, root, handle, 2 from t2) group by all")
-def q_expand(spark, d):
-    """Members of three blocks of each drawing down to the second level, the part of `q_expand_all` that its SQL states: every entity counts as an insert of its members."""
-    inserts = _nested(spark, d).filter("owner_handle is not null").select("path", F.col("owner_handle").alias("block"), "seq", F.col("handle").alias("entity"), F.col("handle").alias("child_block"), "transform")
-    roots = inserts.filter("block in (16, 17, 18)").select("path", "block").distinct()
-    out = graph.expand_inserts(inserts, roots, max_depth=2, strict=False)
-    return out.filter("entity <> root or depth = 1").groupBy("path", "root", "depth").agg(F.count("*").alias("n"))
+@query(
+    _LINKED + ", walk as (select path, handle, coalesce(owner_handle, handle) as root, case when owner_handle is null then 0 else 1 end as depth, case when owner_handle is null then 0 else seq end as seqs, case when owner_handle is not null and len(transform) = 4 then transform[1] else 0.0 end as x, case when owner_handle is not null and len(transform) = 4 then transform[3] else 0.0 end as z, case when owner_handle is not null and len(transform) = 4 then transform[4] else 1.0 end as s from linked where parent is null "
+    "union all select l.path, l.handle, w.root, w.depth + 1, w.seqs + l.seq, w.x + " + _STEP.format(i=1) + ", w.z + " + _STEP.format(i=3) + ", w.s * case when len(transform) = 4 then transform[4] else 1.0 end from walk w join linked l on l.path = w.path and l.parent = w.handle) "
+    "select l.path, w.root, l.handle as entity, w.depth, cast(w.seqs as bigint) as seqs, floor(w.x * 1e4 + 0.5) / 1e4 + 0.0 as x, floor(w.z * 1e4 + 0.5) / 1e4 + 0.0 as z, floor(w.s * 1e6 + 0.5) / 1e6 + 0.0 as s from linked l left join walk w on l.path = w.path and l.handle = w.handle where w.depth is null or w.depth > 0"
+)
+def q_expand_all(spark, d):
+    """What every root block of each drawing holds, to the full depth, and where; entities caught in circles without a root."""
+    out = graph.expand_tree(_nested(spark, d))
+    # many places are decimals with ties, so they are rounded by the same steps as in SQL
+    place = lambda i, n: F.floor(F.col("transform")[i] * 10.0**n + 0.5).cast("double") / 10.0**n + F.lit(0.0)
+    return out.select("path", "root", "entity", "depth", F.aggregate("order_key", F.lit(0).cast("bigint"), lambda a, b: a + b).alias("seqs"), place(3, 4).alias("x"), place(11, 4).alias("z"), place(0, 6).alias("s"))
 
 
 # Sinks
@@ -444,14 +526,27 @@ def _pairs():
     return dxf.entity_pairs(F.col("kind"), {"CIRCLE": F.col("circle"), "LINE": F.col("line")}, F.lit("0"), F.col("seq"))
 
 
-@query("with e as (select 'nation-' || s_nationkey path, s_suppkey seq, 'CIRCLE' kind, s_acctbal v from supplier union all select 'nation-' || c_nationkey, c_custkey + 1000000000, 'LINE', c_acctbal from customer), p as (select path, seq, 0 pair, 0 code, kind v from e union all select path, seq, 1, 5, upper(to_hex(seq)) from e union all select path, seq, 5, 10, case kind when 'CIRCLE' then printf('%.16f', v) else '0.0000000000000000' end from e) select path, seq, pair, code, v as value from p")
+_ENT = "(select 'nation-' || s_nationkey path, s_suppkey seq, 'CIRCLE' kind, s_acctbal v from supplier union all select 'nation-' || c_nationkey, c_custkey + 1000000000, 'LINE', c_acctbal from customer)"
+_ZERO, _HEXOF = "0.0000000000000000", "upper(to_hex(seq))"
+_REAL = "replace(printf('%.16f', v), '-" + _ZERO + "', '" + _ZERO + "')"
+_FORMS = {
+    "CIRCLE": [(0, "'CIRCLE'"), (5, _HEXOF), (100, "'AcDbEntity'"), (8, "'0'"), (100, "'AcDbCircle'"), (10, _REAL), (20, f"'{_ZERO}'"), (30, f"'{_ZERO}'"), (40, "'2.0000000000000000'")],
+    "LINE": [(0, "'LINE'"), (5, _HEXOF), (100, "'AcDbEntity'"), (8, "'0'"), (100, "'AcDbLine'"), *[(c, f"'{_ZERO}'") for c in (10, 20, 30)], (11, _REAL), (21, "'1.0000000000000000'"), (31, f"'{_ZERO}'")],
+}
+_PAIRS_SQL = " union all ".join(f"select path, seq, {i} as pair, {c} as code, {v} as value from {_ENT} where kind = '{k}'" for k, form in _FORMS.items() for i, (c, v) in enumerate(form))
+_FRAME = [
+    (0, 0, [(0, "SECTION"), (2, "HEADER"), (9, "$ACADVER"), (1, "AC1032"), (0, "ENDSEC")]), (1, 0, [(0, "SECTION"), (2, "TABLES"), (0, "TABLE"), (2, "LAYER")]), (1, 2**63 - 1, [(0, "ENDTAB"), (0, "ENDSEC")]),
+    (2, 0, [(0, "SECTION"), (2, "BLOCKS"), (0, "BLOCK"), (2, "*Model_Space"), (0, "ENDBLK"), (0, "ENDSEC")]), (3, -(2**63), [(0, "SECTION"), (2, "ENTITIES")]), (3, 2**63 - 1, [(0, "ENDSEC")]), (4, 0, [(0, "SECTION"), (2, "OBJECTS"), (0, "ENDSEC")]), (5, 0, [(0, "EOF")]),
+]
+_FRAME_SQL = "(values " + ", ".join(f"({s}, {q}, {i}, {c}, '{v}')" for s, q, ps in _FRAME for i, (c, v) in enumerate(ps)) + ") t(section, seq, pair, code, value)"
+
+
+@query(_PAIRS_SQL)
 def q_dxf_pairs(spark, d):
-    e = _entities(spark, d)
-    rows = dxf.entity_rows(e, _pairs())
-    return rows.filter("pair in (0, 1, 5)").select("path", "seq", "pair", "code", "value")
+    return dxf.entity_rows(_entities(spark, d), _pairs()).select("path", "seq", "pair", "code", "value")
 
 
-@query()
+@query(f"select path, 3 as section, seq, pair, code, value from ({_PAIRS_SQL}) union all select path, section, seq, pair, code, value from (select distinct path from {_ENT}), {_FRAME_SQL}")
 def q_dxf_document(spark, d):
     e = _entities(spark, d)
     return dxf.entity_rows(e, _pairs()).unionByName(dxf.frame_rows(e))
@@ -466,23 +561,73 @@ def q_svg_fragments(spark, d):
     return load(spark, d, "nation").select("n_nationkey", svg.curve_fragment(c, F.lit("#FFFFFF")).alias("fragment"))
 
 
-@query()
+_COLOURED = "case kind when 'CIRCLE' then '<circle cx=\"' || " + _NUM.format("v") + " || '\" cy=\"0\" r=\"2\" fill=\"none\" stroke=\"#FF0000\" stroke-width=\"1\"/>' else '<line x1=\"0\" y1=\"0\" x2=\"' || " + _NUM.format("v") + " || '\" y2=\"1\" fill=\"none\" stroke=\"#0000FF\" stroke-width=\"1\"/>' end"
+
+
+@query(
+    f"select path, 1 as part, kind as layer, seq, {_COLOURED} as line from {_ENT} "
+    f"union all select path, 1, kind, -1, '<g data-layer=\"' || kind || '\">' from (select distinct path, kind from {_ENT}) union all select path, 1, kind, {2**62}, '</g>' from (select distinct path, kind from {_ENT}) "
+    f"union all select path, 0, '', 0, '<svg xmlns=\"http://www.w3.org/2000/svg\" width=\"1000\" height=\"1000\" viewBox=\"0 0 1000 1000\"><g transform=\"translate(0,1000) scale(1,-1)\">' from (select distinct path from {_ENT}) union all select path, 2, '', 0, '</g></svg>' from (select distinct path from {_ENT})"
+)
 def q_svg_document(spark, d):
     curve = F.when(F.col("kind") == "CIRCLE", svg.curve_fragment(G.circle_curve(F.col("circle")), F.lit("#FF0000"))).otherwise(svg.curve_fragment(G.line_curve(F.col("line")), F.lit("#0000FF")))
     return svg.document(_entities(spark, d).select("path", F.col("kind").alias("layer"), "seq", curve.alias("fragment")), 1000, 1000)
 
 
-@query("select c_custkey, c_acctbal <> 0 as drawn, round(abs(c_acctbal), 6) as measure, round(-3.0 * sign(c_acctbal) * 0, 6) + 0.0 as x0 from customer")
+@query("select c_custkey, n > 0 as drawn, round(n, 6) as measure, round(-3 * y / n, 6) + 0.0 as x0, round(3 * x / n, 6) + 0.0 as y0, round(x - 3 * y / n - x / n - 0.3 * y / n, 6) + 0.0 as head_x, round((x - 6 * y / n) / 2, 6) + 0.0 as text_x from (select c_custkey, c_acctbal x, cast(c_custkey as double) y, sqrt(c_acctbal * c_acctbal + cast(c_custkey as double) * c_custkey) n from customer)")
 def q_svg_dimension(spark, d):
-    a, b = G.point(0.0, 0.0, 0.0), G.point(F.col("c_acctbal"), 0.0, 0.0)
+    """A dimension from the origin: its line, the second corner of its far head, the place of its text."""
+    a, b = G.point(0.0, 0.0, 0.0), G.point(F.col("c_acctbal"), F.col("c_custkey").cast("double"), 0.0)
     p = svg.dimension_points(a, b, F.lit(3.0), F.lit(2.0))
-    return load(spark, d, "customer").select("c_custkey", p.isNotNull().alias("drawn"), F.coalesce(r6(p["measure"]), F.lit(0.0)).alias("measure"), F.coalesce(r6(p["line"][0]["x"]), F.lit(0.0)).alias("x0"))
+    return load(spark, d, "customer").select("c_custkey", p.isNotNull().alias("drawn"), r6(p["measure"]).alias("measure"), r6(p["line"][0]["x"]).alias("x0"), r6(p["line"][0]["y"]).alias("y0"), r6(p["head_b"][1]["x"]).alias("head_x"), r6(p["text_at"]["x"]).alias("text_x"))
 
 
-@query()
+@query(f"select path, cast(row_number() over (partition by path order by seq) - 1 as integer) as node, 2 as n_positions, 2 as n_indices, cast(cast(least(v, 0) as float) as double) as low_x, cast(cast(greatest(v, 0) as float) as double) as high_x, 1.0::double as high_y from {_ENT} where kind = 'LINE'")
 def q_gltf(spark, d):
+    """Lines of a drawing as a scene, read back from its bytes."""
     e = _entities(spark, d).filter("kind = 'LINE'").select("path", "seq", F.lit("layer-7").alias("material"), F.array("line.start", "line.end").alias("points"))
-    return gltf.documents(gltf.line_meshes(e)).select("path", F.length("glb").alias("bytes"), F.substring("glb", 1, 4).alias("magic"))
+    got = gltf.contents(gltf.documents(gltf.line_meshes(e)))
+    return got.select("path", "node", "n_positions", "n_indices", F.col("low")[0].alias("low_x"), F.col("high")[0].alias("high_x"), F.col("high")[1].alias("high_y"))
+
+
+# Viewer
+
+
+@query("select c_custkey, case when s > 0 then 10 - (10 - (x + 2)) / 2 * (2 * s) else x + 2 end as pan_x, case when s > 0 then 2 * s else 2.0 end as zoom, 7 * 2.0 + x as to_x, case when c_nationkey = 0 then 0.0 else (7 - x) / c_nationkey end as from_x, greatest(x, 1.0) as width from (select *, c_acctbal x, cast(c_nationkey % 3 as double) s from customer)")
+def q_views(spark, d):
+    """Panning, zooming about a place, and the way between drawing and viewport."""
+    x, zero = F.col("c_acctbal"), F.lit(0.0)
+    v = V.view(x, zero, F.lit(2.0))
+    z = V.zoom_at(V.pan_by(v, F.lit(2.0), zero), F.lit(10.0), F.lit(10.0), (F.col("c_nationkey") % 3).cast("double"))
+    back = V.to_drawing(V.view(x, zero, F.col("c_nationkey").cast("double")), F.lit(7.0), zero)
+    return load(spark, d, "customer").select("c_custkey", z["pan_x"].alias("pan_x"), z["zoom"].alias("zoom"), V.to_viewport(v, F.lit(7.0), zero)["x"].alias("to_x"), back["x"].alias("from_x"), V.viewport(x, zero)["width"].alias("width"))
+
+
+@query("select c_custkey, c_acctbal as pan_x, 1.5::double as zoom, c_nationkey % 2 = 0 as is_model, c_nationkey as layout_index, array_to_string(list_transform(range(0, c_custkey % 20), lambda i: case when i % 3 = 0 then '1' else '0' end), '') as layers, cast(ceil((37 + ceil((c_custkey % 20) / 8.0)) * 4 / 3.0) as integer) as size from customer")
+def q_view_links(spark, d):
+    """States of a viewer as text for a link, and back."""
+    n = (F.col("c_custkey") % 20).cast("int")
+    layers = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: i % 3 == 0)).otherwise(F.array().cast("array<boolean>"))
+    text = load(spark, d, "customer").select("c_custkey", V.state_text(F.col("c_acctbal"), F.lit(0.0), F.lit(1.5), F.col("c_nationkey") % 2 == 0, F.col("c_nationkey"), layers).alias("t"))
+    got = text.select("c_custkey", F.length("t").alias("size"), V.state_of("t").alias("s"))
+    return got.select("c_custkey", "s.pan_x", "s.zoom", "s.is_model", "s.layout_index", F.array_join(F.transform("s.layers", lambda b: F.when(b, "1").otherwise("0")), "").alias("layers"), "size")
+
+
+@query(f"select vec_id, 4 as angular, round((ax + bx) / 2, 6) + 0.0 as mid_x, round(ay, 6) + 0.0 as knee_y, round(bx, 6) + 0.0 as knee_x, round(bx, 6) + 0.0 as radial_x, bx between least(ax, 0) and greatest(ax, 0) and by_ between least(ay, 0) and greatest(ay, 0) and bz between least(az, 0) and greatest(az, 0) or label % 2 = 0 as shown from {{_E}}".format(_E=_E))
+def q_dimension_outlines(spark, d):
+    """Outlines of angular, ordinate and radial dimensions, and points shown by a section box that is on for odd labels."""
+    a, b, c = F.col("a"), F.col("b"), F.col("c")
+    angular, ordinate, radial = V.angular_outline(a, b, b, c, c), V.ordinate_outline(a, b), V.radial_outline(a, b)
+    box = G.expand(G.box(a, a), G.point(0.0, 0.0, 0.0))
+    return _points(spark, d).select(
+        "vec_id", F.size(angular["segments"]).alias("angular"), r6(angular["segments"][2]["a"]["x"]).alias("mid_x"), r6(ordinate["segments"][0]["b"]["y"]).alias("knee_y"), r6(ordinate["segments"][1]["a"]["x"]).alias("knee_x"),
+        r6(radial["label_at"]["x"]).alias("radial_x"), V.in_section_box(box, b, F.col("label") % 2 != 0).alias("shown"),
+    )
+
+
+@query("select * from (values " + ", ".join(f"('{n}', '{k}', {v})" for n, k, v in limits.table()) + ") t(set_name, limit_name, most)")
+def q_limits(spark, d):
+    return spark.createDataFrame(limits.table(), "set_name string, limit_name string, most bigint")
 
 
 # Streams

@@ -95,7 +95,7 @@ def _of_variant(table: str) -> list[tuple]:
 _OLD = ("AC1014", "AC1015")
 for _t, _columns in _SHOWN.items():
     QUERIES[f"s_{_t}"] = _table(_t)
-    SQL[f"s_{_t}"] = S.expected_sql(_t, _columns.replace("offset, size", '"offset", size'))
+    SQL[f"s_{_t}"] = S.expected_sql(_t, _columns.replace(" offset,", ' "offset",'))
 _SECTIONS = _SHOWN["sections"].replace("offset", '"offset"')
 # a file without its page map names the sections of its headers, one of before 2004 those of its locators
 SQL["s_sections"] += f" union all select path, {_SECTIONS} from {S.FILES} f join (values {_values(_of_variant('broken_sections'))}) t(version_, k_, {_SECTIONS}) on version = version_ and k = k_ where broken"

@@ -37,9 +37,16 @@ def shared_folder(spark: SparkSession) -> str:
     return where
 
 
+def remove_at_end(spark: SparkSession, folder: str) -> None:
+    """Have a folder of this session, on whatever file system, removed when the session ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Write `df` to the shared folder and cut its lineage there."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
+        remove_at_end(spark, spark.sparkContext.getCheckpointDir())
     return df.checkpoint(eager=True)

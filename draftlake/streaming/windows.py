@@ -7,19 +7,25 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from draftlake.runtime import shared_folder
+from draftlake.runtime import remove_at_end, shared_folder
 
 #: How long a window stays open for late rows.
 LATE = "1 day"
 
 
 def _timed(events: DataFrame, late: str) -> DataFrame:
-    """Event time needs an instant; times without a zone are taken in the session's."""
-    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    """Event time needs an instant; times without a zone are taken as UTC."""
+    return events.withColumn("ts", instant(F.col("ts"))).withWatermark("ts", late)
+
+
+def instant(ts: Column) -> Column:
+    """A time without a zone as the instant of the same clock in UTC, whatever the session's zone."""
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts.cast("timestamp_ntz")))
 
 
 def _plain(c: str) -> Column:
-    return F.col(c).cast("timestamp_ntz")
+    """The clock of an instant in UTC."""
+    return F.timestamp_add("MICROSECOND", F.unix_micros(F.col(c)), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
 
 
 def tumbling(events: DataFrame, width: str = "1 hour", late: str = LATE) -> DataFrame:
@@ -47,19 +53,26 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = LATE) -> Da
     )
 
 
+#: A time behind all others, whose row closes the windows before it and is in none that is written.
+END = "9999-01-01 00:00:00"
+
+
 def run_available(spark: SparkSession, path: str, plan) -> DataFrame:
     """All files under `path` read as a stream through `plan`; the written result.
 
-    One run over what is there, with its state and output in the shared folder.
-    The output mode is complete, so windows that are still open are in it too.
+    What is there is read in append mode: a window is written once, when the
+    watermark closes it, so its state is freed and nothing is rewritten; rows
+    later than the watermark are left out. A last row far in the future closes
+    what is still open. State and output lie in the
+    shared folder and go when the session ends.
     """
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    # as a pattern the path may be a file as well as a folder of files
-    pattern = f"{path[:-1]}[{path[-1]}]"
-    stream = plan(spark.readStream.schema(spark.read.parquet(path).schema).parquet(pattern))
-
-    def keep(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/out")
-
-    stream.writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    remove_at_end(spark, folder)
+    source = spark.read.parquet(path)
+    last = [F.lit(END if f.name == "ts" else None).cast(f.dataType).alias(f.name) for f in source.schema.fields]
+    spark.range(1).coalesce(1).select(*last).write.parquet(f"{folder}/end")
+    # as a pattern the path may be a file as well as a folder of files; the last row comes in a second run of the same query
+    for place in (f"{path[:-1]}[{path[-1]}]", f"{folder}/end"):
+        stream = plan(spark.readStream.schema(source.schema).parquet(place))
+        stream.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/out").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{folder}/out")

@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 from draftlake.functions import geometry as G
 from draftlake.functions import text as T
 from draftlake.operators import graph
-from draftlake.plans import registry
+from draftlake.plans import catalog, registry
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
@@ -69,7 +69,9 @@ def test_expand_inserts(spark):
     roots = spark.createDataFrame([("q", 1)], "path string, block bigint")
     with pytest.raises(graph.CycleError):
         graph.expand_inserts(df, roots)
-    assert graph.expand_inserts(df, roots, strict=False).count() == 1
+    assert [r["cut"] for r in graph.expand_inserts(df, roots, strict=False).collect()] == ["cycle"]
+    shallow = graph.expand_inserts(df.filter("path = 'p'"), spark.createDataFrame([("p", 1)], "path string, block bigint"), max_depth=2, strict=False)
+    assert {r["entity"]: r["cut"] for r in shallow.collect()} == {10: None, 11: None, 20: None, 21: "depth"}
     assert graph.expand_inserts(df, roots.limit(0)).count() == 0
 
 
@@ -79,7 +81,7 @@ def test_expand_all_reaches_every_root_and_depth(spark, tmp_path):
     rows = [(i, p, h, o, s, 0, [1.0, 0.0, 0.0, 2.0] if h != 105 else None) for i, (p, h, o, s) in enumerate(links)]
     df = spark.createDataFrame(rows + rows[:3], "entity_id bigint, path string, handle bigint, owner_handle bigint, seq int, depth int, transform array<double>")
     df.withColumn("loaded_at", F.lit("2024-01-01").cast("timestamp")).write.parquet(f"{tmp_path}/expanded_entities.parquet")
-    got = {(r["path"], r["entity"]): r for r in registry.QUERIES["q_expand_all"](spark, str(tmp_path)).collect()}
+    got = {(r["path"], r["entity"]): r for r in graph.expand_tree(catalog._nested(spark, str(tmp_path))).collect()}
     owner = {(p, h): o for p, h, o, _ in links}
     seq = {(p, h): s for p, h, _, s in links}
     want = {}
