@@ -92,16 +92,20 @@ def _expected_pairs(v: int, k: int) -> list[tuple]:
     return rows + [(s, q, i, c, t) for s, q, ps in frame for i, (c, t) in enumerate(ps)]
 
 
-@query(_sql("section, seq, pair, code, value", _expected_pairs))
-def x_dxf(spark, d):
-    """Files as tagged text: the default layer, the entities with a text form, comments on the kinds without one."""
-    rows, rec = with_records(typed(spark, d))
-    rows = checkpoint(rows)
+def document_rows(rows: DataFrame, rec: dict[str, Column]) -> DataFrame:
+    """Whole documents of (path, seq, kind) with a struct column per kind: the default layer, the entities with a text form, comments on the kinds without one."""
     pairs = dxf.entity_pairs(F.col("kind"), rec, F.lit("0"), F.col("seq"))
     layer = rows.select("path").distinct().select("path", F.lit(dxf.TABLES).alias("section"), F.lit(1).cast("bigint").alias("seq"), F.posexplode(dxf.layer_pairs(F.lit("0"), F.lit(7), F.lit(False), F.lit(""))).alias("pair", "p")).select("path", "section", "seq", "pair", "p.code", "p.value")
     return dxf.entity_rows(rows, pairs).unionByName(dxf.comment_rows(dxf.skipped(rows, pairs))).unionByName(layer).unionByName(dxf.frame_rows(rows))
 
 
+@query(_sql("section, seq, pair, code, value", _expected_pairs))
+def x_dxf(spark, d):
+    """Files as tagged text."""
+    rows, rec = with_records(typed(spark, d))
+    return document_rows(checkpoint(rows), rec)
+
+
 # Scenes
 
 
@@ -300,3 +304,17 @@ def x_name_values(spark, d):
     rows = load(spark, d, "decoded_objects")
     named = rows.select("object_id", F.map_from_entries(F.array(F.struct(F.lit("kind"), F.array("kind")), F.struct(F.lit("status"), F.array("status")))).alias("m"))
     return named.select("object_id", F.explode("m").alias("name", "values")).select("object_id", "name", F.element_at("values", 1).alias("value_list"))
+
+
+@query(f"select case when version = 'AC1021' then 'DEFERRED' when broken and version in {tuple(S.VERSIONS)} then 'TRUNCATED' end as error_class, count(*) as n from {S.FILES} f group by 1")
+def x_error_classes(spark, d):
+    """Files by the class of what is wrong with them."""
+    return drawing.tables_of(contents(spark, d), "files").groupBy(drawing.error_class(F.col("reason")).alias("error_class")).agg(F.count("*").alias("n"))
+
+
+@query(_sql("handle, status, size_bytes", lambda v, k: [(o[3], "ok", o[1]) for o in S.drawing(v, k)[1]["raw_objects"]] + [(1_000_000, "missing", None)], "cast(handle as bigint) as handle, status, cast(size_bytes as bigint) as size_bytes"))
+def x_objects_by_handle(spark, d):
+    """Every handle of the index and one that no file has, looked up among the objects."""
+    made = checkpoint(contents(spark, d))
+    handles = drawing.tables_of(made, "handle_map").select("path", "handle")
+    return drawing.objects_at(made, handles.unionByName(handles.select("path").distinct().withColumn("handle", F.lit(1_000_000).cast("bigint")))).select("path", "handle", "status", "size_bytes")

@@ -17,7 +17,8 @@ import os
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from draftlake.functions import codecs
@@ -213,3 +214,26 @@ def tables_of(files: DataFrame, table: str, strict: bool = False, max_file: int
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, arrow)], schema=arrow)
 
     return files.select("path", "length", "content").mapInArrow(run, schema)
+
+
+def objects_at(files: DataFrame, handles: DataFrame, strict: bool = False) -> DataFrame:
+    """Objects of `files` by (path, handle), each handle with its object or with status 'missing'; `strict` raises on the first that isn't ok."""
+    rows = tables_of(files, "raw_objects").select("path", F.col("handle.value").alias("handle"), "stream_offset", "size_bytes", "type_code", "raw", "body_bit", "status", "reason")
+    out = handles.select("path", "handle").distinct().join(rows, ["path", "handle"], "left").withColumn("status", F.coalesce("status", F.lit("missing")))
+    bad = out.filter("status <> 'ok'").select("path", "handle", "status").head(1) if strict else []
+    if bad:
+        raise C.ContainerError(f"object {bad[0]['handle']:#x} of {bad[0]['path']}: {bad[0]['status']}")
+    return out
+
+
+# Classes of errors, by what their messages hold.
+ERROR_CLASSES = {
+    "NOT_A_DRAWING": "no drawing", "UNSUPPORTED_VERSION": "unsupported version|needs version|can't be written", "TRUNCATED": "beyond the file|cut short|shorter than|stream ends|of [0-9]+$", "BAD_MARK": "without its mark|has tag", "MISSING_PAGE": "which is missing|not in the page map",
+    "LIMIT_EXCEEDED": "over the limit|over max_|too many|too much", "BAD_PACKING": "packing|opcode|reference [0-9]+ back", "UNKNOWN_SECTION": "unknown sections", "DEFERRED": "2007 header", "BAD_VALUE": "tag 3 of|modular number|handle of [0-9]+ bytes|scenario|class below",
+}
+
+
+def error_class(reason: Column) -> Column:
+    """The class of a message, 'OTHER' for one of none, null for no message."""
+    found = F.coalesce(*[F.when(reason.rlike(form), name) for name, form in ERROR_CLASSES.items()], F.lit("OTHER"))
+    return F.when(reason.isNotNull() & (reason != ""), found)
