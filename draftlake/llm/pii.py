@@ -352,7 +352,7 @@ def learn(names: DataFrame, texts: DataFrame, model: Model) -> WordTable:
 
 
 _FOUND = "start_pos int, end_pos int, pii_type string, shown string, canonical string"
-_CANDIDATE = pa.struct([("a", pa.int32()), ("b", pa.int32()), ("kind", pa.string()), ("given", pa.string()), ("family", pa.string()), ("strict", pa.bool_()), ("start_pos", pa.int32()), ("end_pos", pa.int32()), ("shown", pa.string()), ("canonical", pa.string())])
+_CANDIDATE = pa.struct([("a", pa.int32()), ("b", pa.int32()), ("kind", pa.string()), ("given", pa.string()), ("family", pa.string()), ("strict", pa.bool_()), ("start_pos", pa.int32()), ("end_pos", pa.int32()), ("shown", pa.string())])
 
 
 def entities(fields: DataFrame, lexicon: WordTable, model: Model) -> DataFrame:
@@ -376,7 +376,7 @@ def entities(fields: DataFrame, lexicon: WordTable, model: Model) -> DataFrame:
                 own, needed = [], set()
                 for a, b, kind, given, family, strict in found:
                     s, e = view.stored(a, b)
-                    own.append({"a": a, "b": b, "kind": kind, "given": given, "family": family, "strict": strict, "start_pos": s, "end_pos": e, "shown": regex.sub(r"\s+", " ", view.text[a:b]), "canonical": canonical(kind, view.text[a:b])})
+                    own.append({"a": a, "b": b, "kind": kind, "given": given, "family": family, "strict": strict, "start_pos": s, "end_pos": e, "shown": view.text[a:b]})
                     needed.update((given.casefold().split() if given else []) + (family.casefold().split("-") if family else []))
                 keep.append(i)
                 items.append(own)
@@ -392,12 +392,13 @@ def entities(fields: DataFrame, lexicon: WordTable, model: Model) -> DataFrame:
                 own = Lexicon(has("given"), has("family"), {w[-SUFFIX:] for w in has("usual")}, has("ordinary"), has("alone"))
                 for k in settle([(c["a"], c["b"], c["kind"], c["given"], c["family"], c["strict"]) for c in items], own):
                     keep.append(i)
-                    out.append(items[k])
+                    c = items[k]
+                    out.append(c | {"shown": _SPACE.sub(" ", c["shown"]), "canonical": canonical(c["kind"], c["shown"])})
             part = batch.select(["src_table", "rec_id", "field"]).take(pa.array(keep, pa.int32()))
             cols = [pa.array([c[name] for c in out], kind) for name, kind in (("start_pos", pa.int32()), ("end_pos", pa.int32()), ("kind", pa.string()), ("shown", pa.string()), ("canonical", pa.string()))]
             yield pa.RecordBatch.from_arrays([*part.columns, *cols], [*part.schema.names, "start_pos", "end_pos", "pii_type", "shown", "canonical"])
 
-    item = "struct<a: int, b: int, kind: string, given: string, family: string, strict: boolean, start_pos: int, end_pos: int, shown: string, canonical: string>"
+    item = "struct<a: int, b: int, kind: string, given: string, family: string, strict: boolean, start_pos: int, end_pos: int, shown: string>"
     keys = "src_table string, rec_id bigint, field string"
     rows = fields.mapInArrow(search, f"{keys}, items array<{item}>, words array<string>")
     rows = checkpoint(rows.withColumn("row", F.monotonically_increasing_id()))
@@ -405,17 +406,19 @@ def entities(fields: DataFrame, lexicon: WordTable, model: Model) -> DataFrame:
     return rows.join(known, "row", "left").select("src_table", "rec_id", "field", "items", "lexicon").mapInArrow(decide, f"{keys}, {_FOUND}")
 
 
+_SPACE, _MAILTO, _AT, _DOT = regex.compile(r"\s+"), regex.compile(r"^mailto:\s*"), regex.compile(r"\s*[(\[{]\s*at\s*[)\]}]\s*|\s+at\s+|\s*@\s*"), regex.compile(r"\s*[(\[{]\s*dot\s*[)\]}]\s*|\s+dot\s+")
+_MARKS, _COMMA = regex.compile(r"[^\p{L}\p{N}+]"), regex.compile(r"([^,]+), (.+)")
+
+
 def canonical(kind: str, text: str) -> str:
     """One form for the ways in which an entity is written."""
-    t = regex.sub(r"\s+", " ", text).strip().casefold()
+    t = _SPACE.sub(" ", text).strip().casefold()
     if kind == "EMAIL":
-        t = regex.sub(r"^mailto:\s*", "", t)
-        t = regex.sub(r"\s*[(\[{]\s*at\s*[)\]}]\s*|\s+at\s+|\s*@\s*", "@", t)
-        return regex.sub(r"\s*[(\[{]\s*dot\s*[)\]}]\s*|\s+dot\s+", ".", t)
+        return _DOT.sub(".", _AT.sub("@", _MAILTO.sub("", t)))
     if kind in ("PHONE", "ID_NUMBER"):
-        return regex.sub(r"[^\p{L}\p{N}+]", "", t)
+        return _MARKS.sub("", t)
     if kind == "NAME":
-        m = regex.fullmatch(r"([^,]+), (.+)", t)
+        m = _COMMA.fullmatch(t)
         return f"{m[2]} {m[1]}" if m else t
     return t
 
