@@ -318,3 +318,77 @@ def x_objects_by_handle(spark, d):
     made = checkpoint(contents(spark, d))
     handles = drawing.tables_of(made, "handle_map").select("path", "handle")
     return drawing.objects_at(made, handles.unionByName(handles.select("path").distinct().withColumn("handle", F.lit(1_000_000).cast("bigint")))).select("path", "handle", "status", "size_bytes")
+
+
+# Outlines of records
+
+
+def _expected_hatches(v: int, k: int) -> list[tuple]:
+    out = []
+    for h, kind, r in _records(v, k):
+        for i, path in enumerate(r["paths"] if kind == "HATCH" else []):
+            if "vertices" in path:
+                pts = [q["point"] for q in path["vertices"]]
+                steps = zip(pts, pts[1:] + pts[:1]) if path["closed"] else zip(pts, pts[1:])
+                curves = [("line", a["x"], b["x"]) for a, b in steps]
+            else:
+                name = {1: "line", 2: "arc", 3: "ellipse", 4: "spline"}
+                curves = [(name[e["kind"]], e["line_start"]["x"] if e["kind"] == 1 else e["center"]["x"] if e["kind"] in (2, 3) else None, e["line_end"]["x"] if e["kind"] == 1 else e["end_angle"] if e["kind"] in (2, 3) else None) for e in path["edges"]]
+            out += [(h, i, n, r["elevation"], *c) for n, c in enumerate(curves)]
+    return out
+
+
+@query(_sql("handle, hatch_path, n, z, kind, x, until", _expected_hatches, "cast(handle as bigint) as handle, hatch_path, n, cast(z as double) as z, kind, cast(x as double) as x, cast(until as double) as until"))
+def x_hatch_curves(spark, d):
+    """Curves of every hatch's paths, at its elevation."""
+    rows = typed(spark, d).filter("kind = 'HATCH'").select("path", F.col("seq").alias("handle"), F.from_json("record", records.schema("HATCH")).alias("r"))
+    each = rows.select("path", "handle", "r.elevation", F.posexplode("r.paths").alias("hatch_path", "p"))
+    c = each.select("path", "handle", "hatch_path", F.col("elevation").alias("z"), F.posexplode(G.hatch_curves(F.col("p"), F.col("elevation"))).alias("n", "c"))
+    return c.select("path", "handle", "hatch_path", "n", "z", "c.kind", F.coalesce("c.a.x", "c.center.x").alias("x"), F.coalesce("c.b.x", "c.end_angle").alias("until"))
+
+
+_DIMENSIONS = tuple(s.kind for s in S.SAMPLES if s.kind.startswith("DIMENSION") and s.family == "entity")
+
+
+def _expected_segments(v: int, k: int) -> list[tuple]:
+    out = []
+    for h, kind, r in _records(v, k):
+        if kind not in _DIMENSIONS:
+            continue
+        p = {n: r.get(f"def_point_{n}") for n in (10, 13, 14, 15)}
+        if kind in ("DIMENSION_LINEAR", "DIMENSION_ALIGNED"):
+            # the line through point 10, parallel to the measured one
+            dx, dy = p[14]["x"] - p[13]["x"], p[14]["y"] - p[13]["y"]
+            off = ((p[10]["x"] - p[13]["x"]) * -dy + (p[10]["y"] - p[13]["y"]) * dx) / (dx * dx + dy * dy)
+            a, b = ({"x": q["x"] - dy * off, "y": q["y"] + dx * off} for q in (p[13], p[14]))
+            segments = [(p[13], a), (p[14], b), (a, b)]
+        else:
+            segments = {
+                "DIMENSION_ORDINATE": lambda: [(r["feature_location_13"], r["leader_endpoint_14"])], "DIMENSION_ANG3PT": lambda: [(p[15], p[13]), (p[15], p[14]), (p[10], p[15])],
+                "DIMENSION_ANG2LN": lambda: [(p[13], p[14]), (p[15], p[10])], "DIMENSION_RADIUS": lambda: [(p[10], p[15])], "DIMENSION_DIAMETER": lambda: [(p[15], p[10])],
+            }[kind]()
+        out += [(h, i, kind, *(round(q[c], 6) + 0.0 for q in s for c in "xy")) for i, s in enumerate(segments)]
+    return out
+
+
+_ENDS = ("ax", "ay", "bx", "by_")
+
+
+@query(_sql("handle, n, kind, " + ", ".join(_ENDS), _expected_segments, "cast(handle as bigint) as handle, n, kind, " + ", ".join(f"cast({c} as double) as {c}" for c in _ENDS)))
+def x_dimension_segments(spark, d):
+    """Line segments of the dimensions of all seven kinds."""
+    rows, rec = with_records(typed(spark, d).filter(F.col("kind").isin(*_DIMENSIONS)), _DIMENSIONS)
+    names = [f"def_point_{n}" for n in (10, 13, 14, 15)] + ["feature_location_13", "leader_endpoint_14"]
+    have = {k: set(records.LAYOUTS[k].schema().replace("struct<", ",").replace(":", ",").split(",")) for k in _DIMENSIONS}
+    points = F.struct(*[F.coalesce(*[rec[k][n] for k in _DIMENSIONS if n in have[k]]).alias(n) for n in names])
+    each = rows.select("path", F.col("seq").alias("handle"), "kind", points.alias("r")).select("path", "handle", "kind", F.posexplode(G.dimension_segments(F.col("kind"), F.col("r"))).alias("n", "s"))
+    r6 = lambda c: F.round(c, 6) + F.lit(0.0)
+    return each.select("path", "handle", "n", "kind", *[r6(F.col(f"s.{c[0]}.{c[1]}")).alias(c) for c in _ENDS])
+
+
+@query(_sql("handle, degree, n_weights, font", lambda v, k: [(h, int(r["degree"]), len(r["control"]["weights"]) if "control" in r and len(set(r["control"]["weights"])) > 1 else None, None) for h, kind, r in _records(v, k) if kind == "SPLINE"], "cast(handle as bigint) as handle, cast(degree as integer) as degree, cast(n_weights as integer) as n_weights"))
+def x_spline_forms(spark, d):
+    """Degree to draw a spline with, and its weights where they differ."""
+    rows = typed(spark, d).filter("kind = 'SPLINE'").select("path", F.col("seq").alias("handle"), F.from_json("record", records.schema("SPLINE")).alias("r"))
+    form = rows.select("path", "handle", G.spline_form(F.col("r.degree"), F.col("r.control.weights")).alias("f"))
+    return form.select("path", "handle", "f.degree", F.when(F.col("f.weights").isNotNull(), F.size("f.weights")).alias("n_weights"))

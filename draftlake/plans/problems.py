@@ -129,7 +129,66 @@ tree as (
   from linked l left join walk w on l.path = w.path and l.handle = w.handle)
 """
 
+def _quoted(words) -> str:
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+
+
+# DuckDB's patterns know no look-ahead, so a unit is closed by what its words are, the longest first.
+_SQL_UNIT = "(?:" + "|".join(w for w in sorted((w for g in units.SPELLINGS.values() for w in g), key=len, reverse=True)) + ")"
+_SQL_DECIMAL = r"\d+(?:[.,]\d+)?(?:[eE][-+]?\d+)?"
+_SQL_NUMBER = rf"\d+\s*-\s*\d+/\d+|\d+/\d+|{_SQL_DECIMAL}"
+_SQL_SCALE = rf"^\D*?({_SQL_NUMBER})\s*({_SQL_UNIT})?\s*(?:=|:|/|per\b|auf\b|pour\b|to\b|zu\b)\s*({_SQL_NUMBER})?\s*({_SQL_UNIT})?"
+_SQL_SIZED = rf"({_SQL_DECIMAL})\s*({_SQL_UNIT})(?:[^\pL]|$)"
+_SQL_NAMED = rf"(?:given as|read as|taken as|size in|gives|units?\s*[=:]|unit is)\s*['\"‘“]?({_SQL_UNIT})(?:[^\pL]|$)"
+
+
+def _extract(text: str, pattern: str, group: int) -> str:
+    return f"nullif(regexp_extract({text}, '" + pattern.replace("'", "''") + f"', {group}, 'i'), '')"
+
+
+def _unit(text: str) -> str:
+    return "(case " + " ".join(f"when lower({text}) in ({_quoted(words)}) then '{unit}'" for unit, words in units.SPELLINGS.items()) + " end)"
+
+
+def _mm(unit: str) -> str:
+    return f"(case {unit} " + " ".join(f"when '{u}' then {mm}::double" for u, mm in units.MM.items()) + " end)"
+
+
+def _decimal(text: str) -> str:
+    part = lambda i: f"try_cast(replace(string_split_regex(regexp_replace({text}, '\\s', '', 'g'), '[-/]')[{i}], ',', '.') as double)"
+    return f"(case when not contains({text}, '/') then try_cast(replace(trim({text}), ',', '.') as double) when contains({text}, '-') then {part(1)} + {part(2)} / nullif({part(3)}, 0) else {part(1)} / nullif({part(2)}, 0) end)"
+
+
+_MEASURED = f"""
+with parsed as (
+  select object_id, loaded_at, path, image_def is not null as is_width, image_def.file_path as file_path, image_def.pixel_size_units as code, image_def.pixel_width_size as size, acad_scale.scale_name as name, acad_scale.paper_units as paper, acad_scale.drawing_units as drawing,
+    {_extract("message", _SQL_SIZED, 1)} as sized_number, {_extract("message", _SQL_SIZED, 2)} as sized_unit, {_extract("message", _SQL_NAMED, 1)} as named_unit,
+    {", ".join(f"{_extract('acad_scale.scale_name', _SQL_SCALE, i)} as side{i}" for i in (1, 2, 3, 4))}
+  from decoded_objects where object_id is not null and (image_def is not null or acad_scale is not null)),
+valued as (
+  select *, (case code {" ".join(f"when {c} then '{u}'" for c, u in units.UNIT_OF_CODE.items())} end) as code_unit, coalesce({_unit("sized_unit")}, {_unit("named_unit")}) as text_unit, {_unit("side2")} as paper_unit, {_unit("side4")} as drawing_unit,
+    coalesce(paper, {_decimal("side1")}) as paper_number, coalesce(drawing, {_decimal("side3")}, case when side4 is not null then 1.0 end) as drawing_number, coalesce(size, {_decimal("sized_number")}) as width from parsed),
+rows_ as (
+  select object_id, loaded_at, is_width, case when is_width then file_path else path end as thing, case when is_width then size else paper / nullif(drawing, 0) end as recorded,
+    case when is_width then coalesce(code_unit, text_unit) else concat_ws('/', paper_unit, drawing_unit) end as unit,
+    case when is_width then width when trim(name) <> '' and drawing_number <> 0 then paper_number / drawing_number * coalesce({_mm("paper_unit")} / {_mm("drawing_unit")}, 1.0) end as value from valued),
+measured as (
+  select * from (select *, row_number() over (partition by object_id order by loaded_at desc nulls last, is_width desc, thing desc nulls last, recorded desc nulls last, value desc nulls last, unit desc nulls last) as nth from rows_) where nth = 1),
+comparable as (
+  select object_id, 'width:' || thing as thing, recorded, value * {_mm("unit")} as common from measured where is_width and unit is not null union all select object_id, 'scale:' || thing, recorded, value from measured where not is_width)
+"""
+_APART = "abs({0} - {1}) > 0.001 * greatest(abs({0}), abs({1}))"
+
 SQL = {
+    "p1_found": _MEASURED + f"select a.object_id as object_id_a, b.object_id as object_id_b from comparable a join comparable b on a.thing = b.thing and a.object_id < b.object_id where a.common > 0 and b.common > 0 and not {_APART.format('a.common', 'b.common')} and (a.recorded is null or b.recorded is null or {_APART.format('a.recorded', 'b.recorded')})",
+    "p1_classes": _MEASURED.rstrip() + f""",
+classes as (select thing, common, recorded, count(*) as n from comparable where thing is not null and common > 0 group by all),
+met as (select a.thing, a.common as common_a, a.recorded as recorded_a, a.n as n_a, b.common as common_b, b.recorded as recorded_b, b.n as n_b, a.common = b.common and a.recorded is not distinct from b.recorded as same from classes a join classes b
+  on a.thing = b.thing and (a.common < b.common or a.common = b.common and coalesce(a.recorded, '-inf'::double) <= coalesce(b.recorded, '-inf'::double))
+  where not {_APART.format('a.common', 'b.common')} and (a.recorded is null or b.recorded is null or {_APART.format('a.recorded', 'b.recorded')}))
+select *, cast(case when same then n_a * (n_a - 1) / 2 else n_a * n_b end as bigint) as n_pairs from met where not same or n_a > 1""",
+    "p1_members": _MEASURED + "select * from comparable where thing is not null and common > 0",
+    "p1_scales": _MEASURED + "select object_id, thing, recorded, value as ratio, unit as units from measured where not is_width",
     "p2_found": _ORPHANS + "select ref_field, src_id, target_handle from orph where reason is not null",
     "p2_by_month": _ORPHANS + "select ref_field, strftime(ref_at, '%Y-%m') as month, reason, count(*) as n_refs, count(distinct src_id) as n_records from orph where reason is not null group by all",
     "p3_found": _KEYS + "select field, key_text from prof where row_share >= 0.05",
