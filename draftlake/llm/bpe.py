@@ -32,8 +32,8 @@ from pyspark.sql import DataFrame
 #: Fixed value: the pattern that splits text before the merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Entries of a worker's memos of words and of lines (full ones start anew) and, a power of two, of arcs.
-WORDS, LINES, ARCS = 500_000, 200_000, 1 << 16
+#: Entries of a worker's memo of words, characters of its memo of lines (full ones start anew) and, a power of two, entries of that of arcs.
+WORDS, LINES, ARCS = 500_000, 24_000_000, 1 << 16
 LONG_LINE = 2_000
 
 
@@ -80,6 +80,7 @@ class Automaton:
         self.memo_keys, self.memo = [-1] * ARCS, [False] * ARCS
         self.words: dict[str, tuple[int, ...]] = {}
         self.lines: dict[str, np.ndarray] = {}
+        self.held = 0
         self.split = regex.compile(PATTERN).findall
 
     def _compile(self) -> None:
@@ -180,8 +181,10 @@ class Automaton:
                 out.extend(ids)
             known = np.array(out, np.int32)
             if len(text) <= LONG_LINE:
-                if len(self.lines) >= LINES:
+                self.held += len(text)
+                if self.held > LINES:
                     self.lines.clear()
+                    self.held = len(text)
                 self.lines[text] = known
         return known
 

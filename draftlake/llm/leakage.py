@@ -38,7 +38,8 @@ BITS_PER_HASH, MOST_BITS, FEWEST_BITS, PROBES = 64, 28, 16, 4
 #: Hashes of the items up to which they are broadcast to the join (16 bytes each); more are joined by a shuffle.
 BROADCAST_HASHES = 2_000_000
 ROWS_PER_TASK = 20_000
-LINES, LONG_LINE = 100_000, 2_000
+#: Characters of a worker's memo of lines (a full one starts anew), and of the longest line in it.
+LINES, LONG_LINE = 24_000_000, 2_000
 _LINK = regex.compile(r"\[\[(?:[^\[\]|]*\|)*([^\[\]|]*)\]\]")
 _URL = regex.compile(r"\[(?:https?:)?//\S*\s?")
 _INLINE = regex.compile(r"(?i)</?(?:b|i|u|s|em|strong|small|big|sup|sub|span|font|tt|code|nowiki|mark|abbr)(?:\s[^<>]*)?/?>")
@@ -80,6 +81,7 @@ class Tokens:
         self.words, self.chars = words, chars
         self.hashes: dict[str, int] = {}
         self.seen: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        self.held = 0
 
     def _hashes(self, words: list[str]) -> np.ndarray:
         out, get = [], self.hashes.get
@@ -101,8 +103,10 @@ class Tokens:
                 np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32) + np.uint32(2) if self.chars else _NONE,
             )
             if len(line) <= LONG_LINE:
-                if len(self.seen) >= LINES:
+                self.held += len(line)
+                if self.held > LINES:
                     self.seen.clear()
+                    self.held = len(line)
                 self.seen[line] = known
         return known
 

@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from draftlake.runtime import checkpoint
 
-LINES, LONG_LINE = 200_000, 4_000
+#: Characters of a worker's memo of lines (a full one starts anew), and of the longest line in it.
+LINES, LONG_LINE = 24_000_000, 4_000
 
 # What a line without sentences begins with.
 NO_SENTENCE = frozenset("={|}!*#:;<_-")
@@ -485,14 +486,17 @@ class Cutter:
     def __init__(self, words: Dictionary):
         self.words = words
         self.seen: dict[str, np.ndarray] = {}
+        self.held = 0
 
     def __call__(self, line: str) -> np.ndarray:
         known = self.seen.get(line)
         if known is None:
             known = np.array(cut(line, self.words), np.int64).reshape(-1, 2)
             if len(line) <= LONG_LINE:
-                if len(self.seen) >= LINES:
+                self.held += len(line)
+                if self.held > LINES:
                     self.seen.clear()
+                    self.held = len(line)
                 self.seen[line] = known
         return known
 

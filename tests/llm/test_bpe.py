@@ -60,3 +60,11 @@ def test_documents(spark):
     assert back == {1: "Hello world", 2: "", 3: "", 4: "é" * 10_000}
     assert bpe.encode_documents(df.limit(0)).count() == 0
     assert os.path.exists(bpe.default_vocabulary())
+
+
+def test_memo_of_lines_is_bounded(both, monkeypatch):
+    auto, _ = both
+    monkeypatch.setattr(bpe, "LINES", 500)
+    for k in range(100):
+        auto.encode(f"line {k} of unlike text")
+        assert sum(map(len, auto.lines)) <= 500
