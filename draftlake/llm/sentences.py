@@ -511,14 +511,16 @@ def cutter_of_worker(words: Dictionary) -> Cutter:
     return _CUTTER[0]
 
 
-def spans(text: str, cutter: Cutter) -> list[np.ndarray]:
-    out, at = [], 0
+def spans(text: str, cutter: Cutter, found: list[np.ndarray], places: list[int]) -> None:
+    """Add the sentences of each line that has any, by places in the line, and the line's place."""
+    at = 0
     for line in text.split("\n"):
-        own = cutter(line)
-        if len(own):
-            out.append(own + at)
+        if line:
+            own = cutter(line)
+            if len(own):
+                found.append(own)
+                places.append(at)
         at += len(line) + 1
-    return out
 
 
 def once(documents: DataFrame) -> DataFrame:
@@ -547,15 +549,18 @@ def sentences(documents: DataFrame, words: Dictionary | None = None) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = cutter_of_worker(shared.value)
         for batch in batches:
-            ids, found = [], []
+            docs, lines, found, places = [], [], [], []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 if doc is None or not text:
                     continue
-                own = spans(text, cutter)
-                found += own
-                ids.append(np.full(sum(map(len, own)), doc, np.int64))
+                before = len(found)
+                spans(text, cutter, found, places)
+                docs.append(doc)
+                lines.append(len(found) - before)
             if found:
-                table = np.concatenate(found)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(table[:, 0]), pa.array(table[:, 1])], ["doc_id", "start_pos", "end_pos"])
+                sizes = np.fromiter(map(len, found), np.int64, len(found))
+                table = np.concatenate(found) + np.repeat(np.array(places, np.int64), sizes)[:, None]
+                ids = np.repeat(np.repeat(np.array(docs, np.int64), lines), sizes)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(table[:, 0]), pa.array(table[:, 1])], ["doc_id", "start_pos", "end_pos"])
 
     return once(documents).mapInArrow(run, "doc_id bigint, start_pos bigint, end_pos bigint")
