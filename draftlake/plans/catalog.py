@@ -409,11 +409,12 @@ def q_lz77(spark, d):
 def q_reed_solomon(spark, d):
     """Names as messages, with none to nine bytes damaged: up to eight are mended."""
     rows = load(spark, d, "customer").select("c_custkey", F.encode("c_name", "utf-8").alias("m"))
-    rows = rows.withColumn("hex", F.hex(codecs.rs_encoded("m")))
-    pair = lambda i: F.substr(F.col("hex"), 2 * i + 1, F.lit(2))
-    hit = lambda i: (i % 25 == 3) & (i / 25 < F.col("c_custkey") % 10)
-    damaged = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(254)), lambda i: F.when(hit(i), F.translate(pair(i), "0123456789ABCDEF", "FEDCBA9876543210")).otherwise(pair(i))), "")
-    back = rows.withColumn("back", codecs.rs_decoded(F.unhex(damaged)))
+    rows = rows.withColumn("word", codecs.rs_encoded("m"))
+    part = lambda at, n: F.substring("word", at + 1, n)
+    flipped = lambda byte: F.unhex(F.translate(F.hex(byte), "0123456789ABCDEF", "FEDCBA9876543210"))
+    hits = [F.when(F.col("c_custkey") % 10 > i, flipped(part(25 * i + 3, 1))).otherwise(part(25 * i + 3, 1)) for i in range(9)]
+    damaged = F.concat(part(0, 3), *[p for i, hit in enumerate(hits) for p in (hit, part(25 * i + 4, 24 if i < 8 else 51))])
+    back = rows.withColumn("back", codecs.rs_decoded(damaged))
     return back.select("c_custkey", (F.col("back.status") == "ok").alias("mended"), "back.corrected", F.decode(F.substring(F.col("back.data"), F.lit(1), F.length("m")), "utf-8").alias("name"))
 
 

@@ -1,5 +1,8 @@
 import random
+import time
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -220,3 +223,32 @@ def test_metadata_sections(spark):
     content = container.build(2018, {"AcDb:Preview": listed, "AcDb:AppInfo": text("A") + bytes(4) + text("") + text("") + text("")})
     files = spark.createDataFrame([("p", len(content), content)], "path string, length bigint, content binary")
     assert drawing.tables_of(files, "previews").first()["bmp"] == image and drawing.tables_of(files, "app_info").first()["name"] == "A" and drawing.tables_of(files, "header_variables").count() == 0
+
+
+def test_code_words_at_once_equal_one_by_one():
+    rng = random.Random(8)
+    words = []
+    for errors in [*range(17)] * 6 + [255] * 5:
+        word = bytearray(codecs.rs_encode(rng.randbytes(239)))
+        for i in rng.sample(range(255), errors):
+            word[i] ^= rng.randrange(1, 256)
+        words.append(bytes(word))
+    messages, corrected = codecs.rs_correct_all(np.frombuffer(b"".join(words), np.uint8).reshape(-1, 255))
+    for word, message, n in zip(words, messages, corrected):
+        try:
+            assert codecs.rs_correct(word) == (message.tobytes(), n)
+        except ValueError:
+            assert n == -1
+    assert (corrected >= 0).any() and (corrected < 0).any()
+    back = codecs.rs_decoded.func(pd.Series([None, b"", b"x", words[3] + words[8], words[3] + words[-1]]))
+    assert back["status"].tolist() == [None, "ok", "no whole code words", "ok", "more errors than the code corrects"] and back["corrected"][3] == 11
+    assert back["data"][3] == messages[3].tobytes() + messages[8].tobytes() and back["data"][1] == b""
+
+
+def test_many_code_words_take_little_time():
+    """One by one, these take over ten seconds."""
+    words = codecs.rs_encoded.func(pd.Series([b"%d" % i for i in range(5_000)] + [None, b"", bytes(240)]))
+    assert words[4_999][:239] == b"4999" + bytes(235) and words[5_000] is None and words[5_001] == b"" and len(words[5_002]) == 510
+    began = time.process_time()
+    back = codecs.rs_decoded.func(words[:5_000].map(lambda w: bytes(w[:3]) + b"~" + w[4:90] + b"~~~~" + w[94:]))
+    assert time.process_time() - began < 3 and (back["status"] == "ok").all() and back["data"][4_999][:4] == b"4999"
