@@ -217,9 +217,13 @@ def tables_of(files: DataFrame, table: str, strict: bool = False, max_file: int
 
 
 def objects_at(files: DataFrame, handles: DataFrame, strict: bool = False) -> DataFrame:
-    """Objects of `files` by (path, handle), each handle with its object or with status 'missing'; `strict` raises on the first that isn't ok."""
+    """Objects of `files` by (path, handle), each handle with its object or with status 'missing'; `strict` raises on the first that isn't ok.
+
+    Both sides are sorted and merged: Spark knows the size of the files at most,
+    nothing of what is decoded from them, and would broadcast all objects.
+    """
     rows = tables_of(files, "raw_objects").select("path", F.col("handle.value").alias("handle"), "stream_offset", "size_bytes", "type_code", "raw", "body_bit", "status", "reason")
-    out = handles.select("path", "handle").distinct().join(rows, ["path", "handle"], "left").withColumn("status", F.coalesce("status", F.lit("missing")))
+    out = handles.select("path", "handle").distinct().hint("merge").join(rows.hint("merge"), ["path", "handle"], "left").withColumn("status", F.coalesce("status", F.lit("missing")))
     bad = out.filter("status <> 'ok'").select("path", "handle", "status").head(1) if strict else []
     if bad:
         raise C.ContainerError(f"object {bad[0]['handle']:#x} of {bad[0]['path']}: {bad[0]['status']}")

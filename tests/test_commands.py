@@ -57,6 +57,17 @@ def test_objects_by_handle(spark, folder):
         drawing.objects_at(files, wanted, strict=True)
 
 
+def test_objects_by_handle_are_not_broadcast(spark):
+    """Spark estimates what is decoded from files by their table, here of a few numbers, and would broadcast it."""
+    content = samples.drawing(2018, 1)[0]
+    files = spark.range(3).select(F.col("id").cast("string").alias("path"), F.lit(len(content)).cast("bigint").alias("length"), F.lit(content).alias("content"))
+    handles = drawing.tables_of(files, "handle_map").select("path", "handle")
+    found = drawing.objects_at(files, handles)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert found.filter("status = 'ok'").count() == handles.count() > 200
+
+
 def test_error_classes(spark):
     texts = {"no drawing": "NOT_A_DRAWING", "system page at 9 beyond the file": "TRUNCATED", "32 bits at 5 of 9": "TRUNCATED", "page at 3 has tag 0x1 and packing 2": "BAD_MARK", "2007 header": "DEFERRED", "section 'x' over the limit": "LIMIT_EXCEEDED", "what": "OTHER", "": None, None: None}
     df = spark.createDataFrame([(t,) for t in texts], "t string")
